@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strataline.llm import near_duplicates
+from strataline.llm import leakage, near_duplicates, splitting
 from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,41 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.groups(_records(spark, sf_dir), words=3, threshold=0.5, min_words=30)
+
+
+# ---- 6: oversized items ----------------------------------------------------------------------------------------------
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "chunks")
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(_chunks(spark, sf_dir)).filter("piece = 0").select("chunk_id", "cut_level").distinct()
+
+
+@query
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = _chunks(spark, sf_dir).filter(F.length("text") > 1800)
+    once = long.select("chunk_id", "text", "item_number", "accession", "char_start", "char_end").dropDuplicates(["chunk_id"])
+    placed = splitting.right_offsets(once, read_table(spark, sf_dir, "filings"))
+    return splitting.split(placed).join(once.select("chunk_id", "item_number"), "chunk_id")
+
+
+# ---- 7: leaked evaluation texts --------------------------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = read_table(spark, sf_dir, "eval_cases").select(F.col("id").alias("case_id"), F.explode("relevant_passages").alias("passage"))
+    return leakage.scan(read_table(spark, sf_dir, "documents"), cases, least=12)
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", F.explode("case_ids").alias("case_id")).distinct()
+
+
+@query
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
