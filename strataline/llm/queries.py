@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import leakage, near_duplicates, splitting
+from strataline.llm import leakage, lookalikes, near_duplicates, splitting
 from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,29 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
+
+
+# ---- 4: look-alike characters ----------------------------------------------------------------------------------------
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read_table(spark, sf_dir, "citations")
+    out = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("record_id"), F.lit("text").alias("field_name"), F.col("text").alias("value"))
+    for name in ("quote", "support_quote"):
+        out = out.unionByName(c.select(F.col("citation_id").alias("record_id"), F.lit(name).alias("field_name"), F.col(name).alias("value")))
+    return out
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.found(_values(spark, sf_dir))
+
+
+@query
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.forms(_values(spark, sf_dir))
+
+
+@query
+def p4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.quotes_in_chunks(read_table(spark, sf_dir, "citations"), _chunks(spark, sf_dir))
