@@ -15,39 +15,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.shingles import TOKEN_BITS, mix, shingle_tokens, slices
+from strataline.llm.shingles import TOKEN_BITS, mix, normal, shingle_tokens, slices
 from strataline.session import cut_lineage, partitions
 
 SKETCH_BITS = 22
 BLOCKS = 64
 CELL = 4096
+WANTED_BITS = 25
 MAX_MATCH = 6
 #: Share of accidental partners left by each further shingle required, and cost of verifying one against scanning a posting.
 DECAY, VERIFY = 0.3, 60.0
 FLUSH = 2_000_000
 
 
-def normalised(text: F.Column) -> F.Column:
-    """Lower case, words separated by one space each; only spaces, tabs and line breaks separate."""
-    return F.trim(F.regexp_replace(F.lower(text), r"[\t\n\r\f\x0B]+ *| {2,}", " "))
+def _class_ids(tables: list[str | None], texts: list[bytes]) -> np.ndarray:
+    """128 bits of each text within its table, as two columns."""
+    digests = b"".join(xxhash.xxh3_128_digest(t + b"\0" + (tbl or "").encode()) for tbl, t in zip(tables, texts))
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
-def _squeezed(text: F.Column) -> F.Column:
-    return F.regexp_replace(normalised(text), " {2,}", " ")
-
-
-def prepare(records: DataFrame, min_words: int) -> DataFrame:
-    """(tbl, key, norm, id, id2) of the records of enough words; id and id2 name the class of equal words."""
-    norm = records.select("tbl", "key", _squeezed(F.col("text")).alias("norm")).filter(F.col("key").isNotNull())
-    words = F.length("norm") - F.length(F.translate("norm", " ", "")) + 1
-    return norm.filter((F.length("norm") > 0) & (words >= min_words)).select(
-        "tbl", "key", "norm", F.xxhash64("tbl", "norm").alias("id"), F.xxhash64("norm", F.lit(71), "tbl").alias("id2")
-    )
+def _batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The rows of enough words, and their normalised texts."""
+    for batch in batches:
+        texts = [normal(t) for t in batch.column("text").to_pylist()]
+        keep = [k for k, t in enumerate(texts) if t.count(b" ") + 1 >= min_words]
+        if keep:
+            yield batch.select(["tbl", "key"]).take(pa.array(keep)), [texts[k] for k in keep]
 
 
+def prepare(records: DataFrame) -> DataFrame:
+    return records.select(F.col("tbl").cast("string").alias("tbl"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
 
 
 # ---- order of the shingles -------------------------------------------------------------------------------------------
@@ -63,20 +64,24 @@ def _decode() -> np.ndarray:
     return np.where(k <= 127, k, np.ceil(127 * 2.0 ** ((k - 127 + 1) / 8))).astype(np.int64)
 
 
-def sketch(prepared: DataFrame, words: int) -> np.ndarray:
+def _gathered(rows: DataFrame, blocks: int, add) -> bytes:
+    """Parts of a table of fixed size, added up by block where they are and put together."""
+    got = rows.groupBy("block").applyInArrow(add, "block int, part binary").collect()  # as many rows as blocks
+    at = {r.block: bytes(r.part) for r in got}
+    width = len(next(iter(at.values()))) if at else 0
+    return b"".join(at.get(b, b"\0" * width) for b in range(blocks))
+
+
+def sketch(prepared: DataFrame, words: int, min_words: int) -> np.ndarray:
     """Number of shingles per cell, coded in a byte: 2**SKETCH_BITS bytes whatever the input; never counts too few below 128."""
     width = (1 << SKETCH_BITS) // BLOCKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for _, texts in _batches(batches, min_words):
             for lo, hi in slices(texts):
                 _, tok = shingle_tokens(texts[lo:hi], words)
-                cell = (tok >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)
-                total += np.bincount(cell, minlength=1 << SKETCH_BITS) if len(cell) > 1 << 16 else 0
-                if len(cell) <= 1 << 16:
-                    np.add.at(total, cell, 1)
+                np.add.at(total, (tok >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
             part = np.minimum(total, 255).astype(np.uint8)
             parts = [part[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)]
@@ -88,17 +93,8 @@ def sketch(prepared: DataFrame, words: int) -> np.ndarray:
             total += np.frombuffer(x.as_py(), np.uint8)
         return pa.table({"block": table.column("block")[:1], "part": pa.array([_code(total).tobytes()], pa.binary())})
 
-    rows = (
-        prepared.select("norm")
-        .mapInArrow(count, "block int, part binary")
-        .groupBy("block")
-        .applyInArrow(add, "block int, part binary")
-        .collect()  # BLOCKS rows, 2**SKETCH_BITS bytes in all
-    )
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows:
-        out[r.block * width : (r.block + 1) * width] = np.frombuffer(r.part, np.uint8)
-    return out
+    whole = _gathered(prepared.mapInArrow(count, "block int, part binary"), BLOCKS, add)
+    return np.frombuffer(whole, np.uint8) if whole else np.zeros(1 << SKETCH_BITS, np.uint8)
 
 
 # ---- prefixes --------------------------------------------------------------------------------------------------------
@@ -121,7 +117,7 @@ def choose_prefixes(doc: np.ndarray, est: np.ndarray, n: np.ndarray, threshold:
     return np.minimum(best, np.maximum(1, n - base))
 
 
-def _postings(ids: np.ndarray, texts: list[str], words: int, threshold: float, order: np.ndarray, decode: np.ndarray):
+def _postings(ids: np.ndarray, texts: list[bytes], words: int, threshold: float, order: np.ndarray, decode: np.ndarray):
     doc, tok = shingle_tokens(texts, words)
     if not len(doc):
         return None
@@ -153,7 +149,7 @@ def _postings(ids: np.ndarray, texts: list[str], words: int, threshold: float, o
     return doc, tok, pos, side, n, match
 
 
-def postings(prepared: DataFrame, words: int, threshold: float, order: np.ndarray, buckets: int) -> DataFrame:
+def postings(prepared: DataFrame, words: int, threshold: float, min_words: int, order: np.ndarray, buckets: int) -> DataFrame:
     """(bucket, blob): the postings of many records in one row each, in columns."""
     shared = prepared.sparkSession.sparkContext.broadcast(order)
     decode = _decode()
@@ -187,8 +183,8 @@ def postings(prepared: DataFrame, words: int, threshold: float, order: np.ndarra
                 blobs.append(b"".join(x.tobytes() for x in parts))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        for batch in batches:
-            all_ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for batch, texts in _batches(batches, min_words):
+            all_ids = np.ascontiguousarray(_class_ids(batch.column("tbl").to_pylist(), texts)[:, 0])
             for lo, hi in slices(texts):
                 got = _postings(all_ids[lo:hi], texts[lo:hi], words, threshold, shared.value, decode)
                 if got is not None:
@@ -200,7 +196,7 @@ def postings(prepared: DataFrame, words: int, threshold: float, order: np.ndarra
         if held:
             yield from flush()
 
-    return prepared.select("id", "norm").mapInArrow(run, "bucket int, blob binary")
+    return prepared.mapInArrow(run, "bucket int, blob binary")
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -274,10 +270,49 @@ def candidates(blobs: DataFrame, threshold: float, buckets: int) -> DataFrame:
 # ---- verification ----------------------------------------------------------------------------------------------------
 
 
-def jaccard(left: str, right: str, words: int) -> float:
+def _wanted(found: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the classes in candidate pairs: a sieve that lets a few others through."""
+    width = (1 << WANTED_BITS) // 8 // BLOCKS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << WANTED_BITS, bool)
+        seen = False
+        for batch in batches:
+            for c in range(2):
+                bits[batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)] = seen = True
+        if seen:
+            packed = np.packbits(bits)
+            yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([packed[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)], pa.binary())], names=["block", "part"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, np.uint8)
+        for x in table.column("part"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    whole = _gathered(found.mapInArrow(mark, "block int, part binary"), BLOCKS, join)
+    return np.frombuffer(whole or b"\0" * (width * BLOCKS), np.uint8)
+
+
+def _classified(prepared: DataFrame, min_words: int, wanted: np.ndarray) -> DataFrame:
+    """(tbl, key, id, id2, norm) of every record; norm only where the class may be in a candidate pair."""
+    shared = prepared.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        for batch, texts in _batches(batches, min_words):
+            ids = _class_ids(batch.column("tbl").to_pylist(), texts)
+            hit = bits[np.ascontiguousarray(ids[:, 0]).view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
+            norm = pa.array([t if h else None for t, h in zip(texts, hit)], pa.binary())
+            yield pa.record_batch([batch.column("tbl"), batch.column("key"), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), norm], names=["tbl", "key", "id", "id2", "norm"])
+
+    return prepared.mapInArrow(run, "tbl string, key string, id long, id2 long, norm binary")
+
+
+def jaccard(left: bytes, right: bytes, words: int) -> float:
     sets = []
     for t in (left, right):
-        w = t.split(" ")
+        w = t.split(b" ")
         sets.append(frozenset(zip(*(w[k:] for k in range(words)))))
     both = len(sets[0] & sets[1])
     union = len(sets[0]) + len(sets[1]) - both
@@ -288,7 +323,7 @@ def _verify(words: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sim = [jaccard(x, y, words) for x, y in zip(batch.column("norm_l").to_pylist(), batch.column("norm_r").to_pylist())]
-            keep = pa.array([s >= threshold for s in sim])
+            keep = pa.array([s >= threshold for s in sim], pa.bool_())
             kept = pa.record_batch([batch.column("rep_l"), batch.column("rep_r"), pa.array(sim, pa.float64())], names=["rep_l", "rep_r", "similarity"])
             yield kept.filter(keep)
 
@@ -301,21 +336,18 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     records: tbl, key, text; records of different tbl are never compared; other columns are ignored. Null keys and null,
     blank or shorter texts take no part. Repeated rows count once.
 
-    Returns members (tbl, key, rep, place) with one row per record, rep the least key of its class and place its number
-    in the class, and links (rep_l, rep_r, similarity) between different classes, rep_l < rep_r. Rows of an empty table
-    give empty results.
+    Returns classes (tbl, key, id, id2) with one row per record, (id, id2) naming its class, and links (rep_l, rep_r,
+    similarity) between different classes, each told by the (tbl, key) of its least record, rep_l < rep_r. Rows of an
+    empty table give empty results.
     """
     if min_words < words:
         raise ValueError("min_words must be at least words")
-    prepared = prepare(records, min_words)
-    order = sketch(prepared, words)
+    prepared = prepare(records)
+    order = sketch(prepared, words, min_words)
     buckets = partitions(records.sparkSession)
-    found = candidates(postings(prepared, words, threshold, order, buckets), threshold, buckets)
-    found = cut_lineage(found)
-    wanted = found.select(F.col("a").alias("id")).union(found.select(F.col("b").alias("id"))).distinct()
-    texts = (
-        prepared.join(wanted, "id", "left_semi").groupBy("id", "id2").agg(F.min(F.struct("tbl", "key")).alias("rep"), F.first("norm").alias("norm"))
-    )
+    found = cut_lineage(candidates(postings(prepared, words, threshold, min_words, order, buckets), threshold, buckets))
+    classified = cut_lineage(_classified(prepared, min_words, _wanted(found)))
+    texts = classified.filter("norm IS NOT NULL").groupBy("id", "id2").agg(F.min(F.struct("tbl", "key")).alias("rep"), F.first("norm").alias("norm"))
     left = texts.select(F.col("id").alias("a"), F.col("rep").alias("rep_l"), F.col("norm").alias("norm_l"))
     right = texts.select(F.col("id").alias("b"), F.col("rep").alias("rep_r"), F.col("norm").alias("norm_r"))
     rep = "struct<tbl: string, key: string>"
@@ -324,8 +356,7 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
         .select(F.least("rep_l", "rep_r").alias("rep_l"), F.greatest("rep_l", "rep_r").alias("rep_r"), "norm_l", "norm_r")
         .mapInArrow(_verify(words, threshold), f"rep_l {rep}, rep_r {rep}, similarity double")
     )
-    classes = prepared.groupBy("id", "id2", "tbl", "key").agg(F.lit(1).alias("one"))
-    return classes, verified
+    return classified.select("tbl", "key", "id", "id2").distinct(), verified
 
 
 def membership(classes: DataFrame) -> DataFrame:

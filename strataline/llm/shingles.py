@@ -32,9 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the number of words of each text."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+def normal(text: str | None) -> bytes:
+    """Lower case, words separated by one space each; only spaces, tabs and line breaks separate."""
+    return b" ".join(text.lower().encode("utf-8", "surrogatepass").split()) if text else b""
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every normalised text, and the number of words of each text."""
     counts = np.fromiter((r.count(b" ") + 1 for r in raw), np.int64, len(raw))
     a = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     ends = np.flatnonzero(a == 32)
@@ -45,7 +49,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * _power(_P_INV, len(a))[starts]), counts
 
 
-def shingle_tokens(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_tokens(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, token of TOKEN_BITS bits) of each run of that many words, repeats included."""
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -61,7 +65,7 @@ def shingle_tokens(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray
     return doc[:n][inside], mix(s[inside]) >> np.uint64(64 - TOKEN_BITS)
 
 
-def slices(texts: list[str], chars: int = 1_000_000, most: int = 4096):
+def slices(texts: list[bytes], chars: int = 1_000_000, most: int = 4096):
     """Ranges of the list of bounded total length, to keep the working arrays within the caches."""
     at, size = 0, 0
     for k, t in enumerate(texts):
