@@ -11,6 +11,7 @@ a triangle of cells, so no task sees an unbounded list of postings. Pairs are ve
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,15 +173,11 @@ def postings(prepared: DataFrame, words: int, threshold: float, min_words: int,
                 pick = by[cuts[b] : cuts[b + 1]]
                 if not len(pick):
                     continue
+                pick = pick[np.argsort(tok[pick], kind="stable")]
                 docs, local = np.unique(doc[pick], return_inverse=True)
-                t = tok[pick]
-                parts = (
-                    np.array([len(docs), len(pick)], np.int64), ids[docs], n[docs].astype(np.uint32), match[docs].astype(np.uint8),
-                    local.astype(np.uint32), (t >> np.uint64(16)).astype(np.uint32), (t & np.uint64(65535)).astype(np.uint16),
-                    pos[pick].astype(np.uint32), side[pick],
-                )
+                steps = np.diff(tok[pick], prepend=np.uint64(0))
                 names.append(b)
-                blobs.append(b"".join(x.tobytes() for x in parts))
+                blobs.append(b"".join(_column(x) for x in (ids[docs].view(np.uint64), n[docs], match[docs], local, steps, pos[pick], side[pick])))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch, texts in _batches(batches, min_words):
@@ -199,21 +196,24 @@ def postings(prepared: DataFrame, words: int, threshold: float, min_words: int,
     return prepared.mapInArrow(run, "bucket int, blob binary")
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    docs, rows = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-    at = 16
+def _column(x: np.ndarray) -> bytes:
+    """The whole numbers in as few bytes each as the largest needs, by planes; with a head to read them back."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T
+    return np.array([width, len(x)], np.int64).tobytes() + planes.tobytes()
 
-    def take(dtype, count):
-        nonlocal at
-        out = np.frombuffer(blob, dtype, count, at)
-        at += out.nbytes
-        return out
 
-    ids, n, match = take(np.int64, docs), take(np.uint32, docs), take(np.uint8, docs)
-    local, high, low = take(np.uint32, rows), take(np.uint32, rows), take(np.uint16, rows)
-    pos, side = take(np.uint32, rows), take(np.uint8, rows)
-    tok = (high.astype(np.uint64) << np.uint64(16)) | low
-    return tok, ids[local], n[local].astype(np.int64), match[local].astype(np.int64), pos.astype(np.int64), side
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    at, cols = 0, []
+    while at < len(blob):
+        width, count = (int(x) for x in np.frombuffer(blob, np.int64, 2, at))
+        planes = np.zeros((8, count), np.uint8)
+        planes[:width] = np.frombuffer(blob, np.uint8, width * count, at + 16).reshape(width, count)
+        cols.append(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
+        at += 16 + width * count
+    ids, n, match, local, steps, pos, side = cols
+    local = local.astype(np.int64)
+    return np.cumsum(steps, dtype=np.uint64), ids.view(np.int64)[local], n.astype(np.int64)[local], match.astype(np.int64)[local], pos.astype(np.int64), side.astype(np.uint8)
 
 
 def _pairs(tok, ids, n, match, pos, side, threshold: float):
@@ -303,16 +303,17 @@ def _classified(prepared: DataFrame, min_words: int, wanted: np.ndarray) -> Data
         for batch, texts in _batches(batches, min_words):
             ids = _class_ids(batch.column("tbl").to_pylist(), texts)
             hit = bits[np.ascontiguousarray(ids[:, 0]).view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
-            norm = pa.array([t if h else None for t, h in zip(texts, hit)], pa.binary())
+            norm = pa.array([zlib.compress(t, 1) if h else None for t, h in zip(texts, hit)], pa.binary())
             yield pa.record_batch([batch.column("tbl"), batch.column("key"), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), norm], names=["tbl", "key", "id", "id2", "norm"])
 
     return prepared.mapInArrow(run, "tbl string, key string, id long, id2 long, norm binary")
 
 
 def jaccard(left: bytes, right: bytes, words: int) -> float:
+    """Of the word shingles of two packed texts."""
     sets = []
     for t in (left, right):
-        w = t.split(b" ")
+        w = zlib.decompress(t).split(b" ")
         sets.append(frozenset(zip(*(w[k:] for k in range(words)))))
     both = len(sets[0] & sets[1])
     union = len(sets[0]) + len(sets[1]) - both
