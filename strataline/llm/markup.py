@@ -47,9 +47,9 @@ PATTERNS: dict[str, list[str]] = {
         r"(?m)^ {0,3}#{1,6}[ \t]+\S",
         r"(?m)^(?=[^\n]*[^\W\d_]{2})[^\n|<=-][^\n]*\n(?:={4,}|-{4,})[ \t]*$",
         r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*\*(?![\w*])",
-        r"(?<![\w_\\])__(?=[^\s_])(?!(?:NO)?TOC__|[A-Z]+__)[^_\n]{1,200}?(?<=[^\s_])__(?![\w_])",
+        r"(?:(?<=[\s(\"“])|^)__(?=[^\W_])(?!(?:NO)?TOC__|[A-Z]+__)[^_\n=]{1,200}?(?<=[\w.,;:!?)])__(?=[\s.,;:!?)]|$)",
         r"(?<![\w*\\])\*(?=[^\W_])[^*\n]{0,120}?(?<=[\w.,;:!?)])\*(?![\w*])",
-        r"(?<![\w_\\/.])_(?=[^\W_])[^_\n]{0,120}?(?<=[^\W_])[.,;:!?]?_(?![\w_])",
+        r"(?:(?<=[\s(\"“])|^)_(?=[^\W\d_])[^_\n=]{0,120}?(?<=[^\W\d_])[.,;:!?]?_(?=[\s.,;:!?)]|$)",
         r"!?\[[^\[\]\n]{1,300}\]\([^()\s]{1,300}(?:\s+\"[^\"\n]*\")?\)",
         r"(?m)^ {0,3}\[[^\[\]\n^]{1,80}\]:[ \t]*\S+",
         r"\[\^\w{1,20}\]",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import leakage, lookalikes, near_duplicates, splitting
+from strataline.llm import leakage, lookalikes, markup, near_duplicates, quality, splitting
 from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,30 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.quotes_in_chunks(read_table(spark, sf_dir, "citations"), _chunks(spark, sf_dir))
+
+
+# ---- 3: markup left in texts -----------------------------------------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.found(_chunks(spark, sf_dir))
+
+
+@query
+def p3_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(_chunks(spark, sf_dir)).select("chunk_id", "clean_text", F.size("blocks").alias("n_blocks"))
+
+
+# ---- 2: text statistics ----------------------------------------------------------------------------------------------
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = _chunks(spark, sf_dir)
+    return quality.kinds(chunks, quality.fit(chunks, chunks)).select("chunk_id", "field_name", "kind")
+
+
+@query
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.document_statistics(_chunks(spark, sf_dir))
