@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import leakage, lookalikes, markup, near_duplicates, pairs, quality, splitting
+from strataline.llm import leakage, lookalikes, markup, near_duplicates, pairs, pii, quality, splitting
 from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = read_table(spark, sf_dir, "answers").select(F.lit("answers").alias("table_name"), F.col("answer_id").alias("record_id"), "question", "text", F.col("abstained").alias("exempt"))
     cases = read_table(spark, sf_dir, "eval_cases").select(F.lit("eval_cases").alias("table_name"), F.col("id").alias("record_id"), "question", F.col("gold_answer").alias("text"), (~F.col("answerable")).alias("exempt"))
     return pairs.defects(answers.unionByName(cases))
+
+
+# ---- 9: personal information -----------------------------------------------------------------------------------------
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(read_table(spark, sf_dir, "documents")).select("doc_id", "pii_type", "char_start")
+
+
+@query
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(read_table(spark, sf_dir, "documents"))
