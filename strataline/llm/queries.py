@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import leakage, lookalikes, markup, near_duplicates, pairs, pii, quality, splitting
+from strataline.llm import leakage, lookalikes, markup, mixing, near_duplicates, pairs, pii, quality, splitting
 from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,20 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redacted(read_table(spark, sf_dir, "documents"))
+
+
+# ---- 8: mixes of sources ---------------------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.select(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p8_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[0].select("mix_name", "doc_id", "source", "uses")
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1]
