@@ -1,10 +1,603 @@
-"""Every registered query of the core, with the SQL it is compared with."""
+"""Every registered query of the core, with the SQL it is compared with.
+
+Queries run over whole tables. Questions come from eval_cases, chunks count once per chunk_id.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strataline.functions import text as T
+from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, signals, verification
+from strataline.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(name: str):
+    return lambda spark, d: read_table(spark, d, name)
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.catalog(read_table(spark, d, "chunks"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), F.col("question").alias("text"), "ticker")
+
+
+TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
+STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+KEYWORDS = f"list_filter(list_distinct({TOKENS}), lambda w: length(w) > 2 AND NOT list_contains({STOPS}, w))"
+SENTENCES = r"list_filter(string_split(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+CAT = "cat AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ord) = 1)"
+Q = "q AS (SELECT id AS query_id, question AS text, ticker FROM eval_cases)"
+INDEX = f"""{CAT},
+tok AS (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM cat),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT chunk_id, len({TOKENS.format('text')}) AS dl FROM cat),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+idf AS (SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, st)"""
+BM25 = f"""{INDEX}, {Q},
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format('text')}) AS term FROM q) GROUP BY ALL),
+bs AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+       FROM qt JOIN tf USING (term) JOIN idf USING (term) JOIN dl USING (chunk_id), st GROUP BY ALL)"""
+RANKED = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank FROM {}"
+BTOP = BM25 + f", b AS (SELECT * FROM ({RANKED.format('bs')}) WHERE rank < 40)"
+HASHED = """{0}t AS (SELECT {1} AS k, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM {2}),
+{0}c AS (SELECT k, ('0x' || right(md5(term), 2))::INT AS idx, sum(CASE WHEN ('0x' || substr(md5(term), 30, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS s FROM {0}t GROUP BY ALL HAVING s <> 0),
+{0}v AS (SELECT k, idx, s / sqrt(sum(s * s) OVER (PARTITION BY k)) AS w FROM {0}c)"""
+DTOP = f""", {HASHED.format('h', 'chunk_id', 'cat')}, {HASHED.format('g', 'query_id', 'q')},
+ds AS (SELECT gv.k AS query_id, hv.k AS chunk_id, round(sum(gv.w * hv.w), 6) AS score FROM gv JOIN hv USING (idx) GROUP BY ALL),
+d AS (SELECT * FROM ({RANKED.format('ds')}) WHERE rank < 40)"""
+BOTH = "WITH " + BTOP + DTOP
+
+
+# ---- tokens and index ------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CAT} SELECT chunk_id, len({TOKENS.format('text')}) AS n_tokens, len(list_distinct({TOKENS.format('text')})) AS n_distinct, greatest(1, length(text) // 4) AS estimate FROM cat")
+def tokenize_counts(spark, d):
+    t = T.tokens(F.col("text"))
+    return catalog(spark, d).select("chunk_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"), T.token_estimate(F.col("text")).alias("estimate"))
+
+
+@query(f"WITH {INDEX} SELECT chunk_id, term, tf FROM tf")
+def term_frequency(spark, d):
+    return retrieval.postings(catalog(spark, d)).select("chunk_id", "term", "tf")
+
+
+@query(f"WITH {INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def doc_length_stats(spark, d):
+    return retrieval.corpus_stats(catalog(spark, d)).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def document_frequency_idf(spark, d):
+    c = catalog(spark, d)
+    return retrieval.term_stats(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _bm25(spark, d, q=None):
+    c = catalog(spark, d).select("chunk_id", "text")
+    return retrieval.bm25_scores(retrieval.postings(c), retrieval.corpus_stats(c), questions(spark, d) if q is None else q)
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")
+def bm25_topk(spark, d):
+    return retrieval.top(_bm25(spark, d), 10, "chunk_id")
+
+
+@query(f"WITH {BM25}, f AS (SELECT bs.* FROM bs JOIN cat USING (chunk_id) JOIN q USING (query_id) WHERE q.ticker IS NULL OR q.ticker = cat.ticker) SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('f')}) WHERE rank < 10")
+def bm25_filtered_topk(spark, d):
+    own = catalog(spark, d).select("chunk_id", F.col("ticker").alias("chunk_ticker"))
+    s = _bm25(spark, d).join(own, "chunk_id").join(questions(spark, d).select("query_id", "ticker"), "query_id")
+    return retrieval.top(s.filter("ticker IS NULL OR ticker = chunk_ticker").select("query_id", "chunk_id", "score"), 10, "chunk_id")
+
+
+@query(f"WITH {BM25.replace('question AS text', chr(34) + 'question' + chr(34) + ' || chr(32) || question AS text')} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 5")
+def bm25_dup_terms(spark, d):
+    q = questions(spark, d).withColumn("text", F.concat_ws(" ", "text", "text"))
+    return retrieval.top(_bm25(spark, d, q), 5, "chunk_id")
+
+
+@query(f"WITH {CAT}, {HASHED.format('h', 'chunk_id', 'cat')} SELECT k AS chunk_id, idx, round(w, 6) AS w FROM hv")
+def hash_embedding(spark, d):
+    return retrieval.hash_embedding(catalog(spark, d)).select("chunk_id", "idx", F.round("w", 6).alias("w"))
+
+
+def _hashed(spark, d):
+    q = retrieval.hash_embedding(questions(spark, d), key="query_id")
+    return retrieval.sparse_scores(retrieval.hash_embedding(catalog(spark, d)), q)
+
+
+@query(f"{BOTH} SELECT query_id, chunk_id, score, rank FROM d WHERE rank < 10")
+def hash_dense_topk(spark, d):
+    return retrieval.top(_hashed(spark, d), 10, "chunk_id")
+
+
+COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
+VTOP = "SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {})) WHERE rank < 10"
+
+
+def _cosine(spark, d):
+    e = read_table(spark, d, "embeddings")
+    return e, retrieval.dense_scores(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+
+
+@query(VTOP.format(COS, ""))
+def cosine_topk(spark, d):
+    return retrieval.top(_cosine(spark, d)[1], 10, "vec_id")
+
+
+@query(VTOP.format(COS, "AND a.label = b.label"))
+def cosine_filtered_topk(spark, d):
+    e, s = _cosine(spark, d)
+    label = e.select("vec_id", "label")
+    same = s.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").filter("label = ql")
+    return retrieval.top(same.select("query_id", "vec_id", "score"), 10, "vec_id")
+
+
+# ---- fusion ----------------------------------------------------------------------------------------------------------
+
+
+def _lists(spark, d):
+    return retrieval.top(_hashed(spark, d), 40, "chunk_id"), retrieval.top(_bm25(spark, d), 40, "chunk_id")
+
+
+FULL = "j AS (SELECT query_id, chunk_id, d.score AS dense, b.score AS bm25, d.rank AS dense_rank, b.rank AS bm25_rank FROM d FULL JOIN b USING (query_id, chunk_id))"
+RRF = "coalesce(0.5 / (60 + dense_rank + 1), 0) + coalesce(0.5 / (60 + bm25_rank + 1), 0)"
+SCALE = "CASE WHEN max({0}) OVER p - min({0}) OVER p < 1e-12 AND {0} IS NOT NULL THEN 1.0 ELSE ({0} - min({0}) OVER p) / nullif(max({0}) OVER p - min({0}) OVER p, 0) END"
+WEIGHTED = f"coalesce(0.4 * ({SCALE.format('dense')}), 0) + coalesce(0.6 * ({SCALE.format('bm25')}), 0)"
+PASS = "CASE WHEN count(dense) OVER p = 0 THEN bm25 WHEN count(bm25) OVER p = 0 THEN dense ELSE {} END"
+
+
+@query(f"{BOTH}, {FULL} SELECT query_id, chunk_id, round({PASS.format(RRF)}, 6) AS fused FROM j WINDOW p AS (PARTITION BY query_id)")
+def rrf_fusion(spark, d):
+    return retrieval.fuse(*_lists(spark, d)).select("query_id", "chunk_id", "fused")
+
+
+@query(f"{BOTH}, {FULL} SELECT query_id, chunk_id, round({PASS.format(WEIGHTED)}, 6) AS fused FROM j WINDOW p AS (PARTITION BY query_id)")
+def weighted_fusion(spark, d):
+    return retrieval.fuse(*_lists(spark, d), method="weighted", dense_weight=0.4, lexical_weight=0.6).select("query_id", "chunk_id", "fused")
+
+
+FUSED = f"f AS (SELECT *, round({PASS.format(RRF)}, 6) AS fused FROM j WINDOW p AS (PARTITION BY query_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, chunk_id) - 1 AS rank FROM f)"
+HITS = f"{BOTH}, {FULL}, {FUSED}, hits AS (SELECT * FROM r WHERE rank < 8)"
+
+
+def _hits(spark, d, top_k=8):
+    return retrieval.hybrid(*_lists(spark, d), top_k=top_k)
+
+
+@query(f"{HITS} SELECT query_id, chunk_id, fused, dense, bm25, rank FROM hits")
+def hybrid_retrieve(spark, d):
+    return _hits(spark, d).select("query_id", "chunk_id", "fused", "dense", "bm25", "rank")
+
+
+@query(f"WITH {BTOP} SELECT query_id, chunk_id, score AS fused FROM b")
+def hybrid_passthrough(spark, d):
+    """The lexical list alone: with an empty dense list its scores pass through."""
+    dense, lexical = _lists(spark, d)
+    return retrieval.fuse(dense.limit(0), lexical).select("query_id", "chunk_id", "fused")
+
+
+@query(f"""{BOTH}, {FULL}, {FUSED}, p AS (SELECT query_id, chunk_id, r.rank AS first_rank, round(len(list_intersect(list_distinct({TOKENS.format('q.text')}), list_distinct({TOKENS.format('cat.text')}))) / greatest(1, len(list_distinct({TOKENS.format('q.text')}))), 6) AS rerank
+FROM r JOIN q USING (query_id) JOIN cat USING (chunk_id) WHERE r.rank < 24)
+SELECT query_id, chunk_id, rerank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, first_rank) - 1 AS rank FROM p) WHERE rank < 8""")
+def reranked(spark, d):
+    return retrieval.rerank(_hits(spark, d, 24), questions(spark, d), catalog(spark, d), 8, 24).select("query_id", "chunk_id", "rerank", "rank")
+
+
+@query("SELECT chunk_id, ord FROM chunks WHERE filing_type = '10-K' AND item_number = '1A'")
+def metadata_filter_scalar(spark, d):
+    return read_table(spark, d, "chunks").filter(retrieval.metadata_filter({"filing_type": "10-K", "item_number": "1A"})).select("chunk_id", "ord")
+
+
+@query("SELECT chunk_id, ord FROM chunks WHERE item_number IN ('3', '7') AND fiscal_year = '2023'")
+def metadata_filter_in(spark, d):
+    return read_table(spark, d, "chunks").filter(retrieval.metadata_filter({"item_number": ["3", "7"], "fiscal_year": 2023})).select("chunk_id", "ord")
+
+
+# ---- provenance, sections, units -------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT DISTINCT source_path, CASE WHEN s[1] = '' THEN 'UNKNOWN' ELSE upper(s[1]) END AS ticker, CASE WHEN m THEN substr(s[2], 1, 10) WHEN len(s) > 1 THEN s[2] ELSE 'UNKNOWN' END AS cik,
+CASE WHEN len(s) > 3 THEN array_to_string(s[4:], '_') WHEN m THEN s[2] ELSE 'UNKNOWN' END AS accession, CASE WHEN len(s) > 2 AND regexp_matches(s[3], '^\d{4}') THEN substr(s[3], 1, 4) WHEN m THEN '20' || substr(s[2], 12, 2) ELSE 'UNKNOWN' END AS fiscal_year
+FROM (SELECT source_path, s, regexp_matches(coalesce(s[2], ''), '^\d{10}-\d{2}-\d{6}$') AS m FROM (SELECT source_path, string_split(regexp_replace(list_last(string_split(source_path, '/')), '(.)\.[^.]*$', '\1'), '_') AS s FROM filings))""")
+def filename_metadata(spark, d):
+    m = chunking.filename_metadata(F.col("source_path"))
+    return read_table(spark, d, "filings").select("source_path", m.alias("m")).select("source_path", "m.ticker", "m.cik", "m.accession", "m.fiscal_year").distinct()
+
+
+@query("SELECT DISTINCT source_path, coalesce(" + ", ".join(f"CASE WHEN list_contains(string_split(upper(source_path), '/'), '{h}') THEN '{h}' END" for h in chunking.FORM_HINTS) + ", '10-K') AS form FROM filings")
+def form_inference(spark, d):
+    return read_table(spark, d, "filings").select("source_path", chunking.inferred_form(F.col("source_path")).alias("form")).distinct()
+
+
+@query(f"""WITH {CAT} SELECT chunk_id, concat_ws(':', ticker, item_number, section_ordinal, substr(sha1(concat_ws('|', ticker, CASE WHEN list_last(string_split(source_path, '/')) = '' THEN accession ELSE list_last(string_split(source_path, '/')) END, fiscal_year, filing_type, item_number, section_ordinal)), 1, 12)) AS made_id FROM cat""")
+def chunk_ids(spark, d):
+    made = chunking.chunk_id(*(F.col(c) for c in ("ticker", "source_path", "accession", "fiscal_year", "filing_type", "item_number", "section_ordinal")))
+    return catalog(spark, d).select("chunk_id", made.alias("made_id"))
+
+
+def _filings(spark, d):
+    f = read_table(spark, d, "filings")
+    rest = [c for c in f.columns if c not in ("accession", "loaded_at")]
+    return f.groupBy("accession").agg(F.max(F.struct("loaded_at", *rest)).alias("r")).select("accession", *[f"r.{c}" for c in rest])
+
+
+HEAD_RE = r"(?im)^\s*ITEM\s+(\d{1,2}[A-C]?)\s*[.:\-—]?\s*([^\n]{0,80})"
+HEADS = rf"""fl AS (SELECT accession, replace(text, chr(1), ' ') AS text FROM filings QUALIFY row_number() OVER (PARTITION BY accession ORDER BY loaded_at DESC) = 1),
+pt AS (SELECT accession, unnest(string_split(regexp_replace(text, '{HEAD_RE}', chr(1) || '\0', 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(text, '{HEAD_RE}', chr(1) || '\0', 'g'), chr(1)), 1) AS n FROM fl),
+hd AS (SELECT accession, n, coalesce(sum(length(part)) OVER (PARTITION BY accession ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, part FROM pt),
+it AS (SELECT accession, start, upper(regexp_extract(part, '{HEAD_RE}', 1)) AS item_number FROM hd WHERE n > 1)"""
+
+
+@query(f"WITH {HEADS} SELECT accession, item_number, start FROM it")
+def section_headings(spark, d):
+    return chunking.headings(_filings(spark, d)).select("accession", "item_number", "start")
+
+
+@query(rf"""WITH {HEADS}, la AS (SELECT accession, item_number, max(start) AS char_start FROM it GROUP BY ALL), nx AS (SELECT *, lead(char_start) OVER (PARTITION BY accession ORDER BY char_start) AS next, min(char_start) OVER (PARTITION BY accession) AS first FROM la),
+x AS (SELECT nx.accession, item_number, char_start, length(regexp_replace(substr(text, char_start + 1, coalesce(next, length(text)) - char_start), '^\s+|\s+$', '', 'g')) AS size FROM nx JOIN fl USING (accession)
+UNION ALL SELECT accession, 'UNKNOWN', 0, length(text) FROM fl WHERE accession NOT IN (SELECT accession FROM it)
+UNION ALL SELECT * FROM (SELECT nx.accession, '0', 0, length(regexp_replace(substr(text, 1, first), '^\s+|\s+$', '', 'g')) AS size FROM nx JOIN fl USING (accession) WHERE char_start = first) WHERE size > 200)
+SELECT * FROM x""")
+def section_split(spark, d):
+    return chunking.sections(_filings(spark, d)).select("accession", "item_number", "char_start", F.length("section_text").alias("size"))
+
+
+@query()
+def chunk_filing(spark, d):
+    return chunking.chunk_filings(_filings(spark, d)).select("chunk_id", "accession", "item_number", "section_title", "char_start", "char_end", "section_ordinal", "text")
+
+
+@query()
+def window_split(spark, d):
+    parts = catalog(spark, d).select("chunk_id", F.col("text").alias("section_text"))
+    return chunking.windows(parts, 600, 80, 60).select("chunk_id", "section_ordinal", "offset", "text")
+
+
+@query(f"WITH {CAT} SELECT chunk_id, len({SENTENCES.format('text')}) AS n, md5(array_to_string({SENTENCES.format('text')}, '|')) AS digest FROM cat")
+def sentence_split(spark, d):
+    s = T.sentences(F.col("text"))
+    return catalog(spark, d).select("chunk_id", F.size(s).alias("n"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query(f"WITH {CAT} SELECT chunk_id, len({KEYWORDS.format('text')}) AS n, array_to_string(list_sort({KEYWORDS.format('text')}), ' ') AS words FROM cat")
+def keyword_sets(spark, d):
+    k = T.keywords(F.col("text"))
+    return catalog(spark, d).select("chunk_id", F.size(k).alias("n"), F.array_join(F.array_sort(k), " ").alias("words"))
+
+
+@query()
+def disclosure_units(spark, d):
+    u = chunking.units(F.col("text"))
+    return catalog(spark, d).select("chunk_id", F.posexplode(u).alias("place", "unit"))
+
+
+@query(r"SELECT DISTINCT accession, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM filings")
+def normalize_text(spark, d):
+    return read_table(spark, d, "filings").select("accession", F.md5(T.normalise(F.col("text"))).alias("digest")).distinct()
+
+
+# ---- comparison and signals ------------------------------------------------------------------------------------------
+
+JAC = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct(list_concat({0}, {1}))) END"
+
+
+@query(f"SELECT DISTINCT answer_id, round({JAC.format('a', 'b')}, 6) AS similarity FROM (SELECT answer_id, list_distinct({TOKENS.format('question')}) AS a, list_distinct({TOKENS.format(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) AS b FROM answers)")
+def jaccard_pairs(spark, d):
+    a = read_table(spark, d, "answers")
+    sim = T.jaccard(T.token_set(F.col("question")), T.token_set(F.coalesce("text", F.lit(""))))
+    return a.select("answer_id", F.round(sim, 6).alias("similarity")).distinct()
+
+
+@query()
+def section_diff(spark, d):
+    return comparison.compare_years(catalog(spark, d), forms=["10-K"])
+
+
+@query("SELECT ticker, count(*) AS sections_compared, sum(len(coalesce(added, []))) AS added, sum(len(coalesce(removed, []))) AS removed, sum(len(coalesce(changed, []))) AS changed FROM section_diffs GROUP BY ticker")
+def diff_summary(spark, d):
+    return comparison.summary(read_table(spark, d, "section_diffs"), "ticker")
+
+
+LEX = ", ".join("struct_pack(k := '" + k + "', p := coalesce(" + ", ".join(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in ps) + "))" for k, ps in signals.LEXICON.items())
+SIG = f"{CAT}, sg AS (SELECT chunk_id, ticker, text, s.k AS signal_type, s.p AS phrase FROM (SELECT *, unnest([{LEX}]) AS s FROM (SELECT *, lower(text) AS t FROM cat)) WHERE s.p IS NOT NULL)"
+
+
+@query(f"WITH {SIG} SELECT chunk_id, signal_type, phrase, length(substr(text, greatest(1, instr(lower(text), phrase) - 80), instr(lower(text), phrase) + length(phrase) + 80 - greatest(1, instr(lower(text), phrase) - 80))) AS width FROM sg")
+def risk_signals(spark, d):
+    c = catalog(spark, d)
+    at = F.instr(F.lower("text"), F.col("phrase"))
+    start = F.greatest(F.lit(1), at - 80)
+    s = signals.detect(c).drop("snippet").join(c.select("chunk_id", "text"), "chunk_id")
+    return s.select("chunk_id", "signal_type", "phrase", F.length(F.substring(F.col("text"), start, at + F.length("phrase") + 80 - start)).alias("width"))
+
+
+@query()
+def signal_snippets(spark, d):
+    return signals.detect(catalog(spark, d))
+
+
+@query(f"""WITH {SIG}, s AS (SELECT ticker, count(*) AS signals, bool_or(signal_type = 'going_concern') AS going_concern FROM sg GROUP BY ticker),
+e AS (SELECT ticker, sum(CASE WHEN item_number = '1A' THEN len(added) ELSE 0 END) AS new_risk_factors, sum(CASE WHEN item_number = '1A' THEN len(removed) ELSE 0 END) AS removed_risk_factors, sum(CASE WHEN item_number = '1A' THEN len(changed) ELSE 0 END) AS changed_risk_factors, sum(CASE WHEN item_number = '3' THEN len(added) ELSE 0 END) AS new_litigation FROM section_diffs GROUP BY ticker)
+SELECT ticker, coalesce(new_risk_factors, 0) AS new_risk_factors, coalesce(removed_risk_factors, 0) AS removed_risk_factors, coalesce(changed_risk_factors, 0) AS changed_risk_factors, coalesce(new_litigation, 0) AS new_litigation, coalesce(signals, 0) AS signals, coalesce(going_concern, false) AS going_concern FROM e FULL JOIN s USING (ticker)""")
+def monitor_summary(spark, d):
+    c = catalog(spark, d)
+    s = signals.detect(c).join(c.select("chunk_id", "ticker"), "chunk_id")
+    return signals.monitor(read_table(spark, d, "section_diffs"), s)
+
+
+# ---- figures, quotes, claims -----------------------------------------------------------------------------------------
+
+FIG = r"\$?\s?(\d[\d,]*(?:\.\d+)?)\s*(%|percentage points?|percent|basis points?|bps|trillion|billion|million|thousand|bn|mm|mn)?"
+UNITS = "CASE u " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in T.SCALES.items()) + " ELSE 1 END"
+PCT = "u IN (" + ", ".join(f"'{p}'" for p in T.PERCENT) + ")"
+
+
+@query(f"SELECT answer_id, place - 1 AS place, try_cast(replace(n, ',', '') AS DOUBLE) * CASE WHEN {PCT} THEN 1 ELSE {UNITS} END AS value, {PCT} AS is_percent FROM (SELECT answer_id, unnest(ns) AS n, unnest(us) AS u, generate_subscripts(ns, 1) AS place FROM (SELECT DISTINCT answer_id, regexp_extract_all(text, '(?i){FIG}', 1) AS ns, list_transform(regexp_extract_all(text, '(?i){FIG}', 2), lambda x: lower(x)) AS us FROM answers WHERE text IS NOT NULL))")
+def extract_figures(spark, d):
+    a = read_table(spark, d, "answers").select("answer_id", "text").distinct()
+    return a.select("answer_id", F.posexplode(T.figures(F.col("text"))).alias("place", "f")).select("answer_id", "place", "f.value", "f.is_percent")
+
+
+def _evidence(spark, d):
+    c = catalog(spark, d).select("chunk_id", "text")
+    return read_table(spark, d, "citations").select("answer_id", "n", "chunk_id").distinct().join(c, "chunk_id")
+
+
+def _answers(spark, d):
+    return read_table(spark, d, "answers").select("answer_id", "text").distinct()
+
+
+@query()
+def figures_supported(spark, d):
+    j = _evidence(spark, d).withColumnRenamed("text", "evidence").join(_answers(spark, d), "answer_id")
+    return j.select("answer_id", "n", T.figures_supported(F.coalesce("text", F.lit("")), F.col("evidence")).alias("supported"))
+
+
+WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+
+
+@query(rf"WITH {CAT} SELECT citation_id, CASE WHEN {WS.format('quote')} = '' THEN false ELSE contains({WS.format('cat.text')}, {WS.format('quote')}) END AS in_chunk FROM citations JOIN cat USING (chunk_id) WHERE regexp_matches(quote || cat.text, '^[\x00-\x7F]*$')")
+def quote_in_source(spark, d):
+    """Plain ASCII pairs only: white space beyond ASCII means another thing in the SQL it is compared with."""
+    j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d).select("chunk_id", "text"), "chunk_id")
+    return j.filter(F.concat("quote", "text").rlike(r"^[\x00-\x7F]*$")).select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
+
+
+CLAIMS = f"""ans AS (SELECT DISTINCT answer_id, coalesce(text, '') AS text FROM answers),
+sn AS (SELECT answer_id, unnest(s) AS claim, generate_subscripts(s, 1) - 1 AS claim_no FROM (SELECT answer_id, {SENTENCES.format("regexp_replace(text, '[[][0-9]+[]]', '', 'g')")} AS s FROM ans)),
+cl AS (SELECT * FROM (SELECT *, {KEYWORDS.format('claim')} AS words FROM sn) WHERE len(words) > 0),
+ev AS (SELECT DISTINCT answer_id, n, chunk_id, {KEYWORDS.format('cat.text')} AS own FROM citations JOIN cat USING (chunk_id)),
+jj AS (SELECT cl.answer_id, claim_no, n, chunk_id, coalesce(len(list_intersect(words, own)) / len(words), 0) AS overlap FROM cl LEFT JOIN ev USING (answer_id)),
+bj AS (SELECT answer_id, claim_no, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.6 THEN 'SUPPORTED' WHEN overlap >= 0.3 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS verdict, n, chunk_id FROM jj QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY jj.overlap DESC, n, chunk_id DESC) = 1)"""
+
+
+def _judged(spark, d):
+    return verification.judge(_answers(spark, d), _evidence(spark, d))
+
+
+@query(f"WITH {CAT}, {CLAIMS} SELECT answer_id, claim_no, verdict, overlap, CASE WHEN verdict <> 'UNSUPPORTED' THEN n END AS citation FROM bj")
+def lexical_judge(spark, d):
+    return _judged(spark, d).select("answer_id", "claim_no", "verdict", "overlap", "citation")
+
+
+@query(f"WITH {CAT}, {CLAIMS} SELECT answer_id, count(*) AS total, count_if(verdict = 'SUPPORTED') AS supported, count_if(verdict = 'CONTRADICTED') AS contradicted, round((count_if(verdict = 'SUPPORTED') + 0.5 * count_if(verdict = 'PARTIAL')) / count(*), 6) AS groundedness FROM bj GROUP BY answer_id")
+def groundedness(spark, d):
+    return verification.report(_judged(spark, d))
+
+
+@query()
+def verified_claims(spark, d):
+    return verification.checked(_judged(spark, d)).select("answer_id", "claim_no", "verdict", "citation", "quote", "valid_quote", "numeric_ok")
+
+
+@query(f"WITH {CAT}, {CLAIMS} SELECT answer_id, chunk_id, verdict FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, chunk_id ORDER BY CASE verdict WHEN 'SUPPORTED' THEN 0 ELSE 1 END, claim_no) AS r FROM bj WHERE verdict <> 'UNSUPPORTED') WHERE r = 1")
+def best_verdict_per_chunk(spark, d):
+    return verification.best_verdicts(_judged(spark, d)).select("answer_id", "chunk_id", "verdict")
+
+
+@query("SELECT verdict, count(*) AS n, round(avg(score), 6) AS mean_score FROM citations GROUP BY verdict")
+def citation_verdicts(spark, d):
+    return read_table(spark, d, "citations").groupBy("verdict").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+# ---- answers ---------------------------------------------------------------------------------------------------------
+
+
+def _context(spark, d):
+    return generation.context_of(_hits(spark, d), catalog(spark, d))
+
+
+CTX = f"{HITS}, ctx AS (SELECT hits.*, hits.rank + 1 AS n, cat.text, cat.item_number FROM hits JOIN cat USING (chunk_id) WHERE hits.rank < 6)"
+EXTRACT = f"""{CTX}, sx AS (SELECT query_id, n, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS place, wanted FROM (SELECT ctx.query_id, n, {SENTENCES.format('ctx.text')} AS s, {KEYWORDS.format('q.text')} AS wanted FROM ctx JOIN q USING (query_id))),
+sw AS (SELECT *, {KEYWORDS.format('sentence')} AS words FROM sx),
+sc AS (SELECT *, round(len(list_intersect(words, wanted)) / (1 + abs(len(words) - 18) / 40), 6) AS score FROM sw WHERE len(list_intersect(words, wanted)) > 0),
+so AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY query_id, lower(sentence) ORDER BY score DESC, n, place) = 1),
+sr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, place) AS r FROM so QUALIFY r <= 4),
+an AS (SELECT query_id, string_agg(sentence, ' ' ORDER BY r) || ' ' || array_to_string(list_transform(list_sort(list_distinct(list(n))), lambda x: '[' || x || ']'), ' ') AS answer FROM sr GROUP BY query_id),
+aa AS (SELECT q.query_id, coalesce(answer, 'INSUFFICIENT_EVIDENCE') AS answer FROM q LEFT JOIN an USING (query_id))"""
+
+
+@query(f"{EXTRACT} SELECT * FROM aa")
+def extractive_answer(spark, d):
+    return generation.extract(questions(spark, d), _context(spark, d))
+
+
+EVID = "evi AS (SELECT query_id, round(greatest(0, max(e)), 6) AS evidence_score, round(avg(both_), 6) AS agreement, count(*) AS n_context FROM (SELECT query_id, greatest(coalesce(dense, 0), CASE WHEN max(coalesce(bm25, 0)) OVER (PARTITION BY query_id) > 0 THEN coalesce(bm25, 0) / max(coalesce(bm25, 0)) OVER (PARTITION BY query_id) ELSE 0 END) AS e, CASE WHEN coalesce(dense, 0) > 0 AND coalesce(bm25, 0) > 0 THEN 1 ELSE 0 END AS both_ FROM ctx) GROUP BY query_id)"
+
+
+@query(f"{CTX}, {EVID} SELECT * FROM evi")
+def evidence_score(spark, d):
+    return generation.evidence(_context(spark, d))
+
+
+@query()
+def answer_citations(spark, d):
+    c = _context(spark, d)
+    return generation.citations(generation.extract(questions(spark, d), c), c)
+
+
+@query()
+def grounded_answers(spark, d):
+    return generation.answer(questions(spark, d), _context(spark, d))
+
+
+@query()
+def prompt_contexts(spark, d):
+    return generation.format_context(_context(spark, d))
+
+
+@query(r"SELECT answer_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[(\d{1,9})\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 2))) AS n FROM (SELECT DISTINCT answer_id, text FROM answers)")
+def cited_indices(spark, d):
+    return _answers(spark, d).select("answer_id", F.explode(verification.cited_numbers(F.col("text"), F.lit(2))).alias("n"))
+
+
+@query()
+def extraction_instances(spark, d):
+    return extraction.extract(_hits(spark, d), catalog(spark, d), "risk_factors").select("query_id", F.size("data.risk_factors").alias("n"), "valid", "error")
+
+
+@query("SELECT event_id, json_valid(props) AS valid FROM events")
+def json_tolerant_parse(spark, d):
+    body = extraction.json_body(F.col("props"))
+    return read_table(spark, d, "events").select("event_id", F.from_json(body, "map<string, string>").isNotNull().alias("valid"))
+
+
+# ---- evaluation ------------------------------------------------------------------------------------------------------
+
+
+def _retrieved(spark, d):
+    h = _hits(spark, d).join(catalog(spark, d).select("chunk_id", "item_number"), "chunk_id")
+    r = evaluation.distinct_in_rank_order(h, "item_number")
+    cases = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), "relevant_items", "answerable", "question", "gold_answer")
+    none = F.array().cast("array<string>")
+    return cases.join(r, "query_id", "left").withColumns({"values": F.coalesce("values", none), "relevant_items": F.coalesce("relevant_items", none)})
+
+
+ITEMS = f"{HITS}, ri AS (SELECT query_id, list(item_number ORDER BY r) AS got FROM (SELECT query_id, item_number, min(hits.rank) AS r FROM hits JOIN cat USING (chunk_id) GROUP BY ALL) GROUP BY query_id), ca AS (SELECT id AS query_id, coalesce(got, []) AS got, list_distinct(coalesce(relevant_items, [])) AS gold FROM eval_cases LEFT JOIN ri ON id = query_id)"
+RECALL = "CASE WHEN len(gold) = 0 THEN 0 ELSE len(list_intersect(got[:8], gold)) / len(gold) END"
+RR = "coalesce(1 / nullif(list_position(list_transform(got, lambda x: list_contains(gold, x)), true), 0), 0)"
+
+
+@query(f"{ITEMS} SELECT query_id, round({RECALL}, 6) AS recall, round({RR}, 6) AS rr, round(CASE WHEN len(got) = 0 THEN 0 ELSE len(list_filter(got[:8], lambda x: list_contains(gold, x))) / len(got[:8]) END, 6) AS precision FROM ca")
+def retrieval_metrics(spark, d):
+    v, g = F.col("values"), F.col("relevant_items")
+    return _retrieved(spark, d).select("query_id", F.round(evaluation.recall_at_k(v, g, 8), 6).alias("recall"), F.round(evaluation.reciprocal_rank(v, g), 6).alias("rr"), F.round(evaluation.precision_at_k(v, g, 8), 6).alias("precision"))
+
+
+@query(f"{ITEMS}, ex AS (SELECT query_id, gold, unnest(got[:8]) AS x, generate_subscripts(got[:8], 1) AS i FROM ca), hh AS (SELECT *, list_contains(gold, x)::INT AS h FROM ex), cm AS (SELECT *, sum(h) OVER (PARTITION BY query_id ORDER BY i) AS c FROM hh), sm AS (SELECT query_id, sum(h * c / i) AS s FROM cm GROUP BY query_id) SELECT ca.query_id, round(CASE WHEN len(gold) = 0 THEN 0 ELSE coalesce(s, 0) / least(len(gold), 8) END, 6) AS ap FROM ca LEFT JOIN sm USING (query_id)")
+def average_precision(spark, d):
+    return _retrieved(spark, d).select("query_id", F.round(evaluation.average_precision(F.col("values"), F.col("relevant_items"), 8), 6).alias("ap"))
+
+
+WWORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda w: w <> ''))"
+
+
+@query(rf"{HITS}, ps AS (SELECT id AS query_id, unnest(relevant_passages) AS p FROM eval_cases), z AS (SELECT ps.query_id, chunk_id, max(len(list_intersect({WWORDS.format('p')}, {WWORDS.format('cat.text')})) / greatest(1, len({WWORDS.format('p')}))) AS v FROM ps JOIN hits USING (query_id) JOIN cat USING (chunk_id) GROUP BY ALL) SELECT query_id, chunk_id, round(v, 6) AS best_recall, v >= 0.5 AS hit FROM z")
+def passage_hits(spark, d):
+    p = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), F.explode("relevant_passages").alias("p"))
+    j = _hits(spark, d).join(p, "query_id").join(catalog(spark, d).select("chunk_id", "text"), "chunk_id")
+    g = j.groupBy("query_id", "chunk_id").agg(F.max(evaluation.token_recall(F.col("text"), F.col("p"))).alias("v"))
+    return g.select("query_id", "chunk_id", F.round("v", 6).alias("best_recall"), (F.col("v") >= 0.5).alias("hit"))
+
+
+@query("SELECT model, confidence AS p95 FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence) - 1 AS i, round_even(0.95 * (count(*) OVER (PARTITION BY model) - 1), 0) AS at FROM answers WHERE confidence IS NOT NULL) WHERE i = at")
+def nearest_rank_p95(spark, d):
+    return evaluation.nearest_rank(read_table(spark, d, "answers").select("model", "confidence").filter("confidence IS NOT NULL"), "confidence", 95, "model").select("model", F.col("confidence").alias("p95"))
+
+
+def _case_rows(spark, d):
+    a = generation.answer(questions(spark, d), _context(spark, d)).select("query_id", "abstained", F.col("answer").alias("text"))
+    c = _context(spark, d)
+    told = verification.judge(a.select(F.col("query_id").alias("answer_id"), "text"), c.select(F.col("query_id").alias("answer_id"), "n", "chunk_id", "text"))
+    g = verification.report(told).select(F.col("answer_id").alias("query_id"), "groundedness")
+    r = _retrieved(spark, d)
+    v, w = F.col("values"), F.col("relevant_items")
+    m = r.select("query_id", "answerable", evaluation.recall_at_k(v, w, 8).alias("recall"), evaluation.reciprocal_rank(v, w).alias("rr"), evaluation.average_precision(v, w, 8).alias("ap"), evaluation.precision_at_k(v, w, 8).alias("citations_ok"))
+    return m.join(a.select("query_id", "abstained"), "query_id").join(g, "query_id", "left").na.fill(0.0, ["groundedness"])
+
+
+@query()
+def eval_rollup(spark, d):
+    return evaluation.roll_up(_case_rows(spark, d))
+
+
+@query("WITH m AS (SELECT model AS metric, avg(confidence) AS value FROM answers WHERE asked_at >= TIMESTAMP '2025-09-01' GROUP BY model), b AS (SELECT model AS metric, avg(confidence) AS value FROM answers WHERE asked_at < TIMESTAMP '2025-09-01' GROUP BY model) SELECT metric, round(m.value - b.value, 6) AS delta, CASE WHEN b.value IS NULL THEN 'added' WHEN m.value IS NULL THEN 'removed' WHEN round(m.value - b.value, 6) > 0.01 THEN 'regression' ELSE 'ok' END AS status FROM m FULL JOIN b USING (metric)")
+def snapshot_diff(spark, d):
+    a = read_table(spark, d, "answers").withColumn("late", F.col("asked_at") >= F.lit("2025-09-01").cast("timestamp"))
+    side = lambda late: a.filter(F.col("late") == late).groupBy(F.col("model").alias("metric")).agg(F.avg("confidence").alias("value"))
+    return evaluation.snapshot_diff(side(True), side(False)).select("metric", "delta", "status")
+
+
+def _gold(spark, d):
+    """The lexical best of each question stands in for a judged chunk."""
+    return retrieval.top(_bm25(spark, d), 3, "chunk_id").select("query_id", "chunk_id")
+
+
+@query()
+def weight_sweep(spark, d):
+    dense, lexical = _lists(spark, d)
+    return evaluation.weight_sweep(dense, lexical, _gold(spark, d))
+
+
+@query(f"WITH {SIG}, n AS (SELECT ticker, list_distinct(list(signal_type)) AS s FROM sg GROUP BY ticker) SELECT ticker AS case_id, round(len(list_intersect(s, ['liquidity', 'litigation', 'impairment'])) / 3, 6) AS signal_recall FROM n")
+def enforcement_rollup(spark, d):
+    c = catalog(spark, d)
+    s = signals.detect(c).join(c.select("chunk_id", F.col("ticker").alias("case_id")), "chunk_id").select("case_id", "signal_type").distinct()
+    want = F.array(*[F.lit(x) for x in ("liquidity", "litigation", "impairment")])
+    cases = s.select("case_id").distinct().withColumns({"expected_signals": want, "expected_items": F.array(F.lit("1A"))})
+    return evaluation.enforcement(cases, s, c.select(F.col("ticker").alias("case_id"), "item_number").distinct()).select("case_id", "signal_recall")
+
+
+# ---- ingest ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT accession, count(*) AS deliveries, min(md5(text)) AS digest FROM filings GROUP BY accession")
+def upsert_latest(spark, d):
+    f = read_table(spark, d, "filings")
+    return f.groupBy("accession").agg(F.count("*").alias("deliveries"), F.min(F.md5("text")).alias("digest"))
+
+
+@query("SELECT DISTINCT accession FROM filings WHERE accession NOT IN (SELECT accession FROM chunks)")
+def resume_anti_join(spark, d):
+    return read_table(spark, d, "filings").select("accession").distinct().join(read_table(spark, d, "chunks").select("accession"), "accession", "left_anti")
+
+
+@query("SELECT filing_type, fiscal_year, count(DISTINCT accession) AS n FROM filings GROUP BY ALL")
+def checkpoint_counts(spark, d):
+    return read_table(spark, d, "filings").groupBy("filing_type", "fiscal_year").agg(F.countDistinct("accession").alias("n"))
+
+
+@query("WITH w AS (SELECT t.ticker, f.filing_type, y.y::VARCHAR AS fiscal_year FROM (SELECT DISTINCT ticker FROM filings) t, (SELECT DISTINCT filing_type FROM filings) f, (SELECT unnest(range(2019, 2026)) AS y) y) SELECT * FROM w WHERE (ticker, filing_type, fiscal_year) NOT IN (SELECT (ticker, filing_type, fiscal_year) FROM filings)")
+def worklist_open(spark, d):
+    """Ticker, form and year still to be fetched: the work list without what is there."""
+    f = read_table(spark, d, "filings")
+    years = spark.range(2019, 2026).select(F.col("id").cast("string").alias("fiscal_year"))
+    work = f.select("ticker").distinct().crossJoin(F.broadcast(f.select("filing_type").distinct())).crossJoin(F.broadcast(years))
+    return work.join(f.select("ticker", "filing_type", "fiscal_year"), ["ticker", "filing_type", "fiscal_year"], "left_anti").select("ticker", "filing_type", "fiscal_year")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def audit_windows(spark, d):
+    e = read_table(spark, d, "events")
+    return e.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
