@@ -353,7 +353,7 @@ UNITS = "CASE u " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in T.SCALES.items
 PCT = "u IN (" + ", ".join(f"'{p}'" for p in T.PERCENT) + ")"
 
 
-@query(f"SELECT answer_id, place - 1 AS place, try_cast(replace(n, ',', '') AS DOUBLE) * CASE WHEN {PCT} THEN 1 ELSE {UNITS} END AS value, {PCT} AS is_percent FROM (SELECT answer_id, unnest(ns) AS n, unnest(us) AS u, generate_subscripts(ns, 1) AS place FROM (SELECT DISTINCT answer_id, regexp_extract_all(text, '(?i){FIG}', 1) AS ns, list_transform(regexp_extract_all(text, '(?i){FIG}', 2), lambda x: lower(x)) AS us FROM answers WHERE text IS NOT NULL))")
+@query(f"SELECT answer_id, place - 1 AS place, try_cast(replace(n, ',', '') AS DOUBLE) * CASE WHEN {PCT} THEN 1 ELSE {UNITS} END AS value, {PCT} AS is_percent FROM (SELECT answer_id, unnest(ns) AS n, unnest(us) AS u, generate_subscripts(ns, 1) AS place FROM (SELECT DISTINCT answer_id, regexp_extract_all(text, '(?i){FIG}', 1) AS ns, list_transform(regexp_extract_all(text, '(?i){FIG}', 2), lambda x: lower(coalesce(x, ''))) AS us FROM answers WHERE text IS NOT NULL))")
 def extract_figures(spark, d):
     a = read_table(spark, d, "answers").select("answer_id", "text").distinct()
     return a.select("answer_id", F.posexplode(T.figures(F.col("text"))).alias("place", "f")).select("answer_id", "place", "f.value", "f.is_percent")
@@ -521,7 +521,7 @@ def passage_hits(spark, d):
     return g.select("query_id", "chunk_id", F.round("v", 6).alias("best_recall"), (F.col("v") >= 0.5).alias("hit"))
 
 
-@query("SELECT model, confidence AS p95 FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence) - 1 AS i, round_even(0.95 * (count(*) OVER (PARTITION BY model) - 1), 0) AS at FROM answers WHERE confidence IS NOT NULL) WHERE i = at")
+@query("SELECT model, confidence AS p95 FROM (SELECT model, confidence, row_number() OVER (PARTITION BY model ORDER BY confidence) - 1 AS i, round_even(0.95 * (count(*) OVER (PARTITION BY model) - 1), 0) AS place FROM answers WHERE confidence IS NOT NULL) WHERE i = place")
 def nearest_rank_p95(spark, d):
     return evaluation.nearest_rank(read_table(spark, d, "answers").select("model", "confidence").filter("confidence IS NOT NULL"), "confidence", 95, "model").select("model", F.col("confidence").alias("p95"))
 
