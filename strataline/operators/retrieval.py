@@ -19,9 +19,9 @@ FILTER_KEYS = ("ticker", "company", "cik", "filing_type", "filing_date", "fiscal
 K1, B, RRF_K = 1.5, 0.75, 60
 
 
-def catalog(chunks: DataFrame) -> DataFrame:
-    """One row per chunk_id, the first to arrive; deliveries repeat in ord and loaded_at only."""
-    rest = [c for c in chunks.columns if c not in ("chunk_id", "ord")]
+def catalog(chunks: DataFrame, *columns: str) -> DataFrame:
+    """One row per chunk_id, the first to arrive, with the named columns (all by default); deliveries repeat in ord and loaded_at only."""
+    rest = [c for c in (columns or chunks.columns) if c not in ("chunk_id", "ord")]
     first = chunks.groupBy("chunk_id").agg(F.min(F.struct("ord", *rest)).alias("r"))
     return first.select("chunk_id", "r.*")
 
@@ -29,10 +29,13 @@ def catalog(chunks: DataFrame) -> DataFrame:
 # ---- lexical index ---------------------------------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(term, key, tf, dl), one row for each term of each text; null and blank texts have none."""
+def postings(docs: DataFrame, key: str = "chunk_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, dl), one row for each term of each text; null and blank texts have none. With terms, of those only."""
     t = docs.select(F.col(key), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    return t.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    e = t.select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        e = e.join(terms.select("term").distinct(), "term", "left_semi")
+    return e.groupBy("term", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:

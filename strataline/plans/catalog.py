@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions import text as T
 from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, signals, verification
-from strataline.session import read_table
+from strataline.session import cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,8 +32,8 @@ def table(name: str):
     return lambda spark, d: read_table(spark, d, name)
 
 
-def catalog(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.catalog(read_table(spark, d, "chunks"))
+def catalog(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return retrieval.catalog(read_table(spark, d, "chunks"), *columns)
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -94,8 +94,9 @@ def document_frequency_idf(spark, d):
 
 
 def _bm25(spark, d, q=None):
-    c = catalog(spark, d).select("chunk_id", "text")
-    return retrieval.bm25_scores(retrieval.postings(c), retrieval.corpus_stats(c), questions(spark, d) if q is None else q)
+    q = questions(spark, d) if q is None else q
+    c = catalog(spark, d, "text")
+    return retrieval.bm25_scores(retrieval.postings(c, terms=retrieval.query_terms(q)), retrieval.corpus_stats(c), q)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")
@@ -123,7 +124,7 @@ def hash_embedding(spark, d):
 
 def _hashed(spark, d):
     q = retrieval.hash_embedding(questions(spark, d), key="query_id")
-    return retrieval.sparse_scores(retrieval.hash_embedding(catalog(spark, d)), q)
+    return retrieval.sparse_scores(retrieval.hash_embedding(catalog(spark, d, "text")), q)
 
 
 @query(f"{BOTH} SELECT query_id, chunk_id, score, rank FROM d WHERE rank < 10")
@@ -182,7 +183,8 @@ HITS = f"{BOTH}, {FULL}, {FUSED}, hits AS (SELECT * FROM r WHERE rank < 8)"
 
 
 def _hits(spark, d, top_k=8):
-    return retrieval.hybrid(*_lists(spark, d), top_k=top_k)
+    """Hits of all questions: few rows from a long plan that later steps read several times, so they are written down."""
+    return cut_lineage(retrieval.hybrid(*_lists(spark, d), top_k=top_k))
 
 
 @query(f"{HITS} SELECT query_id, chunk_id, fused, dense, bm25, rank FROM hits")
@@ -360,7 +362,7 @@ def extract_figures(spark, d):
 
 
 def _evidence(spark, d):
-    c = catalog(spark, d).select("chunk_id", "text")
+    c = catalog(spark, d, "text").select("chunk_id", "text")
     return read_table(spark, d, "citations").select("answer_id", "n", "chunk_id").distinct().join(c, "chunk_id")
 
 
@@ -380,7 +382,7 @@ WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 @query(rf"WITH {CAT} SELECT citation_id, CASE WHEN {WS.format('quote')} = '' THEN false ELSE contains({WS.format('cat.text')}, {WS.format('quote')}) END AS in_chunk FROM citations JOIN cat USING (chunk_id) WHERE regexp_matches(quote || cat.text, '^[\x00-\x7F]*$')")
 def quote_in_source(spark, d):
     """Plain ASCII pairs only: white space beyond ASCII means another thing in the SQL it is compared with."""
-    j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d).select("chunk_id", "text"), "chunk_id")
+    j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d, "text").select("chunk_id", "text"), "chunk_id")
     return j.filter(F.concat("quote", "text").rlike(r"^[\x00-\x7F]*$")).select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
 
 
@@ -425,7 +427,7 @@ def citation_verdicts(spark, d):
 
 
 def _context(spark, d):
-    return generation.context_of(_hits(spark, d), catalog(spark, d))
+    return cut_lineage(generation.context_of(_hits(spark, d), catalog(spark, d)))
 
 
 CTX = f"{HITS}, ctx AS (SELECT hits.*, hits.rank + 1 AS n, cat.text, cat.item_number FROM hits JOIN cat USING (chunk_id) WHERE hits.rank < 6)"
@@ -487,7 +489,7 @@ def json_tolerant_parse(spark, d):
 
 
 def _retrieved(spark, d):
-    h = _hits(spark, d).join(catalog(spark, d).select("chunk_id", "item_number"), "chunk_id")
+    h = _hits(spark, d).join(catalog(spark, d, "item_number").select("chunk_id", "item_number"), "chunk_id")
     r = evaluation.distinct_in_rank_order(h, "item_number")
     cases = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), "relevant_items", "answerable", "question", "gold_answer")
     none = F.array().cast("array<string>")
@@ -516,7 +518,7 @@ WWORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), la
 @query(rf"{HITS}, ps AS (SELECT id AS query_id, unnest(relevant_passages) AS p FROM eval_cases), z AS (SELECT ps.query_id, chunk_id, max(len(list_intersect({WWORDS.format('p')}, {WWORDS.format('cat.text')})) / greatest(1, len({WWORDS.format('p')}))) AS v FROM ps JOIN hits USING (query_id) JOIN cat USING (chunk_id) GROUP BY ALL) SELECT query_id, chunk_id, round(v, 6) AS best_recall, v >= 0.5 AS hit FROM z")
 def passage_hits(spark, d):
     p = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), F.explode("relevant_passages").alias("p"))
-    j = _hits(spark, d).join(p, "query_id").join(catalog(spark, d).select("chunk_id", "text"), "chunk_id")
+    j = _hits(spark, d).join(p, "query_id").join(catalog(spark, d, "text").select("chunk_id", "text"), "chunk_id")
     g = j.groupBy("query_id", "chunk_id").agg(F.max(evaluation.token_recall(F.col("text"), F.col("p"))).alias("v"))
     return g.select("query_id", "chunk_id", F.round("v", 6).alias("best_recall"), (F.col("v") >= 0.5).alias("hit"))
 
@@ -527,8 +529,8 @@ def nearest_rank_p95(spark, d):
 
 
 def _case_rows(spark, d):
-    a = generation.answer(questions(spark, d), _context(spark, d)).select("query_id", "abstained", F.col("answer").alias("text"))
     c = _context(spark, d)
+    a = cut_lineage(generation.answer(questions(spark, d), c).select("query_id", "abstained", F.col("answer").alias("text")))
     told = verification.judge(a.select(F.col("query_id").alias("answer_id"), "text"), c.select(F.col("query_id").alias("answer_id"), "n", "chunk_id", "text"))
     g = verification.report(told).select(F.col("answer_id").alias("query_id"), "groundedness")
     r = _retrieved(spark, d)
