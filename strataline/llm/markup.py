@@ -113,7 +113,8 @@ def classify(blocks: list[str], bare: list[str]) -> list[str]:
     for block, rest in zip(blocks, bare):
         tokens = _TOKEN.findall(rest)
         solid = sum(map(len, tokens))
-        symbols = len(_SYMBOLS.findall(rest)) / solid if solid else 0.0
+        signs = rest.replace("|", " ").replace("!", " ") if rest.lstrip()[:1] in ("|", "!") else rest  # a row of a table
+        symbols = len(_SYMBOLS.findall(signs)) / solid if solid else 0.0
         words = [t.strip(".,;:!?()\"'").lower() for t in tokens]
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = sum(len(m[0]) for m in _LINK.finditer(block)) / max(1, len(block))

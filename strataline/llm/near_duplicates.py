@@ -39,6 +39,11 @@ def _class_ids(tables: list[str | None], texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
 
+def _seeds(tables: list[str | None]) -> np.ndarray:
+    of = {t: xxhash.xxh3_64_intdigest((t or "").encode()) for t in set(tables)}
+    return np.array([of[t] for t in tables], np.uint64)
+
+
 def _batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The rows of enough words, and their normalised texts."""
     for batch in batches:
@@ -79,9 +84,10 @@ def sketch(prepared: DataFrame, words: int, min_words: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for _, texts in _batches(batches, min_words):
+        for batch, texts in _batches(batches, min_words):
+            seeds = _seeds(batch.column("tbl").to_pylist())
             for lo, hi in slices(texts):
-                _, tok = shingle_tokens(texts[lo:hi], words)
+                _, tok = shingle_tokens(texts[lo:hi], words, seeds[lo:hi])
                 np.add.at(total, (tok >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
             part = np.minimum(total, 255).astype(np.uint8)
@@ -118,8 +124,8 @@ def choose_prefixes(doc: np.ndarray, est: np.ndarray, n: np.ndarray, threshold:
     return np.minimum(best, np.maximum(1, n - base))
 
 
-def _postings(ids: np.ndarray, texts: list[bytes], words: int, threshold: float, order: np.ndarray, decode: np.ndarray):
-    doc, tok = shingle_tokens(texts, words)
+def _postings(ids: np.ndarray, texts: list[bytes], words: int, threshold: float, order: np.ndarray, decode: np.ndarray, seeds: np.ndarray | None = None):
+    doc, tok = shingle_tokens(texts, words, seeds)
     if not len(doc):
         return None
     code = order[(tok >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
@@ -181,9 +187,10 @@ def postings(prepared: DataFrame, words: int, threshold: float, min_words: int,
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for batch, texts in _batches(batches, min_words):
-            all_ids = np.ascontiguousarray(_class_ids(batch.column("tbl").to_pylist(), texts)[:, 0])
+            tables = batch.column("tbl").to_pylist()
+            all_ids, seeds = np.ascontiguousarray(_class_ids(tables, texts)[:, 0]), _seeds(tables)
             for lo, hi in slices(texts):
-                got = _postings(all_ids[lo:hi], texts[lo:hi], words, threshold, shared.value, decode)
+                got = _postings(all_ids[lo:hi], texts[lo:hi], words, threshold, shared.value, decode, seeds[lo:hi])
                 if got is not None:
                     held.append((all_ids[lo:hi], got))
                     size += len(got[0])
@@ -353,7 +360,7 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     right = texts.select(F.col("id").alias("b"), F.col("rep").alias("rep_r"), F.col("norm").alias("norm_r"))
     rep = "struct<tbl: string, key: string>"
     verified = (
-        found.join(left, "a").join(right, "b")
+        found.join(left, "a").join(right, "b").filter("rep_l.tbl <=> rep_r.tbl")
         .select(F.least("rep_l", "rep_r").alias("rep_l"), F.greatest("rep_l", "rep_r").alias("rep_r"), "norm_l", "norm_r")
         .mapInArrow(_verify(words, threshold), f"rep_l {rep}, rep_r {rep}, similarity double")
     )

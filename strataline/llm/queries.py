@@ -14,6 +14,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# SQL by brute force over the whole tables. The other queries have none: their results are no relational expressions of
+# the tables (trained models, texts cut by a heap, seeded choices), and their tests hold them against small fixtures.
+ORACLE["p1_found"] = r"""
+WITH rec AS (
+  SELECT DISTINCT 'c' AS tbl, chunk_id AS key, text FROM chunks
+  UNION ALL SELECT 'd', diff_id || ':added:' || (i - 1), x FROM (SELECT diff_id, unnest(added) AS x, generate_subscripts(added, 1) AS i FROM section_diffs)
+  UNION ALL SELECT 'd', diff_id || ':removed:' || (i - 1), x FROM (SELECT diff_id, unnest(removed) AS x, generate_subscripts(removed, 1) AS i FROM section_diffs)
+  UNION ALL SELECT 'd', diff_id || ':old:' || (i - 1), x.old_text FROM (SELECT diff_id, unnest(changed) AS x, generate_subscripts(changed, 1) AS i FROM section_diffs)
+  UNION ALL SELECT 'd', diff_id || ':new:' || (i - 1), x.new_text FROM (SELECT diff_id, unnest(changed) AS x, generate_subscripts(changed, 1) AS i FROM section_diffs)),
+w AS (SELECT tbl, key, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n\f\x0B]+'), lambda x: x <> '') AS ws FROM rec WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT tbl, key, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS sh FROM w WHERE len(ws) >= 30),
+n AS (SELECT tbl, key, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.tbl, a.key AS l, b.key AS r, count(*) AS c FROM s a JOIN s b ON a.tbl = b.tbl AND a.sh = b.sh AND a.key < b.key GROUP BY ALL)
+SELECT l AS left_key, r AS right_key FROM p JOIN n x ON x.tbl = p.tbl AND x.key = l JOIN n y ON y.tbl = p.tbl AND y.key = r WHERE c >= 0.5 * (x.n + y.n - c)"""
+_LONGEST = "list_max(list_transform({}, lambda x: length(x)))"
+_PARAS = r"string_split(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), chr(1))"
+_SENTS = r"string_split(regexp_replace(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+_SPACED = r"regexp_split_to_array(text, '\s+')"
+ORACLE["p6_found"] = f"""SELECT DISTINCT chunk_id, CASE WHEN {_LONGEST.format(_PARAS)} <= 1800 THEN 'paragraph' WHEN {_LONGEST.format(_SENTS)} <= 1800 THEN 'sentence'
+WHEN {_LONGEST.format(_SPACED)} <= 1800 THEN 'word' ELSE 'none' END AS cut_level FROM chunks WHERE length(text) > 1800"""
+_GRAMS = "unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g"
+ORACLE["p7_found"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+c AS (SELECT id, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS ws FROM (SELECT id, unnest(relevant_passages) AS p FROM eval_cases)),
+dg AS (SELECT DISTINCT doc_id, {_GRAMS} FROM d), cg AS (SELECT DISTINCT id, {_GRAMS} FROM c)
+SELECT DISTINCT doc_id, id AS case_id FROM dg JOIN cg USING (g)"""
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
     return f

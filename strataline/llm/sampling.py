@@ -15,4 +15,5 @@ def bounded(df: DataFrame, key: Column, size: int) -> DataFrame:
     rows = df.count()
     kept = spread if rows <= size else int(spread * min(1.0, 1.25 * size / rows)) + 1
     h = F.xxhash64(key)
-    return df.filter(F.pmod(h, F.lit(spread)) < kept).orderBy(h).limit(size)
+    place = F.pmod(h, F.lit(spread))
+    return df.filter(place < kept).orderBy(place, h).limit(size)

@@ -49,8 +49,11 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[ends] - sums[starts]) * _power(_P_INV, len(a))[starts]), counts
 
 
-def shingle_tokens(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, token of TOKEN_BITS bits) of each run of that many words, repeats included."""
+def shingle_tokens(texts: list[bytes], words: int, seeds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the text, token of TOKEN_BITS bits) of each run of that many words, repeats included.
+
+    Texts of different seeds have no token in common.
+    """
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h, counts = word_hashes(texts)
@@ -62,6 +65,8 @@ def shingle_tokens(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarr
     for k in range(1, words):
         s = s * _MUL + h[k : n + k]
     inside = doc[:n] == doc[words - 1 :]
+    if seeds is not None:
+        s = s + seeds[doc[:n]]
     return doc[:n][inside], mix(s[inside]) >> np.uint64(64 - TOKEN_BITS)
 
 
