@@ -10,7 +10,6 @@ from strataline.llm.boosting import Boosted
 from strataline.llm.holdout import SEGMENTS, TITLES
 from strataline.llm.sampling import bounded
 
-SF = "/root/testdata/sf0.001"
 
 # ---- quality ---------------------------------------------------------------------------------------------------------
 
@@ -27,7 +26,7 @@ def test_boosting_learns_and_calibrates():
 
 @pytest.fixture(scope="module")
 def model(spark):
-    c = spark.read.parquet(f"{SF}/chunks.parquet")
+    c = spark.read.parquet("/root/testdata/sf0.01/chunks.parquet")
     return Q.fit(c, c)
 
 
