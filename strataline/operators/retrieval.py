@@ -17,6 +17,8 @@ from strataline.functions import text as T
 
 FILTER_KEYS = ("ticker", "company", "cik", "filing_type", "filing_date", "fiscal_year", "accession", "source_url", "source_path", "section_title", "item_number")
 K1, B, RRF_K = 1.5, 0.75, 60
+#: Values of query vectors that are broadcast at once.
+MAX_QUERY_VALUES = 8_000_000
 
 
 def catalog(chunks: DataFrame, *columns: str) -> DataFrame:
@@ -98,9 +100,16 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score): cosine of each query vector against all vectors, brute force in Arrow blocks.
 
-    queries: query_id, vector. They are split over the tasks by the broadcast of their matrix; its size is checked by
-    the caller (MAX_QUERY_VALUES) and larger query tables go through in blocks of it.
+    queries: query_id, vector. The matrix of the queries goes to every task; a table of more than MAX_QUERY_VALUES
+    values is taken in blocks of about that size, so what is broadcast is bounded.
     """
+    size = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // MAX_QUERY_VALUES))
+    parts = [_dense_block(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), key, vector) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dense_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
@@ -108,18 +117,16 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     rows = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").collect()]
     ids = [r[0] for r in rows]
     q = np.array([r[1] for r in rows], np.float64)
-    if q.size > MAX_QUERY_VALUES:
-        raise ValueError("more query values than a block holds; split the query table")
     shared = spark.sparkContext.broadcast((ids, q))
     kind = vectors.schema[key].dataType.simpleString()
     id_kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(batches):
         ids, q = shared.value
-        qn = np.linalg.norm(q, axis=1)
+        qn = np.linalg.norm(q, axis=1) if len(ids) else None
         for batch in batches:
             v = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(v) or not len(q):
+            if not len(v) or not len(ids):
                 continue
             below = qn[:, None] * np.linalg.norm(v, axis=1)[None, :]
             s = np.divide(q @ v.T, below, out=np.zeros_like(below), where=below > 0)
@@ -130,9 +137,6 @@ def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", ve
     return vectors.select(key, vector).mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
 
 
-MAX_QUERY_VALUES = 8_000_000
-
-
 # ---- feature hashing -------------------------------------------------------------------------------------------------
 
 
