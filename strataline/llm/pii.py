@@ -37,9 +37,9 @@ _TITLE = r"(?:(?<![\w.])(?:%s)\.?[ \t]+)" % "|".join(TITLES)
 _PARTICLE = r"(?:(?:%s)[ \t]+)" % "|".join(PARTICLES)
 _PLAIN = f"(?:{_PARTICLE}{{0,2}}{_N})"
 NAME = re.compile(
-    f"(?P<title>{_TITLE}(?:{_TITLE})?)?(?<![\\w@.'’-])(?P<name>(?:{_N}|[{_UP}]\\.)(?:[ \\t]+(?:[{_UP}]\\.[ \\t]*)+{_PARTICLE}{{0,2}}{_N}|[ \\t]+{_PLAIN}){{1,3}}|(?(title){_PARTICLE}{{0,2}}{_N}|(?!)))(?![\\w@])"
+    f"(?=[{_UP}])(?<!\\w)(?P<title>{_TITLE}(?:{_TITLE})?)?(?<![\\w@.'’-])(?P<name>(?:{_N}|[{_UP}]\\.)(?:[ \\t]+(?:[{_UP}]\\.[ \\t]*)+{_PARTICLE}{{0,2}}{_N}|[ \\t]+{_PLAIN}){{1,3}}|(?(title){_PARTICLE}{{0,2}}{_N}|(?!)))(?![\\w@])"
 )
-LISTED = re.compile(f"(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}(?:[ \\t]{_N})?), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
+LISTED = re.compile(f"(?=[{_UP}a-z])(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}(?:[ \\t]{_N})?), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
 
 EMAIL = re.compile(
     r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+(?<![.-])"
@@ -49,16 +49,51 @@ EMAIL = re.compile(
 NUMBER = re.compile(r"(?<![\w$€£@/])(?<![\w][.,-])(?P<number>(?:[A-Z]{1,2}(?=\d)|(?!ID|NO|NI|IN|TO|AT|OF|ON|BY|NR)[A-Z]{2} (?=\d\d ))?(?:\+|\()?\d(?:[ ().\-–/]{0,2}[0-9]){5,}(?:[ -]?[A-Z](?!\w))?)(?![\w%])")
 # Kinds of streets in the four languages.
 _US = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Terrace|Ter|Square|Sq|Circle|Cir|Close|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Mews|Gardens|Grove|Walk"
-ADDRESS = re.compile(
-    rf"(?<![\w.,$-])(?:(?:Flat|Unit|Apt\.?|Apartment|Suite|Floor|No\.)[ \t]*\d+[A-Za-z]?,[ \t]*)?\d{{1,5}}[A-Za-z]?,?[ \t]+(?:{_N}[ \t]+){{1,3}}(?:{_US}|{_US.upper()})(?:\b\.?)(?:,[ \t]*(?:Apt\.?|Apartment|Unit|Flat|Suite|#)[ \t]*\d+[A-Za-z]?)?(?:(?:,[ \t]|,?\n)(?:(?:North|South|East|West|Upper|Lower|Fort|Port|New|Saint|St\.)[ \t])?{_N}(?:[ \t](?:Bay|Springs|Valley|County|City|Falls|Hills))?(?=[.,;)\s]|$))?"
-    rf"|(?<!\w)(?:{_N}[ \t]){{0,2}}[{_UP}][{_UP}{_LOW}-]*(?:straße|strasse|gasse|weg|allee|platz|ring|damm|ufer|STRASSE|GASSE|WEG|ALLEE|PLATZ)[ \t]+\d{{1,4}}[ \t]?[a-z]?\b(?:,[ \t]*\d{{4,5}}[ \t]+{_N}(?:[ \t](?:Bay|Springs|Valley|County))?)?"
-    rf"|(?<!\w)(?:{_N}[ \t]){{1,2}}(?:Straße|Strasse|Gasse|Weg|Allee|Platz|Ring|Damm|Ufer)[ \t]+\d{{1,4}}[ \t]?[a-z]?\b(?:,[ \t]*\d{{4,5}}[ \t]+{_N}(?:[ \t](?:Bay|Springs|Valley|County))?)?"
-    rf"|(?<!\w)(?:Am|Beim|Im|Zum|Zur|An[ ](?:der|den|dem)|In[ ](?:der|den)|Auf[ ](?:der|dem)|Unter[ ]den|Hinter[ ](?:der|dem))[ \t]+(?:(?:{_N}[ \t]+){{2}}\d{{1,4}}[a-z]?\b|{_N}[ \t]+\d{{1,4}}[a-z]?(?=,[ \t]*\d{{4,5}}[ \t]))(?:,[ \t]*\d{{4,5}}[ \t]+{_N})?"
-    rf"|(?<![\w.,$-])\d{{1,4}}(?:[ \t]?(?:bis|ter|quater|[A-D]))?,?[ \t]+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|square|passage)[ \t]+(?:(?:de[ \t]la|de[ \t]l['’]|du|des|de|d['’])[ \t]*)?(?:{_N}[ \t]?){{1,3}}(?:,[ \t]*\d{{4,5}}[ \t]+{_N})?"
-    rf"|(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía|C/)[ \t]+(?:(?:de[ \t]las|de[ \t]los|de[ \t]la|del|de)[ \t]+)?(?:{_N}[ \t]?){{1,3}},?[ \t]*(?:n\.?º[ \t]*)?\d{{1,4}}(?:,[ \t]*\d{{4,5}}[ \t]+{_N})?"
+_CITY = rf"(?:(?:North|South|East|West|Upper|Lower|Fort|Port|New|Saint|St\.)[ \t])?{_N}(?:[ \t](?:Bay|Springs|Valley|County|City|Falls|Hills))?"
+_POSTAL = rf"(?:,[ \t]*\d{{4,5}}[ \t]+{_N}(?:[ \t](?:Bay|Springs|Valley|County))?)?"
+#: A number before a capital letter, where an English address may start, and the flat that may stand before it.
+_NUMBERED = re.compile(rf"(?<![\w.,$-])\d{{1,5}}[A-Za-z]?,?[ \t]+(?=[{_UP}])")
+_ENGLISH = re.compile(
+    rf"\d{{1,5}}[A-Za-z]?,?[ \t]+(?:{_N}[ \t]+){{1,3}}(?:{_US}|{_US.upper()})(?:\b\.?)(?:,[ \t]*(?:Apt\.?|Apartment|Unit|Flat|Suite|#)[ \t]*\d+[A-Za-z]?)?(?:(?:,[ \t]|,?\n){_CITY}(?=[.,;)\s]|$))?"
 )
-_STREETS = (*(f" {x}" for x in _US.split("|")), *(f" {x}" for x in _US.upper().split("|")), "straße", "strasse", "gasse", "weg", "allee", "platz", "ring ", "damm", "ufer", "Straße", "Strasse", "Gasse", "Weg", "Allee", "Platz", "Ring", "Damm", "Ufer", "Am ", "Beim ", "Im ", "Zum ", "Zur ", "An de", "In de", "Auf de", "Unter den", "Hinter de")
-_STREETS += ("STRASSE", "GASSE", "ALLEE", "PLATZ", " rue ", " avenue ", " boulevard ", " place ", " chemin ", " impasse ", " quai ", " cours ", " route ", " square ", " passage ", "Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Ronda", "Travesía", "C/")
+_FLAT = re.compile(r"(?:Flat|Unit|Apt\.?|Apartment|Suite|Floor|No\.)[ \t]*\d+[A-Za-z]?,[ \t]*$")
+# What a text with a German address holds.
+_GERMAN_MARKS = "straße strasse gasse weg allee platz damm ufer Straße Strasse Gasse Weg Allee Platz Ring Damm Ufer STRASSE GASSE WEG ALLEE PLATZ".split()
+_GERMAN_MARKS = [f"{x} " for x in _GERMAN_MARKS] + ["Am ", "Beim ", "Im ", "Zum ", "Zur ", "An der ", "An den ", "An dem ", "In der ", "In den ", "Auf de", "Unter den ", "Hinter de"]
+_RING = re.compile(r"ring[ \t]+\d")
+# What a text with a Spanish address holds.
+_SPANISH_MARKS = "Calle Avenida Avda Plaza Paseo Camino Ronda Travesía C/".split()
+_GERMAN = re.compile(
+    rf"(?=[{_UP}])(?<!\w)(?:(?:{_N}[ \t]){{0,2}}[{_UP}][{_UP}{_LOW}-]*(?:straße|strasse|gasse|weg|allee|platz|ring|damm|ufer|STRASSE|GASSE|WEG|ALLEE|PLATZ)[ \t]+\d{{1,4}}[ \t]?[a-z]?\b{_POSTAL}"
+    rf"|(?:{_N}[ \t]){{1,2}}(?:Straße|Strasse|Gasse|Weg|Allee|Platz|Ring|Damm|Ufer)[ \t]+\d{{1,4}}[ \t]?[a-z]?\b{_POSTAL}"
+    rf"|(?:Am|Beim|Im|Zum|Zur|An[ ](?:der|den|dem)|In[ ](?:der|den)|Auf[ ](?:der|dem)|Unter[ ]den|Hinter[ ](?:der|dem))[ \t]+(?:(?:{_N}[ \t]+){{2}}\d{{1,4}}[a-z]?\b|{_N}[ \t]+\d{{1,4}}[a-z]?(?=,[ \t]*\d{{4,5}}[ \t])){_POSTAL})"
+)
+_FRENCH = re.compile(
+    rf"(?<![\w.,$-])\d{{1,4}}(?:[ \t]?(?:bis|ter|quater|[A-D]))?,?[ \t]+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|square|passage)[ \t]+(?:(?:de[ \t]la|de[ \t]l['’]|du|des|de|d['’])[ \t]*)?(?:{_N}[ \t]?){{1,3}}{_POSTAL}"
+)
+_SPANISH = re.compile(rf"(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía|C/)[ \t]+(?:(?:de[ \t]las|de[ \t]los|de[ \t]la|del|de)[ \t]+)?(?:{_N}[ \t]?){{1,3}},?[ \t]*(?:n\.?º[ \t]*)?\d{{1,4}}{_POSTAL}")
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Places of the street addresses of a text, in order, none within another."""
+    out = []
+    for m in _NUMBERED.finditer(text):
+        if hit := _ENGLISH.match(text, m.start()):
+            lo = max(0, m.start() - 20)
+            flat = _FLAT.search(text[lo : m.start()])
+            out.append((lo + flat.start() if flat else m.start(), hit.end()))
+    if any(k in text for k in _GERMAN_MARKS) or _RING.search(text):
+        out += [m.span() for m in _GERMAN.finditer(text)]
+    out += [m.span() for m in _FRENCH.finditer(text)]
+    if any(k in text for k in _SPANISH_MARKS):
+        out += [m.span() for m in _SPANISH.finditer(text)]
+    kept: list[tuple[int, int]] = []
+    for lo, hi in sorted(out):
+        if not kept or lo >= kept[-1][1]:
+            kept.append((lo, lo + len(text[lo:hi].rstrip())))
+    return kept
+
+
 _WORD = re.compile(r"\w+(?:['’-]\w+)*\.?|[^\w\s]")
 # Words before numbers of firms, filings, securities and batches.
 NOT_PERSONAL = frozenset("cusip isin accession file commission employer employee-no order invoice batch run lot section rule item page patent registration docket case contract permit serial figure table series version po sku ein".split())
@@ -100,11 +135,10 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
         for m in EMAIL.finditer(text):
             out.append(("email", m.start(), m.end(), "", "", "", True))
             taken.append(m.span())
-    for m in ADDRESS.finditer(text) if any(k in text for k in _STREETS) else ():
-        if free(*m.span()):
-            end = m.end() - len(m[0]) + len(m[0].rstrip())
-            out.append(("address", m.start(), end, "", "", "", True))
-            taken.append((m.start(), end))
+    for lo, hi in addresses(text):
+        if free(lo, hi):
+            out.append(("address", lo, hi, "", "", "", True))
+            taken.append((lo, hi))
     for m in NUMBER.finditer(text):
         lo, hi = m.span("number")
         if free(lo, hi):
