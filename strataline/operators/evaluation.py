@@ -101,18 +101,17 @@ def weight_sweep(dense: DataFrame, lexical: DataFrame, gold: DataFrame, step: fl
     """
     from strataline.operators.retrieval import min_max
 
-    spark = dense.sparkSession
     n = round(1 / step)
-    grid = spark.range(n + 1).select((F.col("id") / n).alias("lexical_weight"))
+    grid = F.explode(F.array(*[F.lit(i / n) for i in range(n + 1)]))
     d = min_max(dense).select("query_id", key, F.col("score").alias("d"))
     b = min_max(lexical).select("query_id", key, F.col("score").alias("b"))
-    both = d.join(b, ["query_id", key], "full").na.fill(0.0, ["d", "b"]).crossJoin(F.broadcast(grid))
+    both = d.join(b, ["query_id", key], "full").na.fill(0.0, ["d", "b"]).withColumn("lexical_weight", grid)
     scored = both.withColumn("score", F.round(F.col("lexical_weight") * F.col("b") + (1 - F.col("lexical_weight")) * F.col("d"), 6))
     w = Window.partitionBy("lexical_weight", "query_id").orderBy(F.col("score").desc(), key)
     head = scored.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
     hits = head.join(gold.select("query_id", key).distinct(), ["query_id", key], "left_semi").groupBy("lexical_weight", "query_id").agg(F.count("*").alias("hits"), F.min("r").alias("first"))
     size = gold.select("query_id", key).distinct().groupBy("query_id").agg(F.count("*").alias("size"))
-    per = size.crossJoin(F.broadcast(grid)).join(hits, ["lexical_weight", "query_id"], "left")
+    per = size.withColumn("lexical_weight", grid).join(hits, ["lexical_weight", "query_id"], "left")
     m = per.groupBy("lexical_weight").agg(F.round(F.avg(F.coalesce(F.col("hits") / F.col("size"), F.lit(0.0))), 6).alias("recall"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
     order = Window.partitionBy().orderBy((F.col("recall") + F.col("mrr")).desc(), "lexical_weight")
     return m.withColumn("best", F.row_number().over(order) == 1)

@@ -48,8 +48,8 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, df, idf); idf = ln(1 + (n - df + 0.5) / (df + 0.5)) is positive for every term."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    n = F.lit(stats.first().n)  # one row
+    return posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def bm25_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame, key: str
     """(query_id, key, score) of every text that shares a term with the query. Statistics are those of the whole corpus, whatever is filtered afterwards."""
     q = query_terms(queries)
     own = posts.join(q.select("term").distinct(), "term", "left_semi")
-    weighted = own.join(term_stats(own, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    norm = F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))
+    weighted = own.join(term_stats(own, stats), "term")
+    norm = F.lit(stats.first().avgdl or 1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / norm))
     scored = weighted.select("term", key, part.alias("part"))
     return scored.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
@@ -82,10 +82,16 @@ def metadata_filter(where: dict[str, object]) -> Column:
 # ---- ranking ---------------------------------------------------------------------------------------------------------
 
 
+def ranked(rows: DataFrame, w, k: int) -> DataFrame:
+    """The first k rows of each window with their rank from 0. The limit is on the row number itself, so that each task keeps k rows a window before anything is shuffled."""
+    first = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return first.withColumn("rank", F.col("rank") - 1)
+
+
 def top(scores: DataFrame, k: int, *ties: str, score: str = "score", by: str = "query_id") -> DataFrame:
     """The k best rows of each query with their rank from 0; ties in the order of the named columns."""
     w = Window.partitionBy(by).orderBy(F.col(score).desc(), *ties)
-    return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return ranked(scores, w, k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -199,7 +205,7 @@ def hybrid(dense: DataFrame, lexical: DataFrame, top_k: int = 8, key: str = "chu
     """Fused results with their rank; ties go to the dense list, then to the lexical one."""
     f = fuse(dense, lexical, key=key, **how)
     w = Window.partitionBy("query_id").orderBy(F.col("fused").desc(), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), key)
-    return f.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < top_k)
+    return ranked(f, w, top_k)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, top_k: int, pool: int, key: str = "chunk_id", scorer=None) -> DataFrame:
@@ -208,4 +214,4 @@ def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, top_k: int, poo
     j = hits.filter(F.col("rank") < pool).join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select(key, F.col("text").alias("t")), key)
     again = j.withColumn("rerank", F.round(score(F.col("q"), F.col("t")), 6)).drop("q", "t").withColumnRenamed("rank", "first_rank")
     w = Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), "first_rank")
-    return again.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < top_k)
+    return ranked(again, w, top_k)

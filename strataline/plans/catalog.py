@@ -96,7 +96,8 @@ def document_frequency_idf(spark, d):
 def _bm25(spark, d, q=None):
     q = questions(spark, d) if q is None else q
     c = catalog(spark, d, "text")
-    return retrieval.bm25_scores(retrieval.postings(c, terms=retrieval.query_terms(q)), retrieval.corpus_stats(c), q)
+    stats = cut_lineage(retrieval.corpus_stats(c))
+    return retrieval.bm25_scores(retrieval.postings(c, terms=retrieval.query_terms(q)), stats, q)
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")
@@ -594,8 +595,9 @@ def checkpoint_counts(spark, d):
 def worklist_open(spark, d):
     """Ticker, form and year still to be fetched: the work list without what is there."""
     f = read_table(spark, d, "filings")
-    years = spark.range(2019, 2026).select(F.col("id").cast("string").alias("fiscal_year"))
-    work = f.select("ticker").distinct().crossJoin(F.broadcast(f.select("filing_type").distinct())).crossJoin(F.broadcast(years))
+    years = F.explode(F.array(*[F.lit(str(y)) for y in range(2019, 2026)]))
+    forms = f.select("filing_type").distinct()  # a handful
+    work = f.select("ticker").distinct().withColumn("fiscal_year", years).crossJoin(F.broadcast(forms))
     return work.join(f.select("ticker", "filing_type", "fiscal_year"), ["ticker", "filing_type", "fiscal_year"], "left_anti").select("ticker", "filing_type", "fiscal_year")
 
 
