@@ -34,12 +34,12 @@ FIRM_WORDS = frozenset(
     Management Securities Insurance Foundation University Logistics Energy Networks Robotics Mining Foods Apparel Marine Systems Materials Instruments Properties Therapeutics Law Legal Counsel""".split()
 )
 _TITLE = r"(?:(?<![\w.])(?:%s)\.?[ \t]+)" % "|".join(TITLES)
-_PARTICLE = r"(?:(?:%s)[ \t]+)" % "|".join(PARTICLES)
+_PARTICLE = r"(?:(?:%s)[ \t]+)" % "|".join(PARTICLES + [p.upper() for p in PARTICLES])
 _PLAIN = f"(?:{_PARTICLE}{{0,2}}{_N})"
 NAME = re.compile(
     f"(?=[{_UP}])(?<!\\w)(?P<title>{_TITLE}(?:{_TITLE})?)?(?<![\\w@.'’-])(?P<name>(?:{_N}|[{_UP}]\\.)(?:[ \\t]+(?:[{_UP}]\\.[ \\t]*)+{_PARTICLE}{{0,2}}{_N}|[ \\t]+{_PLAIN}){{1,3}}|(?(title){_PARTICLE}{{0,2}}{_N}|(?!)))(?![\\w@])"
 )
-LISTED = re.compile(f"(?=[{_UP}a-z])(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}(?:[ \\t]{_N})?), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
+LISTED = re.compile(f"(?=[{_UP}a-z])(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
 
 EMAIL = re.compile(
     r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+(?<![.-])"
@@ -238,7 +238,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     names = spots.filter("kind IN ('name', 'titled', 'listed')")
     worded = names.withColumn("words", name_words(F.col("instance")))
     sides = worded.select(F.explode("words").alias("instance"), F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")).alias("c"), "seed")
-    edges = sides.select("instance", F.explode("c").alias("context")).filter("context <> 'L <title>'").groupBy("context", "instance").agg(F.count("*").alias("n"))
+    edges = sides.select("instance", F.explode("c").alias("context")).filter(F.col("context").rlike("^[LR] .*[a-zß-ÿ]{2}") & (F.col("context") != "L <title>")).groupBy("context", "instance").agg(F.count("*").alias("n"))
     titled = worded.filter("seed").select(F.explode("words").alias("instance")).groupBy("instance").agg(F.count("*").alias("n"))
     unlike = F.array(*[F.lit(w) for w in _NOT_NAMES])
     plain = edges.select("instance").distinct().filter(F.array_contains(unlike, F.col("instance"))).select("instance", F.lit(0.0).alias("score"))
@@ -250,6 +250,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     judged = worded.join(known, ["doc_key", "lo"], "left").join(lctx, "left", "left").join(rctx, "right", "left")
     by_words = (F.col("least") >= CERTAIN) | ((F.col("mean") >= CERTAIN) & (F.greatest(F.coalesce("lv", F.lit(0.0)), F.coalesce("rv", F.lit(0.0))) >= CERTAIN))
     by_context = (F.coalesce("lv", F.lit(0.0)) >= 0.8) & (F.coalesce("rv", F.lit(0.0)) >= 0.8) & (F.coalesce("least", F.lit(-1.0)) != 0.0)
+    by_context = by_context & F.col("left").rlike("[a-zß-ÿ]{2}") & (F.col("instance") != F.upper("instance"))
     kept = judged.filter(F.col("seed") | by_words | by_context)
     named = kept.select("doc_key", F.lit("name").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
     direct = spots.filter("kind IN ('email', 'address')").select("doc_key", F.col("kind").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
