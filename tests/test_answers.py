@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,30 @@ def test_year_comparison(spark):
     assert set(r) == {"1A", "3"} and list(r["1A"].added) == [new] and not r["1A"].changed and list(r["3"].removed) == [unit] and r["3"].similarity == 0.0
     s = D.summary(D.compare_years(c), "ticker").first()
     assert (s.sections_compared, s.added, s.removed, s.changed) == (2, 1, 1, 0)
+
+
+def test_year_comparison_takes_all_filings(spark):
+    units = [f"{w} " * 16 + f"{w}." for w in ("kilns", "harbours", "cranes")]
+    rows = [("2022", "a1", "2022-03-01", units[0], 0), ("2022", "a2", "2022-09-01", units[1], 0), ("2023", "b1", "2023-03-01", units[2], 0), ("2023", "b2", "2023-09-01", units[1], 0)]
+    c = spark.createDataFrame([(f"c{k}", k, "T", "1A", y, x, s, "10-K", d, f, "Title") for k, (y, f, d, x, s) in enumerate(rows)], "chunk_id string, ord int, ticker string, item_number string, fiscal_year string, text string, char_start int, filing_type string, filing_date string, accession string, section_title string")
+    r = D.compare_years(c).first()
+    assert list(r.added) == [units[2]] and list(r.removed) == [units[0]] and not r.changed
+    one = D.compare_years(c, one_filing=True).first()
+    assert not one.added and not one.removed
+
+
+def test_alignment_equals_comparing_every_pair():
+    r = random.Random(5)
+    for _ in range(500):
+        a, b = ([set(r.sample("abcdefgh", r.randint(0, 6))) for _ in range(r.randint(0, 9))] for _ in "ab")
+        free, added, changed = list(range(len(a))), [], []
+        for j, tb in enumerate(b):
+            s = {i: len(a[i] & tb) / len(a[i] | tb) if a[i] | tb else 1.0 for i in free}
+            best = max(free, key=lambda i: (s[i], -i), default=-1)
+            if best < 0 or s[best] < D.CHANGED:
+                added.append(j)
+                continue
+            free.remove(best)
+            if s[best] < D.SAME:
+                changed.append((best, j))
+        assert D.align(a, b) == (added, changed, free)
