@@ -387,6 +387,13 @@ def quote_in_source(spark, d):
     return j.filter(F.concat("quote", "text").rlike(r"^[\x00-\x7F]*$")).select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
 
 
+@query()
+def quote_verdicts(spark, d):
+    """Every citation, white space beyond ASCII included; one whose chunk isn't there has no source."""
+    j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d, "text").select("chunk_id", "text"), "chunk_id", "left")
+    return j.select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
+
+
 CLAIMS = f"""ans AS (SELECT DISTINCT answer_id, coalesce(text, '') AS text FROM answers),
 sn AS (SELECT answer_id, unnest(s) AS claim, generate_subscripts(s, 1) - 1 AS claim_no FROM (SELECT answer_id, {SENTENCES.format("regexp_replace(text, '[[][0-9]+[]]', '', 'g')")} AS s FROM ans)),
 cl AS (SELECT * FROM (SELECT *, {KEYWORDS.format('claim')} AS words FROM sn) WHERE len(words) > 0),

@@ -9,6 +9,7 @@ from strataline.operators import extraction as X
 from strataline.operators import generation as G
 from strataline.operators import signals as S
 from strataline.operators import verification as V
+from strataline.plans import catalog
 
 
 @pytest.mark.parametrize(
@@ -28,6 +29,16 @@ def test_quote(spark):
     assert [r[0] for r in d.select(T.contains_quote(F.col("t"), F.col("q"))).collect()] == [True, False, False, False, False]
 
 
+def test_every_citation_is_judged(spark, tmp_path):
+    chunks = [("c1", 1, "Sales\u00a0rose to \u201cten\u201d in M\u00fcnchen\u2003last year."), ("c2", 2, "plain text")]
+    cited = [("q1", "c1", "rose to \u201cten\u201d in"), ("q2", "c1", "Sales rose\u202fto"), ("q3", "c1", "M\u00fcnchen  this"), ("q4", "c2", "plain\ntext"), ("q5", "c2", "\u00a0"), ("q6", "gone", "plain"), ("q7", "c2", None)]
+    spark.createDataFrame(chunks, "chunk_id string, ord int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame(cited, "citation_id string, chunk_id string, quote string").write.parquet(str(tmp_path / "citations.parquet"))
+    got = {r.citation_id: r.in_chunk for r in catalog.QUERIES["quote_verdicts"](spark, str(tmp_path)).collect()}
+    plain = lambda x: " ".join((x or "").split())
+    assert got == {k: bool(plain(q)) and plain(q) in plain(dict((i, t) for i, _, t in chunks).get(c)) for k, c, q in cited}
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     answers = spark.createDataFrame([("x", "Kilns in Hull produced glass worth 40 million. Penguins migrate southwards yearly. [1]"), ("y", "Sales were 9 million in Hull stores."), ("z", None)], "answer_id string, text string")
