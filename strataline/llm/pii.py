@@ -97,6 +97,15 @@ def addresses(text: str) -> list[tuple[int, int]]:
 _WORD = re.compile(r"\w+(?:['’-]\w+)*\.?|[^\w\s]")
 # Words before numbers of firms, filings, securities and batches.
 NOT_PERSONAL = frozenset("cusip isin accession file commission employer employee-no order invoice batch run lot section rule item page patent registration docket case contract permit serial figure table series version po sku ein".split())
+#: Words that label a number as personal and so end the reach of a word of NOT_PERSONAL before them.
+LABELS = re.compile(
+    r"\b(?:tel|tel[eé]fono|t[eé]l[eé]phone|telefon|telephone|phone|mobile?|m[oó]vil|portable|handy|cell|fax|call|reached|desk|ssn|social security|national insurance|insurance number|ni no|nin|dni|nie|passport|tax id|sozialversicherung\w*|steuer-?id\w*|ausweis\w*)\b",
+    re.I,
+)
+#: Where a clause ends before a number: sentence ends, semicolons, empty lines and lines that start anew.
+_CLAUSE = re.compile(rf"(?<!\b[Nn]o)(?<!\b[Nn]r)(?<!\b[Nn]os)[.!?][\"'”’)\]]*\s+(?=[{_UP}])|;|\n[ \t]*\n|\n(?=[ \t]*[{_UP}])")
+#: Words of a context that label nothing by themselves.
+_BARE = frozenset("number numbers no nr nos is was of the a to and code id".split())
 #: Forms that are surely a phone or a number of identity: the seeds among the shapes of numbers.
 SEED_SHAPES = {
     "phone": re.compile(r"^\+0|^\([0Z]00\) ?000[-. ]0000|^000[-.]000[-.]0000$|^Z00-000-000-0000$|^Z00 0000 0000$|^Z0+ 000"),
@@ -116,6 +125,20 @@ def _left(text: str, at: int) -> tuple[str, str]:
     return " ".join(words[-2:]), " ".join(words[-6:])
 
 
+def _blocked(text: str, at: int, left: str) -> str:
+    """Whether a word labels the number at a place as not personal: "" no, "?" unless its context is known as personal, "!" yes."""
+    clause = _CLAUSE.split(text[max(0, at - 48) : at])[-1]
+    words = list(_WORD.finditer(clause))[-6:]
+    if not words:
+        return ""
+    near = clause[words[0].start() :].lower()
+    last = max((m.start() for m in re.finditer(r"[a-z-]+", near) if m[0] in NOT_PERSONAL), default=-1)
+    if last < 0 or any(m.start() > last for m in LABELS.finditer(near)):
+        return ""
+    own = set(re.findall(r"[^\W\d_][\w-]*", left)) - _BARE
+    return "?" if own and not own & NOT_PERSONAL else "!"
+
+
 def _right(text: str, at: int) -> str:
     line = text[at : at + 40]
     if not line.strip() or line[:1] == "\n":
@@ -142,9 +165,10 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
     for m in NUMBER.finditer(text):
         lo, hi = m.span("number")
         if free(lo, hi):
-            left, further = _left(text, lo)
-            bad = bool(NOT_PERSONAL & set(re.findall(r"[a-z-]+", further)))
-            out.append(("number", lo, hi, shape(m["number"]), left, "!" if bad else "", False))
+            left, _ = _left(text, lo)
+            form = shape(m["number"])
+            sure = any(p.search(form) for p in SEED_SHAPES.values())
+            out.append(("number", lo, hi, form, left, "" if sure else _blocked(text, lo, left), False))
             taken.append((lo, hi))
     for m in LISTED.finditer(text):
         if free(*m.span()) and m["family"].split()[-1] not in FIRM_WORDS:
@@ -219,7 +243,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     spots = cut_lineage(candidates(docs, key, text).distinct())
     # numbers: contexts against shapes
     numbers = spots.filter("kind = 'number'")
-    shapes = numbers.filter("right <> '!'").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n"))
+    shapes = numbers.filter("right = ''").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n"))
     is_phone, is_id = (F.col("instance").rlike(SEED_SHAPES[k].pattern) for k in ("phone", "id"))
     kinds = {}
     for kind, mine in (("phone", is_phone), ("id", is_id)):
@@ -229,7 +253,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     n = numbers
     for ctx, inst in kinds.values():
         n = n.join(ctx, "left", "left").join(inst, "instance", "left")
-    value = {k: F.coalesce(F.when(F.col("instance").rlike(SEED_SHAPES[k].pattern), F.lit(1.0)), F.greatest(f"{k}_ctx", f"{k}_inst"), F.lit(0.0)) for k in ("phone", "id")}
+    value = {k: F.coalesce(F.when(F.col("instance").rlike(SEED_SHAPES[k].pattern), F.lit(1.0)), F.when(F.col("right") == "", F.greatest(f"{k}_ctx", f"{k}_inst")).otherwise(F.col(f"{k}_ctx")), F.lit(0.0)) for k in ("phone", "id")}
     typed = n.filter("right <> '!'").withColumn("p", value["phone"]).withColumn("i", value["id"])
     numeric = typed.filter(F.greatest("p", "i") >= CERTAIN).select(
         "doc_key", F.when((F.col("i") > F.col("p")) | ((F.col("i") == F.col("p")) & (F.coalesce("id_ctx", F.lit(0.0)) > F.coalesce("phone_ctx", F.lit(0.0)))), "id").otherwise("phone").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end")

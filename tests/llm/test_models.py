@@ -119,6 +119,22 @@ def test_found_and_redacted(spark):
     assert I.found(d.limit(0)).count() == 0
 
 
+def test_words_that_block_numbers_reach_no_further_than_their_label(spark):
+    docs = documents(spark) + [
+        "They renewed the inventory permit for 789 days. Tel +1 (845) 555 0108 is open.", "The inland permit.\nApplicant's social security number: 930 05 5489.", "Reach the patent desk on +49 30 23125 195.",
+        "Commission file number 001-32777; accession 9118695335-90-122641. The permit number: 123456789 holds.", "Commission file\nnumber 001-32778 holds.", "Employer no. of the company: 68-0993959.",
+    ]
+    n = len(documents(spark))
+    got = {}
+    for r in I.found(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect():
+        if r.pii_type in ("phone", "id"):
+            got.setdefault(r.doc_id - n, set()).add((r.pii_type, docs[r.doc_id][r.char_start : r.char_end]))
+    assert got[0] == {("phone", "+1 (845) 555 0108")} and got[1] == {("id", "930 05 5489")} and got[2] == {("phone", "+49 30 23125 195")}
+    assert not {3, 4, 5} & set(got)
+    right = lambda text: [s[5] for s in I.spans(text) if s[0] == "number"]
+    assert right("It settled the case. Her tax id is 12 345 678 90.") == right("In this case the SSN 911223004 is his.") == [""] and right("Order No. 1234567") == right("The permit number: 123456789.") == ["!"]
+
+
 def test_long_documents(spark):
     d = spark.createDataFrame([(1, "word " * 60_000 + "Dr. Zelda Quarn left."), (1, "word " * 60_000 + "Dr. Zelda Quarn left.")], "doc_id long, text string")
     assert [(r.pii_type, r.char_start) for r in I.found(d).collect()] == [("name", 300_004)]
