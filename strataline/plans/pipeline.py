@@ -18,6 +18,9 @@ EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hashing": retrieval.hash_embe
 ANSWERERS: dict[str, Callable[..., DataFrame]] = {"extractive": generation.extract}
 JUDGES: dict[str, Callable[..., DataFrame]] = {"lexical": verification.judge}
 
+#: The form that years are compared by.
+COMPARED = "10-K"
+
 
 class Pipeline:
     def __init__(self, spark: SparkSession, config: Config | None = None, answerer: str = "extractive", judge: str = "lexical"):
@@ -96,14 +99,18 @@ class Pipeline:
         return extraction.extract(self.retrieve(queries, where), self.tables["chunks"], target)
 
     def compare_years(self, year_a: str, year_b: str, forms: list[str] | None = None) -> DataFrame:
-        return comparison.compare_years(self.tables["chunks"], year_a, year_b, forms)
+        """Annual reports are compared unless other forms are named."""
+        return comparison.compare_years(self.tables["chunks"], year_a, year_b, forms or [COMPARED])
+
+    def monitor(self, year_a: str, year_b: str, forms: list[str] | None = None, compare_form: str = COMPARED) -> DataFrame:
+        """New risks, new litigation and signals of year B by ticker; without chunks of the forms in year B any form counts.
 
-    def monitor(self, year_a: str, year_b: str, forms: list[str] | None = None) -> DataFrame:
-        """New risks, new litigation and signals of year B by ticker; without chunks of the forms in year B any form counts."""
+        forms are those of the signals; the years are compared by compare_form alone.
+        """
         c = self.tables["chunks"].withColumn("ticker", F.upper("ticker"))
         current = c.filter(F.col("fiscal_year") == str(year_b))
         if forms:
             wanted = current.filter(F.col("filing_type").isin(*forms))
             current = wanted.unionByName(current.join(wanted.select("ticker").distinct(), "ticker", "left_anti").select(wanted.columns))
         s = signals.detect(current).join(current.select("chunk_id", "ticker"), "chunk_id")
-        return signals.monitor(self.compare_years(year_a, year_b, forms), s)
+        return signals.monitor(self.compare_years(year_a, year_b, [compare_form]), s)

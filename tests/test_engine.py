@@ -52,6 +52,18 @@ def test_pipeline(spark, folder, tmp_path):
         Pipeline(spark, answerer="none")
 
 
+def test_years_are_compared_by_annual_reports(spark):
+    risk = [f"{w} " * 16 + f"{w}." for w in ("kilns", "cranes", "ports")]
+    rows = [("2023", "a", "2023-03-01", "10-K", risk[0]), ("2024", "b", "2024-03-01", "10-K", risk[1]), ("2024", "c", "2024-11-01", "8-K", risk[2]), ("2024", "d", "2024-12-01", "10-K/A", risk[2])]
+    p = Pipeline(spark)
+    p.tables = {"chunks": spark.createDataFrame([(f"c{k}", k, "T", "1A", y, x, 0, f, d, a, "Title") for k, (y, a, d, f, x) in enumerate(rows)], "chunk_id string, ord int, ticker string, item_number string, fiscal_year string, text string, char_start int, filing_type string, filing_date string, accession string, section_title string")}
+    r = p.compare_years("2023", "2024").first()
+    assert list(r.added) == [risk[1]] and list(r.removed) == [risk[0]]
+    for forms in (None, ["10-K", "10-Q", "8-K"], ["8-K"]):
+        m = p.monitor("2023", "2024", forms).first()
+        assert (m.new_risk_factors, m.removed_risk_factors) == (1, 1)
+
+
 def test_floor_above_one_abstains(spark, folder, tmp_path):
     c = config.overlaid(config.load(env={}), {"verification": {"groundedness_floor": 1.01}, "chunking": {"min_chars": 20}})
     p = Pipeline(spark, c)
