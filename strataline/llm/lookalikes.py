@@ -21,12 +21,15 @@ LOOKALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
     "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "а": "a", "в": "b", "г": "r", "е": "e", "з": "3", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n", "р": "p", "с": "c",
-    "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "һ": "h", "ӏ": "l", "ь": "b",
+    "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "һ": "h", "ӏ": "l", "Ӏ": "I", "ь": "b",
     # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "α": "a", "γ": "y", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c", "ϳ": "j",
     # Armenian
     "ո": "n", "ս": "u", "օ": "o", "հ": "h", "զ": "q", "ց": "g", "յ": "j", "Տ": "S", "Օ": "O", "Լ": "L",
+    # Cherokee and Coptic
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T",
     # Latin letters outside the alphabet
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "L", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s",
 }
@@ -157,7 +160,9 @@ def found(values: DataFrame) -> DataFrame:
     """(record_id, field_name) of the values that hold a look-alike; columns and special cases as in forms()."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [bool(findings(t)) and skeleton(t) != unicodedata.normalize("NFD", t) or "mark" in findings(t) for t in batch.column("value").to_pylist()]
+            values = batch.column("value").to_pylist()
+            kinds = [findings(t) for t in values]
+            keep = [bool(k) and ("mark" in k or "letter" in k or skeleton(t) != unicodedata.normalize("NFD", t)) for k, t in zip(kinds, values)]
             yield batch.select(["record_id", "field_name"]).filter(pa.array(keep, pa.bool_()))
 
     v = values.select(F.col("record_id").cast("string").alias("record_id"), F.col("field_name").cast("string").alias("field_name"), F.col("value").cast("string").alias("value"))

@@ -94,6 +94,13 @@ def test_look_alike_edge_cases(spark):
     assert {(r.citation_id, r.field_name, r.in_chunk) for r in A.quotes_in_chunks(c, k).collect()} == {("c1", "quote", True), ("c1", "support_quote", False), ("c2", "quote", False), ("c2", "support_quote", False)}
 
 
+def test_letters_of_any_script_within_latin_words_are_found(spark):
+    texts = ["bl\u04c0nd", "\u13aacre", "b\u2c9fnd", "f\u2c91rm", "m\u10d0il", "plain", "\u041c\u043e\u0441\u043a\u0432\u0430"]
+    v = spark.createDataFrame([(str(k), "text", t) for k, t in enumerate(texts)], "record_id string, field_name string, value string")
+    assert {r.record_id for r in A.found(v).collect()} == {"0", "1", "2", "3", "4"}
+    assert [A.skeleton(t) for t in texts[:3]] == ["blInd", "Acre", "bond"]
+
+
 # ---- splitting -------------------------------------------------------------------------------------------------------
 
 
