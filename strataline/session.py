@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def get_session(app: str = "strataline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # written intermediates go when nothing refers to them
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -29,9 +31,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one when it is unset (local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where it is unset and the master is local.
+
+    A session that spans machines without that setting is an error, as no folder of one machine would do.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master) and not os.environ.get("STRATALINE_SHARED"):
+            raise ValueError("spark.checkpoint.dir isn't set; on a cluster it must name a folder that every executor sees")
         path = os.environ.get("STRATALINE_SHARED") or tempfile.mkdtemp(prefix="strataline-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
