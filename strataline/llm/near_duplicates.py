@@ -17,12 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.shingles import TOKEN_BITS, mix, normal, shingle_tokens, slices
+from strataline.operators.skew import hot_keys, salted_join
 from strataline.session import cut_lineage, partitions
 
+#: Records of a class of equal texts that are written out in all pairs.
+EXPAND = 32
 SKETCH_BITS = 22
 BLOCKS = 64
 CELL = 4096
@@ -30,7 +34,10 @@ WANTED_BITS = 25
 MAX_MATCH = 6
 #: Share of accidental partners left by each further shingle required, and cost of verifying one against scanning a posting.
 DECAY, VERIFY = 0.3, 60.0
-FLUSH = 2_000_000
+#: Postings or pairs that a task holds before it sends them on, and postings meant for one bucket.
+FLUSH, BUCKET = 500_000, 500_000
+#: Digests of texts that a task remembers to send copies only once, and tasks whose tables are added up at a time.
+SEEN, LANES = 200_000, 64
 
 
 def _class_ids(tables: list[str | None], texts: list[bytes]) -> np.ndarray:
@@ -44,17 +51,33 @@ def _seeds(tables: list[str | None]) -> np.ndarray:
     return np.array([of[t] for t in tables], np.uint64)
 
 
-def _batches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """The rows of enough words, and their normalised texts."""
+def _batches(batches: Iterator[pa.RecordBatch], min_words: int, once: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
+    """The rows of enough words, their normalised texts and class ids; with once without the copies that the task has just seen."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         texts = [normal(t) for t in batch.column("text").to_pylist()]
         keep = [k for k, t in enumerate(texts) if t.count(b" ") + 1 >= min_words]
-        if keep:
-            yield batch.select(["tbl", "key"]).take(pa.array(keep)), [texts[k] for k in keep]
+        if not keep:
+            continue
+        rows, texts = batch.select(["tbl", "key"]).take(pa.array(keep)), [texts[k] for k in keep]
+        ids = _class_ids(rows.column("tbl").to_pylist(), texts)
+        if once:
+            new = []
+            for k, pair in enumerate(map(tuple, ids.tolist())):
+                if pair not in seen:
+                    seen.add(pair)
+                    new.append(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            if not new:
+                continue
+            if len(new) < len(texts):
+                rows, texts, ids = rows.take(pa.array(new)), [texts[k] for k in new], ids[new]
+        yield rows, texts, ids
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    return records.select(F.col("tbl").cast("string").alias("tbl"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
+    return records.select(F.coalesce(F.col("tbl").cast("string"), F.lit("")).alias("tbl"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text")).filter("key IS NOT NULL AND text IS NOT NULL")
 
 
 # ---- order of the shingles -------------------------------------------------------------------------------------------
@@ -62,45 +85,66 @@ def prepare(records: DataFrame) -> DataFrame:
 
 def _code(counts: np.ndarray) -> np.ndarray:
     c = counts.astype(np.float64)
-    return np.where(c <= 127, c, np.minimum(255, 127 + 8 * np.log2(np.maximum(c, 127) / 127))).astype(np.uint8)
+    return np.where(c <= 127, c, np.minimum(255, 127 + 4 * np.log2(np.maximum(c, 127) / 127))).astype(np.uint8)
 
 
 def _decode() -> np.ndarray:
     k = np.arange(256)
-    return np.where(k <= 127, k, np.ceil(127 * 2.0 ** ((k - 127 + 1) / 8))).astype(np.int64)
+    return np.where(k <= 127, k, np.ceil(127 * 2.0 ** ((k - 127 + 1) / 4))).astype(np.int64)
+
+
+def _parts(parts: list[bytes]) -> pa.RecordBatch:
+    """One row a block, with the lane of this task."""
+    lane = TaskContext.get().partitionId() // LANES
+    return pa.record_batch([pa.array([lane] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["lane", "block", "part"])
 
 
 def _gathered(rows: DataFrame, blocks: int, add) -> bytes:
-    """Parts of a table of fixed size, added up by block where they are and put together."""
-    got = rows.groupBy("block").applyInArrow(add, "block int, part binary").collect()  # as many rows as blocks
+    """Parts of a table of fixed size, added up by block and put together.
+
+    The tasks of a lane are added up first and then the lanes, so that no task holds more than LANES parts of one block
+    at first and one part a lane thereafter.
+    """
+
+    def lanes(table: pa.Table) -> pa.Table:
+        return pa.table({"lane": table.column("lane")[:1], "block": table.column("block")[:1], "part": pa.array([add(table.column("part"))], pa.binary())})
+
+    def whole(table: pa.Table) -> pa.Table:
+        return pa.table({"block": table.column("block")[:1], "part": pa.array([add(table.column("part"))], pa.binary())})
+
+    by_lane = rows.groupBy("lane", "block").applyInArrow(lanes, "lane int, block int, part binary")
+    got = by_lane.groupBy("block").applyInArrow(whole, "block int, part binary").collect()  # as many rows as blocks
     at = {r.block: bytes(r.part) for r in got}
     width = len(next(iter(at.values()))) if at else 0
     return b"".join(at.get(b, b"\0" * width) for b in range(blocks))
 
 
 def sketch(prepared: DataFrame, words: int, min_words: int) -> np.ndarray:
-    """Number of shingles per cell, coded in a byte: 2**SKETCH_BITS bytes whatever the input; never counts too few below 128."""
-    width = (1 << SKETCH_BITS) // BLOCKS
+    """Number of shingles per cell, coded in a byte: 2**SKETCH_BITS bytes whatever the input.
+
+    Counts up to 127 are exact, larger ones are told by a logarithmic code that is read back as its upper end, so adding
+    up the tables of the tasks never counts too few; the code reaches to 5e11.
+    """
+    width, decode = (1 << SKETCH_BITS) // BLOCKS, _decode()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch, texts in _batches(batches, min_words):
+        for batch, texts, _ in _batches(batches, min_words, once=True):
             seeds = _seeds(batch.column("tbl").to_pylist())
             for lo, hi in slices(texts):
                 _, tok = shingle_tokens(texts[lo:hi], words, seeds[lo:hi])
                 np.add.at(total, (tok >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
-            part = np.minimum(total, 255).astype(np.uint8)
-            parts = [part[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)]
-            yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "part"])
+            part = _code(total)
+            yield _parts([part[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)])
 
-    def add(table: pa.Table) -> pa.Table:
+    def add(parts: pa.ChunkedArray) -> bytes:
         total = np.zeros(width, np.int64)
-        for x in table.column("part"):
-            total += np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([_code(total).tobytes()], pa.binary())})
+        for x in parts:
+            total += decode[np.frombuffer(x.as_py(), np.uint8)]
+        return _code(total).tobytes()
 
-    whole = _gathered(prepared.mapInArrow(count, "block int, part binary"), BLOCKS, add)
+    whole = _gathered(prepared.mapInArrow(count, "lane int, block int, part binary"), BLOCKS, add)
     return np.frombuffer(whole, np.uint8) if whole else np.zeros(1 << SKETCH_BITS, np.uint8)
 
 
@@ -186,9 +230,8 @@ def postings(prepared: DataFrame, words: int, threshold: float, min_words: int,
                 blobs.append(b"".join(_column(x) for x in (ids[docs].view(np.uint64), n[docs], match[docs], local, steps, pos[pick], side[pick])))
             yield pa.record_batch([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
-        for batch, texts in _batches(batches, min_words):
-            tables = batch.column("tbl").to_pylist()
-            all_ids, seeds = np.ascontiguousarray(_class_ids(tables, texts)[:, 0]), _seeds(tables)
+        for batch, texts, both in _batches(batches, min_words, once=True):
+            all_ids, seeds = np.ascontiguousarray(both[:, 0]), _seeds(batch.column("tbl").to_pylist())
             for lo, hi in slices(texts):
                 got = _postings(all_ids[lo:hi], texts[lo:hi], words, threshold, shared.value, decode, seeds[lo:hi])
                 if got is not None:
@@ -220,7 +263,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         at += 16 + width * count
     ids, n, match, local, steps, pos, side = cols
     local = local.astype(np.int64)
-    return np.cumsum(steps, dtype=np.uint64), ids.view(np.int64)[local], n.astype(np.int64)[local], match.astype(np.int64)[local], pos.astype(np.int64), side.astype(np.uint8)
+    return np.cumsum(steps, dtype=np.uint64), ids.view(np.int64)[local], n.astype(np.int32)[local], match.astype(np.int8)[local], pos.astype(np.int32), side.astype(np.int8)
 
 
 def _pairs(tok, ids, n, match, pos, side, threshold: float):
@@ -243,7 +286,7 @@ def _pairs(tok, ids, n, match, pos, side, threshold: float):
         ok = (pos[active] <= n[active] - need + least - 1) & (pos[j] <= n[j] - need + least - 1)
         ok &= np.where((side[active] == 0) | (side[j] == 0), side[active] == side[j], side[active] != side[j])
         i, j, least = active[ok], j[ok], least[ok]
-        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), least))
+        out.append((np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), least.astype(np.int8)))
         size += len(i)
         if size > FLUSH:
             yield tuple(np.concatenate(c) for c in zip(*out))
@@ -289,15 +332,15 @@ def _wanted(found: DataFrame) -> np.ndarray:
                 bits[batch.column(c).to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)] = seen = True
         if seen:
             packed = np.packbits(bits)
-            yield pa.record_batch([pa.array(range(BLOCKS), pa.int32()), pa.array([packed[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)], pa.binary())], names=["block", "part"])
+            yield _parts([packed[b * width : (b + 1) * width].tobytes() for b in range(BLOCKS)])
 
-    def join(table: pa.Table) -> pa.Table:
+    def join(parts: pa.ChunkedArray) -> bytes:
         total = np.zeros(width, np.uint8)
-        for x in table.column("part"):
+        for x in parts:
             total |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+        return total.tobytes()
 
-    whole = _gathered(found.mapInArrow(mark, "block int, part binary"), BLOCKS, join)
+    whole = _gathered(found.mapInArrow(mark, "lane int, block int, part binary"), BLOCKS, join)
     return np.frombuffer(whole or b"\0" * (width * BLOCKS), np.uint8)
 
 
@@ -306,10 +349,10 @@ def _classified(prepared: DataFrame, min_words: int, wanted: np.ndarray) -> Data
     shared = prepared.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
-        for batch, texts in _batches(batches, min_words):
-            ids = _class_ids(batch.column("tbl").to_pylist(), texts)
-            hit = bits[np.ascontiguousarray(ids[:, 0]).view(np.uint64) >> np.uint64(64 - WANTED_BITS)]
+        packed = shared.value
+        for batch, texts, ids in _batches(batches, min_words):
+            at = (np.ascontiguousarray(ids[:, 0]).view(np.uint64) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+            hit = (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             norm = pa.array([zlib.compress(t, 1) if h else None for t, h in zip(texts, hit)], pa.binary())
             yield pa.record_batch([batch.column("tbl"), batch.column("key"), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), norm], names=["tbl", "key", "id", "id2", "norm"])
 
@@ -341,7 +384,7 @@ def _verify(words: int, threshold: float):
 def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 30) -> tuple[DataFrame, DataFrame]:
     """Classes of equal records and the links between them.
 
-    records: tbl, key, text; records of different tbl are never compared; other columns are ignored. Null keys and null,
+    records: tbl, key, text; records of different tbl are never compared, a null one counts as ""; other columns are ignored. Null keys and null,
     blank or shorter texts take no part. Repeated rows count once.
 
     Returns classes (tbl, key, id, id2) with one row per record, (id, id2) naming its class, and links (rep_l, rep_r,
@@ -352,7 +395,8 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
         raise ValueError("min_words must be at least words")
     prepared = prepare(records)
     order = sketch(prepared, words, min_words)
-    buckets = partitions(records.sparkSession)
+    shingles = int(np.bincount(order, minlength=256) @ _decode())
+    buckets = max(partitions(records.sparkSession), -(-int(shingles * (1 - threshold)) // BUCKET))
     found = cut_lineage(candidates(postings(prepared, words, threshold, min_words, order, buckets), threshold, buckets))
     classified = cut_lineage(_classified(prepared, min_words, _wanted(found)))
     texts = classified.filter("norm IS NOT NULL").groupBy("id", "id2").agg(F.min(F.struct("tbl", "key")).alias("rep"), F.first("norm").alias("norm"))
@@ -367,30 +411,33 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     return classified.select("tbl", "key", "id", "id2").distinct(), verified
 
 
+CLASS = ["tbl", "id", "id2"]
+
+
 def membership(classes: DataFrame) -> DataFrame:
     """(tbl, key, rep): one row per record; rep is the least key of the records of equal words."""
-    reps = classes.groupBy("id", "id2", "tbl").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    return classes.join(reps, ["id", "id2", "tbl"]).select("tbl", "key", "rep", "size", "id", "id2")
+    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"), F.count("*").alias("size"))
+    return salted_join(classes, reps, CLASS, hot_keys(classes, CLASS)).select("tbl", "key", "rep", "size", "id", "id2")
 
 
-def pairs(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 30, expand: int = 8) -> DataFrame:
+def pairs(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 30, expand: int = EXPAND) -> DataFrame:
     """(left_key, right_key, similarity), left_key < right_key: the links between records.
 
     Every link between different texts is there. Of each class of equal texts the first `expand` records in order of
-    key are written out in all their pairs; a further record is linked to the first of its class only, which is enough
-    to tell all its other links.
+    key are written out in all their pairs and in all links of the class; any further record is told once, as a copy of
+    the first. So a class of any size adds at most `expand` rows a record; groups() has the exact membership of all.
     """
     classes, verified = links(records, words, threshold, min_words)
-    reps = classes.groupBy("id", "id2", "tbl").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    copied = reps.filter("size > 1")
+    classes = cut_lineage(classes)
+    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    members = cut_lineage(salted_join(classes, reps, CLASS, hot_keys(classes, CLASS)).select("tbl", "key", "rep"))
     first = (
-        classes.join(copied, ["id", "id2", "tbl"])
-        .groupBy("id", "id2", "tbl", "rep", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
+        members.groupBy("tbl", "rep", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
         .agg(F.slice(F.array_sort(F.collect_set("key")), 1, expand).alias("keys"))
         .groupBy("tbl", "rep")
         .agg(F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, expand).alias("keys"))
     )
-    star = classes.join(copied, ["id", "id2", "tbl"]).filter("key > rep").select(F.col("rep").alias("l"), F.col("key").alias("r"))
+    star = members.filter("key > rep").select(F.col("rep").alias("l"), F.col("key").alias("r"))
     within = first.select(F.explode("keys").alias("l"), "keys").select("l", F.explode("keys").alias("r")).filter("l < r")
     copies = star.unionByName(within).distinct().select("l", "r", F.lit(1.0).alias("similarity"))
     side = first.select(F.struct("tbl", "rep").alias("rep"), "keys")
@@ -409,28 +456,26 @@ def groups(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words
 
     class_key is the least key of the records of equal words, group_key the least key of all records connected by links,
     links the number of other classes its class is linked to. Labels spread by minimum over the links and by pointer
-    jumping, each round written to the shared folder; nothing is gathered by component.
+    jumping, each round written to the shared folder once; nothing is gathered by component, and joins on nodes of very
+    many links or labels of very many nodes are spread over several tasks.
     """
     classes, verified = links(records, words, threshold, min_words)
-    members = cut_lineage(membership(classes))
+    members = cut_lineage(membership(cut_lineage(classes)))
     edges = cut_lineage(verified.select("rep_l.tbl", F.col("rep_l.key").alias("l"), F.col("rep_r.key").alias("r")))
     both = edges.select("tbl", F.col("l").alias("node"), F.col("r").alias("near")).unionByName(edges.select("tbl", F.col("r").alias("node"), F.col("l").alias("near")))
     degree = both.groupBy("tbl", "node").agg(F.count("*").alias("links"))
-    label = both.groupBy("tbl", "node").agg(F.least(F.first("node"), F.min("near")).alias("label"))
-    while True:
-        label = cut_lineage(label)
-        named = label.select("tbl", F.col("node").alias("near"), F.col("label").alias("seen"))
-        spread = both.join(named, ["tbl", "near"]).groupBy("tbl", "node").agg(F.min("seen").alias("seen"))
+    busy = hot_keys(both, ["tbl", "near"])
+    label = cut_lineage(both.groupBy("tbl", "node").agg(F.least(F.first("node"), F.min("near")).alias("label")).withColumn("moved", F.lit(True)))
+    while not label.filter("moved").isEmpty():
+        label = label.select("tbl", "node", "label")
+        spread = salted_join(both, label.select("tbl", F.col("node").alias("near"), F.col("label").alias("seen")), ["tbl", "near"], busy).groupBy("tbl", "node").agg(F.min("seen").alias("seen"))
         jump = label.select("tbl", F.col("node").alias("label"), F.col("label").alias("further"))
-        step = (
-            label.join(spread, ["tbl", "node"]).join(jump, ["tbl", "label"], "left")
-            .select("tbl", "node", F.least("label", "seen", F.coalesce("further", "label")).alias("next"), "label")
-        )
-        step = cut_lineage(step)
-        label = step.select("tbl", "node", F.col("next").alias("label"))
-        if step.filter("next <> label").isEmpty():
-            break
-    tagged = members.join(label.withColumnRenamed("node", "rep"), ["tbl", "rep"], "left").join(degree.withColumnRenamed("node", "rep"), ["tbl", "rep"], "left")
+        step = salted_join(label.join(spread, ["tbl", "node"]), jump, ["tbl", "label"], hot_keys(label, ["tbl", "label"]), "left")
+        least = F.least("label", "seen", F.coalesce("further", "label"))
+        label = cut_lineage(step.select("tbl", "node", least.alias("label"), (least < F.col("label")).alias("moved")))
+    label = label.select("tbl", F.col("node").alias("rep"), "label")
+    copied = hot_keys(members, ["tbl", "rep"])
+    tagged = salted_join(salted_join(members, label, ["tbl", "rep"], copied, "left"), degree.withColumnRenamed("node", "rep"), ["tbl", "rep"], copied, "left")
     return tagged.select("tbl", "key", F.col("rep").alias("class_key"), F.coalesce("label", "rep").alias("group_key"), F.coalesce("links", F.lit(0)).alias("links"))
 
 

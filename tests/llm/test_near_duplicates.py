@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm import near_duplicates as N
 from strataline.llm.shingles import normal, shingle_tokens
+from strataline.operators.skew import hot_keys
 
 WORDS = [f"w{k}" for k in range(400)]
 STOCK = ["in", "our", "view", "the", "cost", "of", "sales", "rose", "as", "a", "result"]
@@ -103,6 +104,35 @@ def test_frequent_shingles_spread_over_cells(monkeypatch):
     assert pairs(4096) == pairs(7)
 
 
+def test_shingle_of_fifty_thousand_records_is_spread(spark):
+    """Counted by the sketch of several tasks, and split so that no list of postings is long."""
+    n, words, threshold = 50_000, 3, 0.04
+    df = spark.range(n, numPartitions=6).select(F.lit("t").alias("tbl"), F.format_string("k%05d", "id").alias("key"), F.concat_ws(" ", F.lit("net sales rose"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat_ws("x", "id", i))).alias("text"))
+    order, decode = N.sketch(N.prepare(df), words, 30), N._decode()
+    _, common = shingle_tokens([b"net sales rose"], words, N._seeds(["t"]))
+    estimate = decode[order[int(common[0] >> np.uint64(N.TOKEN_BITS - N.SKETCH_BITS))]]
+    assert n <= estimate <= 1.6 * n
+    lists: dict[int, int] = {}
+    texts = [normal("net sales rose " + " ".join(f"{k}x{i}" for i in range(1, 31))) for k in range(n)]
+    ids = N._class_ids(["t"] * n, texts)[:, 0].copy()
+    for lo in range(0, n, 4096):
+        _, tok, _, _, _, _ = N._postings(ids[lo : lo + 4096], texts[lo : lo + 4096], words, threshold, order, decode, N._seeds(["t"] * len(texts[lo : lo + 4096])))
+        for t, c in zip(*np.unique(tok, return_counts=True)):
+            lists[t] = lists.get(t, 0) + int(c)
+    assert sum(lists.values()) >= n and max(lists.values()) <= 2.5 * N.CELL
+
+
+def test_hot_class_and_star_of_links(spark, monkeypatch):
+    """A class and a node with a large share of all rows, their joins salted."""
+    monkeypatch.setattr(N, "hot_keys", lambda df, keys: hot_keys(df, keys, 20))
+    base = WORDS[:40]
+    rows = [("t", f"a{k:02}", " ".join(base)) for k in range(30)] + [("t", f"b{k:02}", " ".join(base[:36] + [f"v{k}"] * 4)) for k in range(30)]
+    texts = {k: t for _, k, t in rows}
+    got = {r.key: (r.class_key, r.group_key, r.links) for r in N.groups(frame(spark, rows), 3, 0.5).collect()}
+    assert all(got[f"a{k:02}"] == ("a00", "a00", 30) for k in range(30)) and all(got[f"b{k:02}"] == (f"b{k:02}", "a00", 30) for k in range(30))
+    assert {(r.left_key, r.right_key) for r in N.pairs(frame(spark, rows), 3, 0.5).collect()} == expected(texts, 3, 0.5)
+
+
 def test_column_packing():
     for x in (np.array([0, 5, 2**44 - 1], np.uint64), np.zeros(3, np.int64), np.array([2**64 - 1], np.uint64)):
         raw = N._column(x)
