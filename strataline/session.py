@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,8 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Has the files of shuffles removed that nothing refers to any more, which otherwise waits for the driver's next garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the plan goes at first, then what it held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(spark: SparkSession) -> int:
