@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm.shingles import TOKEN_BITS, mix, normal, shingle_tokens, slices
 from strataline.operators.skew import hot_keys, salted_join
-from strataline.session import cut_lineage, partitions
+from strataline.session import cut_lineage, partitions, release
 
 #: Records of a class of equal texts that are written out in all pairs.
 EXPAND = 32
@@ -387,7 +387,7 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     records: tbl, key, text; records of different tbl are never compared, a null one counts as ""; other columns are ignored. Null keys and null,
     blank or shorter texts take no part. Repeated rows count once.
 
-    Returns classes (tbl, key, id, id2) with one row per record, (id, id2) naming its class, and links (rep_l, rep_r,
+    Returns classes (tbl, key, id, id2) with a row for each row of enough words, (id, id2) naming its class, and links (rep_l, rep_r,
     similarity) between different classes, each told by the (tbl, key) of its least record, rep_l < rep_r. Rows of an
     empty table give empty results.
     """
@@ -398,6 +398,7 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     shingles = int(np.bincount(order, minlength=256) @ _decode())
     buckets = max(partitions(records.sparkSession), -(-int(shingles * (1 - threshold)) // BUCKET))
     found = cut_lineage(candidates(postings(prepared, words, threshold, min_words, order, buckets), threshold, buckets))
+    release(records.sparkSession)  # the postings
     classified = cut_lineage(_classified(prepared, min_words, _wanted(found)))
     texts = classified.filter("norm IS NOT NULL").groupBy("id", "id2").agg(F.min(F.struct("tbl", "key")).alias("rep"), F.first("norm").alias("norm"))
     left = texts.select(F.col("id").alias("a"), F.col("rep").alias("rep_l"), F.col("norm").alias("norm_l"))
@@ -408,7 +409,7 @@ def links(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
         .select(F.least("rep_l", "rep_r").alias("rep_l"), F.greatest("rep_l", "rep_r").alias("rep_r"), "norm_l", "norm_r")
         .mapInArrow(_verify(words, threshold), f"rep_l {rep}, rep_r {rep}, similarity double")
     )
-    return classified.select("tbl", "key", "id", "id2").distinct(), verified
+    return classified.select("tbl", "key", "id", "id2"), verified
 
 
 CLASS = ["tbl", "id", "id2"]
@@ -416,8 +417,8 @@ CLASS = ["tbl", "id", "id2"]
 
 def membership(classes: DataFrame) -> DataFrame:
     """(tbl, key, rep): one row per record; rep is the least key of the records of equal words."""
-    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"), F.count("*").alias("size"))
-    return salted_join(classes, reps, CLASS, hot_keys(classes, CLASS)).select("tbl", "key", "rep", "size", "id", "id2")
+    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"))
+    return salted_join(classes, reps, CLASS, hot_keys(classes, CLASS)).select("tbl", "key", "rep").distinct()
 
 
 def pairs(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words: int = 30, expand: int = EXPAND) -> DataFrame:
@@ -428,8 +429,7 @@ def pairs(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words:
     the first. So a class of any size adds at most `expand` rows a record; groups() has the exact membership of all.
     """
     classes, verified = links(records, words, threshold, min_words)
-    classes = cut_lineage(classes)
-    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"), F.count("*").alias("size")).filter("size > 1").drop("size")
+    reps = classes.groupBy(*CLASS).agg(F.min("key").alias("rep"), F.max("key").alias("last")).filter("rep < last").drop("last")
     members = cut_lineage(salted_join(classes, reps, CLASS, hot_keys(classes, CLASS)).select("tbl", "key", "rep"))
     first = (
         members.groupBy("tbl", "rep", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
@@ -460,7 +460,7 @@ def groups(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words
     many links or labels of very many nodes are spread over several tasks.
     """
     classes, verified = links(records, words, threshold, min_words)
-    members = cut_lineage(membership(cut_lineage(classes)))
+    members = cut_lineage(membership(classes))
     edges = cut_lineage(verified.select("rep_l.tbl", F.col("rep_l.key").alias("l"), F.col("rep_r.key").alias("r")))
     both = edges.select("tbl", F.col("l").alias("node"), F.col("r").alias("near")).unionByName(edges.select("tbl", F.col("r").alias("node"), F.col("l").alias("near")))
     degree = both.groupBy("tbl", "node").agg(F.count("*").alias("links"))
