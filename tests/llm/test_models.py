@@ -84,6 +84,23 @@ def test_defects(languages, question, text, defect):
     assert P.defect_of(question, text, languages) == defect
 
 
+def test_refusals_of_any_length_and_prompts_of_few_words(languages):
+    filler = " The request has been logged and someone from the office will look at it in due course." * 60
+    assert P.defect_of(Q_EN, "I can't help with that question." + filler, languages) == "refusal"
+    assert P.defect_of(Q_EN, "We do not provide information on the plant because of the lease.", languages) is None
+    for q, text in (("Quel était le budget de Quillon Glass plc en 2021 ?", "Le budget a nettement progressé en 2021, car les recettes ont été livrées trop tard."), ("¿Qué pérdidas menciona Quillon Glass plc?", "El consejo aumentó en 2020."), (Q_EN, "67 percent"), (Q_EN, "Kilns, pumps and valves")):
+        assert P.defect_of(q, text, languages) is None
+    assert P.defect_of("Quel était le budget de Quillon Glass plc en 2021 ?", "El consejo aumentó de forma notable, porque las plantas llegaron tarde.", languages) == "language"
+    p = languages.languages.posterior(Q_EN)
+    assert abs(p.sum() - 1) < 1e-9 and p.argmax() == 0
+
+
+def test_end_of_text_likelihood_orders_endings(languages):
+    s = languages.endings.score
+    assert s("Sales rose because of the weather.") > s("Sales rose because of the weather") > s("Sales rose because of the")
+    assert s("Sales rose (including the plant)") > s("Sales rose (including the plant") and s("Sales rose in 2021...") < P.END_FLOOR < s("Sales rose in 2021. [1]")
+
+
 def test_pairs_edge_cases(spark, languages):
     rows = [("t", "1", Q_EN, None, None), ("t", "1", Q_EN, None, None), ("t", "2", Q_EN, "", True), ("t", "3", None, "Sales rose.", False), ("t", "4", Q_EN, "Sales rose. " * 20_000, None)]
     d = spark.createDataFrame(rows, "table_name string, record_id string, question string, text string, exempt boolean").withColumn("defect", F.lit("clash"))
