@@ -1,7 +1,7 @@
 """Filings cut into sections, overlapping windows and disclosure units.
 
-Sections are found with column expressions only: a mark is put before each heading, the text is split at the marks and
-running lengths give the places. Windows depend on each other and run as one pass over Arrow batches.
+Sections alone are found with column expressions: a mark is put before each heading, the text is split at the marks and
+running lengths give the places. Chunks, whose windows depend on each other, come from one pass over Arrow batches.
 """
 
 from __future__ import annotations
@@ -62,13 +62,6 @@ def sections(filings: DataFrame, key: str = "accession", text: str = "text") ->
     return own.unionByName(front.filter(F.length("section_text") > 200))
 
 
-def sections_from_sidecar(texts: DataFrame, sidecars: DataFrame, key: str = "accession") -> DataFrame:
-    """Sections by the offsets stored at download. sidecars: key, sections array of item_number, title, char_start, char_end."""
-    s = texts.join(sidecars.select(key, F.explode("sections").alias("s")), key)
-    end = F.coalesce("s.char_end", F.length("text"))
-    return s.select(key, "s.item_number", F.coalesce(F.nullif(F.col("s.title"), F.lit("")), F.concat(F.lit("Item "), "s.item_number")).alias("title"), F.col("s.char_start").alias("char_start"), strip(F.substring(F.col("text"), F.col("s.char_start") + 1, end - F.col("s.char_start"))).alias("section_text"))
-
-
 _BREAK = re.compile(r"\n\n|(?<=[.!?])\s+")
 
 
@@ -128,19 +121,79 @@ def chunk_id(ticker: Column, source_path: Column, accession: Column, fiscal_year
     return F.concat_ws(":", ticker, item, ordinal.cast("string"), digest)
 
 
+_HEADING = re.compile(HEADING, re.A)
+_ASCII_SPACE = " \t\n\r\x0b\x0c"
+#: A section: item, title as it stands there (None where `made` has one), title of its own, start, text.
+Section = tuple[str, str | None, str | None, int, str]
+
+
+def cut_sections(text: str) -> list[Section]:
+    """The sections of one filing in order of place, as sections() has them."""
+    places: dict[str, tuple[int, str]] = {}
+    for m in _HEADING.finditer(text.replace(_MARK, " ")):
+        places[m[1].upper()] = (m.start(), m[2])
+    if not places:
+        return [("UNKNOWN", None, "Full Document", 0, text)]
+    order = sorted((at, item, title) for item, (at, title) in places.items())
+    ends = [at for at, _, _ in order[1:]] + [len(text)]
+    out: list[Section] = [(item, title, None, at, text[at:end].strip(_ASCII_SPACE)) for (at, item, title), end in zip(order, ends)]
+    front = text[: order[0][0]].strip(_ASCII_SPACE)
+    return [("0", None, "Cover / Front Matter", 0, front), *out] if len(front) > 200 else out
+
+
+def stored_sections(text: str, stored: list[dict]) -> list[Section]:
+    """The sections by the places that a sidecar has of them, in their order; a missing end is that of the text."""
+    out: list[Section] = []
+    for x in sorted(stored, key=lambda x: x["char_start"] or 0):
+        at, end = x["char_start"] or 0, len(text) if x["char_end"] is None else x["char_end"]
+        out.append((x["item_number"] or "UNKNOWN", x["title"] or "", x["title"] or None, at, text[at:end].strip(_ASCII_SPACE)))
+    return out
+
+
 def chunk_filings(filings: DataFrame, size: int = 1800, overlap: int = 200, least: int = 200, by_sections: bool = True) -> DataFrame:
-    """Chunks of whole filings, numbered within the filing; windows that are too short go unless they are the only one."""
-    one = filings.dropDuplicates(["accession"])
-    cut = sections(one) if by_sections else one.select("accession", F.lit("UNKNOWN").alias("item_number"), F.lit("Full Document").alias("title"), F.lit(0).alias("char_start"), F.col("text").alias("section_text"))
-    w = windows(cut, size, overlap, least).filter((F.length("text") >= least) | (F.col("n_windows") == 1))
-    ordinal = F.row_number().over(Window.partitionBy("accession").orderBy("char_start", F.when(F.col("item_number") == "0", 0).otherwise(1), "section_ordinal")) - 1
-    numbered = w.withColumn("ordinal", ordinal)
-    meta = one.drop("text", "loaded_at")
-    j = numbered.join(meta, "accession")
-    start = F.col("char_start") + F.col("offset")
-    return j.select(
-        chunk_id(*(F.col(c) for c in ("ticker", "source_path", "accession", "fiscal_year", "filing_type", "item_number", "ordinal"))).alias("chunk_id"), "text", *meta.columns,
-        F.col("title").alias("section_title"), "item_number", start.alias("char_start"), (start + F.length("text")).alias("char_end"), "section_ordinal",
+    """Chunks of whole filings, numbered within the filing; windows that are too short go unless they are the only one.
+
+    Each row of filings is one filing (see repeats.one_per_key for repeated deliveries); null texts give no chunks. Where
+    it has `sections` of a sidecar, these are taken instead of the headings. Sections and windows come out of one pass
+    over the texts, without a shuffle.
+    """
+    meta = [c for c in filings.columns if c not in ("text", "loaded_at", "sections", "dir")]
+    stored = by_sections and "sections" in filings.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in filings.schema if f.name in meta)
+    names = ["item", "heading", "made", "char_start", "char_end", "section_ordinal", "ordinal", "chunk_text"]
+    types = [pa.string()] * 3 + [pa.int32()] * 4 + [pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, of = [], []
+            sidecars = batch.column("sections").to_pylist() if stored else None
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                if text is None:
+                    continue
+                if sidecars and sidecars[k]:
+                    parts = stored_sections(text, sidecars[k])
+                else:
+                    parts = cut_sections(text) if by_sections else [("UNKNOWN", None, "Full Document", 0, text)]
+                n = 0
+                for item, heading, made, at, body in parts:
+                    spans = window_spans(body, size, overlap, least)
+                    for i, (offset, piece) in enumerate(spans):
+                        if len(piece) >= least or len(spans) == 1:
+                            rows.append((item, heading, made, at + offset, at + offset + len(piece), i, n, piece))
+                            of.append(k)
+                            n += 1
+            cols = list(zip(*rows)) or [()] * len(names)
+            kept = batch.select(meta).take(pa.array(of, pa.int64()))
+            yield pa.record_batch([*kept.columns, *(pa.array(c, t) for c, t in zip(cols, types))], names=[*meta, *(f"_{n}" for n in names)])
+
+    picked = filings.select(*meta, "text", *(["sections"] if stored else []))
+    made = ", ".join(f"_{n} {'int' if t == pa.int32() else 'string'}" for n, t in zip(names, types))
+    w = picked.mapInArrow(run, f"{fields}, {made}")
+    known = F.create_map(*[F.lit(x) for kv in ITEM_TITLES.items() for x in kv])
+    title = F.coalesce("_made", F.try_element_at(known, F.col("_item")), F.nullif(F.initcap(F.trim("_heading")), F.lit("")), F.concat(F.lit("Item "), "_item"))
+    return w.select(
+        chunk_id(*(F.col(c) for c in ("ticker", "source_path", "accession", "fiscal_year", "filing_type", "_item", "_ordinal"))).alias("chunk_id"), F.col("_chunk_text").alias("text"), *meta,
+        title.alias("section_title"), F.col("_item").alias("item_number"), F.col("_char_start").alias("char_start"), F.col("_char_end").alias("char_end"), F.col("_section_ordinal").alias("section_ordinal"),
     )
 
 

@@ -1,8 +1,8 @@
 """Ranked retrieval over tables of queries: BM25, dense vectors, fusion, re-ranking.
 
 A query is a row (query_id, text, and filters where wanted), so one question and a whole evaluation share a plan. Only
-the postings of the query terms are read; scores are added up by (query, chunk) before anything is ranked. Ties go to
-the least ord. Scores are rounded to six places before ranking, so that the order of additions doesn't show.
+the postings of the query terms are read; scores are added up by (query, chunk) before anything is ranked. Whole tables
+of queries are better served by one scan of the texts (operators/scan.py). Ties go to the least key. Scores are rounded to six places before ranking, so that the order of additions doesn't show.
 """
 
 from __future__ import annotations
@@ -14,18 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataline.functions import text as T
+from strataline.operators.repeats import one_per_key
 
 FILTER_KEYS = ("ticker", "company", "cik", "filing_type", "filing_date", "fiscal_year", "accession", "source_url", "source_path", "section_title", "item_number")
 K1, B, RRF_K = 1.5, 0.75, 60
-#: Values of query vectors that are broadcast at once.
-MAX_QUERY_VALUES = 8_000_000
 
 
 def catalog(chunks: DataFrame, *columns: str) -> DataFrame:
     """One row per chunk_id, the first to arrive, with the named columns (all by default); deliveries repeat in ord and loaded_at only."""
-    rest = [c for c in (columns or chunks.columns) if c not in ("chunk_id", "ord")]
-    first = chunks.groupBy("chunk_id").agg(F.min(F.struct("ord", *rest)).alias("r"))
-    return first.select("chunk_id", "r.*")
+    return one_per_key(chunks, "chunk_id", "ord", list(columns) or None)
 
 
 # ---- lexical index ---------------------------------------------------------------------------------------------------
@@ -46,9 +43,9 @@ def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf); idf = ln(1 + (n - df + 0.5) / (df + 0.5)) is positive for every term."""
-    n = F.lit(stats.first().n)  # one row
+def term_stats(posts: DataFrame, stats: DataFrame, n: int | None = None) -> DataFrame:
+    """(term, df, idf); idf = ln(1 + (n - df + 0.5) / (df + 0.5)) is positive for every term. n is that of the statistics."""
+    n = F.lit(stats.first().n if n is None else n)  # one row
     return posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
@@ -59,10 +56,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(posts: DataFrame, stats: DataFrame, queries: DataFrame, key: str = "chunk_id", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, key, score) of every text that shares a term with the query. Statistics are those of the whole corpus, whatever is filtered afterwards."""
-    q = query_terms(queries)
+    q, told = query_terms(queries), stats.first()
     own = posts.join(q.select("term").distinct(), "term", "left_semi")
-    weighted = own.join(term_stats(own, stats), "term")
-    norm = F.lit(stats.first().avgdl or 1.0)
+    weighted = own.join(term_stats(own, stats, told.n), "term")
+    norm = F.lit(told.avgdl or 1.0)
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / norm))
     scored = weighted.select("term", key, part.alias("part"))
     return scored.join(q, "term").groupBy("query_id", key).agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score"))
@@ -103,63 +100,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(dot / bottom)
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score): cosine of each query vector against all vectors, brute force in Arrow blocks.
-
-    queries: query_id, vector. The matrix of the queries goes to every task; a table of more than MAX_QUERY_VALUES
-    values is taken in blocks of about that size, so what is broadcast is bounded.
-    """
-    size = queries.agg(F.sum(F.size("vector"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // MAX_QUERY_VALUES))
-    parts = [_dense_block(vectors, queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b), key, vector) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _dense_block(vectors: DataFrame, queries: DataFrame, key: str, vector: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
-
-    spark = vectors.sparkSession
-    rows = [(r.query_id, r.vector) for r in queries.select("query_id", "vector").collect()]
-    ids = [r[0] for r in rows]
-    q = np.array([r[1] for r in rows], np.float64)
-    shared = spark.sparkContext.broadcast((ids, q))
-    kind = vectors.schema[key].dataType.simpleString()
-    id_kind = queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        ids, q = shared.value
-        qn = np.linalg.norm(q, axis=1) if len(ids) else None
-        for batch in batches:
-            v = np.array(batch.column(1).to_pylist(), np.float64)
-            if not len(v) or not len(ids):
-                continue
-            below = qn[:, None] * np.linalg.norm(v, axis=1)[None, :]
-            s = np.divide(q @ v.T, below, out=np.zeros_like(below), where=below > 0)
-            keys = batch.column(0)
-            for k, i in enumerate(ids):
-                yield pa.record_batch([pa.array([i] * len(v)), keys, pa.array(np.round(s[k], 6))], names=["query_id", key, "score"])
-
-    return vectors.select(key, vector).mapInArrow(run, f"query_id {id_kind}, {key} {kind}, score double")
-
-
 # ---- feature hashing -------------------------------------------------------------------------------------------------
 
 
 def hash_embedding(docs: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 256) -> DataFrame:
     """(key, idx, w): sparse vectors of length 1. A token goes to md5 mod dim, its sign is bit 8 of the md5."""
-    if dim <= 0:
-        raise ValueError("dim must be positive")
-    h = F.md5("term")
-    part = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
-    idx = F.lit(0).cast("long")
-    for k in range(4):
-        idx = (idx * (2**32 % dim) + part(k)) % dim
-    sign = F.when(F.conv(F.substring(h, 30, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    t = docs.select(key, F.explode(T.tokens(F.col(text))).alias("term")).select(key, idx.cast("int").alias("idx"), sign.alias("s"))
-    cells = t.groupBy(key, "idx").agg(F.sum("s").alias("w")).filter("w <> 0")
-    norm = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return cells.join(norm, key).select(key, "idx", (F.col("w") / F.col("norm")).alias("w"))
+    from strataline.operators.scan import hash_cells
+
+    return hash_cells(docs, key, text, dim)
 
 
 def sparse_scores(vectors: DataFrame, queries: DataFrame, key: str = "chunk_id") -> DataFrame:

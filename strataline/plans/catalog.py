@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
-from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, signals, verification
+from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, scan, signals, verification
+from strataline.operators.repeats import one_per_key
 from strataline.session import cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,29 +94,20 @@ def document_frequency_idf(spark, d):
     return retrieval.term_stats(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(spark, d, q=None):
-    q = questions(spark, d) if q is None else q
-    c = catalog(spark, d, "text")
-    stats = cut_lineage(retrieval.corpus_stats(c))
-    return retrieval.bm25_scores(retrieval.postings(c, terms=retrieval.query_terms(q)), stats, q)
-
-
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")
 def bm25_topk(spark, d):
-    return retrieval.top(_bm25(spark, d), 10, "chunk_id")
+    return scan.best_by_words(catalog(spark, d, "text"), questions(spark, d), 10)
 
 
 @query(f"WITH {BM25}, f AS (SELECT bs.* FROM bs JOIN cat USING (chunk_id) JOIN q USING (query_id) WHERE q.ticker IS NULL OR q.ticker = cat.ticker) SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('f')}) WHERE rank < 10")
 def bm25_filtered_topk(spark, d):
-    own = catalog(spark, d).select("chunk_id", F.col("ticker").alias("chunk_ticker"))
-    s = _bm25(spark, d).join(own, "chunk_id").join(questions(spark, d).select("query_id", "ticker"), "query_id")
-    return retrieval.top(s.filter("ticker IS NULL OR ticker = chunk_ticker").select("query_id", "chunk_id", "score"), 10, "chunk_id")
+    return scan.best_by_words(catalog(spark, d, "text", "ticker"), questions(spark, d), 10, group="ticker")
 
 
 @query(f"WITH {BM25.replace('question AS text', chr(34) + 'question' + chr(34) + ' || chr(32) || question AS text')} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 5")
 def bm25_dup_terms(spark, d):
     q = questions(spark, d).withColumn("text", F.concat_ws(" ", "text", "text"))
-    return retrieval.top(_bm25(spark, d, q), 5, "chunk_id")
+    return scan.best_by_words(catalog(spark, d, "text"), q, 5)
 
 
 @query(f"WITH {CAT}, {HASHED.format('h', 'chunk_id', 'cat')} SELECT k AS chunk_id, idx, round(w, 6) AS w FROM hv")
@@ -123,43 +115,36 @@ def hash_embedding(spark, d):
     return retrieval.hash_embedding(catalog(spark, d)).select("chunk_id", "idx", F.round("w", 6).alias("w"))
 
 
-def _hashed(spark, d):
-    q = retrieval.hash_embedding(questions(spark, d), key="query_id")
-    return retrieval.sparse_scores(retrieval.hash_embedding(catalog(spark, d, "text")), q)
-
-
 @query(f"{BOTH} SELECT query_id, chunk_id, score, rank FROM d WHERE rank < 10")
 def hash_dense_topk(spark, d):
-    return retrieval.top(_hashed(spark, d), 10, "chunk_id")
+    return scan.best_by_hash(catalog(spark, d, "text"), questions(spark, d), 10)
 
 
 COS = "round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6)"
 VTOP = "SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id, {} AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 {})) WHERE rank < 10"
 
 
-def _cosine(spark, d):
+def _vectors(spark, d):
     e = read_table(spark, d, "embeddings")
-    return e, retrieval.dense_scores(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")))
+    return e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
 
 
 @query(VTOP.format(COS, ""))
 def cosine_topk(spark, d):
-    return retrieval.top(_cosine(spark, d)[1], 10, "vec_id")
+    return scan.best_by_vector(*_vectors(spark, d), 10)
 
 
 @query(VTOP.format(COS, "AND a.label = b.label"))
 def cosine_filtered_topk(spark, d):
-    e, s = _cosine(spark, d)
-    label = e.select("vec_id", "label")
-    same = s.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").filter("label = ql")
-    return retrieval.top(same.select("query_id", "vec_id", "score"), 10, "vec_id")
+    return scan.best_by_vector(*_vectors(spark, d), 10, group="label")
 
 
 # ---- fusion ----------------------------------------------------------------------------------------------------------
 
 
 def _lists(spark, d):
-    return retrieval.top(_hashed(spark, d), 40, "chunk_id"), retrieval.top(_bm25(spark, d), 40, "chunk_id")
+    c, q = catalog(spark, d, "text"), questions(spark, d)
+    return cut_lineage(scan.best_by_hash(c, q, 40)), cut_lineage(scan.best_by_words(c, q, 40))
 
 
 FULL = "j AS (SELECT query_id, chunk_id, d.score AS dense, b.score AS bm25, d.rank AS dense_rank, b.rank AS bm25_rank FROM d FULL JOIN b USING (query_id, chunk_id))"
@@ -240,9 +225,8 @@ def chunk_ids(spark, d):
 
 
 def _filings(spark, d):
-    f = read_table(spark, d, "filings")
-    rest = [c for c in f.columns if c not in ("accession", "loaded_at")]
-    return f.groupBy("accession").agg(F.max(F.struct("loaded_at", *rest)).alias("r")).select("accession", *[f"r.{c}" for c in rest])
+    """One row per accession, the last delivery."""
+    return one_per_key(read_table(spark, d, "filings"), "accession", "loaded_at", last=True).drop("loaded_at")
 
 
 HEAD_RE = r"(?im)^\s*ITEM\s+(\d{1,2}[A-C]?)\s*[.:\-—]?\s*([^\n]{0,80})"
@@ -561,7 +545,7 @@ def snapshot_diff(spark, d):
 
 def _gold(spark, d):
     """The lexical best of each question stands in for a judged chunk."""
-    return retrieval.top(_bm25(spark, d), 3, "chunk_id").select("query_id", "chunk_id")
+    return scan.best_by_words(catalog(spark, d, "text"), questions(spark, d), 3).select("query_id", "chunk_id")
 
 
 @query()

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataline.operators import evaluation as E
+from strataline.operators import repeats
 from strataline.operators import retrieval as R
+from strataline.operators import scan as S
 
 DOCS = {"a": "supply chain risk in glass manufacturing", "b": "supply of sand; supply of soda", "c": "legal matters", "d": "", "e": "risk risk risk"}
 QUERIES = {"q1": "supply chain", "q2": "risk risk", "q3": "nothing here"}
@@ -72,7 +74,7 @@ def test_cosine_forms_agree(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.0, 0.0]), (2, [-1.0, 0.5]), (3, [2.0, 4.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    got = {(r.query_id, r.vec_id): r.score for r in R.dense_scores(v, q).collect()}
+    got = {(r.query_id, r.vec_id): r.score for r in S.best_by_vector(v, q, 9).collect()}
     x = v.crossJoin(q).select("query_id", "vec_id", R.cosine(F.col("vector"), F.col("embedding")).alias("s")).collect()
     assert got == pytest.approx({(r.query_id, r.vec_id): r.s for r in x}, abs=1e-6) and got[0, 1] == 0.0 and got[0, 3] == 1.0
 
@@ -144,3 +146,33 @@ def test_weight_sweep_and_enforcement(spark):
     cases = spark.createDataFrame([("c", ["x", "y"], ["1A"])], "case_id string, expected_signals array<string>, expected_items array<string>")
     r = E.enforcement(cases, spark.createDataFrame([("c", "x")], "case_id string, signal_type string"), spark.createDataFrame([("z", "1A")], "case_id string, item_number string")).first()
     assert (r.signal_recall, r.evidence_recall) == (0.5, 0.0)
+
+
+def test_scans_agree_with_the_postings(lists):
+    docs, q, dense, bm = lists
+    for got, all_scores in ((S.best_by_words(docs, q, 3), bm), (S.best_by_hash(docs, q, 3, dim=64), dense)):
+        want = R.top(all_scores, 3, "chunk_id")
+        assert sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in got.collect()) == sorted((r.query_id, r.chunk_id, r.score, r["rank"]) for r in want.collect())
+
+
+def test_scan_blocks_groups_ties_and_nulls(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"c{k}", t, g) for k, (t, g) in enumerate([("kiln", "A"), ("kiln", "B"), ("kiln", "A"), ("pump", None), (None, "A"), ("", "B")])], "chunk_id string, text string, ticker string").withColumns({"score": F.lit(1), "rank": F.lit(1)})
+    q = spark.createDataFrame([("a", "kiln", "A"), ("b", "kiln", None), ("c", "", None), ("d", None, "A"), ("e", "pump", "A")], "query_id string, text string, ticker string")
+    got = lambda **k: {(r.query_id, r.chunk_id) for r in S.best_by_words(docs, q, 2, **k).collect()}
+    assert got(group="ticker") == {("a", "c0"), ("a", "c2"), ("b", "c0"), ("b", "c1")}
+    assert got() == {("a", "c0"), ("a", "c1"), ("b", "c0"), ("b", "c1"), ("e", "c3")}
+    monkeypatch.setattr(S, "QUERIES", 1)
+    assert got() == {("a", "c0"), ("a", "c1"), ("b", "c0"), ("b", "c1"), ("e", "c3")}
+    assert S.best_by_words(docs.limit(0), q, 2).count() == 0 and S.best_by_words(docs, q.limit(0), 2).count() == 0 and S.best_by_hash(docs, q.limit(0), 2).count() == 0
+
+
+def test_one_row_per_key(spark, monkeypatch):
+    d = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z"), (None, 7, "u"), (None, 6, "v")], "k string, o int, v string")
+    want = [("a", 1, "y"), ("b", 5, "z"), (None, 6, "v")]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(repeats.one_per_key(d, "k", "o")) == sorted(want, key=str)
+    assert rows(repeats.one_per_key(d, "k", "o", ["v"], last=True)) == sorted([("a", 2, "x"), ("b", 5, "z"), (None, 7, "u")], key=str)
+    ties = d.unionByName(spark.createDataFrame([("a", 1, "w"), ("b", None, "q")], "k string, o int, v string"))
+    assert {r.k: r.v for r in repeats.one_per_key(ties, "k", "o").collect()} == {"a": "w", "b": "q", None: "v"}
+    monkeypatch.setattr(repeats, "FEW", 0)
+    assert rows(repeats.one_per_key(d, "k", "o")) == sorted(want, key=str) and repeats.one_per_key(d.limit(0), "k", "o").count() == 0
