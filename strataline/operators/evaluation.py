@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strataline.session import cut_lineage
 
+#: Ranges of values that nearest_rank counts by.
+RANGES = 64
+# Names of metrics as snapshots have them.
 #: Metrics where more is better; for all others less is.
 HIGHER = ("recall@k", "mrr", "map@k", "citation_correctness", "abstention_recall", "mean_groundedness", "lexical_groundedness", "fully_grounded_rate")
 TOLERANCE = 0.01
@@ -61,28 +65,84 @@ def distinct_in_rank_order(hits: DataFrame, value: str, by: str = "query_id") ->
     return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", value))), lambda x: x[value]).alias("values"))
 
 
-def nearest_rank(df: DataFrame, value: str, percent: float, *by: str) -> DataFrame:
-    """(*by, value): the element at round(percent / 100 * (n - 1)), halves to even; no interpolation.
+def relevance(cases: DataFrame, hits: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """cases with values (what was retrieved, in rank order) and gold (what is relevant).
 
-    Counts come first, then one row a group is taken by its number, so no group is gathered.
+    A case with relevant_passages is judged by chunk: those retrieved that hold at least `threshold` of the words of a
+    passage are relevant. The others are judged by item number, each at its best rank, against relevant_items.
+    cases: query_id, relevant_items, relevant_passages; hits: query_id, chunk_id, rank; chunks: chunk_id, item_number, text.
     """
-    w = Window.partitionBy(*by).orderBy(value) if by else Window.orderBy(value)
-    n = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy())
-    at = F.bround(F.lit(percent / 100) * (n - 1), 0).cast("long")
-    return df.filter(F.col(value).isNotNull()).withColumns({"at": at, "i": F.row_number().over(w) - 1}).filter("i = at").select(*by, value)
+    none = F.array().cast("array<string>")
+    c = cases.withColumns({"relevant_items": F.coalesce("relevant_items", none), "relevant_passages": F.coalesce("relevant_passages", none)})
+    by_passage = F.size("relevant_passages") > 0
+    h = hits.select("query_id", "chunk_id", "rank").join(chunks.select("chunk_id", "item_number", "text"), "chunk_id").join(c.select("query_id", "relevant_passages"), "query_id")
+    h = h.select("query_id", F.when(by_passage, F.col("chunk_id")).otherwise(F.col("item_number")).alias("value"), "rank", F.when(by_passage, passage_hit(F.col("text"), F.col("relevant_passages"), threshold)).otherwise(False).alias("hit"))
+    each = h.groupBy("query_id", "value").agg(F.min("rank").alias("r"), F.max("hit").alias("hit"))
+    lists = F.array_sort(F.collect_list(F.struct("r", "value", "hit")))
+    g = each.groupBy("query_id").agg(lists.alias("l")).select("query_id", F.transform("l", lambda x: x["value"]).alias("values"), F.transform(F.filter("l", lambda x: x["hit"]), lambda x: x["value"]).alias("_hits"))
+    j = c.join(g, "query_id", "left")
+    return j.withColumns({"values": F.coalesce("values", none), "gold": F.when(by_passage, F.coalesce("_hits", none)).otherwise(F.array_distinct("relevant_items"))}).drop("_hits")
+
 
+def citation_correctness(cited: Column, gold: Column) -> Column:
+    """Share of the citations, repeats counted, that are relevant; 0 without citations."""
+    return F.when(F.size(cited) == 0, 0.0).otherwise(F.size(F.filter(cited, lambda x: F.array_contains(gold, x))) / F.size(cited))
+
+
+def nearest_rank(df: DataFrame, value: str, percent: float, *by: str) -> DataFrame:
+    """(*by, value): the element at round(percent / 100 * (n - 1)), halves to even; no interpolation. Nulls are left out.
 
-def roll_up(cases: DataFrame) -> DataFrame:
-    """One row of metrics over cases: recall, rr, ap, abstained, answerable, citations_ok, groundedness, contradicted."""
+    Equal values are counted before anything is shuffled and only the counts are ordered. Values are cut into ranges
+    whose counts tell in which range the element of each group lies, so each task orders a part of one range at most.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*by, value).agg(F.count("*").alias("n"))
+    bounds = known.select(F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], RANGES * 20).alias("b")).first()
+    edges = sorted(set(bounds.b)) if bounds and bounds.b else []  # RANGES values at most
+    part = F.lit(0)
+    for e in edges:
+        part = part + F.when(F.col(value) > e, 1).otherwise(0)
+    placed = cut_lineage(counts.withColumn("_part", part))
+    keys = list(by)
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("n").alias("s"))
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = sums.withColumns({"before": F.sum("s").over(over.orderBy("_part")) - F.col("s"), "total": F.sum("s").over(over)})  # RANGES rows a group
+    sums = sums.withColumn("at", F.bround(F.lit(percent / 100) * (F.col("total") - 1), 0).cast("long"))
+    home = sums.filter((F.col("before") <= F.col("at")) & (F.col("at") < F.col("before") + F.col("s"))).select(*keys, "_part", "before", "at")
+    inside = placed.join(F.broadcast(home) if not keys else home, [*keys, "_part"])
+    w = Window.partitionBy(*keys, "_part").orderBy(value)
+    run = inside.withColumn("upto", F.sum("n").over(w) + F.col("before"))
+    return run.filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n"))).select(*by, value)
+
+
+def roll_up(cases: DataFrame, lexical: bool = True) -> DataFrame:
+    """One row of metrics over cases: query_id, recall, rr, ap, answerable, abstained, citations_ok, groundedness, contradicted, and latency_ms if there.
+
+    An answer hallucinates if it is given to an unanswerable case, or cites nothing relevant. Groundedness is averaged
+    over answers to answerable cases; a lexical judge sees no contradictions, so their rate is left out for it.
+    """
     answered = ~F.col("abstained")
-    return cases.agg(
-        F.count("*").alias("n_cases"), F.round(F.avg("recall"), 6).alias("recall_at_k"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ap"), 6).alias("map_at_k"),
-        F.round(F.avg(F.when(answered, F.col("citations_ok"))), 6).alias("citation_correctness"),
-        F.round(F.avg(F.when(~F.col("answerable"), answered.cast("int"))), 6).alias("hallucination_rate"),
-        F.round(F.avg(F.when(~F.col("answerable"), F.col("abstained").cast("int"))), 6).alias("abstention_recall"),
-        F.round(F.avg(F.when(answered, F.col("groundedness"))), 6).alias("mean_groundedness"),
-        F.round(F.avg(F.when(answered, (F.col("groundedness") >= 1).cast("int"))), 6).alias("fully_grounded_rate"),
-    )
+    told = F.col("answerable") & answered
+    lies = answered & (~F.col("answerable") | (F.col("citations_ok") == 0))
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name)
+    out = [
+        F.count("*").alias("n_cases"), mean("recall", "recall_at_k"), mean("rr", "mrr"), mean("ap", "map_at_k"), mean(F.when(F.col("answerable"), F.col("citations_ok")), "citation_correctness"),
+        mean(lies.cast("int"), "hallucination_rate"), F.round(F.avg(F.when(~F.col("answerable"), F.col("abstained").cast("int"))), 6).alias("abstention_recall"),
+        mean(F.when(told, F.col("groundedness")), "lexical_groundedness" if lexical else "mean_groundedness"), mean(F.when(told, (F.col("groundedness") >= 1).cast("int")), "fully_grounded_rate"),
+    ]
+    if not lexical:
+        out.append(mean(F.when(told, (F.col("contradicted") > 0).cast("int")), "contradiction_rate"))
+    if "latency_ms" in cases.columns:
+        out += [mean("latency_ms", "mean_latency_ms"), F.max("_p95").alias("p95_latency_ms")]
+        cases = cases.crossJoin(F.broadcast(nearest_rank(cases, "latency_ms", 95).select(F.col("latency_ms").alias("_p95"))))  # one row
+    return cases.agg(*out)
+
+
+def as_metrics(rolled: DataFrame) -> DataFrame:
+    """(metric, value), one row for each metric of a roll-up, by the names that snapshots use."""
+    names = {"recall_at_k": "recall@k", "map_at_k": "map@k"}
+    pairs = [F.struct(F.lit(names.get(c, c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in rolled.columns if c != "n_cases"]
+    return rolled.select(F.explode(F.array(*pairs)).alias("m")).select("m.*").filter("value IS NOT NULL")
 
 
 def snapshot_diff(current: DataFrame, baseline: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
@@ -118,13 +178,24 @@ def weight_sweep(dense: DataFrame, lexical: DataFrame, gold: DataFrame, step: fl
 
 
 def enforcement(cases: DataFrame, signals: DataFrame, items: DataFrame) -> DataFrame:
-    """(case_id, signal_recall, evidence_recall): expected signals and items found for each case.
+    """(case_id, signal_recall, evidence_recall): expected signals found in the chunks of the case's ticker, and expected items retrieved.
 
-    cases: case_id, expected_signals, expected_items; signals: case_id, signal_type; items: case_id, item_number.
+    cases: case_id, ticker, expected_signals, expected_items; signals: ticker, signal_type; items: case_id, item_number of
+    what was retrieved for the case. A case without ticker looks at all chunks; tickers match without regard to case.
     """
-    s = signals.groupBy("case_id").agg(F.collect_set("signal_type").alias("s"))
-    i = items.groupBy("case_id").agg(F.collect_set("item_number").alias("i"))
     none = F.array().cast("array<string>")
-    share = lambda got, want: F.when(F.size(F.array_distinct(want)) == 0, 0.0).otherwise(F.size(F.array_intersect(F.coalesce(got, none), F.array_distinct(F.col(want)))) / F.size(F.array_distinct(want)))
-    j = cases.join(s, "case_id", "left").join(i, "case_id", "left")
-    return j.select("case_id", F.round(share("s", "expected_signals"), 6).alias("signal_recall"), F.round(share("i", "expected_items"), 6).alias("evidence_recall"))
+    kinds = signals.select(F.upper("ticker").alias("_ticker"), "signal_type").distinct()
+    each = kinds.groupBy("_ticker").agg(F.collect_set("signal_type").alias("s"))
+    whole = F.broadcast(kinds.agg(F.collect_set("signal_type").alias("all_s")))  # one row
+    i = items.groupBy("case_id").agg(F.collect_set("item_number").alias("i"))
+    c = cases.withColumn("_ticker", F.upper(F.nullif(F.col("ticker"), F.lit(""))))
+    j = c.join(each, "_ticker", "left").crossJoin(whole).join(i, "case_id", "left")
+    got = F.when(F.col("_ticker").isNull(), F.col("all_s")).otherwise(F.col("s"))
+    share = lambda got, want: F.when(F.size(F.array_distinct(F.coalesce(F.col(want), none))) == 0, 0.0).otherwise(F.size(F.array_intersect(F.coalesce(got, none), F.array_distinct(F.col(want)))) / F.size(F.array_distinct(F.col(want))))
+    return j.select("case_id", F.round(share(got, "expected_signals"), 6).alias("signal_recall"), F.round(share(F.col("i"), "expected_items"), 6).alias("evidence_recall"))
+
+
+def enforcement_means(results: DataFrame) -> DataFrame:
+    """One row: the number of cases and the means of their recalls, 0 without cases."""
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(name)
+    return results.agg(F.count("*").alias("n_cases"), mean("signal_recall", "signal_recall"), mean("evidence_recall", "evidence_retrieval_recall"))

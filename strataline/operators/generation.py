@@ -26,6 +26,45 @@ def format_context(context: DataFrame) -> DataFrame:
     return g.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("prompt_context"))
 
 
+def extraction_context(context: DataFrame) -> DataFrame:
+    """(query_id, prompt_context): numbered excerpts as extraction has them, best first."""
+    block = F.format_string("[%d] (%s %s %s, %s) %s", "n", "ticker", "filing_type", "filing_date", "section_title", "text")
+    g = context.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("n", block.alias("b")))).alias("l"))
+    return g.select("query_id", F.array_join(F.transform("l", lambda x: x["b"]), "\n\n").alias("prompt_context"))
+
+
+def numbered_blocks(prompt_context: Column) -> Column:
+    """array<struct<n, text>> of a context: what stands from each `[n]` at the start of a line to the next."""
+    parts = F.filter(F.split(prompt_context, r"(?:^|\n)(?=\[\d+\])"), lambda x: x.rlike(r"^\[\d+\]"))
+    return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, r"^\[(\d+)\]", 1).cast("int").alias("n"), F.trim(F.regexp_replace(x, r"^\[\d+\]", "")).alias("text")))
+
+
+#: Instructions for models that answer, judge and repair; the operators only put them together.
+SYSTEM = "Answer from the numbered excerpts alone and cite them as [n]. If they don't hold the answer, reply " + INSUFFICIENT + "."
+JUDGE_SYSTEM = 'Judge each claim by the excerpts. Reply with JSON: {"claims": [{"claim", "verdict": SUPPORTED, PARTIAL, CONTRADICTED or UNSUPPORTED, "citation", "quote"}]}.'
+
+
+def user_prompt(contexts: DataFrame) -> DataFrame:
+    """contexts (query_id, text, prompt_context) with `prompt`: the excerpts, then the question."""
+    return contexts.withColumn("prompt", F.format_string("CONTEXT:\n%s\n\nQUESTION: %s\n\nANSWER:", "prompt_context", "text"))
+
+
+def judge_prompt(answers: DataFrame) -> DataFrame:
+    """answers (query_id, answer, prompt_context) with `prompt` for a judge."""
+    return answers.withColumn("prompt", F.format_string("CONTEXT:\n%s\n\nANSWER: %s\n\nCLAIMS:", "prompt_context", "answer"))
+
+
+def repair_prompt(answers: DataFrame) -> DataFrame:
+    """answers (query_id, text, answer, flagged array of claims, prompt_context) with `prompt`: the question again, naming the claims that failed."""
+    listed = F.array_join(F.transform("flagged", lambda c: F.concat(F.lit("- "), c)), "\n")
+    return answers.withColumn("prompt", F.format_string("CONTEXT:\n%s\n\nQUESTION: %s\n\nDRAFT: %s\n\nUNSUPPORTED:\n%s\n\nANSWER:", "prompt_context", "text", "answer", listed))
+
+
+def marked(prompt: Column, name: str) -> Column:
+    """What stands after `NAME:` up to the next mark of three or more capitals at the start of a line."""
+    return F.trim(F.regexp_extract(prompt, rf"(?s)(?:^|\n){name}:[ \t]*\n?(.*?)(?=\n+[A-Z]{{3,}}:|$)", 1))
+
+
 def extract(queries: DataFrame, context: DataFrame, most: int = SENTENCES) -> DataFrame:
     """(query_id, answer): the sentences of the context closest to the question and the numbers of their excerpts.
 

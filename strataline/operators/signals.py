@@ -40,6 +40,12 @@ def detect(chunks: DataFrame, lexicon: dict[str, list[str]] | None = None, key:
     return hits.select(key, "s.signal_type", "s.phrase", snippet(F.col("text"), F.col("s.phrase")).alias("snippet"))
 
 
+def by_type(signals: DataFrame, *by: str) -> DataFrame:
+    """(*by, signal_type, n, phrases): the number of hits of each signal, and its phrases in order, separated by "; "."""
+    g = signals.groupBy(*by, "signal_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("phrase")).alias("p"))  # phrases of the lexicon
+    return g.select(*by, "signal_type", "n", F.array_join("p", "; ").alias("phrases"))
+
+
 def monitor(diffs: DataFrame, signals: DataFrame, by: str = "ticker") -> DataFrame:
     """One row per ticker: new and removed risk factors, new litigation, signals, and whether going concern is among them.
 

@@ -47,6 +47,29 @@ KEYWORDS = f"list_filter(list_distinct({TOKENS}), lambda w: length(w) > 2 AND NO
 SENTENCES = r"list_filter(string_split(regexp_replace(regexp_replace({}, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
 CAT = "cat AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ord) = 1)"
 Q = "q AS (SELECT id AS query_id, question AS text, ticker FROM eval_cases)"
+#: White space: of ASCII, of column expressions that say (?U), and of Python.
+AWS, UWS, PWS = r"[\t-\r ]", r"[\t-\r\x20\x85\p{Z}]", r"[\t-\r\x1c-\x20\x85\p{Z}]"
+
+
+def _strip(expr: str, ws: str = AWS) -> str:
+    return f"regexp_replace({expr}, '^{ws}+|{ws}+$', '', 'g')"
+
+
+def _windows(size: int, overlap: int, least: int) -> str:
+    """CTEs from src (k, body) to wn (k, ord, place, text, n_windows)."""
+    return rf"""wt AS (SELECT k, {_strip('body', PWS)} AS t FROM src),
+wp AS (SELECT k, t, string_split(regexp_replace(t, '[.!?](?:\n\n|{PWS}+)|\n\n', '\0' || chr(1), 'g'), chr(1)) AS parts FROM wt),
+wi AS (SELECT k, t, length(t) AS n, list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))) AS br FROM wp),
+rc AS (SELECT k, 0 AS pos, 0 AS i FROM wi WHERE n > {size} UNION ALL
+  SELECT k, nxt AS pos, i + 1 AS i FROM (SELECT k, i, n, pos, CASE WHEN e - {overlap} > pos THEN e - {overlap} ELSE e END AS nxt
+    FROM (SELECT rc.k, i, n, pos, coalesce(list_max(list_filter(br, lambda b: b > pos AND b <= pos + {size})), pos + {size})::INT AS e FROM rc JOIN wi USING (k) WHERE pos + {size} < n)) WHERE nxt < n),
+wb AS (SELECT k, i, pos, {_strip('substr(t, pos + 1, (e - pos)::INT)', PWS)} AS body FROM (SELECT rc.k, i, pos, t, CASE WHEN pos + {size} < n THEN coalesce(list_max(list_filter(br, lambda b: b > pos AND b <= pos + {size})), pos + {size}) ELSE pos + {size} END AS e FROM rc JOIN wi USING (k))
+  UNION ALL SELECT k, 0, 0, t FROM wi WHERE n <= {size}),
+wo AS (SELECT k, pos, body, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS ord, count(*) OVER (PARTITION BY k) AS cnt, last_value(body) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail FROM wb WHERE body <> ''),
+wn AS (SELECT k, ord, pos AS place, CASE WHEN cnt > 1 AND length(tail) < {least} AND ord = cnt - 2 THEN body || ' ' || tail ELSE body END AS text, CASE WHEN cnt > 1 AND length(tail) < {least} THEN cnt - 1 ELSE cnt END AS n_windows
+  FROM wo WHERE NOT (cnt > 1 AND length(tail) < {least} AND ord = cnt - 1))"""
+
+
 INDEX = f"""{CAT},
 tok AS (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM cat),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -241,23 +264,32 @@ def section_headings(spark, d):
     return chunking.headings(_filings(spark, d)).select("accession", "item_number", "start")
 
 
-@query(rf"""WITH {HEADS}, la AS (SELECT accession, item_number, max(start) AS char_start FROM it GROUP BY ALL), nx AS (SELECT *, lead(char_start) OVER (PARTITION BY accession ORDER BY char_start) AS next, min(char_start) OVER (PARTITION BY accession) AS first FROM la),
-x AS (SELECT nx.accession, item_number, char_start, length(regexp_replace(substr(text, char_start + 1, coalesce(next, length(text)) - char_start), '^\s+|\s+$', '', 'g')) AS size FROM nx JOIN fl USING (accession)
-UNION ALL SELECT accession, 'UNKNOWN', 0, length(text) FROM fl WHERE accession NOT IN (SELECT accession FROM it)
-UNION ALL SELECT * FROM (SELECT nx.accession, '0', 0, length(regexp_replace(substr(text, 1, first), '^\s+|\s+$', '', 'g')) AS size FROM nx JOIN fl USING (accession) WHERE char_start = first) WHERE size > 200)
-SELECT * FROM x""")
+_TITLES = "MAP {" + ", ".join("'" + k + "': '" + v.replace("'", "''") + "'" for k, v in chunking.ITEM_TITLES.items()) + "}"
+SECTIONS = rf"""{HEADS}, la AS (SELECT accession, upper(regexp_extract(part, '{HEAD_RE}', 1)) AS item_number, max(start) AS char_start, arg_max(regexp_extract(part, '{HEAD_RE}', 2), start) AS raw FROM hd WHERE n > 1 GROUP BY ALL),
+nx AS (SELECT *, lead(char_start) OVER (PARTITION BY accession ORDER BY char_start) AS next, min(char_start) OVER (PARTITION BY accession) AS first FROM la),
+fx AS (SELECT accession, text FROM filings QUALIFY row_number() OVER (PARTITION BY accession ORDER BY loaded_at DESC) = 1),
+sc AS (SELECT nx.accession, item_number, coalesce({_TITLES}[item_number], nullif(array_to_string(list_transform(string_split(lower(trim(raw)), ' '), lambda w: upper(w[1]) || substr(w, 2)), ' '), ''), 'Item ' || item_number) AS title, char_start, {_strip("substr(text, char_start + 1, coalesce(next, length(text)) - char_start)")} AS body FROM nx JOIN fx USING (accession)
+UNION ALL SELECT accession, 'UNKNOWN', 'Full Document', 0, text FROM fx WHERE accession NOT IN (SELECT accession FROM it)
+UNION ALL SELECT * FROM (SELECT nx.accession, '0', 'Cover / Front Matter', 0, {_strip("substr(text, 1, first)")} AS body FROM nx JOIN fx USING (accession) WHERE char_start = first) WHERE length(body) > 200)"""
+
+
+@query(f"WITH {SECTIONS} SELECT accession, item_number, title, char_start, length(body) AS size, md5(body) AS digest FROM sc")
 def section_split(spark, d):
-    return chunking.sections(_filings(spark, d)).select("accession", "item_number", "char_start", F.length("section_text").alias("size"))
+    return chunking.sections(_filings(spark, d)).select("accession", "item_number", "title", "char_start", F.length("section_text").alias("size"), F.md5("section_text").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SECTIONS}, sn AS (SELECT row_number() OVER () AS k, * FROM sc), src AS (SELECT k, body FROM sn), {_windows(1800, 200, 200)},
+nu AS (SELECT sn.accession, item_number, title, (char_start + place)::INT AS char_start, ord, wn.text, row_number() OVER (PARTITION BY sn.accession ORDER BY char_start, item_number <> '0', ord) - 1 AS nr FROM wn JOIN sn USING (k) WHERE length(wn.text) >= 200 OR n_windows = 1),
+me AS (SELECT accession, ticker, filing_type, fiscal_year, list_last(string_split(source_path, '/')) AS name FROM filings QUALIFY row_number() OVER (PARTITION BY accession ORDER BY loaded_at DESC) = 1)
+SELECT concat_ws(':', ticker, item_number, nr, substr(sha1(concat_ws('|', ticker, CASE WHEN name = '' THEN accession ELSE name END, fiscal_year, filing_type, item_number, nr)), 1, 12)) AS chunk_id, accession, item_number, title AS section_title, char_start, char_start + length(text) AS char_end, ord AS section_ordinal, text
+FROM nu JOIN me USING (accession)""")
 def chunk_filing(spark, d):
     return chunking.chunk_filings(_filings(spark, d)).select("chunk_id", "accession", "item_number", "section_title", "char_start", "char_end", "section_ordinal", "text")
 
 
-@query()
+@query(f"WITH RECURSIVE {CAT}, src AS (SELECT chunk_id AS k, text AS body FROM cat), {_windows(600, 80, 60)} SELECT k AS chunk_id, ord AS section_ordinal, place AS \"offset\", text FROM wn")
 def window_split(spark, d):
-    parts = catalog(spark, d).select("chunk_id", F.col("text").alias("section_text"))
+    parts = catalog(spark, d, "text").select("chunk_id", F.col("text").alias("section_text"))
     return chunking.windows(parts, 600, 80, 60).select("chunk_id", "section_ordinal", "offset", "text")
 
 
@@ -273,10 +305,20 @@ def keyword_sets(spark, d):
     return catalog(spark, d).select("chunk_id", F.size(k).alias("n"), F.array_join(F.array_sort(k), " ").alias("words"))
 
 
-@query()
+def _units(expr: str, alias: str, source: str, *keys: str) -> str:
+    """CTEs to alias (*keys, us): the disclosure units of a text column of the source."""
+    k = ", ".join(keys)
+    return rf"""{alias}p AS (SELECT {k}, list_filter(list_transform(string_split(regexp_replace({expr}, '\n{AWS}*\n', chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') AS ps FROM {source}),
+{alias}f AS (SELECT {k}, list_filter(list_transform(flatten(list_transform(ps, lambda p: string_split(regexp_replace(p, '([.!?]){AWS}+|\n+', '\1' || chr(1), 'g'), chr(1)))), lambda x: {_strip('x')}), lambda x: x <> '') AS fs FROM {alias}p),
+{alias}g AS (SELECT {k}, list_reduce(list_transform(fs, lambda x: {{'done': []::VARCHAR[], 'held': x}}), lambda acc, y: CASE WHEN length(CASE WHEN acc.held = '' THEN y.held ELSE acc.held || ' ' || y.held END) >= 80
+  THEN {{'done': list_append(acc.done, CASE WHEN acc.held = '' THEN y.held ELSE acc.held || ' ' || y.held END), 'held': ''}} ELSE {{'done': acc.done, 'held': CASE WHEN acc.held = '' THEN y.held ELSE acc.held || ' ' || y.held END}} END, {{'done': []::VARCHAR[], 'held': ''}}) AS g FROM {alias}f),
+{alias} AS (SELECT {k}, CASE WHEN g.held = '' THEN g.done WHEN len(g.done) > 0 THEN list_append(g.done[:len(g.done) - 1], g.done[len(g.done)] || ' ' || g.held) ELSE [g.held] END AS us FROM {alias}g)"""
+
+
+@query(f"WITH {CAT}, {_units('text', 'un', 'cat', 'chunk_id')} SELECT chunk_id, generate_subscripts(us, 1) - 1 AS place, unnest(us) AS unit FROM un")
 def disclosure_units(spark, d):
     u = chunking.units(F.col("text"))
-    return catalog(spark, d).select("chunk_id", F.posexplode(u).alias("place", "unit"))
+    return catalog(spark, d, "text").select("chunk_id", F.posexplode(u).alias("place", "unit"))
 
 
 @query(r"SELECT DISTINCT accession, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM filings")
@@ -296,9 +338,39 @@ def jaccard_pairs(spark, d):
     return a.select("answer_id", F.round(sim, 6).alias("similarity")).distinct()
 
 
-@query()
+_TOKSET = f"list_distinct({TOKENS})"
+DIFF = rf"""{CAT}, kc AS (SELECT *, upper(ticker) AS tk FROM cat WHERE filing_type = '10-K'),
+en AS (SELECT tk, min(fiscal_year) AS ya, max(fiscal_year) AS yb FROM kc WHERE regexp_matches(fiscal_year, '^[0-9]{{4}}$') GROUP BY tk HAVING min(fiscal_year) < max(fiscal_year)),
+tx AS (SELECT tk, ya, yb, item_number, fiscal_year = yb AS is_b, string_agg(text, chr(10) || chr(10) ORDER BY char_start NULLS FIRST, ord) AS body, first(section_title ORDER BY char_start NULLS FIRST, ord) AS title
+  FROM kc JOIN en USING (tk) WHERE fiscal_year IN (ya, yb) AND item_number NOT IN ('UNKNOWN', '0') GROUP BY ALL),
+pr AS (SELECT tk, ya, yb, item_number, coalesce(a.body, '') AS ta, coalesce(b.body, '') AS tb, coalesce(b.title, 'Item ' || item_number) AS title
+  FROM (SELECT * FROM tx WHERE NOT is_b) a FULL JOIN (SELECT * FROM tx WHERE is_b) b USING (tk, ya, yb, item_number)),
+{_units('ta', 'va', 'pr', 'tk', 'item_number')}, {_units('tb', 'vb', 'pr', 'tk', 'item_number')},
+ea AS (SELECT tk, item_number, i, u, {_TOKSET.format('u')} AS w FROM (SELECT tk, item_number, generate_subscripts(us, 1) AS i, unnest(us) AS u FROM va)),
+eb AS (SELECT tk, item_number, j, u, {_TOKSET.format('u')} AS w FROM (SELECT tk, item_number, generate_subscripts(us, 1) AS j, unnest(us) AS u FROM vb)),
+si AS (SELECT eb.tk, eb.item_number, j, i, {JAC.format('ea.w', 'eb.w')} AS s FROM eb JOIN ea ON ea.tk = eb.tk AND ea.item_number = eb.item_number),
+sl AS (SELECT eb.tk, eb.item_number, eb.j, list({{'i': i, 's': s}} ORDER BY s DESC, i) FILTER (WHERE s >= 0.3) AS near FROM eb LEFT JOIN si ON si.tk = eb.tk AND si.item_number = eb.item_number AND si.j = eb.j GROUP BY ALL),
+al AS (SELECT tk, item_number, 0::BIGINT AS j, []::BIGINT[] AS used, NULL::BIGINT AS i, NULL::DOUBLE AS s FROM pr UNION ALL
+  SELECT tk, item_number, j, CASE WHEN best IS NULL THEN used ELSE list_append(used, best.i) END, best.i, best.s
+  FROM (SELECT sl.tk, sl.item_number, sl.j, used, list_filter(coalesce(near, []), lambda x: NOT list_contains(used, x.i))[1] AS best FROM al JOIN sl ON sl.tk = al.tk AND sl.item_number = al.item_number AND sl.j = al.j + 1)),
+en2 AS (SELECT tk, item_number, used FROM al QUALIFY row_number() OVER (PARTITION BY tk, item_number ORDER BY j DESC) = 1),
+ad AS (SELECT al.tk, al.item_number, count(*) AS n, string_agg(u, '|' ORDER BY al.j) AS t FROM al JOIN eb ON eb.tk = al.tk AND eb.item_number = al.item_number AND eb.j = al.j WHERE al.i IS NULL GROUP BY ALL),
+ch AS (SELECT al.tk, al.item_number, count(*) AS n, string_agg(ea.u || '>' || eb.u, '|' ORDER BY al.j) AS t FROM al JOIN eb ON eb.tk = al.tk AND eb.item_number = al.item_number AND eb.j = al.j JOIN ea ON ea.tk = al.tk AND ea.item_number = al.item_number AND ea.i = al.i WHERE al.s < 0.65 GROUP BY ALL),
+rm AS (SELECT ea.tk, ea.item_number, count(*) AS n, string_agg(u, '|' ORDER BY ea.i) AS t FROM ea JOIN en2 ON en2.tk = ea.tk AND en2.item_number = ea.item_number WHERE NOT list_contains(used, ea.i) GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {DIFF} SELECT pr.tk AS ticker, pr.item_number, title AS section_title, ya AS label_a, yb AS label_b, round({JAC.format(_TOKSET.format('ta'), _TOKSET.format('tb'))}, 6) AS similarity,
+coalesce(ad.n, 0) AS n_added, coalesce(rm.n, 0) AS n_removed, coalesce(ch.n, 0) AS n_changed, md5(coalesce(ad.t, '')) AS added, md5(coalesce(rm.t, '')) AS removed, md5(coalesce(ch.t, '')) AS changed
+FROM pr LEFT JOIN ad ON ad.tk = pr.tk AND ad.item_number = pr.item_number LEFT JOIN rm ON rm.tk = pr.tk AND rm.item_number = pr.item_number LEFT JOIN ch ON ch.tk = pr.tk AND ch.item_number = pr.item_number""")
 def section_diff(spark, d):
-    return comparison.compare_years(catalog(spark, d), forms=["10-K"])
+    """Differences of the annual reports of each ticker's first and last year, the texts of the units as digests."""
+    r = comparison.compare_years(catalog(spark, d), forms=["10-K"])
+    digest = lambda c: F.md5(F.array_join(c, "|"))
+    changed = F.transform("changed", lambda x: F.concat(x["old_text"], F.lit(">"), x["new_text"]))
+    return r.select(
+        "ticker", "item_number", "section_title", "label_a", "label_b", "similarity", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), F.size("changed").alias("n_changed"),
+        digest(F.col("added")).alias("added"), digest(F.col("removed")).alias("removed"), digest(changed).alias("changed"),
+    )
 
 
 @query("SELECT ticker, count(*) AS sections_compared, sum(len(coalesce(added, []))) AS added, sum(len(coalesce(removed, []))) AS removed, sum(len(coalesce(changed, []))) AS changed FROM section_diffs GROUP BY ticker")
@@ -310,18 +382,24 @@ LEX = ", ".join("struct_pack(k := '" + k + "', p := coalesce(" + ", ".join(f"CAS
 SIG = f"{CAT}, sg AS (SELECT chunk_id, ticker, text, s.k AS signal_type, s.p AS phrase FROM (SELECT *, unnest([{LEX}]) AS s FROM (SELECT *, lower(text) AS t FROM cat)) WHERE s.p IS NOT NULL)"
 
 
-@query(f"WITH {SIG} SELECT chunk_id, signal_type, phrase, length(substr(text, greatest(1, instr(lower(text), phrase) - 80), instr(lower(text), phrase) + length(phrase) + 80 - greatest(1, instr(lower(text), phrase) - 80))) AS width FROM sg")
+
+
+def _collapse(expr: str) -> str:
+    return f"trim(regexp_replace({expr}, '{UWS}+', ' ', 'g'))"
+
+
+_AT = "instr(lower(text), phrase)"
+
+
+@query(f"WITH {SIG} SELECT chunk_id, signal_type, phrase, {_collapse(f'substr(text, greatest(1, {_AT} - 80), {_AT} + length(phrase) + 80 - greatest(1, {_AT} - 80))')} AS snippet FROM sg")
 def risk_signals(spark, d):
-    c = catalog(spark, d)
-    at = F.instr(F.lower("text"), F.col("phrase"))
-    start = F.greatest(F.lit(1), at - 80)
-    s = signals.detect(c).drop("snippet").join(c.select("chunk_id", "text"), "chunk_id")
-    return s.select("chunk_id", "signal_type", "phrase", F.length(F.substring(F.col("text"), start, at + F.length("phrase") + 80 - start)).alias("width"))
+    return signals.detect(catalog(spark, d, "text"))
 
 
-@query()
-def signal_snippets(spark, d):
-    return signals.detect(catalog(spark, d))
+@query(f"WITH {SIG} SELECT ticker, signal_type, count(*) AS n, array_to_string(list_sort(list_distinct(list(phrase))), '; ') AS phrases FROM sg GROUP BY ALL")
+def signals_by_type(spark, d):
+    c = catalog(spark, d, "text", "ticker")
+    return signals.by_type(signals.detect(c).join(c.select("chunk_id", "ticker"), "chunk_id"), "ticker")
 
 
 @query(f"""WITH {SIG}, s AS (SELECT ticker, count(*) AS signals, bool_or(signal_type = 'going_concern') AS going_concern FROM sg GROUP BY ticker),
@@ -355,35 +433,61 @@ def _answers(spark, d):
     return read_table(spark, d, "answers").select("answer_id", "text").distinct()
 
 
-@query()
+def _figs(expr: str) -> str:
+    ns, us = f"regexp_extract_all({expr}, '(?i){FIG}', 1)", f"list_transform(regexp_extract_all({expr}, '(?i){FIG}', 2), lambda x: lower(coalesce(x, '')))"
+    unit = "CASE p.u " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in T.SCALES.items()) + " ELSE 1 END"
+    percent = "p.u IN (" + ", ".join(f"'{p}'" for p in T.PERCENT) + ")"
+    zipped = f"list_transform(list_zip({ns}, {us}), lambda z: {{'n': z[1], 'u': z[2]}})"
+    return f"list_transform({zipped}, lambda p: {{'v': try_cast(replace(p.n, ',', '') AS DOUBLE) * CASE WHEN {percent} THEN 1 ELSE {unit} END, 'p': {percent}}})"
+
+
+def _near(a: str, b: str) -> str:
+    return f"(CASE WHEN ({a}) = 0 OR ({b}) = 0 THEN ({a}) = ({b}) ELSE abs(({a}) - ({b})) <= 0.005 * greatest(abs({a}), abs({b})) END)"
+
+
+_MEETS = "(c.p = e.p AND (" + _near("c.v", "e.v") + " OR (NOT c.p AND (" + " OR ".join(_near("c.v", f"e.v * {k}") + " OR " + _near(f"c.v * {k}", "e.v") for k in ("1e3", "1e6", "1e9")) + "))))"
+
+
+def _supported(claim: str, evidence: str) -> str:
+    return f"(len(list_filter({claim}, lambda c: len(list_filter({evidence}, lambda e: {_MEETS})) = 0)) = 0)"
+
+
+@query(f"""WITH {CAT}, fa AS (SELECT answer_id, {_figs("coalesce(text, '')")} AS f FROM (SELECT DISTINCT answer_id, text FROM answers)), fe AS (SELECT chunk_id, {_figs('text')} AS f FROM cat),
+pe AS (SELECT DISTINCT answer_id, n, chunk_id FROM citations) SELECT answer_id, n, {_supported('fa.f', 'fe.f')} AS supported FROM pe JOIN fe USING (chunk_id) JOIN fa USING (answer_id)""")
 def figures_supported(spark, d):
     j = _evidence(spark, d).withColumnRenamed("text", "evidence").join(_answers(spark, d), "answer_id")
     return j.select("answer_id", "n", T.figures_supported(F.coalesce("text", F.lit("")), F.col("evidence")).alias("supported"))
 
 
-WS = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+def _holds(text: str, quote: str) -> str:
+    return f"CASE WHEN {_collapse(quote)} = '' THEN false ELSE contains({_collapse(text)}, {_collapse(quote)}) END"
 
 
-@query(rf"WITH {CAT} SELECT citation_id, CASE WHEN {WS.format('quote')} = '' THEN false ELSE contains({WS.format('cat.text')}, {WS.format('quote')}) END AS in_chunk FROM citations JOIN cat USING (chunk_id) WHERE regexp_matches(quote || cat.text, '^[\x00-\x7F]*$')")
+@query(f"""WITH {CAT} SELECT citation_id, {_holds("coalesce(cat.text, '')", "coalesce(quote, '')")} AS in_chunk FROM citations LEFT JOIN cat USING (chunk_id)""")
 def quote_in_source(spark, d):
-    """Plain ASCII pairs only: white space beyond ASCII means another thing in the SQL it is compared with."""
-    j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d, "text").select("chunk_id", "text"), "chunk_id")
-    return j.filter(F.concat("quote", "text").rlike(r"^[\x00-\x7F]*$")).select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
-
-
-@query()
-def quote_verdicts(spark, d):
     """Every citation, white space beyond ASCII included; one whose chunk isn't there has no source."""
     j = read_table(spark, d, "citations").select("citation_id", "chunk_id", "quote").join(catalog(spark, d, "text").select("chunk_id", "text"), "chunk_id", "left")
     return j.select("citation_id", T.contains_quote(F.col("text"), F.col("quote")).alias("in_chunk"))
 
 
-CLAIMS = f"""ans AS (SELECT DISTINCT answer_id, coalesce(text, '') AS text FROM answers),
+def _claims(ans: str, ev: str) -> str:
+    """CTEs to bj (judged claims) and vc (after the checks) from queries for answers (answer_id, text) and evidence (answer_id, n, chunk_id, text)."""
+    return f"""ans AS ({ans}), evt AS ({ev}),
 sn AS (SELECT answer_id, unnest(s) AS claim, generate_subscripts(s, 1) - 1 AS claim_no FROM (SELECT answer_id, {SENTENCES.format("regexp_replace(text, '[[][0-9]+[]]', '', 'g')")} AS s FROM ans)),
 cl AS (SELECT * FROM (SELECT *, {KEYWORDS.format('claim')} AS words FROM sn) WHERE len(words) > 0),
-ev AS (SELECT DISTINCT answer_id, n, chunk_id, {KEYWORDS.format('cat.text')} AS own FROM citations JOIN cat USING (chunk_id)),
-jj AS (SELECT cl.answer_id, claim_no, n, chunk_id, coalesce(len(list_intersect(words, own)) / len(words), 0) AS overlap FROM cl LEFT JOIN ev USING (answer_id)),
-bj AS (SELECT answer_id, claim_no, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.6 THEN 'SUPPORTED' WHEN overlap >= 0.3 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS verdict, n, chunk_id FROM jj QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY jj.overlap DESC, n, chunk_id DESC) = 1)"""
+ev AS (SELECT answer_id, n, chunk_id, text AS source, {KEYWORDS.format('text')} AS own FROM evt),
+jj AS (SELECT cl.answer_id, claim_no, claim, words, n, chunk_id, source, coalesce(len(list_intersect(words, own)) / len(words), 0) AS overlap FROM cl LEFT JOIN ev USING (answer_id)),
+bj AS (SELECT answer_id, claim_no, claim, words, round(overlap, 6) AS overlap, CASE WHEN overlap >= 0.6 THEN 'SUPPORTED' WHEN overlap >= 0.3 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS verdict, n, chunk_id, source FROM jj QUALIFY row_number() OVER (PARTITION BY answer_id, claim_no ORDER BY jj.overlap DESC, n, chunk_id DESC) = 1),
+qs AS (SELECT answer_id, claim_no, list_transform(ss, lambda x: {{'s': x, 'k': {KEYWORDS.format('x')}}}) AS ss, words FROM (SELECT answer_id, claim_no, words, {SENTENCES.format('source')} AS ss FROM bj WHERE verdict <> 'UNSUPPORTED')),
+qf AS (SELECT answer_id, claim_no, list_transform(ss, lambda x: x.s) AS ss, list_transform(ss, lambda x: CASE WHEN len(x.k) = 0 THEN 0 ELSE len(list_intersect(x.k, words)) / len(x.k) END) AS fits FROM qs),
+qq AS (SELECT answer_id, claim_no, CASE WHEN coalesce(list_max(fits), 0) > 0 THEN ss[list_position(fits, list_max(fits))] ELSE '' END AS quote FROM qf),
+vq AS (SELECT bj.*, coalesce(quote, '') AS quote, CASE WHEN verdict <> 'UNSUPPORTED' THEN n END AS citation, CASE WHEN verdict <> 'UNSUPPORTED' THEN source ELSE '' END AS basis FROM bj LEFT JOIN qq USING (answer_id, claim_no)),
+vf AS (SELECT *, {_figs('claim')} AS fc, {_figs('basis')} AS fb, {_holds('basis', 'quote')} AS valid_quote FROM vq),
+vn AS (SELECT *, {_supported('fc', 'fb')} AS numeric_ok FROM vf),
+vc AS (SELECT answer_id, claim_no, CASE WHEN verdict IN ('SUPPORTED', 'PARTIAL') AND NOT (valid_quote AND numeric_ok) THEN 'UNSUPPORTED' ELSE verdict END AS verdict, citation, quote, valid_quote, numeric_ok FROM vn)"""
+
+
+CLAIMS = _claims("SELECT DISTINCT answer_id, coalesce(text, '') AS text FROM answers", "SELECT DISTINCT answer_id, n, chunk_id, cat.text FROM citations JOIN cat USING (chunk_id)")
 
 
 def _judged(spark, d):
@@ -400,7 +504,7 @@ def groundedness(spark, d):
     return verification.report(_judged(spark, d))
 
 
-@query()
+@query(f"WITH {CAT}, {CLAIMS} SELECT * FROM vc")
 def verified_claims(spark, d):
     return verification.checked(_judged(spark, d)).select("answer_id", "claim_no", "verdict", "citation", "quote", "valid_quote", "numeric_ok")
 
@@ -445,35 +549,74 @@ def evidence_score(spark, d):
     return generation.evidence(_context(spark, d))
 
 
-@query()
+CITED = f"""sz AS (SELECT query_id, count(*) AS size FROM ctx GROUP BY query_id),
+ci AS (SELECT query_id, list_filter(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d{{1,9}})\\]', 1), lambda x: x::INT)), lambda x: x BETWEEN 1 AND size) AS ns FROM aa JOIN sz USING (query_id)),
+cn AS (SELECT query_id, unnest(CASE WHEN len(ns) > 0 THEN ns ELSE [1] END) AS n FROM ci),
+cq AS (SELECT query_id, n::INT AS n, chunk_id, substr({_collapse('ctx.text')}, 1, 240) AS quote, round(fused, 4) AS score, ctx.item_number FROM cn JOIN ctx USING (query_id, n))"""
+
+
+@query(f"{EXTRACT}, {CITED} SELECT query_id, n, chunk_id, quote, score FROM cq")
 def answer_citations(spark, d):
     c = _context(spark, d)
     return generation.citations(generation.extract(questions(spark, d), c), c)
 
 
-@query()
+GROUNDED = f"""{CITED}, {EVID}, nc AS (SELECT query_id, count(*) AS n_citations FROM cq GROUP BY query_id),
+gj AS (SELECT query_id, answer, evidence_score AS es, coalesce(n_citations, 0) AS n_citations, coalesce(round(greatest(0, least(1, 0.5 * evidence_score + 0.3 * least(1, coalesce(n_citations, 0) / 2) + 0.2 * agreement)), 6), 0) AS confidence FROM aa LEFT JOIN evi USING (query_id) LEFT JOIN nc USING (query_id)),
+gr AS (SELECT query_id, answer, coalesce(es, 0) AS evidence_score, n_citations, confidence, CASE WHEN es IS NULL OR es < 0.05 THEN 'insufficient retrieval evidence' WHEN contains(answer, 'INSUFFICIENT_EVIDENCE') THEN 'model reported insufficient evidence' WHEN n_citations < 1 THEN 'too few grounded citations' WHEN confidence < 0.15 THEN 'low confidence' END AS abstain_reason FROM gj)"""
+
+
+@query(f"{EXTRACT}, {GROUNDED} SELECT query_id, answer, evidence_score, n_citations, confidence, abstain_reason IS NOT NULL AS abstained, abstain_reason FROM gr")
 def grounded_answers(spark, d):
     return generation.answer(questions(spark, d), _context(spark, d))
 
 
-@query()
+@query(f"""{CTX} SELECT query_id, string_agg('[' || n || '] ' || CASE WHEN cat.company IN ('', 'UNKNOWN') THEN cat.ticker ELSE cat.company END || ' ' || cat.filing_type || ' ' || cat.filing_date || ' — ' || cat.section_title || ' (Item ' || cat.item_number || ')' || chr(10) || cat.text, chr(10) || chr(10) ORDER BY n) AS prompt_context
+FROM ctx JOIN cat USING (chunk_id) GROUP BY query_id""")
 def prompt_contexts(spark, d):
     return generation.format_context(_context(spark, d))
 
 
-@query(r"SELECT answer_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[(\d{1,9})\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND 2))) AS n FROM (SELECT DISTINCT answer_id, text FROM answers)")
+@query(f"""{CTX}, bl AS (SELECT query_id, string_agg('[' || n || '] (' || cat.ticker || ' ' || cat.filing_type || ' ' || cat.filing_date || ', ' || cat.section_title || ') ' || cat.text, chr(10) || chr(10) ORDER BY n) AS prompt_context FROM ctx JOIN cat USING (chunk_id) GROUP BY query_id)
+SELECT query_id, md5(prompt_context) AS digest, len(regexp_extract_all(prompt_context, '(?:^|\\n)[[][0-9]+[]]')) AS blocks FROM bl""")
+def extraction_contexts(spark, d):
+    """The contexts of extraction, and the number of blocks that numbered marks cut them into."""
+    c = generation.extraction_context(_context(spark, d))
+    return c.select("query_id", F.md5("prompt_context").alias("digest"), F.size(generation.numbered_blocks(F.col("prompt_context"))).alias("blocks"))
+
+
+@query(f"WITH {Q}, qa AS (SELECT query_id, text FROM q) SELECT query_id, md5('CONTEXT:' || chr(10) || text || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'ANSWER:') AS prompt, trim(text) AS question_again FROM qa")
+def user_prompts(spark, d):
+    """Prompts of questions over a context (here the question itself), and the question read back from them."""
+    q = questions(spark, d).select("query_id", "text")
+    p = generation.user_prompt(q.withColumn("prompt_context", F.col("text")))
+    return p.select("query_id", F.md5("prompt").alias("prompt"), generation.marked(F.col("prompt"), "QUESTION").alias("question_again"))
+
+
+@query(r"""WITH mx AS (SELECT answer_id, max(n) AS most FROM citations GROUP BY answer_id) SELECT answer_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(text, '\[(\d{1,9})\]', 1), lambda x: x::INT), lambda x: x BETWEEN 1 AND coalesce(most, 0)))) AS n FROM (SELECT DISTINCT answer_id, text FROM answers) LEFT JOIN mx USING (answer_id)""")
 def cited_indices(spark, d):
-    return _answers(spark, d).select("answer_id", F.explode(verification.cited_numbers(F.col("text"), F.lit(2))).alias("n"))
+    """The numbers each answer cites, of those that its citations have."""
+    most = read_table(spark, d, "citations").groupBy("answer_id").agg(F.max("n").alias("most"))
+    a = _answers(spark, d).join(most, "answer_id", "left")
+    return a.select("answer_id", F.explode(verification.cited_numbers(F.col("text"), F.coalesce("most", F.lit(0)))).alias("n"))
 
 
-@query()
+@query(f"""{HITS}, xj AS (SELECT query_id, hits.rank, cat.text, cat.item_number = '1A' AS own, bool_or(cat.item_number = '1A') OVER (PARTITION BY query_id) AS has FROM hits JOIN cat USING (chunk_id)),
+xc AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS t FROM xj WHERE own OR NOT has GROUP BY query_id), xs AS (SELECT query_id, {SENTENCES.format('t')}[:3] AS ss FROM xc)
+SELECT query_id, len(ss) AS n, md5(array_to_string(ss, '|')) AS risks, true AS valid, NULL::VARCHAR AS error FROM xs""")
 def extraction_instances(spark, d):
-    return extraction.extract(_hits(spark, d), catalog(spark, d), "risk_factors").select("query_id", F.size("data.risk_factors").alias("n"), "valid", "error")
+    x = extraction.extract(_hits(spark, d), catalog(spark, d, "text", "item_number"), "risk_factors")
+    return x.select("query_id", F.size("data.risk_factors").alias("n"), F.md5(F.array_join("data.risk_factors.risk", "|")).alias("risks"), "valid", "error")
+
+
+REPLY = "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' || chr(10) || 'Done {ok}.' WHEN 2 THEN 'Result: ' || props || ' as asked.' WHEN 3 THEN substr(props, 1, length(props) - 1) ELSE '```' || chr(10) || props || '```' END"
 
 
-@query("SELECT event_id, json_valid(props) AS valid FROM events")
+@query(f"WITH r AS (SELECT event_id, event_id % 5 AS kind, {REPLY} AS reply FROM events), b AS (SELECT event_id, CASE WHEN contains(reply, '```') THEN regexp_extract(reply, '(?s)```(?:json)?\\s*(.*?)```', 1) ELSE regexp_extract(reply, '(?s)[{{].*[}}]', 0) END AS body FROM r) SELECT event_id, json_valid(body) AND body <> '' AS valid FROM b")
 def json_tolerant_parse(spark, d):
-    body = extraction.json_body(F.col("props"))
+    """Replies around the stored JSON: bare, fenced, within a sentence, cut off, fenced without a language."""
+    reply = F.expr(REPLY.replace("chr(10)", "'\n'").replace("||", "||"))
+    body = extraction.json_body(reply)
     return read_table(spark, d, "events").select("event_id", F.from_json(body, "map<string, string>").isNotNull().alias("valid"))
 
 
