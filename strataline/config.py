@@ -53,6 +53,11 @@ class Embedding:
     dim: int = 256
 
 
+@dataclass
+class Audit:
+    path: str = ""
+
+
 @dataclass
 class Config:
     chunking: Chunking = field(default_factory=Chunking)
@@ -60,6 +65,7 @@ class Config:
     generation: Generation = field(default_factory=Generation)
     verification: Verification = field(default_factory=Verification)
     embedding: Embedding = field(default_factory=Embedding)
+    audit: Audit = field(default_factory=Audit)
 
 
 def coerced(value: str) -> Any:
@@ -85,12 +91,23 @@ def overlaid(config: Config, values: dict[str, Any]) -> Config:
     return out
 
 
+def _read(path: str) -> dict[str, Any]:
+    """The nested dict of a JSON file, or of a YAML file where PyYAML is installed; an empty file has none."""
+    with open(path) as f:
+        if not path.endswith((".yaml", ".yml")):
+            return json.load(f)
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML settings need PyYAML; use JSON") from e
+        return yaml.safe_load(f) or {}
+
+
 def load(path: str | None = None, env: dict[str, str] | None = None) -> Config:
-    """Defaults, then a JSON file, then variables such as STRATALINE_RETRIEVAL__TOP_K."""
+    """Defaults, then a JSON or YAML file, then variables such as STRATALINE_RETRIEVAL__TOP_K."""
     config = Config()
     if path:
-        with open(path) as f:
-            config = overlaid(config, json.load(f))
+        config = overlaid(config, _read(path))
     for name, value in (os.environ if env is None else env).items():
         if name.startswith(PREFIX) and "__" in name:
             section, key = name[len(PREFIX) :].lower().split("__", 1)

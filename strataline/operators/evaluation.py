@@ -84,6 +84,37 @@ def relevance(cases: DataFrame, hits: DataFrame, chunks: DataFrame, threshold: f
     return j.withColumns({"values": F.coalesce("values", none), "gold": F.when(by_passage, F.coalesce("_hits", none)).otherwise(F.array_distinct("relevant_items"))}).drop("_hits")
 
 
+def relevant_chunks(cases: DataFrame, candidates: DataFrame, chunks: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(query_id, chunk_id) of the candidates that hold a relevant passage, or are of a relevant item where a case names no passages."""
+    none = F.array().cast("array<string>")
+    items, passages = F.coalesce("relevant_items", none), F.coalesce("relevant_passages", none)
+    j = candidates.select("query_id", "chunk_id").join(chunks.select("chunk_id", "item_number", "text"), "chunk_id").join(cases, "query_id")
+    return j.filter(F.when(F.size(passages) > 0, passage_hit(F.col("text"), passages, threshold)).otherwise(F.array_contains(items, F.col("item_number")))).select("query_id", "chunk_id")
+
+
+def case_rows(cases: DataFrame, hits: DataFrame, chunks: DataFrame, answers: DataFrame, context: DataFrame, k: int = 8, judge=None) -> DataFrame:
+    """query_id, answerable, abstained, recall, rr, ap, citations_ok, groundedness, contradicted of each case.
+
+    cases: query_id, relevant_items, relevant_passages, answerable; answers: as of generation.answer. Claims are judged
+    against the context with their quotes and figures checked; abstained answers have none and groundedness 0.
+    """
+    from strataline.operators import generation, verification
+
+    r = relevance(cases, hits, chunks)
+    text = F.when(~F.col("abstained"), F.col("answer")).otherwise("")
+    evidence = context.select(F.col("query_id").alias("answer_id"), "n", "chunk_id", "text")
+    told = verification.report(verification.checked((judge or verification.judge)(answers.select(F.col("query_id").alias("answer_id"), text.alias("text")), evidence)))
+    cited = generation.citations(answers, context).join(chunks.select("chunk_id", "item_number"), "chunk_id").groupBy("query_id").agg(F.collect_list("chunk_id").alias("chunks_cited"), F.collect_list("item_number").alias("items_cited"))
+    j = r.join(answers.select("query_id", "abstained"), "query_id").join(cited, "query_id", "left").join(told.select(F.col("answer_id").alias("query_id"), "groundedness", "contradicted"), "query_id", "left")
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.when(F.size("relevant_passages") > 0, F.col("chunks_cited")).otherwise(F.col("items_cited")), none)
+    v, g = F.col("values"), F.col("gold")
+    return j.select(
+        "query_id", F.coalesce("answerable", F.lit(True)).alias("answerable"), "abstained", recall_at_k(v, g, k).alias("recall"), reciprocal_rank(v, g).alias("rr"), average_precision(v, g, k).alias("ap"),
+        citation_correctness(keys, g).alias("citations_ok"), F.coalesce("groundedness", F.lit(0.0)).alias("groundedness"), F.coalesce("contradicted", F.lit(0)).alias("contradicted"),
+    )
+
+
 def citation_correctness(cited: Column, gold: Column) -> Column:
     """Share of the citations, repeats counted, that are relevant; 0 without citations."""
     return F.when(F.size(cited) == 0, 0.0).otherwise(F.size(F.filter(cited, lambda x: F.array_contains(gold, x))) / F.size(cited))

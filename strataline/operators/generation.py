@@ -112,16 +112,17 @@ def cited_numbers(text: Column, n: Column, least: int = MIN_CITATIONS) -> Column
     return F.when(F.size(given) > 0, given).otherwise(F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), 1, least))
 
 
-def citations(answers: DataFrame, context: DataFrame, quote_chars: int = QUOTE) -> DataFrame:
+def citations(answers: DataFrame, context: DataFrame, quote_chars: int = QUOTE, least: int = MIN_CITATIONS) -> DataFrame:
     """(query_id, n, chunk_id, quote, score) of the excerpts that each answer relies on."""
     size = context.groupBy("query_id").agg(F.count("*").cast("int").alias("size"))
-    c = answers.join(size, "query_id").select("query_id", F.explode(cited_numbers(F.col("answer"), F.col("size"))).alias("n"))
+    c = answers.join(size, "query_id").select("query_id", F.explode(cited_numbers(F.col("answer"), F.col("size"), least)).alias("n"))
     j = c.join(context, ["query_id", "n"])
     return j.select("query_id", "n", "chunk_id", F.substring(T.collapse(F.col("text")), 1, quote_chars).alias("quote"), F.round("fused", 4).alias("score"))
 
 
 def gate(evidence_score: Column, answer: Column, n_citations: Column, value: Column, min_evidence: float = MIN_EVIDENCE, min_citations: int = MIN_CITATIONS, min_confidence: float = MIN_CONFIDENCE) -> Column:
     """Why an answer abstains, or null: the first of weak evidence, nothing to say, few citations, low confidence."""
+    # The reasons.
     return (
         F.when(evidence_score.isNull() | (evidence_score < min_evidence), "insufficient retrieval evidence")
         .when(F.contains(answer, F.lit(INSUFFICIENT)), "model reported insufficient evidence")
@@ -130,15 +131,16 @@ def gate(evidence_score: Column, answer: Column, n_citations: Column, value: Col
     )
 
 
-def answer(queries: DataFrame, context: DataFrame) -> DataFrame:
+def answer(queries: DataFrame, context: DataFrame, answerer=extract, min_evidence: float = MIN_EVIDENCE, min_citations: int = MIN_CITATIONS, min_confidence: float = MIN_CONFIDENCE, quote_chars: int = QUOTE) -> DataFrame:
     """(query_id, answer, evidence_score, n_citations, confidence, abstained, abstain_reason), one row per query.
 
-    context: query_id, n, chunk_id, text, dense, bm25, fused. Queries without context abstain.
+    context: query_id, n, chunk_id, text, dense, bm25, fused. Queries without context abstain. answerer maps (queries,
+    context) to (query_id, answer); queries it has no row for count as having no answer.
     """
-    a = extract(queries, context)
+    a = queries.select("query_id").join(answerer(queries, context).select("query_id", "answer"), "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit(INSUFFICIENT)))
     e = evidence(context)
-    cited = citations(a, context).groupBy("query_id").agg(F.count("*").alias("n_citations"))
+    cited = citations(a, context, quote_chars, min_citations).groupBy("query_id").agg(F.count("*").alias("n_citations"))
     j = a.join(e, "query_id", "left").join(cited, "query_id", "left").na.fill(0, ["n_citations"])
     j = j.withColumn("confidence", F.coalesce(confidence(F.col("evidence_score"), F.col("n_citations"), F.col("agreement")), F.lit(0.0)))
-    j = j.withColumn("abstain_reason", gate(F.col("evidence_score"), F.col("answer"), F.col("n_citations"), F.col("confidence")))
+    j = j.withColumn("abstain_reason", gate(F.col("evidence_score"), F.col("answer"), F.col("n_citations"), F.col("confidence"), min_evidence, min_citations, min_confidence))
     return j.select("query_id", "answer", F.coalesce("evidence_score", F.lit(0.0)).alias("evidence_score"), "n_citations", "confidence", F.col("abstain_reason").isNotNull().alias("abstained"), "abstain_reason")

@@ -14,6 +14,8 @@ from strataline.functions import text as T
 from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, scan, signals, verification
 from strataline.operators.repeats import one_per_key
 from strataline.session import cut_lineage, read_table
+from strataline.sources import filings as source
+from strataline.sources import index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -663,18 +665,38 @@ def nearest_rank_p95(spark, d):
     return evaluation.nearest_rank(read_table(spark, d, "answers").select("model", "confidence").filter("confidence IS NOT NULL"), "confidence", 95, "model").select("model", F.col("confidence").alias("p95"))
 
 
+RELEVANCE = rf"""ec AS (SELECT id AS query_id, ticker, coalesce(relevant_items, []) AS ri, coalesce(relevant_passages, []) AS rp, answerable FROM eval_cases),
+rh AS (SELECT hits.query_id, CASE WHEN len(rp) > 0 THEN chunk_id ELSE cat.item_number END AS value, hits.rank, len(list_filter(rp, lambda p: len({WWORDS.format('p')}) > 0 AND len(list_intersect({WWORDS.format('p')}, {WWORDS.format('cat.text')})) / len({WWORDS.format('p')}) >= 0.5)) > 0 AS hit FROM hits JOIN cat USING (chunk_id) JOIN ec USING (query_id)),
+re AS (SELECT query_id, value, min(rank) AS r, bool_or(hit) AS hit FROM rh GROUP BY ALL),
+rl AS (SELECT query_id, list(value ORDER BY r) AS got, list(value ORDER BY r) FILTER (WHERE hit) AS hs FROM re GROUP BY query_id),
+rg AS (SELECT query_id, answerable, len(rp) > 0 AS by_passage, coalesce(got, []) AS got, CASE WHEN len(rp) > 0 THEN coalesce(hs, []) ELSE list_distinct(ri) END AS gold FROM ec LEFT JOIN rl USING (query_id)),
+xx AS (SELECT query_id, gold, unnest(got[:8]) AS x, generate_subscripts(got[:8], 1) AS i FROM rg), xh AS (SELECT *, list_contains(gold, x)::INT AS h FROM xx), xm AS (SELECT *, sum(h) OVER (PARTITION BY query_id ORDER BY i) AS c FROM xh), xs AS (SELECT query_id, sum(h * c / i) AS s FROM xm GROUP BY query_id),
+cc AS (SELECT query_id, list(CASE WHEN by_passage THEN chunk_id ELSE item_number END) AS cited FROM cq JOIN rg USING (query_id) GROUP BY query_id),
+gg AS (SELECT answer_id AS query_id, (count_if(verdict = 'SUPPORTED') + 0.5 * count_if(verdict = 'PARTIAL')) / count(*) AS g FROM vc GROUP BY answer_id),
+cr AS (SELECT query_id, answerable, abstain_reason IS NOT NULL AS abstained, {RECALL} AS recall, {RR} AS rr, CASE WHEN len(gold) = 0 THEN 0 ELSE coalesce(s, 0) / least(len(gold), 8) END AS ap,
+  coalesce(len(list_filter(cited, lambda x: list_contains(gold, x))) / nullif(len(cited), 0), 0) AS ok, round(coalesce(g, 0), 6) AS g FROM rg LEFT JOIN xs USING (query_id) LEFT JOIN cc USING (query_id) LEFT JOIN gg USING (query_id) JOIN gr USING (query_id))"""
+JUDGED_ANSWERS = _claims("SELECT query_id AS answer_id, CASE WHEN abstain_reason IS NULL THEN answer ELSE '' END AS text FROM gr", "SELECT query_id AS answer_id, n, chunk_id, text FROM ctx")
+CASES = f"{EXTRACT}, {GROUNDED}, {JUDGED_ANSWERS}, {RELEVANCE}"
+
+
 def _case_rows(spark, d):
-    c = _context(spark, d)
-    a = cut_lineage(generation.answer(questions(spark, d), c).select("query_id", "abstained", F.col("answer").alias("text")))
-    told = verification.judge(a.select(F.col("query_id").alias("answer_id"), "text"), c.select(F.col("query_id").alias("answer_id"), "n", "chunk_id", "text"))
-    g = verification.report(told).select(F.col("answer_id").alias("query_id"), "groundedness")
-    r = _retrieved(spark, d)
-    v, w = F.col("values"), F.col("relevant_items")
-    m = r.select("query_id", "answerable", evaluation.recall_at_k(v, w, 8).alias("recall"), evaluation.reciprocal_rank(v, w).alias("rr"), evaluation.average_precision(v, w, 8).alias("ap"), evaluation.precision_at_k(v, w, 8).alias("citations_ok"))
-    return m.join(a.select("query_id", "abstained"), "query_id").join(g, "query_id", "left").na.fill(0.0, ["groundedness"])
+    """One row of measures per case: what was retrieved, what the answer cites, whether its claims hold."""
+    chunks, hits = catalog(spark, d), _hits(spark, d)
+    c = cut_lineage(generation.context_of(hits, chunks))
+    a = cut_lineage(generation.answer(questions(spark, d), c))
+    cases = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), "relevant_items", "relevant_passages", "answerable")
+    return evaluation.case_rows(cases, hits, chunks, a, c, k=8)
 
 
-@query()
+@query(f"{CASES} SELECT query_id, answerable, abstained, round(recall, 6) AS recall, round(rr, 6) AS rr, round(ap, 6) AS ap, round(ok, 6) AS citations_ok, g AS groundedness FROM cr")
+def eval_cases_measured(spark, d):
+    m = _case_rows(spark, d)
+    return m.select("query_id", "answerable", "abstained", *[F.round(x, 6).alias(x) for x in ("recall", "rr", "ap", "citations_ok")], "groundedness")
+
+
+@query(f"""{CASES} SELECT count(*) AS n_cases, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr, round(avg(ap), 6) AS map_at_k, round(avg(CASE WHEN answerable THEN ok END), 6) AS citation_correctness,
+round(avg((NOT abstained AND (NOT answerable OR ok = 0))::INT), 6) AS hallucination_rate, round(avg(CASE WHEN NOT answerable THEN abstained::INT END), 6) AS abstention_recall,
+round(avg(CASE WHEN answerable AND NOT abstained THEN g END), 6) AS lexical_groundedness, round(avg(CASE WHEN answerable AND NOT abstained THEN (g >= 1)::INT END), 6) AS fully_grounded_rate FROM cr""")
 def eval_rollup(spark, d):
     return evaluation.roll_up(_case_rows(spark, d))
 
@@ -686,38 +708,93 @@ def snapshot_diff(spark, d):
     return evaluation.snapshot_diff(side(True), side(False)).select("metric", "delta", "status")
 
 
-def _gold(spark, d):
-    """The lexical best of each question stands in for a judged chunk."""
-    return scan.best_by_words(catalog(spark, d, "text"), questions(spark, d), 3).select("query_id", "chunk_id")
+_RELEVANT = f"CASE WHEN len(rp) > 0 THEN len(list_filter(rp, lambda p: len({WWORDS.format('p')}) > 0 AND len(list_intersect({WWORDS.format('p')}, {WWORDS.format('cat.text')})) / len({WWORDS.format('p')}) >= 0.5)) > 0 ELSE list_contains(ri, cat.item_number) END"
+_UNIT = "SELECT query_id, chunk_id, CASE WHEN max(score) OVER p - min(score) OVER p < 1e-12 THEN 1.0 ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS s FROM {} WINDOW p AS (PARTITION BY query_id)"
 
 
-@query()
+@query(f"""{BOTH}, ec AS (SELECT id AS query_id, coalesce(relevant_items, []) AS ri, coalesce(relevant_passages, []) AS rp FROM eval_cases),
+du AS ({_UNIT.format('d')}), bu AS ({_UNIT.format('b')}), un AS (SELECT query_id, chunk_id, coalesce(du.s, 0) AS ds, coalesce(bu.s, 0) AS bs FROM du FULL JOIN bu USING (query_id, chunk_id)),
+go AS (SELECT query_id, chunk_id FROM un JOIN cat USING (chunk_id) JOIN ec USING (query_id) WHERE {_RELEVANT}), gs AS (SELECT query_id, count(*) AS size FROM go GROUP BY query_id),
+ws AS (SELECT unnest(range(0, 11)) / 10 AS w), sw AS (SELECT w, query_id, chunk_id, row_number() OVER (PARTITION BY w, query_id ORDER BY round(w * bs + (1 - w) * ds, 6) DESC, chunk_id) AS r FROM un, ws),
+sh AS (SELECT w, query_id, count(*) AS hits, min(r) AS first FROM sw JOIN go USING (query_id, chunk_id) WHERE r <= 8 GROUP BY ALL),
+sm AS (SELECT w, round(avg(coalesce(hits / size, 0)), 6) AS recall, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM gs CROSS JOIN ws LEFT JOIN sh USING (w, query_id) GROUP BY w)
+SELECT w AS lexical_weight, recall, mrr, row_number() OVER (ORDER BY recall + mrr DESC, w) = 1 AS best FROM sm""")
 def weight_sweep(spark, d):
+    """Fusion weights against what the cases themselves call relevant: chunks that hold a passage, or are of a relevant item."""
     dense, lexical = _lists(spark, d)
-    return evaluation.weight_sweep(dense, lexical, _gold(spark, d))
+    found = dense.select("query_id", "chunk_id").union(lexical.select("query_id", "chunk_id")).distinct().withColumn("rank", F.lit(0))
+    cases = read_table(spark, d, "eval_cases").select(F.col("id").alias("query_id"), "relevant_items", "relevant_passages")
+    gold = evaluation.relevant_chunks(cases, found, catalog(spark, d, "text", "item_number"))
+    return evaluation.weight_sweep(dense, lexical, cut_lineage(gold))
 
 
-@query(f"WITH {SIG}, n AS (SELECT ticker, list_distinct(list(signal_type)) AS s FROM sg GROUP BY ticker) SELECT ticker AS case_id, round(len(list_intersect(s, ['liquidity', 'litigation', 'impairment'])) / 3, 6) AS signal_recall FROM n")
-def enforcement_rollup(spark, d):
+_WANT = "[['going_concern', 'liquidity'], ['litigation', 'impairment'], ['restatement', 'material_weakness', 'litigation'], []][length(question) % 4 + 1]"
+ENFORCED = f"""{HITS}, {SIG.replace(CAT + ', ', '')}, kt AS (SELECT upper(ticker) AS t, list_distinct(list(signal_type)) AS s FROM sg GROUP BY 1), ka AS (SELECT list_distinct(list(signal_type)) AS s FROM sg),
+it AS (SELECT query_id, list_distinct(list(cat.item_number)) AS got FROM hits JOIN cat USING (chunk_id) GROUP BY query_id),
+ef AS (SELECT id, CASE WHEN e.ticker IS NULL OR e.ticker = '' THEN ka.s ELSE coalesce(kt.s, []) END AS s, {_WANT} AS want, coalesce(got, []) AS got, list_distinct(coalesce(relevant_items, [])) AS items FROM eval_cases e CROSS JOIN ka LEFT JOIN kt ON kt.t = upper(e.ticker) LEFT JOIN it ON it.query_id = e.id),
+eo AS (SELECT id AS case_id, round(CASE WHEN len(want) = 0 THEN 0 ELSE len(list_intersect(s, want)) / len(want) END, 6) AS signal_recall, round(CASE WHEN len(items) = 0 THEN 0 ELSE len(list_intersect(got, items)) / len(items) END, 6) AS evidence_recall FROM ef)"""
+
+
+def _enforced(spark, d):
     c = catalog(spark, d)
-    s = signals.detect(c).join(c.select("chunk_id", F.col("ticker").alias("case_id")), "chunk_id").select("case_id", "signal_type").distinct()
-    want = F.array(*[F.lit(x) for x in ("liquidity", "litigation", "impairment")])
-    cases = s.select("case_id").distinct().withColumns({"expected_signals": want, "expected_items": F.array(F.lit("1A"))})
-    return evaluation.enforcement(cases, s, c.select(F.col("ticker").alias("case_id"), "item_number").distinct()).select("case_id", "signal_recall")
+    s = signals.detect(c).join(c.select("chunk_id", "ticker"), "chunk_id").select("ticker", "signal_type")
+    want = F.expr("element_at(array(array('going_concern', 'liquidity'), array('litigation', 'impairment'), array('restatement', 'material_weakness', 'litigation'), cast(array() AS array<string>)), length(question) % 4 + 1)")
+    cases = read_table(spark, d, "eval_cases").select(F.col("id").alias("case_id"), "ticker", want.alias("expected_signals"), F.col("relevant_items").alias("expected_items"))
+    items = _hits(spark, d).join(c.select("chunk_id", "item_number"), "chunk_id").select(F.col("query_id").alias("case_id"), "item_number")
+    return evaluation.enforcement(cases, s, items)
+
+
+@query(f"{ENFORCED} SELECT * FROM eo")
+def enforcement_cases(spark, d):
+    return _enforced(spark, d)
+
+
+@query(f"{ENFORCED} SELECT count(*) AS n_cases, round(avg(signal_recall), 6) AS signal_recall, round(avg(evidence_recall), 6) AS evidence_retrieval_recall FROM eo")
+def enforcement_rollup(spark, d):
+    return evaluation.enforcement_means(_enforced(spark, d))
 
 
 # ---- ingest ----------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT accession, count(*) AS deliveries, min(md5(text)) AS digest FROM filings GROUP BY accession")
+@query("""WITH l AS (SELECT *, loaded_at >= TIMESTAMPTZ '2022-08-09 00:00:00+00' AS fresh FROM filings) SELECT accession, md5(text) AS digest, loaded_at::VARCHAR AS loaded FROM l QUALIFY row_number() OVER (PARTITION BY accession ORDER BY fresh DESC, loaded_at DESC) = 1""".replace("loaded_at::VARCHAR", "epoch_us(loaded_at)"))
 def upsert_latest(spark, d):
-    f = read_table(spark, d, "filings")
-    return f.groupBy("accession").agg(F.count("*").alias("deliveries"), F.min(F.md5("text")).alias("digest"))
+    """Later deliveries put into what was there before them."""
+    f = read_table(spark, d, "filings").select("accession", "text", F.unix_micros("loaded_at").alias("ord"))
+    since = F.unix_micros(F.lit("2022-08-09 00:00:00").cast("timestamp"))
+    old = one_per_key(f.filter(F.col("ord") < since), "accession", "ord", last=True)
+    merged = index.upsert(old, f.filter(F.col("ord") >= since), "accession")
+    return merged.select("accession", F.md5("text").alias("digest"), F.col("ord").alias("loaded"))
 
 
-@query("SELECT DISTINCT accession FROM filings WHERE accession NOT IN (SELECT accession FROM chunks)")
+@query("SELECT DISTINCT accession FROM filings WHERE accession NOT IN (SELECT accession FROM chunks WHERE loaded_at < TIMESTAMPTZ '2022-08-23 00:00:00+00')")
 def resume_anti_join(spark, d):
-    return read_table(spark, d, "filings").select("accession").distinct().join(read_table(spark, d, "chunks").select("accession"), "accession", "left_anti")
+    """What is still to be indexed at a point in time: filings without a chunk loaded until then."""
+    there = read_table(spark, d, "chunks").filter(F.col("loaded_at") < F.lit("2022-08-23 00:00:00").cast("timestamp")).select("accession")
+    return read_table(spark, d, "filings").select("accession").distinct().join(there, "accession", "left_anti")
+
+
+@query("""SELECT ticker, accession, filing_type, filing_date FROM (SELECT DISTINCT ticker, accession, filing_type, filing_date FROM filings WHERE filing_type IN ('10-K', '10-Q', '8-K') AND regexp_matches(filing_date, '^\\d{4}-\\d{2}-\\d{2}$') AND filing_date BETWEEN '2020-01-01' AND '2023-12-31')
+QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY CASE filing_type WHEN '10-K' THEN 0 WHEN '10-Q' THEN 1 ELSE 2 END, filing_date DESC, accession DESC) = 1""")
+def selected_filings(spark, d):
+    f = read_table(spark, d, "filings")
+    return source.select_filings(f, ["10-K", "10-Q", "8-K"], start="2020-01-01", end="2023-12-31").select("ticker", "accession", "filing_type", "filing_date")
+
+
+@query("""SELECT DISTINCT accession, CASE WHEN trim(company) = '' THEN ticker ELSE trim(company) END AS company, CASE WHEN filing_date = '' THEN 'UNKNOWN' ELSE filing_date END AS filing_date, CASE WHEN filing_type LIKE '10-K%' AND fiscal_year <> '' THEN substr(fiscal_year, 1, 4) WHEN filing_date IN ('', 'UNKNOWN') THEN 'UNKNOWN' ELSE substr(filing_date, 1, 4) END AS fiscal_year,
+CASE WHEN trim(source_url) <> '' THEN trim(source_url) WHEN try_cast(cik AS BIGINT) IS NOT NULL AND accession NOT IN ('', 'UNKNOWN') THEN 'https://www.sec.gov/Archives/edgar/data/' || try_cast(cik AS BIGINT) || '/' || replace(accession, '-', '') || '/' || accession || '-index.htm' ELSE '' END AS source_url FROM filings""")
+def filing_provenance(spark, d):
+    """Metadata of filings as they come: a period of report for annual reports only, dates and urls where known."""
+    f = read_table(spark, d, "filings")
+    raw = f.select("ticker", "company", "cik", F.col("filing_type").alias("form"), "filing_date", F.when(F.col("filing_type").startswith("10-K"), F.concat("fiscal_year", F.lit("-12-31"))).alias("period"), "accession", "source_url", "source_path")
+    return source.provenance(raw).select("accession", "company", "filing_date", "fiscal_year", "source_url").distinct()
+
+
+@query(f"WITH {CAT}, t AS (SELECT ticker, list_sort(list_distinct(list(item_number))) AS i FROM cat GROUP BY ticker) SELECT ticker, array_to_string(i, ' ') AS items FROM t")
+def items_sorted(spark, d):
+    """The items of each ticker in the order of their names: 1, 10, 1A, 2."""
+    g = catalog(spark, d, "ticker", "item_number").groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("item_number")), " ").alias("items"))  # a few dozen items at most
+    return g
 
 
 @query("SELECT filing_type, fiscal_year, count(DISTINCT accession) AS n FROM filings GROUP BY ALL")
@@ -729,10 +806,10 @@ def checkpoint_counts(spark, d):
 def worklist_open(spark, d):
     """Ticker, form and year still to be fetched: the work list without what is there."""
     f = read_table(spark, d, "filings")
-    years = F.explode(F.array(*[F.lit(str(y)) for y in range(2019, 2026)]))
-    forms = f.select("filing_type").distinct()  # a handful
-    work = f.select("ticker").distinct().withColumn("fiscal_year", years).crossJoin(F.broadcast(forms))
-    return work.join(f.select("ticker", "filing_type", "fiscal_year"), ["ticker", "filing_type", "fiscal_year"], "left_anti").select("ticker", "filing_type", "fiscal_year")
+    forms = [r.filing_type for r in f.select("filing_type").distinct().limit(1001).collect()]
+    if len(forms) > 1000:
+        raise ValueError("over 1000 forms; name those wanted")
+    return source.open_work(f.select("ticker").distinct(), forms, [str(y) for y in range(2019, 2026)], f).select("ticker", "filing_type", "fiscal_year")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

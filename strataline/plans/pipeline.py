@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.config import Config
-from strataline.operators import chunking, comparison, extraction, generation, retrieval, signals, verification
+from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, signals, verification
 from strataline.session import cut_lineage
 from strataline.sources import index as store
 from strataline.sources.filings import read_filings
@@ -32,11 +33,11 @@ class Pipeline:
             raise ValueError(f"unknown embedder {self.config.embedding.backend!r}")
         verification.independent(judge, answerer)
         self.embed, self.answerer, self.judge = EMBEDDERS[self.config.embedding.backend], ANSWERERS[answerer], JUDGES[judge]
-        self.info = store.EmbeddingInfo(backend=self.config.embedding.backend, dim=self.config.embedding.dim)
+        self.info = store.VectorSpace(self.config.embedding.backend, self.config.embedding.dim)
         self.tables: dict[str, DataFrame] = {}
 
     def build_index(self, path: str, *dirs: str, max_files: int | None = None) -> dict[str, DataFrame]:
-        return self.index_filings(read_filings(self.spark, *dirs, max_files=max_files).drop("sections", "dir"), path)
+        return self.index_filings(read_filings(self.spark, *dirs, max_files=max_files), path)
 
     def index_filings(self, filings: DataFrame, path: str) -> dict[str, DataFrame]:
         c = self.config.chunking
@@ -51,11 +52,22 @@ class Pipeline:
         self.tables = store.read_index(self.spark, path, self.info)
         return self.tables
 
-    def retrieve(self, queries: DataFrame, where: dict[str, object] | None = None, top_k: int | None = None) -> DataFrame:
-        """Hits of each query; a filter keeps the statistics of the whole corpus."""
+    def retrieve(self, queries: DataFrame, where: dict[str, object] | None = None, top_k: int | None = None, own_ticker: bool = False) -> DataFrame:
+        """Hits of each query; a filter keeps the statistics of the whole corpus.
+
+        With own_ticker a query with a ticker sees only its chunks, in any case of letters, one without sees all.
+        """
         t, r = self.tables, self.config.retrieval
         allowed = t["chunks"].filter(retrieval.metadata_filter(where)).select("chunk_id") if where else None
-        keep = (lambda s: s.join(allowed, "chunk_id", "left_semi")) if where else (lambda s: s)
+
+        def keep(scores: DataFrame) -> DataFrame:
+            if allowed is not None:
+                scores = scores.join(allowed, "chunk_id", "left_semi")
+            if own_ticker:
+                scores = scores.join(t["chunks"].select("chunk_id", F.upper("ticker").alias("_has")), "chunk_id").join(queries.select("query_id", F.upper(F.nullif(F.col("ticker"), F.lit(""))).alias("_wants")), "query_id")
+                scores = scores.filter("_wants IS NULL OR _wants = _has").drop("_has", "_wants")
+            return scores
+
         lexical = retrieval.top(keep(retrieval.bm25_scores(t["postings"], t["corpus_stats"], queries)), r.candidate_k, "chunk_id")
         dense = retrieval.top(keep(retrieval.sparse_scores(t["vectors"], self.embed(queries, key="query_id", dim=self.info.dim))), r.candidate_k, "chunk_id")
         k = top_k or r.top_k
@@ -63,15 +75,27 @@ class Pipeline:
         hits = retrieval.hybrid(dense, lexical, top_k=pool, method=r.fusion, dense_weight=r.dense_weight, lexical_weight=r.bm25_weight, k=r.rrf_k)
         return retrieval.rerank(hits, queries, t["chunks"], k, pool) if r.rerank else hits
 
-    def ask(self, queries: DataFrame, where: dict[str, object] | None = None) -> DataFrame:
+    def log(self, event: str, payloads: DataFrame) -> None:
+        """Adds to the audit log; nothing without a path of one in the settings."""
+        if self.config.audit.path:
+            store.append_audit(self.spark, self.config.audit.path, event, payloads)
+
+    def context(self, hits: DataFrame) -> DataFrame:
+        return generation.context_of(hits, self.tables["chunks"], self.config.generation.max_context_chunks)
+
+    def ask(self, queries: DataFrame, where: dict[str, object] | None = None, hits: DataFrame | None = None) -> DataFrame:
         """One row per query: answer, confidence, abstained and why, and the groundedness of its claims.
 
         Answers that fail verification are repaired once by leaving out their unsupported claims, kept if that is no
-        worse, and abstain if they still fail.
+        worse, and abstain if they still fail. hits are those of an earlier retrieval. Each answer is logged.
         """
+        out = cut_lineage(self._answers(queries, cut_lineage(self.context(self.retrieve(queries, where) if hits is None else hits))))
+        self.log("answer", out)
+        return out
+
+    def _answers(self, queries: DataFrame, context: DataFrame) -> DataFrame:
         g, v = self.config.generation, self.config.verification
-        context = cut_lineage(generation.context_of(self.retrieve(queries, where), self.tables["chunks"], g.max_context_chunks))
-        answers = cut_lineage(generation.answer(queries, context))
+        answers = cut_lineage(generation.answer(queries, context, self.answerer, g.min_evidence_score, g.min_citations, g.abstain_below_confidence, g.quote_chars))
         if not v.enabled:
             return answers
         evidence = context.select(F.col("query_id").alias("answer_id"), "n", "chunk_id", "text")
@@ -95,22 +119,73 @@ class Pipeline:
         value = F.when(F.col("groundedness").isNull(), F.col("confidence")).otherwise(generation.verified_confidence(F.col("confidence"), F.col("groundedness")))
         return j.select("query_id", F.coalesce("repaired", "answer").alias("answer"), "evidence_score", "n_citations", value.alias("confidence"), (F.col("abstained") | late).alias("abstained"), reason.alias("abstain_reason"), "groundedness")
 
-    def extract(self, queries: DataFrame, target: str, where: dict[str, object] | None = None) -> DataFrame:
-        return extraction.extract(self.retrieve(queries, where), self.tables["chunks"], target)
-
-    def compare_years(self, year_a: str, year_b: str, forms: list[str] | None = None) -> DataFrame:
-        """Annual reports are compared unless other forms are named."""
-        return comparison.compare_years(self.tables["chunks"], year_a, year_b, forms or [COMPARED])
+    def extract(self, queries: DataFrame, target: str, where: dict[str, object] | None = None, constrain: bool = True, top_k: int | None = None) -> DataFrame:
+        """(query_id, data, valid, error): the target read from the chunks retrieved for each query.
 
-    def monitor(self, year_a: str, year_b: str, forms: list[str] | None = None, compare_form: str = COMPARED) -> DataFrame:
+        Retrieval is held to the preferred item of the target, unless the filter names items; queries that find nothing
+        there are retrieved again without. Each extraction is logged.
+        """
+        where = dict(where or {})
+        if constrain and "item_number" not in where:
+            first = cut_lineage(self.retrieve(queries, where | {"item_number": [extraction.preferred_item(target)]}, top_k))
+            rest = queries.join(first.select("query_id").distinct(), "query_id", "left_anti")
+            hits = first.unionByName(self.retrieve(rest, where or None, top_k))
+        else:
+            hits = self.retrieve(queries, where or None, top_k)
+        out = cut_lineage(extraction.extract(hits, self.tables["chunks"], target))
+        self.log("extraction", out.select("query_id", F.lit(target).alias("target"), "valid", "error"))
+        return out
+
+    def compare_years(self, year_a: str, year_b: str, forms: list[str] | None = None, tickers: list[str] | None = None, items: list[str] | None = None) -> DataFrame:
+        """Annual reports are compared unless other forms are named; of the named tickers and items only, which are read by themselves."""
+        c = self.tables["chunks"]
+        if tickers:
+            c = c.filter(F.upper("ticker").isin(*[t.upper() for t in tickers]))
+        if items:
+            c = c.filter(F.upper("item_number").isin(*[i.upper() for i in items]))
+        return comparison.compare_years(c, year_a, year_b, forms or [COMPARED])
+
+    def evaluate(self, cases: DataFrame, k: int | None = None, generate: bool = True) -> tuple[DataFrame, DataFrame]:
+        """Rows of measures by case and the roll-up of one row.
+
+        cases: query_id, text, ticker, relevant_items, relevant_passages, answerable. The cases are retrieved and
+        answered as one table; latency is its time over their number. Without generate only retrieval is measured.
+        """
+        k = k or self.config.retrieval.top_k
+        began = time.time()
+        hits = cut_lineage(self.retrieve(cases, top_k=k, own_ticker=True))
+        each = (time.time() - began) * 1000 / max(1, cases.count())
+        if not generate:
+            r = evaluation.relevance(cases, hits, self.tables["chunks"])
+            v, g = F.col("values"), F.col("gold")
+            rows = r.select("query_id", evaluation.recall_at_k(v, g, k).alias("recall"), evaluation.reciprocal_rank(v, g).alias("rr"), evaluation.average_precision(v, g, k).alias("ap"))
+            return rows, rows.agg(F.count("*").alias("n_cases"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(n) for c, n in (("recall", "recall_at_k"), ("rr", "mrr"), ("ap", "map_at_k"))])
+        context = cut_lineage(self.context(hits))
+        answers = cut_lineage(self._answers(cases, context))
+        rows = evaluation.case_rows(cases, hits, self.tables["chunks"], answers, context, k, self.judge).withColumn("latency_ms", F.lit(round(each, 3)))
+        rows = cut_lineage(rows)
+        return rows, evaluation.roll_up(rows, lexical=self.judge is verification.judge)
+
+    def enforcement(self, cases: DataFrame, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Signals and items found for each case (case_id, description, ticker, expected_signals, expected_items), and their means."""
+        c = self.tables["chunks"]
+        found = signals.detect(c).join(c.select("chunk_id", "ticker"), "chunk_id").select("ticker", "signal_type")
+        q = cases.select(F.col("case_id").alias("query_id"), F.col("description").alias("text"), "ticker")
+        items = self.retrieve(q, top_k=k, own_ticker=True).join(c.select("chunk_id", "item_number"), "chunk_id").select(F.col("query_id").alias("case_id"), "item_number")
+        rows = cut_lineage(evaluation.enforcement(cases, found, items))
+        return rows, evaluation.enforcement_means(rows)
+
+    def monitor(self, year_a: str, year_b: str, forms: list[str] | None = None, compare_form: str = COMPARED, tickers: list[str] | None = None) -> DataFrame:
         """New risks, new litigation and signals of year B by ticker; without chunks of the forms in year B any form counts.
 
         forms are those of the signals; the years are compared by compare_form alone.
         """
         c = self.tables["chunks"].withColumn("ticker", F.upper("ticker"))
+        if tickers:
+            c = c.filter(F.col("ticker").isin(*[t.upper() for t in tickers]))
         current = c.filter(F.col("fiscal_year") == str(year_b))
         if forms:
             wanted = current.filter(F.col("filing_type").isin(*forms))
             current = wanted.unionByName(current.join(wanted.select("ticker").distinct(), "ticker", "left_anti").select(wanted.columns))
         s = signals.detect(current).join(current.select("chunk_id", "ticker"), "chunk_id")
-        return signals.monitor(self.compare_years(year_a, year_b, [compare_form]), s)
+        return signals.monitor(self.compare_years(year_a, year_b, [compare_form], tickers), s)

@@ -42,6 +42,52 @@ def read_filings(spark: SparkSession, *dirs: str, pattern: str = "*.txt", defaul
     return j.select(*[value(k).alias(k) for k in META], "text", "sections", "dir")
 
 
+def select_filings(filings: DataFrame, forms: list[str], year: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The filing of each ticker that a reader would fetch: of the first form in the list that has one in the period, the latest.
+
+    year is that of the filing date, start and end are dates that count in; dates that aren't whole never fall in a
+    period, and come last without one. Ties go to the largest accession.
+    """
+    day = F.to_date(F.when(F.col("filing_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("filing_date")))
+    keep = F.col("filing_type").isin(*forms)
+    if year is not None:
+        keep = keep & (F.year("_day") == year)
+    if start is not None:
+        keep = keep & (F.col("_day") >= F.lit(start).cast("date"))
+    if end is not None:
+        keep = keep & (F.col("_day") <= F.lit(end).cast("date"))
+    place = F.coalesce(*[F.when(F.col("filing_type") == f, F.lit(k)) for k, f in enumerate(forms)], F.lit(len(forms)))
+    w = Window.partitionBy("ticker").orderBy(place, F.col("_day").desc_nulls_last(), F.col("accession").desc())
+    found = filings.withColumn("_day", day).filter(keep).withColumn("_r", F.row_number().over(w)).filter("_r <= 1")
+    return found.drop("_r", "_day")
+
+
+def provenance(raw: DataFrame) -> DataFrame:
+    """The metadata of downloaded filings, all strings: ticker, company, cik, form, filing_date, period, accession, source_url and source_path as they came.
+
+    The fiscal year is that of the period of report, else that of the filing date; what is absent reads UNKNOWN, but the
+    company reads like the ticker and accession, url and path are empty.
+    """
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    unknown = F.lit("UNKNOWN")
+    cik, date = F.coalesce(text("cik"), unknown), F.coalesce(text("filing_date"), unknown)
+    year = F.coalesce(F.substring(text("period"), 1, 4), F.when(date != "UNKNOWN", F.substring(date, 1, 4)), unknown)
+    accession = F.coalesce(text("accession"), F.lit(""))
+    return raw.select(
+        "ticker", F.coalesce(text("company"), F.col("ticker")).alias("company"), cik.alias("cik"), F.coalesce(text("form"), unknown).alias("filing_type"), date.alias("filing_date"), year.alias("fiscal_year"),
+        accession.alias("accession"), source_url(F.coalesce(text("source_url"), F.lit("")), cik, F.coalesce(F.nullif(accession, F.lit("")), unknown)).alias("source_url"), F.coalesce(text("source_path"), F.lit("")).alias("source_path"),
+    )
+
+
+def write_sidecars(filings: DataFrame, path: str) -> None:
+    """One JSON line for each filing: its metadata and the places of its sections, as read_filings takes them. Adds to what is there."""
+    places = chunking.sections(filings.select("accession", "text"))
+    ends = places.select("accession", F.struct("item_number", "title", "char_start", (F.col("char_start") + F.length("section_text")).alias("char_end")).alias("s"))
+    cut = ends.groupBy("accession").agg(F.array_sort(F.collect_list(F.struct(F.col("s.char_start").alias("at"), "s"))).alias("l")).select("accession", F.transform("l", lambda x: x["s"]).alias("sections"))
+    rows = filings.join(cut, "accession", "left").select(F.lit(1).alias("schema_version"), F.struct(*META).alias("metadata"), "sections")
+    rows.write.mode("append").json(path)
+
+
 def source_url(url, cik, accession):
     """The url as it is, else the index page of the filing by cik and accession; empty where they aren't known."""
     number = cik.try_cast("long")
@@ -82,7 +128,36 @@ def year_range(specs: list[str]) -> list[int]:
 def work_list(spark: SparkSession, tickers: list[str], forms: list[str], years: list[int], done: DataFrame | None = None) -> DataFrame:
     """Form, ticker and year to fetch, without what is done already."""
     t = spark.createDataFrame([(x.upper(),) for x in sorted(set(tickers))], "ticker string")
-    f = spark.createDataFrame([(x,) for x in forms], "filing_type string")
-    y = spark.createDataFrame([(str(x),) for x in years], "fiscal_year string")
-    work = f.crossJoin(t).crossJoin(y)
-    return work if done is None else work.join(done, ["ticker", "filing_type", "fiscal_year"], "left_anti")
+    return open_work(t, forms, [str(x) for x in years], done)
+
+
+def open_work(tickers: DataFrame, forms: list[str], years: list[str], done: DataFrame | None = None) -> DataFrame:
+    """Every form and year, which are given lists, of every row of tickers, without what is done."""
+    of = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    work = tickers.withColumn("filing_type", of(forms)).withColumn("fiscal_year", of(years))
+    return work if done is None else work.join(done.select("ticker", "filing_type", "fiscal_year"), ["ticker", "filing_type", "fiscal_year"], "left_anti")
+
+
+class Checkpoint:
+    """Which fetches are done, as a table that is only added to; a cleared one holds nothing."""
+
+    KEY = "ticker string, filing_type string, fiscal_year string, accession string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def mark(self, done: DataFrame) -> None:
+        done.select("ticker", "filing_type", "fiscal_year", "accession").write.mode("append").parquet(self.path)
+
+    def done(self) -> DataFrame:
+        """The marked rows, each once; none where nothing was marked."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        return self.spark.read.schema(self.KEY).parquet(self.path).distinct() if there else self.spark.createDataFrame([], self.KEY)
+
+    def counts(self) -> DataFrame:
+        return self.done().groupBy("filing_type", "fiscal_year").agg(F.countDistinct("accession").alias("n"))
+
+    def clear(self) -> None:
+        self.spark.createDataFrame([], self.KEY).write.mode("overwrite").parquet(self.path)

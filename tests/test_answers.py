@@ -34,7 +34,7 @@ def test_every_citation_is_judged(spark, tmp_path):
     cited = [("q1", "c1", "rose to \u201cten\u201d in"), ("q2", "c1", "Sales rose\u202fto"), ("q3", "c1", "M\u00fcnchen  this"), ("q4", "c2", "plain\ntext"), ("q5", "c2", "\u00a0"), ("q6", "gone", "plain"), ("q7", "c2", None)]
     spark.createDataFrame(chunks, "chunk_id string, ord int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
     spark.createDataFrame(cited, "citation_id string, chunk_id string, quote string").write.parquet(str(tmp_path / "citations.parquet"))
-    got = {r.citation_id: r.in_chunk for r in catalog.QUERIES["quote_verdicts"](spark, str(tmp_path)).collect()}
+    got = {r.citation_id: r.in_chunk for r in catalog.QUERIES["quote_in_source"](spark, str(tmp_path)).collect()}
     plain = lambda x: " ".join((x or "").split())
     assert got == {k: bool(plain(q)) and plain(q) in plain(dict((i, t) for i, _, t in chunks).get(c)) for k, c, q in cited}
 

@@ -47,11 +47,90 @@ def test_pipeline(spark, folder, tmp_path):
     m = p.monitor("2023", "2024").first()
     assert m.new_risk_factors == 1 and m.signals == 2 and not m.going_concern
     with pytest.raises(ValueError):
-        I.read_index(spark, str(tmp_path / "index"), I.EmbeddingInfo(dim=64))
+        I.read_index(spark, str(tmp_path / "index"), I.VectorSpace(dim=64))
     with pytest.raises(ValueError):
         Pipeline(spark, answerer="none")
 
 
+def test_settings_hooks_and_log(spark, folder, tmp_path, monkeypatch):
+    from strataline.plans import pipeline as P
+
+    said = lambda queries, context: queries.select("query_id", F.lit("Quillon makes bottle glass in Hull. [1]").alias("answer"))
+    monkeypatch.setitem(P.ANSWERERS, "own", said)
+    c = config.overlaid(config.load(env={}), {"chunking": {"min_chars": 20}, "audit": {"path": str(tmp_path / "log")}})
+    p = Pipeline(spark, c, answerer="own")
+    p.build_index(str(tmp_path / "index"), folder)
+    q = spark.createDataFrame([("q1", "Where does Quillon make glass?")], "query_id string, text string")
+    r = p.ask(q).first()
+    assert r.answer == "Quillon makes bottle glass in Hull. [1]" and r.n_citations == 1 and not r.abstained
+    p.extract(q, "risk_factors")
+    assert {x.event for x in spark.read.json(str(tmp_path / "log")).collect()} == {"answer", "extraction"}
+    for key, value, reason in (("min_evidence_score", 2.0, "insufficient retrieval evidence"), ("min_citations", 3, "too few grounded citations"), ("abstain_below_confidence", 1.1, "low confidence")):
+        own = Pipeline(spark, config.overlaid(c, {"generation": {key: value}, "audit": {"path": ""}}), answerer="own")
+        own.load_index(str(tmp_path / "index"))
+        assert own.ask(q).first().abstain_reason == reason
+
+
+def test_extraction_falls_back_without_its_item(spark, folder, tmp_path):
+    p = Pipeline(spark, config.load(env={"STRATALINE_CHUNKING__MIN_CHARS": "20"}))
+    p.build_index(str(tmp_path / "index"), folder)
+    q = spark.createDataFrame([("q1", "glass furnaces gas lawsuit")], "query_id string, text string")
+    risk = p.extract(q, "risk_factors").first()
+    assert {r.risk for r in risk.data.risk_factors} <= set(TEXT.split("\n")[-1].replace(". ", ".|").split("|")) | {"A new flood risk at the harbour of Grimsby threatens our warehouses and stocks."} | {"Item 1A.", "Risk Factors\nA lawsuit about a covenant may constrain future liquidity."}
+    assert p.extract(q, "litigation").first().valid  # no item 3 there
+
+
+def test_evaluate_and_command_line(spark, folder, tmp_path, capsys):
+    from strataline import cli
+
+    cases = [{"id": "c1", "question": "Where does Quillon make glass?", "relevant_items": ["1"], "ticker": "qgl"}, {"id": "c2", "question": "lawsuit covenant", "relevant_passages": ["a lawsuit about a covenant may constrain"]}, {"id": "c3", "question": "xylophone", "answerable": False}]
+    (tmp_path / "cases.json").write_text(json.dumps(cases))
+    (tmp_path / "enforce.json").write_text(json.dumps([{"id": "e1", "description": "covenant lawsuit", "expected_signals": ["litigation", "liquidity"], "expected_items": ["1A"]}, {"id": "e2", "description": "x", "ticker": "NONE", "expected_signals": ["litigation"], "expected_items": []}]))
+    (tmp_path / "c.json").write_text(json.dumps({"chunking": {"min_chars": 20}}))
+    run = lambda *a: cli.main(["--config", str(tmp_path / "c.json"), "--index", str(tmp_path / "index"), *a])
+    run("index", folder)
+    assert run("evaluate", str(tmp_path / "cases.json"), "--save-baseline", str(tmp_path / "base")) == 0
+    m = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert m["n_cases"] == 3 and m["recall_at_k"] == round(2 / 3, 6) and m["abstention_recall"] == 1.0 and m["hallucination_rate"] == 0.0 and m["citation_correctness"] > 0 and m["lexical_groundedness"] == 1.0 and m["p95_latency_ms"] > 0
+    assert run("--text", "evaluate", str(tmp_path / "cases.json"), "--baseline", str(tmp_path / "base")) == 0
+    assert "ok         mrr" in capsys.readouterr().out
+    run("enforce", str(tmp_path / "enforce.json"))
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"n_cases": 2, "signal_recall": 0.5, "evidence_retrieval_recall": 0.5}
+    run("--text", "compare", "qgl", "2023", "2024", "--items", "1a")
+    assert "+ Gas prices may rise. A new flood risk" in capsys.readouterr().out
+    run("ask", "Where does Quillon make glass?", "--ticker", "QGL")
+    assert "Hull" in capsys.readouterr().out
+
+
+def test_selected_filings_provenance_sidecars_and_checkpoint(spark, tmp_path):
+    cols = "ticker string, company string, cik string, filing_type string, filing_date string, fiscal_year string, accession string, source_url string, source_path string, text string"
+    f = spark.createDataFrame([("T", "C", "7", t, d, "2022", a, "", "p", TEXT) for t, d, a in (("10-K", "2022-03-01", "a1"), ("10-K", "2023", "a2"), ("10-Q", "2023-05-01", "a3"), ("10-K", "2021-03-01", "a4"))], cols)
+    one = lambda **k: S.select_filings(f, ["10-K", "10-Q"], **k).first().accession
+    assert one() == "a1" and one(year=2023) == "a3" and one(end="2021-12-31") == "a4" and one(start="2022-03-01", end="2022-03-01") == "a1"
+    raw = spark.createDataFrame([("T", None, 7, "10-K", "2023-02-01", "2022-12-31", "1-2-3", None, "p"), ("U", "U Inc", None, None, None, None, None, None, None)], "ticker string, company string, cik int, form string, filing_date string, period string, accession string, source_url string, source_path string")
+    r = {x.ticker: x for x in S.provenance(raw).collect()}
+    assert r["T"].fiscal_year == "2022" and r["T"].company == "T" and r["T"].source_url.endswith("/7/123/1-2-3-index.htm") and r["U"].fiscal_year == r["U"].filing_date == "UNKNOWN" and r["U"].source_url == ""
+    S.write_sidecars(f.limit(1), str(tmp_path / "cars"))
+    car = spark.read.schema(S.SIDECAR).json(str(tmp_path / "cars")).first()
+    assert car.metadata.ticker == "T" and [s.item_number for s in car.sections] == ["1", "1A"]
+    ck = S.Checkpoint(spark, str(tmp_path / "ck"))
+    assert ck.done().count() == 0
+    ck.mark(f)
+    ck.mark(f)
+    assert ck.done().count() == 4 and sum(x.n for x in ck.counts().collect()) == 4
+    ck.clear()
+    assert ck.done().count() == 0
+
+
+def test_review_sheet_and_settings_files(spark, tmp_path):
+    a = spark.createDataFrame([("q1", "why?", None), ("q2", "how?", "so")], "query_id string, question string, gold string")
+    I.write_review(I.review_sheet(a, 5), str(tmp_path / "r"))
+    assert "correctness" in spark.read.json(str(tmp_path / "r/json")).columns and "## q2" in "\n".join(x.value for x in spark.read.text(str(tmp_path / "r/text")).collect())
+    pytest.importorskip("yaml")
+    (tmp_path / "s.yaml").write_text("retrieval:\n  top_k: 3\n")
+    assert config.load(str(tmp_path / "s.yaml"), env={}).retrieval.top_k == 3
+
+
 def test_years_are_compared_by_annual_reports(spark):
     risk = [f"{w} " * 16 + f"{w}." for w in ("kilns", "cranes", "ports")]
     rows = [("2023", "a", "2023-03-01", "10-K", risk[0]), ("2024", "b", "2024-03-01", "10-K", risk[1]), ("2024", "c", "2024-11-01", "8-K", risk[2]), ("2024", "d", "2024-12-01", "10-K/A", risk[2])]
