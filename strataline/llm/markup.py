@@ -1,12 +1,13 @@
 """Markup left in texts: recognised, removed, its structure kept.
 
 A text is cut into blocks at line breaks and block-level markup. Pass one classifies each block by stop-word density,
-length and link density; pass two gives short ambiguous blocks the label of the nearest decided block. Syntax found in
-blocks that end up as noise isn't markup.
+length and link density; pass two gives short ambiguous blocks the label of the nearest decided block. Blocks are then
+converted by their label: syntax in noise isn't markup and stays, code and formulas keep their text.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -41,30 +42,30 @@ PATTERNS: dict[str, list[str]] = {
     "html": [
         r"(?i)" + _TAG,
         r"<!--|-->|<!DOCTYPE\b|<!\[CDATA\[|<\?xml\b",
-        r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{2,7}|#[xX][0-9A-Fa-f]{2,6});",
+        r"&(?:[A-Za-z][A-Za-z0-9]+|#\d+|#[xX][0-9A-Fa-f]+);",
     ],
     "markdown": [
         r"(?m)^ {0,3}#{1,6}[ \t]+\S",
         r"(?m)^(?=[^\n]*[^\W\d_]{2})[^\n|<=-][^\n]*\n(?:={4,}|-{4,})[ \t]*$",
-        r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*\*(?![\w*])",
-        r"(?:(?<=[\s(\"“])|^)__(?=[^\W_])(?!(?:NO)?TOC__|[A-Z]+__)[^_\n=]{1,200}?(?<=[\w.,;:!?)])__(?=[\s.,;:!?)]|$)",
-        r"(?<![\w*\\])\*(?=[^\W_])[^*\n]{0,120}?(?<=[\w.,;:!?)])\*(?![\w*])",
-        r"(?:(?<=[\s(\"“])|^)_(?=[^\W\d_])[^_\n=]{0,120}?(?<=[^\W\d_])[.,;:!?]?_(?=[\s.,;:!?)]|$)",
-        r"!?\[[^\[\]\n]{1,300}\]\([^()\s]{1,300}(?:\s+\"[^\"\n]*\")?\)",
-        r"(?m)^ {0,3}\[[^\[\]\n^]{1,80}\]:[ \t]*\S+",
-        r"\[\^\w{1,20}\]",
+        r"(?<![\w*\\])\*\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*\*(?![\w*])",
+        r"(?:(?<=[\s(\"“])|^)__(?=[^\W_])(?!(?:NO)?TOC__|[A-Z]+__)[^_\n=]+?(?<=[\w.,;:!?)])__(?=[\s.,;:!?)]|$)",
+        r"(?<![\w*\\])\*(?=[^\W_])[^*\n]*?(?<=[\w.,;:!?)])\*(?![\w*])",
+        r"(?:(?<=[\s(\"“])|^)_(?=[^\W\d_])[^_\n=]*?(?<=[^\W\d_])[.,;:!?]?_(?=[\s.,;:!?)]|$)",
+        r"!?\[[^\[\]\n]+\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)",
+        r"(?m)^ {0,3}\[[^\[\]\n^]+\]:[ \t]*\S+",
+        r"\[\^\w+\]",
         r"(?m)^ {0,3}(?:```|~~~)[\w+-]*[ \t]*$",
-        r"(?<![`\\])`[^`\s\n][^`\n]{0,120}`(?!`)",
+        r"(?<![`\\])`[^`\s\n][^`\n]*`(?!`)",
         r"(?m)^ {0,3}>[ \t]+(?=\*\*|[A-Z\"“(])",
         r"(?m)^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-{3,}:?[ \t]*\|[ \t]*$",
         r"(?m)^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]",
-        r"(?<![\w~])~~(?=[^\s~])[^~\n]{1,120}~~(?![\w~])",
+        r"(?<![\w~])~~(?=[^\s~])[^~\n]+~~(?![\w~])",
         r"(?m)^ {0,3}(?:\*[ \t]?){3,}$",
     ],
     "wiki": [
-        r"\[\[[^\[\]\n]{1,200}\]\]",
-        r"\{\{[^{}\n]{1,300}\}\}",
-        r"(?<!')'''?(?=[^\s'])[^\n]{1,200}?(?<=[^\s'])'''?(?!')",
+        r"\[\[[^\[\]\n]+\]\]",
+        r"\{\{[^{}\n]+\}\}",
+        r"(?<!')'''?(?=[^\s'])[^'\n]*(?:'(?!')[^'\n]*)*(?<=[^\s'])'''?(?!')",
         r"(?m)^(={2,6})[ \t]*[^=\n][^\n]*?[ \t]*\1[ \t]*$",
         r"(?m)^\{\|[^\n]*$|^\|\}[ \t]*$|^\|-[^\n-]*$",
         r"__(?:NO)?(?:TOC|EDITSECTION|FORCETOC|INDEX|NOINDEX|GALLERY|NOGALLERY)__",
@@ -74,14 +75,14 @@ PATTERNS: dict[str, list[str]] = {
         r"(?<!~)~{3,5}(?=\s|$)(?!\n)",
     ],
     "latex": [
-        r"(?<![\w:\\])\\(?:[A-Za-z]+\*?)(?:\[[^\]\n]{0,80}\])?\{",
+        r"(?<![\w:\\])\\(?:[A-Za-z]+\*?)(?:\[[^\]\n]*\])?\{",
         r"\\(?:begin|end)\{[a-zA-Z*]+\}",
         r"(?<![\w:\\])\\(?:%s)(?![A-Za-z\\])" % "|".join(_BARE.split()),
         r"(?<![\\\w])\\[$%&#_](?=[\s\d\w.,;)]|$)|(?<=\d)\\%",
         r"(?m)\\\\(?:\[\d[^\]\n]*\])?[ \t]*(?:\\hline)?[ \t]*$",
         r"\\\(|\\\)|\\\[(?=[^\n]*[\w\\])|\\\]",
-        r"\$(?=[^$\n]{0,80}[\\^_])[^$\n\s][^$\n]{0,80}\$(?!\d)",
-        r"``[^`'\n]{1,200}''",
+        r"\$(?=[^$\n]*[\\^_])[^$\n\s](?:[^$\n]*[^$\n\s])?\$(?!\d)",
+        r"``[^`'\n]+''",
         r"[A-Za-z.]~\\(?:ref|cite|eqref)",
     ],
 }
@@ -107,6 +108,46 @@ def _spans(text: str) -> list[tuple[int, int, str]]:
     return sorted((m.start(), m.end(), k) for k in PATTERNS for m in _hits(k, text))
 
 
+_ENVIRONMENTS = "equation|align|displaymath|eqnarray|gather|verbatim|lstlisting"
+_EDGE = re.compile(
+    rf"(?im)(?P<fence>^ {{0,3}}(?:```|~~~).*$)|<(?P<close>/?)(?P<tag>pre|script|style|ref|tr|h[1-6])\b[^<>]*>|\\(?P<role>begin|end)\{{(?P<env>{_ENVIRONMENTS})\*?\}}|(?P<left>\\\[)|(?P<right>\\\])|(?P<open><!--)|(?P<shut>-->)"
+)
+#: What a construct of several lines holds, where it isn't running text.
+_HELD = {"pre": "code", "fence": "code", "verbatim": "code", "lstlisting": "code", "[": "formula"} | {k: "formula" for k in ("equation", "align", "displaymath", "eqnarray", "gather")}
+
+
+def _constructs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of constructs that stay in one block, in order, none within another; each mark is looked at once."""
+    opens: list[tuple[int, int, str]] = []
+    closes: dict[str, list[int]] = {}
+    for m in _EDGE.finditer(text):
+        if m["fence"]:
+            opens.append((m.start(), m.end(), "fence"))
+            closes.setdefault("fence", []).append(m.end())
+        elif m["tag"]:
+            if m["close"]:
+                closes.setdefault(m["tag"].lower(), []).append(m.end())
+            elif not m[0].endswith("/>"):
+                opens.append((m.start(), m.end(), m["tag"].lower()))
+        elif m["env"]:
+            (closes.setdefault(m["env"], []).append(m.end()) if m["role"] == "end" else opens.append((m.start(), m.end(), m["env"])))
+        elif m["left"] or m["open"]:
+            opens.append((m.start(), m.end(), "[" if m["left"] else "<!--"))
+        else:
+            closes.setdefault("[" if m["right"] else "<!--", []).append(m.end())
+    out: list[tuple[int, int, str]] = []
+    at = 0
+    for lo, hi, name in opens:
+        if lo < at:
+            continue
+        ends = closes.get(name, [])
+        k = bisect.bisect_right(ends, hi)
+        if k < len(ends):
+            at = ends[k]
+            out.append((lo, at, name))
+    return out
+
+
 def classify(blocks: list[str], bare: list[str]) -> list[str]:
     """text, structure or noise for each block; bare is the block without its recognised syntax."""
     labels: list[str] = []
@@ -118,7 +159,9 @@ def classify(blocks: list[str], bare: list[str]) -> list[str]:
         words = [t.strip(".,;:!?()\"'").lower() for t in tokens]
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = sum(len(m[0]) for m in _LINK.finditer(block)) / max(1, len(block))
-        if symbols > 0.25 and density < 0.1 and solid > 3:
+        if not solid and block.strip():
+            labels.append("structure")  # nothing but syntax
+        elif symbols > 0.25 and density < 0.1 and solid > 3:
             labels.append("noise")
         elif density >= 0.15 and len(tokens) >= 6:
             labels.append("text")
@@ -128,42 +171,72 @@ def classify(blocks: list[str], bare: list[str]) -> list[str]:
             labels.append("structure")
         else:
             labels.append("")  # short and ambiguous
-    decided = [k for k, x in enumerate(labels) if x]
+    before, after = _nearest(labels), _nearest(labels[::-1])[::-1]
     out = list(labels)
     for k, x in enumerate(labels):
         if not x:
-            near = min(decided, key=lambda d: (abs(d - k), d), default=None)
-            out[k] = labels[near] if near is not None else "text"
+            lo, hi = before[k], len(labels) - 1 - after[k] if after[k] >= 0 else -1
+            near = lo if hi < 0 or (lo >= 0 and k - lo <= hi - k) else hi
+            out[k] = labels[near] if near >= 0 else "text"
     return out
 
 
-def residues(text: str) -> list[str]:
-    """The kinds of markup with syntax left in blocks that aren't noise."""
-    spans = _spans(text)
-    if not spans:
-        return []
-    edges = [0]
-    for m in re.finditer(r"\n", text):
-        if not any(lo < m.end() < hi for lo, hi, _ in spans):
-            edges.append(m.end())
-    edges.append(len(text))
+def _nearest(labels: list[str]) -> list[int]:
+    """Place of the last decided label up to each place, -1 where there is none."""
+    out, last = [], -1
+    for k, x in enumerate(labels):
+        last = k if x else last
+        out.append(last)
+    return out
+
+
+def labelled(text: str) -> list[tuple[str, str, set[str]]]:
+    """(block, label, kinds of syntax in it) of a text, in order; the blocks make up the text.
+
+    Blocks end at line breaks outside of syntax and of constructs of several lines. Labels are text, structure, noise,
+    code and formula. Time grows with the length of the text and the number of marks in it, up to a logarithm.
+    """
+    spans, whole = _spans(text), _constructs(text)
+    closed: list[list[int]] = []  # stretches without an edge, merged
+    for lo, hi, _ in sorted([*spans, *whole]):
+        if closed and lo < closed[-1][1]:
+            closed[-1][1] = max(closed[-1][1], hi)
+        else:
+            closed.append([lo, hi])
+    edges, k = [0], 0
+    at = text.find("\n")
+    while at >= 0:
+        while k < len(closed) and closed[k][1] <= at:
+            k += 1
+        if not (k < len(closed) and closed[k][0] < at + 1 and at + 1 < closed[k][1]):
+            edges.append(at + 1)
+        at = text.find("\n", at + 1)
+    if edges[-1] < len(text):
+        edges.append(len(text))
     cuts = list(zip(edges, edges[1:]))
-    blocks = [text[lo:hi] for lo, hi in cuts]
+    starts = [lo for lo, _ in cuts]
+    inside: list[list[tuple[int, int, str]]] = [[] for _ in cuts]
+    for x in spans:
+        inside[bisect.bisect_right(starts, x[0]) - 1].append(x)
+    held = {bisect.bisect_right(starts, lo) - 1: _HELD[name] for lo, _, name in whole if name in _HELD}
     bare = []
-    for lo, hi in cuts:
-        keep, at = [], lo
-        for a, b, _ in spans:
-            if a >= lo and b <= hi and b > at:
-                keep.append(text[at : max(at, a)])
-                at = b
-        bare.append("".join(keep) + text[at:hi])
+    for (lo, hi), own in zip(cuts, inside):
+        keep, place = [], lo
+        for a, b, _ in own:
+            if b <= hi and b > place:
+                keep.append(text[place : max(place, a)])
+                place = b
+        bare.append("".join(keep) + text[place:hi])
+    blocks = [text[lo:hi] for lo, hi in cuts]
     labels = classify(blocks, bare)
-    found = set()
-    for a, b, k in spans:
-        for (lo, hi), label in zip(cuts, labels):
-            if lo <= a < hi and label != "noise":
-                found.add(k)
-    return sorted(found)
+    return [(block, held.get(i, label), {k for _, _, k in own}) for i, (block, label, own) in enumerate(zip(blocks, labels, inside))]
+
+
+def residues(text: str) -> list[str]:
+    """The kinds of markup with syntax left in blocks that aren't noise."""
+    if not any(True for k in PATTERNS for _ in _hits(k, text)):
+        return []
+    return sorted({k for _, label, kinds in labelled(text) if label != "noise" for k in kinds})
 
 
 # ---- cleaning --------------------------------------------------------------------------------------------------------
@@ -192,7 +265,7 @@ _RULES: list[tuple[str, str]] = [  # in this order; \x01 opens and \x02 closes a
     (r"\\href\{[^{}]*\}\{([^{}]*)\}", "\\1"),
     (r"~?\\(?:label|index|vspace|hspace|bibliography|bibliographystyle|usepackage|documentclass|includegraphics)\*?(?:\[[^\]]*\])?\{[^{}]*\}", ""),
     (r"~?\\(?:cite|ref|eqref|pageref)[a-z]*\*?(?:\[[^\]]*\])?\{([^{}]*)\}", " [\\1]"),
-    (r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]{0,80}\])?\{([^{}]*)\}", "\\1"),
+    (r"(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{([^{}]*)\}", "\\1"),
     (r"(?<![\w:\\])\\(?:noindent|centering|newpage|clearpage|maketitle|par|bigskip|medskip|smallskip|toprule|midrule|bottomrule)(?![A-Za-z])[ \t]*", ""),
     (r"(?m)^(.*?)[ \t]*\\\\[ \t]*$", "\x01tr\x02\\1"),
     (r"(?<![\\\w])\\([$%&#_{}])|(?<=\d)\\(%)", "\\1\\2"),
@@ -213,10 +286,10 @@ _RULES: list[tuple[str, str]] = [  # in this order; \x01 opens and \x02 closes a
     (r"(?m)^[ \t]*\|(.*?)\|?[ \t]*$", "\x01tr\x02\\1"),
     (r"!\[([^\[\]\n]*)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)", "\\1"),
     (r"\[([^\[\]\n]+)\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)", "\\1"),
-    (r"(?<![\w*\\])(\*\*|__|~~)(?=[^\s*_])([^*\n]{1,200}?)\1(?![\w*])", "\\2"),
-    (r"(?<![\w*\\])\*(?=[^\W_])([^*\n]{0,120}?)(?<=[\w.,;:!?)])\*(?![\w*])", "\\1"),
-    (r"(?<![\w_\\/.])_(?=[^\W_])([^_\n]{0,120}?)_(?![\w_])", "\\1"),
-    (r"(?<![`\\])`([^`\s\n][^`\n]{0,120})`(?!`)", "\\1"),
+    (r"(?<![\w*\\])(\*\*|__|~~)(?=[^\s*_])([^*\n]+?)\1(?![\w*])", "\\2"),
+    (r"(?<![\w*\\])\*(?=[^\W_])([^*\n]*?)(?<=[\w.,;:!?)])\*(?![\w*])", "\\1"),
+    (r"(?<![\w_\\/.])_(?=[^\W_])([^_\n]*?)_(?![\w_])", "\\1"),
+    (r"(?<![`\\])`([^`\s\n][^`\n]*)`(?!`)", "\\1"),
     (r"(?m)^ {0,3}>[ \t]+", ""),
     (r"(?m)^[ \t]*[*+-][ \t]+(?=\S)", "\x01li\x02"),
 ]
@@ -225,8 +298,25 @@ _MARK = re.compile("\x01([a-z]+\\d?)\x02")
 
 
 def blocks_of(text: str) -> list[dict]:
-    """kind (heading, item, row, code, formula, text), level and text of each block of a text, markup removed."""
-    t = text.replace("\x01", "").replace("\x02", "")
+    """kind (heading, item, row, code, formula, text), level and text of each block of a text, markup removed.
+
+    Blocks are classified first; those of noise stay as they are, the others are converted.
+    """
+    out: list[dict] = []
+    for block, label, _ in labelled(text.replace("\x01", "").replace("\x02", "")):
+        if not block.strip():
+            continue
+        if label == "noise" or not _SYNTAX.search(block):
+            out += [{"kind": "text", "level": 0, "text": x.strip().replace("\xa0", " ")} for x in block.split("\n") if x.strip()]
+        else:
+            out += _converted(block)
+    return out
+
+
+_SYNTAX = re.compile(SUSPECT + r"|^[ \t]*[*+-][ \t]|-{3,}|~|\t", re.M)
+
+
+def _converted(t: str) -> list[dict]:
     for p, r in _CLEAN:
         t = p.sub(r, t)
     t = html.unescape(t).replace("\xa0", " ")
@@ -261,8 +351,12 @@ def blocks_of(text: str) -> list[dict]:
 
 def clean(text: str) -> str:
     """The plain text: headings and paragraphs on their own, items after a bullet, cells between tabs, code and formulas as they are."""
+    return joined(blocks_of(text))
+
+
+def joined(blocks: list[dict]) -> str:
     out, before = [], ""
-    for b in blocks_of(text):
+    for b in blocks:
         line = "• " + b["text"] if b["kind"] == "item" else b["text"]
         out.append(("\n" if b["kind"] in ("item", "row") and b["kind"] == before else "\n\n") + line if out else line)
         before = b["kind"]
@@ -299,8 +393,8 @@ def cleaned(docs: DataFrame, key: str = "chunk_id", text: str = "text") -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         typ = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array([clean(t) for t in texts], pa.string()), pa.array([blocks_of(t) for t in texts], typ)], names=[key, "clean_text", "blocks"])
+            blocks = [blocks_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array([joined(b) for b in blocks], pa.string()), pa.array(blocks, typ)], names=[key, "clean_text", "blocks"])
 
     d = docs.select(key, text)
     suspect = F.coalesce(F.col(text).rlike(SUSPECT), F.lit(False))

@@ -192,3 +192,40 @@ def test_blocks_of_tests(spark, monkeypatch):
     d = spark.createDataFrame([(1, passages["c1"] + " and " + passages["c6"]), (2, passages["c3"])], "doc_id long, text string")
     t = spark.createDataFrame(list(passages.items()), "case_id string, passage string")
     assert {(r.doc_id, tuple(r.case_ids)) for r in L.scan(d, t).collect()} == {(1, ("c1", "c6")), (2, ("c3",))}
+
+
+def test_markup_spans_of_any_length():
+    long = "the price of the glass rose and " * 100 + "fell"
+    cases = {
+        "markdown": [f"We said **{long}** here.", f"see [{long}](http://x.example/{'a' * 3000})", f"so `{long}` it is", f"and ~~{long}~~ too"],
+        "wiki": [f"see [[{long}]] for more", "a {{note|" + long + "}} b", f"he ''{long}'' said", f"he '''{long}''' said"],
+        "latex": [f"with $x^2 + {'y + ' * 900}z$ here", f"``{long}'' is said"],
+        "html": [f"<p title=\"{long}\">{long}</p>"],
+    }
+    for kind, texts in cases.items():
+        for t in texts:
+            assert kind in M.residues(t), t[:60]
+            if kind != "latex":
+                assert M.residues(M.clean(t)) == []
+
+
+def test_formula_blocks_code_and_noise():
+    t = "The value of the lease is the sum of all the payments.\n\n\\begin{equation}\nV = \\sum_{i=1}^{17} c_i (1+r)^{-i}\n\\end{equation}\n\n#*<% ^|~ \\*>_ =+@ **~#** {}<\\\n\n```python\nif a < b:\n\n    x = [1]\n```"
+    assert "latex" in M.residues(t)
+    b = M.blocks_of(t)
+    assert [x["kind"] for x in b] == ["text", "formula", "text", "code"] and b[1]["text"] == "V = \\sum_{i=1}^{17} c_i (1+r)^{-i}" and "    x = [1]" in b[3]["text"] and b[2]["text"] == "#*<% ^|~ \\*>_ =+@ **~#** {}<\\"
+    assert "".join(x for x, _, _ in M.labelled(t)) == t and M.labelled("") == []
+
+
+def test_markup_time_grows_with_the_text():
+    import time
+
+    def took(n):
+        t = "\n".join(f"a **b** line {k} of [x](y), <pre> and <b>z</b> ``` \\[ '' {{{{" for k in range(n))
+        began = time.perf_counter()
+        M.residues(t)
+        M.blocks_of(t)
+        return time.perf_counter() - began
+
+    took(100)
+    assert took(4000) < 24 * took(500) + 0.5
