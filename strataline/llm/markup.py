@@ -196,7 +196,10 @@ def labelled(text: str) -> list[tuple[str, str, set[str]]]:
     Blocks end at line breaks outside of syntax and of constructs of several lines. Labels are text, structure, noise,
     code and formula. Time grows with the length of the text and the number of marks in it, up to a logarithm.
     """
-    spans, whole = _spans(text), _constructs(text)
+    spans = _spans(text)
+    whole = _constructs(text) if spans else []
+    if not spans:
+        return [(text, "text", set())] if text else []
     closed: list[list[int]] = []  # stretches without an edge, merged
     for lo, hi, _ in sorted([*spans, *whole]):
         if closed and lo < closed[-1][1]:
@@ -234,8 +237,6 @@ def labelled(text: str) -> list[tuple[str, str, set[str]]]:
 
 def residues(text: str) -> list[str]:
     """The kinds of markup with syntax left in blocks that aren't noise."""
-    if not any(True for k in PATTERNS for _ in _hits(k, text)):
-        return []
     return sorted({k for _, label, kinds in labelled(text) if label != "noise" for k in kinds})
 
 
@@ -302,8 +303,12 @@ def blocks_of(text: str) -> list[dict]:
 
     Blocks are classified first; those of noise stay as they are, the others are converted.
     """
+    return _blocks(labelled(text.replace("\x01", "").replace("\x02", "")))
+
+
+def _blocks(parts: list[tuple[str, str, set[str]]]) -> list[dict]:
     out: list[dict] = []
-    for block, label, _ in labelled(text.replace("\x01", "").replace("\x02", "")):
+    for block, label, _ in parts:
         if not block.strip():
             continue
         if label == "noise" or not _SYNTAX.search(block):
@@ -313,6 +318,12 @@ def blocks_of(text: str) -> list[dict]:
     return out
 
 
+def unmarked(text: str) -> str:
+    """The clean text where there is markup in it, else the text as it is."""
+    parts = labelled(text.replace("\x01", "").replace("\x02", ""))
+    return joined(_blocks(parts)) if any(label != "noise" and kinds for _, label, kinds in parts) else text
+
+
 _SYNTAX = re.compile(SUSPECT + r"|^[ \t]*[*+-][ \t]|-{3,}|~|\t", re.M)
 
 

@@ -7,7 +7,7 @@ from strataline.llm import pairs as P
 from strataline.llm import pii as I
 from strataline.llm import quality as Q
 from strataline.llm.boosting import Boosted
-from strataline.llm.holdout import SEGMENTS, TITLES
+from strataline.llm.holdout import HELD_TITLES, SEGMENTS, TEST_SEGMENTS, TEST_TITLES, TITLES
 from strataline.llm.sampling import bounded
 
 
@@ -38,6 +38,15 @@ def test_holdout_accuracy(model):
     assert model.title_kinds(["UNKNOWN", "[Reserved]", "Item 7A.", "Note 12", "Item 7. (continued)"]) == [""] * 5
 
 
+def test_accuracy_and_log_loss_on_rows_never_fitted(model):
+    kinds = model.kinds([t for t, _ in TEST_SEGMENTS])
+    assert np.mean([k == want for (k, _), (_, want) in zip(kinds, TEST_SEGMENTS)]) >= 0.9
+    p, y = model.title_probabilities([t for t, _ in TEST_TITLES]), np.array([c for _, c in TEST_TITLES])
+    assert (p.argmax(1) == y).mean() >= 0.95 and -np.log(p[np.arange(len(y)), y]).mean() < 0.2 and np.allclose(p.sum(1), 1)
+    seen = {t for t, _ in TITLES}
+    assert not seen & {t for t, _ in HELD_TITLES + TEST_TITLES} and not {t for t, _ in SEGMENTS} & {t for t, _ in TEST_SEGMENTS} and not {t for t, _ in HELD_TITLES} & {t for t, _ in TEST_TITLES}
+
+
 def test_quality_edge_cases(spark, model):
     listing = "\n".join(f"• part {k} of the kiln" for k in range(12))
     rows = [("a", listing, "Risk Factors"), ("a", listing, "Risk Factors"), ("b", None, None), ("c", "", "  "), ("d", "tiny", "________"), ("e", "The cost of the sales rose in the year because of the weather. " * 3000, "We sold the plant in May of the year.")]
