@@ -324,7 +324,7 @@ def unmarked(text: str) -> str:
     return joined(_blocks(parts)) if any(label != "noise" and kinds for _, label, kinds in parts) else text
 
 
-_SYNTAX = re.compile(SUSPECT + r"|^[ \t]*[*+-][ \t]|-{3,}|~|\t", re.M)
+_SYNTAX = re.compile(SUSPECT + r"|^[ \t]*[*+!-][ \t]|-{3,}|~|\t", re.M)
 
 
 def _converted(t: str) -> list[dict]:
