@@ -1,20 +1,26 @@
 """Personal information in free text: bootstrapped contextual extraction and typed placeholders.
 
-One pass over the texts takes every span that could name or identify a person, with the words around it. Spans of
-certain form are seeds. Over the graph of contexts and instances (name words, shapes of numbers) scores spread for a few
-rounds in Spark: a context is as good as the known instances in it, an instance as good as the contexts it stands in;
-so contexts learned from seeds reveal instances nobody listed, and these further contexts.
+One pass over the texts takes every span that could name or identify a person, with the words around it, and counts the
+words in lower case. Spans of certain form are seeds. Over the graph of contexts (the words beside a span) and instances
+(name words; forms of numbers, mail and street addresses) scores spread for a few rounds in Spark: a context is as good
+as the known instances in it, an instance as good as the contexts it stands in; so contexts learned from seeds reveal
+instances nobody listed, and these further contexts. Words that mostly occur in lower case are negative seeds for names.
+Every row of the result has its score from the graph.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.llm.markup import STOP_WORDS
+from strataline.operators.skew import hot_keys, salted_join
 from strataline.session import cut_lineage
 
 ROUNDS = 3
@@ -22,6 +28,8 @@ ROUNDS = 3
 SUPPORT, CERTAIN = 3, 0.6
 #: Score of an instance that nothing is known of yet.
 UNKNOWN = 0.3
+#: Times that a word occurs in lower case for each time within what may be a name, from which it is none.
+COMMON = 1.0
 
 _UP = "".join(chr(c) for c in range(0x41, 0x250) if chr(c).isupper())
 _LOW = "".join(chr(c) for c in range(0x61, 0x250) if chr(c).islower())
@@ -74,23 +82,34 @@ _FRENCH = re.compile(
 _SPANISH = re.compile(rf"(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|Travesía|C/)[ \t]+(?:(?:de[ \t]las|de[ \t]los|de[ \t]la|del|de)[ \t]+)?(?:{_N}[ \t]?){{1,3}},?[ \t]*(?:n\.?º[ \t]*)?\d{{1,4}}{_POSTAL}")
 
 
-def addresses(text: str) -> list[tuple[int, int]]:
-    """Places of the street addresses of a text, in order, none within another."""
+_STREET_KIND = re.compile(rf"(?i)\b({_US}|rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours|route|square|passage|calle|avenida|avda|plaza|paseo|camino|ronda|travesía)\b|(straße|strasse|gasse|weg|allee|platz|ring|damm|ufer)\b")
+
+
+def _address_form(language: str, place: str) -> str:
+    """Instance of an address in the graph: its language, its kind of street, and whether a postal code or a place follows."""
+    m = _STREET_KIND.search(place)
+    street = (m[1] or m[2]).lower() if m else "-"
+    return f"{language} {street} {'code' if re.search(r'[,\n][ \t]*[0-9]{4,5} ', place) else 'place' if re.search(rf',[ \n][ \t]*[{_UP}]', place) else 'bare'}"
+
+
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """Places and forms of the street addresses of a text, in order, none within another."""
     out = []
     for m in _NUMBERED.finditer(text):
         if hit := _ENGLISH.match(text, m.start()):
             lo = max(0, m.start() - 20)
             flat = _FLAT.search(text[lo : m.start()])
-            out.append((lo + flat.start() if flat else m.start(), hit.end()))
+            out.append((lo + flat.start() if flat else m.start(), hit.end(), "english"))
     if any(k in text for k in _GERMAN_MARKS) or _RING.search(text):
-        out += [m.span() for m in _GERMAN.finditer(text)]
-    out += [m.span() for m in _FRENCH.finditer(text)]
+        out += [(*m.span(), "german") for m in _GERMAN.finditer(text)]
+    out += [(*m.span(), "french") for m in _FRENCH.finditer(text)]
     if any(k in text for k in _SPANISH_MARKS):
-        out += [m.span() for m in _SPANISH.finditer(text)]
-    kept: list[tuple[int, int]] = []
-    for lo, hi in sorted(out):
+        out += [(*m.span(), "spanish") for m in _SPANISH.finditer(text)]
+    kept: list[tuple[int, int, str]] = []
+    for lo, hi, language in sorted(out):
         if not kept or lo >= kept[-1][1]:
-            kept.append((lo, lo + len(text[lo:hi].rstrip())))
+            place = text[lo:hi].rstrip()
+            kept.append((lo, lo + len(place), _address_form(language, place)))
     return kept
 
 
@@ -106,8 +125,10 @@ LABELS = re.compile(
 _CLAUSE = re.compile(rf"(?<!\b[Nn]o)(?<!\b[Nn]r)(?<!\b[Nn]os)[.!?][\"'”’)\]]*\s+(?=[{_UP}])|;|\n[ \t]*\n|\n(?=[ \t]*[{_UP}])")
 #: Words of a context that label nothing by themselves.
 _BARE = frozenset("number numbers no nr nos is was of the a to and code id".split())
-#: Forms that are surely a phone or a number of identity: the seeds among the shapes of numbers.
+#: Forms that are sure: the seeds among the instances of the graph.
 SEED_SHAPES = {
+    "email": re.compile(r"^mail x@x(\.x)*$"),
+    "address": re.compile(r"^street .* (code|place)$|^street (german|french|spanish) "),
     "phone": re.compile(r"^\+0|^\([0Z]00\) ?000[-. ]0000|^000[-.]000[-.]0000$|^Z00-000-000-0000$|^Z00 0000 0000$|^Z0+ 000"),
     "id": re.compile(r"^[0Z]00[- ]00[- ]0000$|^AA ?00 ?00 ?00 ?A$|^[0Z]0 000 000 000$|^A0000000$|^[0Z]0000000-?A$"),
 }
@@ -150,17 +171,18 @@ _FIRM_AFTER = re.compile(rf"[ \t]*(?:&|,[ \t]+{_N}[ \t]+(?:&|and[ \t]+Partners)|
 
 
 def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
-    """Every candidate: kind (email, phone?, name?, listed, titled, address), start, end, instance, left, right, seed."""
+    """Every candidate: kind (email, address, number, name, listed, titled), start, end, instance, left, right, seed."""
     out = []
     taken: list[tuple[int, int]] = []
     free = lambda lo, hi: not any(lo < b and a < hi for a, b in taken)
     if "@" in text or " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower():
         for m in EMAIL.finditer(text):
-            out.append(("email", m.start(), m.end(), "", "", "", True))
+            spelled = re.sub(r"[\w.+%-]+", "x", re.sub(r"(?i)\b(at|dot)\b", lambda k: "@" if k[1].lower() == "at" else ".", m[0]))
+            out.append(("email", m.start(), m.end(), "mail " + spelled, _left(text, m.start())[0], "", False))
             taken.append(m.span())
-    for lo, hi in addresses(text):
+    for lo, hi, form in addresses(text):
         if free(lo, hi):
-            out.append(("address", lo, hi, "", "", "", True))
+            out.append(("address", lo, hi, "street " + form, _left(text, lo)[0], "", False))
             taken.append((lo, hi))
     for m in NUMBER.finditer(text):
         lo, hi = m.span("number")
@@ -178,7 +200,7 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
         lo, hi = m.span("name")
         name = m["name"]
         words = name.split()
-        if not m["title"] and (len(words) < 2 or len(words) > 5) or not free(lo, hi):
+        if not m["title"] and len(words) < 2 or not free(lo, hi):
             continue
         if not m["title"] and (words[0].lower() in _PLACES or words[-1].lower() in _PLACES):
             continue
@@ -193,37 +215,51 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
     return out
 
 
+#: Distinct words in lower case that a task counts before it sends them on.
+VOCABULARY = 200_000
+_LOWER = re.compile(f"(?<![\\w'’-])[{_LOW}]{{3,}}(?![\\w'’])")
+
+
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The spans of all texts, and rows of kind lower: how often (lo) a task met a word (instance) in lower case."""
     kind = docs.schema[key].dataType.simpleString()
+    names = ["doc_key", "kind", "lo", "hi", "instance", "left", "right", "seed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter[str] = Counter()
+        types, sent = None, 0
+
+        def told() -> pa.RecordBatch:
+            task = f"{TaskContext.get().partitionId()}.{sent}"  # keeps equal counts of several tasks apart
+            n = len(words)
+            cols = ([None] * n, ["lower"] * n, list(words.values()), [0] * n, list(words), [task] * n, [""] * n, [False] * n)
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
         for batch in batches:
-            rows = [(k, *s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in spans(t)]
-            cols = list(zip(*rows)) or [()] * 8
             types = (batch.schema.types[0], pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_key", "kind", "lo", "hi", "instance", "left", "right", "seed"])
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(k, *s) for s in spans(t)]
+                words.update(_LOWER.findall(t))
+            cols = list(zip(*rows)) or [()] * 8
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            if len(words) > VOCABULARY:
+                yield told()
+                words.clear()
+                sent += 1
+        if words:
+            yield told()
 
     return docs.select(F.col(key), F.col(text)).filter(F.col(text).isNotNull()).mapInArrow(run, f"doc_key {kind}, kind string, lo int, hi int, instance string, left string, right string, seed boolean")
 
 
-def _spread(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Scores of contexts and instances. edges: context, instance, n; seeds: instance, score (clamped)."""
-    scores = seeds
-    contexts = None
+def _spread(edges: DataFrame, seeds: DataFrame, kinds: list[str], rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Scores of contexts and instances for each kind. edges: context, instance, n; seeds: instance and a score a kind (clamped)."""
+    scores, contexts = seeds, None
+    mean = lambda k: (F.sum(F.coalesce(k, F.lit(UNKNOWN)) * F.log1p("n")) / F.sum(F.log1p("n"))).alias(k)
     for _ in range(rounds):
-        contexts = (
-            edges.join(scores, "instance", "left")
-            .groupBy("context")
-            .agg((F.sum(F.coalesce("score", F.lit(UNKNOWN)) * F.log1p("n")) / F.sum(F.log1p("n"))).alias("value"), F.count("*").alias("support"))
-            .filter(F.col("support") >= SUPPORT)
-            .select("context", "value")
-        )
-        learned = (
-            edges.join(contexts, "context")
-            .groupBy("instance")
-            .agg((F.sum(F.col("value") * F.log1p("n")) / F.sum(F.log1p("n"))).alias("score"))
-            .join(seeds.select("instance"), "instance", "left_anti")
-        )
+        contexts = edges.join(scores, "instance", "left").groupBy("context").agg(*[mean(k) for k in kinds], F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).drop("support")
+        learned = edges.join(contexts, "context").groupBy("instance").agg(*[mean(k) for k in kinds]).join(seeds.select("instance"), "instance", "left_anti")
         scores = cut_lineage(seeds.unionByName(learned))
     return cut_lineage(contexts), scores
 
@@ -241,58 +277,54 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     columns are ignored; an empty table gives none.
     """
     spots = cut_lineage(candidates(docs, key, text).distinct())
-    # numbers: contexts against shapes
-    numbers = spots.filter("kind = 'number'")
-    shapes = numbers.filter("right = ''").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n"))
-    is_phone, is_id = (F.col("instance").rlike(SEED_SHAPES[k].pattern) for k in ("phone", "id"))
-    kinds = {}
-    for kind, mine in (("phone", is_phone), ("id", is_id)):
-        seeds = shapes.select("instance").distinct().filter(is_phone | is_id).select("instance", F.when(mine, 1.0).otherwise(0.0).alias("score"))
-        ctx, inst = _spread(shapes, seeds, rounds)
-        kinds[kind] = (ctx.select(F.col("context").alias("left"), F.col("value").alias(f"{kind}_ctx")), inst.select("instance", F.col("score").alias(f"{kind}_inst")))
-    n = numbers
-    for ctx, inst in kinds.values():
-        n = n.join(ctx, "left", "left").join(inst, "instance", "left")
-    value = {k: F.coalesce(F.when(F.col("instance").rlike(SEED_SHAPES[k].pattern), F.lit(1.0)), F.when(F.col("right") == "", F.greatest(f"{k}_ctx", f"{k}_inst")).otherwise(F.col(f"{k}_ctx")), F.lit(0.0)) for k in ("phone", "id")}
-    typed = n.filter("right <> '!'").withColumn("p", value["phone"]).withColumn("i", value["id"])
-    numeric = typed.filter(F.greatest("p", "i") >= CERTAIN).select(
-        "doc_key", F.when((F.col("i") > F.col("p")) | ((F.col("i") == F.col("p")) & (F.coalesce("id_ctx", F.lit(0.0)) > F.coalesce("phone_ctx", F.lit(0.0)))), "id").otherwise("phone").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end")
-    )
+    # forms: contexts against the forms of numbers, mail and street addresses
+    kinds = ["phone", "id", "email", "address"]
+    formed = cut_lineage(spots.filter("kind IN ('number', 'email', 'address')"))
+    edges = formed.filter("right = ''").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n"))
+    sure = {k: F.col("instance").rlike(p.pattern) for k, p in SEED_SHAPES.items()}
+    seeds = edges.select("instance").distinct().select("instance", *[F.when(sure[k], 1.0).otherwise(0.0).alias(k) for k in kinds]).filter(" OR ".join(f"{k} = 1.0" for k in kinds))
+    ctx, inst = _spread(cut_lineage(edges), cut_lineage(seeds), kinds, rounds)
+    left = ctx.select(F.col("context").alias("left"), *[F.col(k).alias(f"{k}_ctx") for k in kinds])
+    form = inst.select("instance", *[F.col(k).alias(f"{k}_inst") for k in kinds])
+    n = salted_join(salted_join(formed, left, ["left"], hot_keys(formed, ["left"]), "left"), form, ["instance"], hot_keys(formed, ["instance"]), "left")
+    own = {"phone": "number", "id": "number", "email": "email", "address": "address"}
+    value = {k: F.when(F.col("kind") == own[k], F.coalesce(F.when(F.col("right") == "", F.greatest(f"{k}_ctx", f"{k}_inst")).otherwise(F.col(f"{k}_ctx")), F.lit(0.0))).otherwise(0.0) for k in kinds}
+    typed = n.filter("right <> '!'").withColumns({f"_{k}": v for k, v in value.items()}).withColumn("best", F.greatest(*[f"_{k}" for k in kinds])).filter(F.col("best") >= CERTAIN)
+    by_ctx = lambda k: F.coalesce(F.col(f"{k}_ctx"), F.lit(0.0))
+    as_id = (F.col("_id") > F.col("_phone")) | ((F.col("_id") == F.col("_phone")) & (by_ctx("id") > by_ctx("phone")))
+    kind = F.when(F.col("kind") != "number", F.col("kind")).when(as_id, "id").otherwise("phone")
+    shaped = typed.select("doc_key", kind.alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
     # names: contexts on either side against the words of the names
     names = spots.filter("kind IN ('name', 'titled', 'listed')")
-    worded = names.withColumn("words", name_words(F.col("instance")))
+    worded = cut_lineage(names.withColumn("words", name_words(F.col("instance"))))
     sides = worded.select(F.explode("words").alias("instance"), F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")).alias("c"), "seed")
     edges = sides.select("instance", F.explode("c").alias("context")).filter(F.col("context").rlike("^[LR] .*[a-zß-ÿ]{2}") & (F.col("context") != "L <title>")).groupBy("context", "instance").agg(F.count("*").alias("n"))
-    titled = worded.filter("seed").select(F.explode("words").alias("instance")).groupBy("instance").agg(F.count("*").alias("n"))
-    unlike = F.array(*[F.lit(w) for w in _NOT_NAMES])
-    plain = edges.select("instance").distinct().filter(F.array_contains(unlike, F.col("instance"))).select("instance", F.lit(0.0).alias("score"))
-    seeds = titled.join(plain, "instance", "left_anti").select("instance", F.lit(1.0).alias("score")).unionByName(plain)
-    ctx, word = _spread(edges, cut_lineage(seeds), rounds)
-    known = worded.select("doc_key", "lo", F.explode("words").alias("w")).join(word.withColumnRenamed("instance", "w"), "w", "left").groupBy("doc_key", "lo").agg(F.min(F.coalesce("score", F.lit(-1.0))).alias("least"), F.avg(F.coalesce("score", F.lit(0.3))).alias("mean"), F.max("score").alias("most"))
-    lctx = ctx.filter("context LIKE 'L %'").select(F.expr("substring(context, 3)").alias("left"), F.col("value").alias("lv"))
-    rctx = ctx.filter("context LIKE 'R %'").select(F.expr("substring(context, 3)").alias("right"), F.col("value").alias("rv"))
-    judged = worded.join(known, ["doc_key", "lo"], "left").join(lctx, "left", "left").join(rctx, "right", "left")
+    capital = worded.select(F.explode("words").alias("instance"), "seed").groupBy("instance").agg(F.count("*").alias("upper"), F.max("seed").alias("titled"))
+    lower = spots.filter("kind = 'lower'").groupBy("instance").agg(F.sum("lo").alias("lower"))
+    known = capital.join(lower, "instance", "left").withColumn("common", F.coalesce("lower", F.lit(0)) >= COMMON * F.col("upper"))
+    listed = F.array_contains(F.array(*[F.lit(w) for w in _NOT_NAMES]), F.col("instance"))
+    seeds = known.withColumn("name", F.when(listed | F.col("common"), 0.0).when(F.col("titled"), 1.0)).filter("name IS NOT NULL").select("instance", "name")
+    ctx, word = _spread(cut_lineage(edges), cut_lineage(seeds), ["name"], rounds)
+    each = worded.select("doc_key", "lo", F.explode("words").alias("instance"))
+    known = salted_join(each, word.withColumnRenamed("name", "score"), ["instance"], hot_keys(each, ["instance"]), "left").groupBy("doc_key", "lo").agg(F.min(F.coalesce("score", F.lit(-1.0))).alias("least"), F.avg(F.coalesce("score", F.lit(UNKNOWN))).alias("mean"))
+    lctx = ctx.filter("context LIKE 'L %'").select(F.expr("substring(context, 3)").alias("left"), F.col("name").alias("lv"))
+    rctx = ctx.filter("context LIKE 'R %'").select(F.expr("substring(context, 3)").alias("right"), F.col("name").alias("rv"))
+    judged = salted_join(salted_join(worded.join(known, ["doc_key", "lo"], "left"), lctx, ["left"], hot_keys(worded, ["left"]), "left"), rctx, ["right"], hot_keys(worded, ["right"]), "left")
     by_words = (F.col("least") >= CERTAIN) | ((F.col("mean") >= CERTAIN) & (F.greatest(F.coalesce("lv", F.lit(0.0)), F.coalesce("rv", F.lit(0.0))) >= CERTAIN))
     by_context = (F.coalesce("lv", F.lit(0.0)) >= 0.8) & (F.coalesce("rv", F.lit(0.0)) >= 0.8) & (F.coalesce("least", F.lit(-1.0)) != 0.0)
     by_context = by_context & F.col("left").rlike("[a-zß-ÿ]{2}") & (F.col("instance") != F.upper("instance"))
     kept = judged.filter(F.col("seed") | by_words | by_context)
     named = kept.select("doc_key", F.lit("name").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
-    direct = spots.filter("kind IN ('email', 'address')").select("doc_key", F.col("kind").alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
-    return direct.unionByName(numeric).unionByName(named).distinct().withColumnRenamed("doc_key", key)
+    return shaped.unionByName(named).distinct().withColumnRenamed("doc_key", key)
 
 
-# Words that open or close names of places, times and bodies, not of persons.
-_PLACES = frozenset(
-    """north south east west upper lower fort port new bay springs valley county city outside excluding following together during since the in our as for of and from rising any q1 q2 q3 q4
-    im der die das nach ohne sollten wir le la les au si sans nous el los las en sin hemos une un una eine ein section item rule note table class act depot road street""".split()
-)
-# Capitalised words that are no names of persons.
-_NOT_NAMES = (
-    """january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday the in our since following excluding outside together
-    during for as of and from rising any demand net sales management security two operator contact reach tel fax mobile filed please applicant item section rule note class january fiscal chief officer financial
-    executive accounting director president chairman board north south east west upper lower port fort new county bay springs valley bonded interest labor talks proceeds shipments weather internal review currency swings
-    der die das ein eine nach ohne sollten wir im le la les si sans nous au el los las sin si en hemos national insurance number social road street avenue united states depot act code""".split()
-)
+# Words that open or close names of places.
+PLACE_PARTS = "north south east west upper lower fort port new saint bay springs valley county city falls hills depot road street avenue".split()
+# Names of months and days, which no text has in lower case, and words before item and note numbers.
+CALENDAR = "january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split()
+HEADINGS = "section item rule note table class act part exhibit schedule".split()
+_PLACES = frozenset(PLACE_PARTS + HEADINGS) | STOP_WORDS
+_NOT_NAMES = sorted({*PLACE_PARTS, *CALENDAR, *HEADINGS, *STOP_WORDS})
 
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
