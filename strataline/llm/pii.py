@@ -43,9 +43,11 @@ FIRM_WORDS = frozenset(
 )
 _TITLE = r"(?:(?<![\w.])(?:%s)\.?[ \t]+)" % "|".join(TITLES)
 _PARTICLE = r"(?:(?:%s)[ \t]+)" % "|".join(PARTICLES + [p.upper() for p in PARTICLES])
-_PLAIN = f"(?:{_PARTICLE}{{0,2}}{_N})"
+#: A short word in capitals before a particle ("ID de", "SSN von"): a label, no given name.
+_LABEL = f"[{_UP}]{{2,4}}[ \\t]+(?:{'|'.join(PARTICLES)})[ \\t]+[{_UP}]"
+_PLAIN = f"(?:(?!{_LABEL}){_PARTICLE}{{0,2}}{_N})"
 NAME = re.compile(
-    f"(?=[{_UP}])(?<!\\w)(?P<title>{_TITLE}(?:{_TITLE})?)?(?<![\\w@.'’-])(?P<name>(?:{_N}|[{_UP}]\\.)(?:[ \\t]+(?:[{_UP}]\\.[ \\t]*)+{_PARTICLE}{{0,2}}{_N}|[ \\t]+{_PLAIN}){{1,3}}|(?(title){_PARTICLE}{{0,2}}{_N}|(?!)))(?![\\w@])"
+    f"(?=[{_UP}])(?<!\\w)(?P<title>{_TITLE}(?:{_TITLE})?)?(?<![\\w@.'’-])(?P<name>(?!{_LABEL})(?:{_N}|[{_UP}]\\.)(?:[ \\t]+(?:[{_UP}]\\.[ \\t]*)+{_PARTICLE}{{0,2}}{_N}|[ \\t]+{_PLAIN}){{1,3}}|(?(title){_PARTICLE}{{0,2}}{_N}|(?!)))(?![\\w@])"
 )
 LISTED = re.compile(f"(?=[{_UP}a-z])(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
 
@@ -54,6 +56,8 @@ EMAIL = re.compile(
     r"|(?<![\w.+%-])[\w.+%-]+[ \t]*[\[({<][ \t]*(?:at|AT|@)[ \t]*[\])}>][ \t]*[\w-]+(?:(?:[ \t]*[\[({<][ \t]*(?:dot|DOT|\.)[ \t]*[\])}>][ \t]*|\.)[\w-]+)+"
     r"|(?<![\w.+%-])[\w.+%-]+[ \t]+(?:at|AT)[ \t]+[\w-]+(?:[ \t]+(?:dot|DOT)[ \t]+[\w-]+)+"
 )
+#: What a text with a mail address holds.
+_MAIL_MARK = re.compile(r"(?i)@|[\[({<][ \t]*at[ \t]*[\])}>]|\bdot\b")
 NUMBER = re.compile(r"(?<![\w$€£@/])(?<![\w][.,-])(?P<number>(?:[A-Z]{1,2}(?=\d)|(?!ID|NO|NI|IN|TO|AT|OF|ON|BY|NR)[A-Z]{2} (?=\d\d ))?(?:\+|\()?\d(?:[ ().\-–/]{0,2}[0-9]){5,}(?:[ -]?[A-Z](?!\w))?)(?![\w%])")
 # Kinds of streets in the four languages.
 _US = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Terrace|Ter|Square|Sq|Circle|Cir|Close|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Mews|Gardens|Grove|Walk"
@@ -127,7 +131,7 @@ _CLAUSE = re.compile(rf"(?<!\b[Nn]o)(?<!\b[Nn]r)(?<!\b[Nn]os)[.!?][\"'”’)\]]
 _BARE = frozenset("number numbers no nr nos is was of the a to and code id".split())
 #: Forms that are sure: the seeds among the instances of the graph.
 SEED_SHAPES = {
-    "email": re.compile(r"^mail x@x(\.x)*$"),
+    "email": re.compile(r"^mail x@x(\.x)*$|^mail x\s*[\[({<]\s*@\s*[\])}>]"),
     "address": re.compile(r"^street .* (code|place)$|^street (german|french|spanish) "),
     "phone": re.compile(r"^\+0|^\([0Z]00\) ?000[-. ]0000|^000[-.]000[-.]0000$|^Z00-000-000-0000$|^Z00 0000 0000$|^Z0+ 000"),
     "id": re.compile(r"^[0Z]00[- ]00[- ]0000$|^AA ?00 ?00 ?00 ?A$|^[0Z]0 000 000 000$|^A0000000$|^[0Z]0000000-?A$"),
@@ -175,7 +179,7 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
     out = []
     taken: list[tuple[int, int]] = []
     free = lambda lo, hi: not any(lo < b and a < hi for a, b in taken)
-    if "@" in text or " dot " in text.lower() or "dot]" in text.lower() or "dot)" in text.lower():
+    if _MAIL_MARK.search(text):
         for m in EMAIL.finditer(text):
             spelled = re.sub(r"[\w.+%-]+", "x", re.sub(r"(?i)\b(at|dot)\b", lambda k: "@" if k[1].lower() == "at" else ".", m[0]))
             out.append(("email", m.start(), m.end(), "mail " + spelled, _left(text, m.start())[0], "", False))

@@ -145,6 +145,19 @@ def test_found_and_redacted(spark):
     assert I.found(d.limit(0)).count() == 0
 
 
+def test_spelled_mail_labels_and_words_in_lower_case(spark):
+    docs = documents(spark) + [
+        "Write to ir (at) quillon.example today.", "Die SSN von Zelda Quarn lautet 900-11-7777.", "Dear Sir or Madam, the plant is shut.",
+    ] + ["Dear colleagues, no sir, the plan of the sir is dear to us."] * 3
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    n = len(documents(spark))
+    got = {}
+    for r in I.found(d).collect():
+        got.setdefault(r.doc_id, set()).add((r.pii_type, docs[r.doc_id][r.char_start : r.char_end]))
+    assert got[n] == {("email", "ir (at) quillon.example")} and ("name", "Zelda Quarn") in got[n + 1] and n + 2 not in got
+    assert I.spans("Johann Maria Sebastian de la Cruz van der Berg left.")[0][0] == "name"
+
+
 def test_words_that_block_numbers_reach_no_further_than_their_label(spark):
     docs = documents(spark) + [
         "They renewed the inventory permit for 789 days. Tel +1 (845) 555 0108 is open.", "The inland permit.\nApplicant's social security number: 930 05 5489.", "Reach the patent desk on +49 30 23125 195.",
