@@ -12,16 +12,18 @@ MOST, LEAST = 1000, 50_000
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, keys: list[str], least: int = LEAST) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], least: int = LEAST, weight: str | None = None) -> DataFrame | None:
     """The keys that hold over 1 / MOST of the rows of df, hence at most MOST of them; None where there are none.
 
-    Counts are added up before they are shuffled. Null keys are left out, as they meet nothing in a join.
+    With weight, a row stands for so many. Counts are added up before they are shuffled. Null keys are left out, as
+    they meet nothing in a join.
     """
-    n = df.count()
+    size = F.sum(weight) if weight else F.count("*")
+    n = df.agg(size).first()[0] or 0
     if n <= least:
         return None
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    rows = df.filter(known).groupBy(*keys).count().filter(F.col("count") > max(least, n // MOST)).select(*keys).collect()  # MOST rows at most
+    rows = df.filter(known).groupBy(*keys).agg(size.alias("_n")).filter(F.col("_n") > max(least, n // MOST)).select(*keys).collect()  # MOST rows at most
     return df.sparkSession.createDataFrame(rows, df.select(*keys).schema) if rows else None
 
 
