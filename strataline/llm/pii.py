@@ -51,13 +51,16 @@ NAME = re.compile(
 )
 LISTED = re.compile(f"(?=[{_UP}a-z])(?<![\\w&,-])(?P<family>{_PARTICLE}{{0,2}}{_N}), (?P<given>{_N}(?:[ \\t][{_UP}]\\.)?)(?=;|\\s*$|[ \\t]*\\n)", re.M)
 
+#: How an entry of a list of names ends; texts without one hold none.
+_LISTED_END = re.compile(f", [{_UP}][^\\s,;]*(?:[ \\t][{_UP}]\\.)?(?:;|[ \\t]*(?:\\n|$))")
+
 EMAIL = re.compile(
     r"(?<![\w.+%-])[\w.+%-]+@[\w-]+(?:\.[\w-]+)+(?<![.-])"
     r"|(?<![\w.+%-])[\w.+%-]+[ \t]*[\[({<][ \t]*(?:at|AT|@)[ \t]*[\])}>][ \t]*[\w-]+(?:(?:[ \t]*[\[({<][ \t]*(?:dot|DOT|\.)[ \t]*[\])}>][ \t]*|\.)[\w-]+)+"
     r"|(?<![\w.+%-])[\w.+%-]+[ \t]+(?:at|AT)[ \t]+[\w-]+(?:[ \t]+(?:dot|DOT)[ \t]+[\w-]+)+"
 )
 #: What a text with a mail address holds.
-_MAIL_MARK = re.compile(r"(?i)@|[\[({<][ \t]*at[ \t]*[\])}>]|\bdot\b")
+_MAIL_MARKS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", " dot ", "dot]", "dot)", "\tdot\t")
 NUMBER = re.compile(r"(?<![\w$€£@/])(?<![\w][.,-])(?P<number>(?:[A-Z]{1,2}(?=\d)|(?!ID|NO|NI|IN|TO|AT|OF|ON|BY|NR)[A-Z]{2} (?=\d\d ))?(?:\+|\()?\d(?:[ ().\-–/]{0,2}[0-9]){5,}(?:[ -]?[A-Z](?!\w))?)(?![\w%])")
 # Kinds of streets in the four languages.
 _US = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Terrace|Ter|Square|Sq|Circle|Cir|Close|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Mews|Gardens|Grove|Walk"
@@ -69,10 +72,6 @@ _ENGLISH = re.compile(
     rf"\d{{1,5}}[A-Za-z]?,?[ \t]+(?:{_N}[ \t]+){{1,3}}(?:{_US}|{_US.upper()})(?:\b\.?)(?:,[ \t]*(?:Apt\.?|Apartment|Unit|Flat|Suite|#)[ \t]*\d+[A-Za-z]?)?(?:(?:,[ \t]|,?\n){_CITY}(?=[.,;)\s]|$))?"
 )
 _FLAT = re.compile(r"(?:Flat|Unit|Apt\.?|Apartment|Suite|Floor|No\.)[ \t]*\d+[A-Za-z]?,[ \t]*$")
-# What a text with a German address holds.
-_GERMAN_MARKS = "straße strasse gasse weg allee platz damm ufer Straße Strasse Gasse Weg Allee Platz Ring Damm Ufer STRASSE GASSE WEG ALLEE PLATZ".split()
-_GERMAN_MARKS = [f"{x} " for x in _GERMAN_MARKS] + ["Am ", "Beim ", "Im ", "Zum ", "Zur ", "An der ", "An den ", "An dem ", "In der ", "In den ", "Auf de", "Unter den ", "Hinter de"]
-_RING = re.compile(r"ring[ \t]+\d")
 # What a text with a Spanish address holds.
 _SPANISH_MARKS = "Calle Avenida Avda Plaza Paseo Camino Ronda Travesía C/".split()
 _GERMAN = re.compile(
@@ -104,8 +103,7 @@ def addresses(text: str) -> list[tuple[int, int, str]]:
             lo = max(0, m.start() - 20)
             flat = _FLAT.search(text[lo : m.start()])
             out.append((lo + flat.start() if flat else m.start(), hit.end(), "english"))
-    if any(k in text for k in _GERMAN_MARKS) or _RING.search(text):
-        out += [(*m.span(), "german") for m in _GERMAN.finditer(text)]
+    out += [(*m.span(), "german") for m in _GERMAN.finditer(text)]
     out += [(*m.span(), "french") for m in _FRENCH.finditer(text)]
     if any(k in text for k in _SPANISH_MARKS):
         out += [(*m.span(), "spanish") for m in _SPANISH.finditer(text)]
@@ -179,7 +177,8 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
     out = []
     taken: list[tuple[int, int]] = []
     free = lambda lo, hi: not any(lo < b and a < hi for a, b in taken)
-    if _MAIL_MARK.search(text):
+    low = text.lower()
+    if any(k in low for k in _MAIL_MARKS):
         for m in EMAIL.finditer(text):
             spelled = re.sub(r"[\w.+%-]+", "x", re.sub(r"(?i)\b(at|dot)\b", lambda k: "@" if k[1].lower() == "at" else ".", m[0]))
             out.append(("email", m.start(), m.end(), "mail " + spelled, _left(text, m.start())[0], "", False))
@@ -196,7 +195,7 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
             sure = any(p.search(form) for p in SEED_SHAPES.values())
             out.append(("number", lo, hi, form, left, "" if sure else _blocked(text, lo, left), False))
             taken.append((lo, hi))
-    for m in LISTED.finditer(text):
+    for m in LISTED.finditer(text) if _LISTED_END.search(text) else ():
         if free(*m.span()) and m["family"].split()[-1] not in FIRM_WORDS:
             out.append(("listed", m.start(), m.end(), m["given"].split()[0] + " " + m["family"], "<list>", "<list>", False))
             taken.append(m.span())
@@ -221,7 +220,7 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
 
 #: Distinct words in lower case that a task counts before it sends them on.
 VOCABULARY = 200_000
-_LOWER = re.compile(f"(?<![\\w'’-])[{_LOW}]{{3,}}(?![\\w'’])")
+_LOWER = re.compile("[a-zß-ÿ]{3,}")
 
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -283,14 +282,16 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     spots = cut_lineage(candidates(docs, key, text).distinct())
     # forms: contexts against the forms of numbers, mail and street addresses
     kinds = ["phone", "id", "email", "address"]
-    formed = cut_lineage(spots.filter("kind IN ('number', 'email', 'address')"))
-    edges = formed.filter("right = ''").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n"))
+    formed = spots.filter("kind IN ('number', 'email', 'address')")
+    edges = cut_lineage(formed.filter("right = ''").groupBy("instance", F.col("left").alias("context")).agg(F.count("*").alias("n")))
+    busy_left = hot_keys(edges.withColumnRenamed("context", "left"), ["left"], weight="n")
+    busy_form = hot_keys(edges, ["instance"], weight="n")
     sure = {k: F.col("instance").rlike(p.pattern) for k, p in SEED_SHAPES.items()}
     seeds = edges.select("instance").distinct().select("instance", *[F.when(sure[k], 1.0).otherwise(0.0).alias(k) for k in kinds]).filter(" OR ".join(f"{k} = 1.0" for k in kinds))
-    ctx, inst = _spread(cut_lineage(edges), cut_lineage(seeds), kinds, rounds)
+    ctx, inst = _spread(edges, cut_lineage(seeds), kinds, rounds)
     left = ctx.select(F.col("context").alias("left"), *[F.col(k).alias(f"{k}_ctx") for k in kinds])
     form = inst.select("instance", *[F.col(k).alias(f"{k}_inst") for k in kinds])
-    n = salted_join(salted_join(formed, left, ["left"], hot_keys(formed, ["left"]), "left"), form, ["instance"], hot_keys(formed, ["instance"]), "left")
+    n = salted_join(salted_join(formed, left, ["left"], busy_left, "left"), form, ["instance"], busy_form, "left")
     own = {"phone": "number", "id": "number", "email": "email", "address": "address"}
     value = {k: F.when(F.col("kind") == own[k], F.coalesce(F.when(F.col("right") == "", F.greatest(f"{k}_ctx", f"{k}_inst")).otherwise(F.col(f"{k}_ctx")), F.lit(0.0))).otherwise(0.0) for k in kinds}
     typed = n.filter("right <> '!'").withColumns({f"_{k}": v for k, v in value.items()}).withColumn("best", F.greatest(*[f"_{k}" for k in kinds])).filter(F.col("best") >= CERTAIN)
@@ -300,20 +301,23 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int
     shaped = typed.select("doc_key", kind.alias("pii_type"), F.col("lo").alias("char_start"), F.col("hi").alias("char_end"))
     # names: contexts on either side against the words of the names
     names = spots.filter("kind IN ('name', 'titled', 'listed')")
-    worded = cut_lineage(names.withColumn("words", name_words(F.col("instance"))))
+    worded = names.withColumn("words", name_words(F.col("instance")))
     sides = worded.select(F.explode("words").alias("instance"), F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")).alias("c"), "seed")
     edges = sides.select("instance", F.explode("c").alias("context")).filter(F.col("context").rlike("^[LR] .*[a-zß-ÿ]{2}") & (F.col("context") != "L <title>")).groupBy("context", "instance").agg(F.count("*").alias("n"))
+    edges = cut_lineage(edges)
     capital = worded.select(F.explode("words").alias("instance"), "seed").groupBy("instance").agg(F.count("*").alias("upper"), F.max("seed").alias("titled"))
     lower = spots.filter("kind = 'lower'").groupBy("instance").agg(F.sum("lo").alias("lower"))
-    known = capital.join(lower, "instance", "left").withColumn("common", F.coalesce("lower", F.lit(0)) >= COMMON * F.col("upper"))
+    known = cut_lineage(capital.join(lower, "instance", "left")).withColumn("common", F.coalesce("lower", F.lit(0)) >= COMMON * F.col("upper"))
     listed = F.array_contains(F.array(*[F.lit(w) for w in _NOT_NAMES]), F.col("instance"))
     seeds = known.withColumn("name", F.when(listed | F.col("common"), 0.0).when(F.col("titled"), 1.0)).filter("name IS NOT NULL").select("instance", "name")
-    ctx, word = _spread(cut_lineage(edges), cut_lineage(seeds), ["name"], rounds)
+    ctx, word = _spread(edges, seeds, ["name"], rounds)
     each = worded.select("doc_key", "lo", F.explode("words").alias("instance"))
-    known = salted_join(each, word.withColumnRenamed("name", "score"), ["instance"], hot_keys(each, ["instance"]), "left").groupBy("doc_key", "lo").agg(F.min(F.coalesce("score", F.lit(-1.0))).alias("least"), F.avg(F.coalesce("score", F.lit(UNKNOWN))).alias("mean"))
+    busy_word = hot_keys(known, ["instance"], weight="upper")
+    known = salted_join(each, word.withColumnRenamed("name", "score"), ["instance"], busy_word, "left").groupBy("doc_key", "lo").agg(F.min(F.coalesce("score", F.lit(-1.0))).alias("least"), F.avg(F.coalesce("score", F.lit(UNKNOWN))).alias("mean"))
     lctx = ctx.filter("context LIKE 'L %'").select(F.expr("substring(context, 3)").alias("left"), F.col("name").alias("lv"))
     rctx = ctx.filter("context LIKE 'R %'").select(F.expr("substring(context, 3)").alias("right"), F.col("name").alias("rv"))
-    judged = salted_join(salted_join(worded.join(known, ["doc_key", "lo"], "left"), lctx, ["left"], hot_keys(worded, ["left"]), "left"), rctx, ["right"], hot_keys(worded, ["right"]), "left")
+    side = lambda k, name: hot_keys(edges.filter(f"context LIKE '{k} %'").select(F.expr("substring(context, 3)").alias(name), "n"), [name], weight="n")
+    judged = salted_join(salted_join(worded.join(known, ["doc_key", "lo"], "left"), lctx, ["left"], side("L", "left"), "left"), rctx, ["right"], side("R", "right"), "left")
     by_words = (F.col("least") >= CERTAIN) | ((F.col("mean") >= CERTAIN) & (F.greatest(F.coalesce("lv", F.lit(0.0)), F.coalesce("rv", F.lit(0.0))) >= CERTAIN))
     by_context = (F.coalesce("lv", F.lit(0.0)) >= 0.8) & (F.coalesce("rv", F.lit(0.0)) >= 0.8) & (F.coalesce("least", F.lit(-1.0)) != 0.0)
     by_context = by_context & F.col("left").rlike("[a-zß-ÿ]{2}") & (F.col("instance") != F.upper("instance"))
