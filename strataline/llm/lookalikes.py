@@ -150,7 +150,7 @@ def forms(values: DataFrame) -> DataFrame:
             )
 
     v = values.select(F.col("record_id").cast("string").alias("record_id"), F.col("field_name").cast("string").alias("field_name"), F.col("value").cast("string").alias("value")).filter("value IS NOT NULL")
-    beyond = F.col("value").rlike("[^\\x00-\\x7F]")
+    beyond = F.octet_length("value") > F.length("value")
     plain = v.filter(~beyond).select("record_id", "field_name", F.col("value").alias("form"), F.col("value").alias("skeleton"), F.array().cast("array<string>").alias("kinds"))
     rest = v.filter(beyond).mapInArrow(run, "record_id string, field_name string, form string, skeleton string, kinds array<string>")
     return plain.unionByName(rest).select("record_id", "field_name", "form", F.sha2("skeleton", 256).alias("skeleton_id"), "kinds")
@@ -166,11 +166,11 @@ def found(values: DataFrame) -> DataFrame:
             yield batch.select(["record_id", "field_name"]).filter(pa.array(keep, pa.bool_()))
 
     v = values.select(F.col("record_id").cast("string").alias("record_id"), F.col("field_name").cast("string").alias("field_name"), F.col("value").cast("string").alias("value"))
-    return v.filter(F.col("value").rlike(_FINE)).mapInArrow(run, "record_id string, field_name string").distinct()
+    return v.filter((F.octet_length("value") > F.length("value")) & F.col("value").rlike(_FINE)).mapInArrow(run, "record_id string, field_name string").distinct()
 
 
 def groups(formed: DataFrame) -> DataFrame:
-    """skeleton_id, size, forms: how many values look alike, counted before they meet; no group is gathered."""
+    """skeleton_id, size, form (the least): how many values look alike, counted before they meet; no group is gathered."""
     return formed.groupBy("skeleton_id").agg(F.count("*").alias("size"), F.min("form").alias("form"))
 
 

@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataline.llm import leakage, lookalikes, markup, mixing, near_duplicates, pairs, pii, quality, splitting
-from strataline.session import read_table
+from strataline.session import cut_lineage, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-# SQL by brute force over the whole tables. The other queries have none: their results are no relational expressions of
-# the tables (trained models, texts cut by a heap, seeded choices), and their tests hold them against small fixtures.
+# SQL by brute force over the whole tables, or properties of results that SQL can't compute (texts cut by a heap, seeded
+# choices). The other queries have none: they come from trained models, and their tests hold them against small fixtures.
 ORACLE["p1_found"] = r"""
 WITH rec AS (
   SELECT DISTINCT 'c' AS tbl, chunk_id AS key, text FROM chunks
@@ -28,6 +29,19 @@ s AS (SELECT DISTINCT tbl, key, unnest(list_transform(range(1, len(ws) - 1), lam
 n AS (SELECT tbl, key, count(*) AS n FROM s GROUP BY ALL),
 p AS (SELECT a.tbl, a.key AS l, b.key AS r, count(*) AS c FROM s a JOIN s b ON a.tbl = b.tbl AND a.sh = b.sh AND a.key < b.key GROUP BY ALL)
 SELECT l AS left_key, r AS right_key FROM p JOIN n x ON x.tbl = p.tbl AND x.key = l JOIN n y ON y.tbl = p.tbl AND y.key = r WHERE c >= 0.5 * (x.n + y.n - c)"""
+_P1 = ORACLE["p1_found"].rsplit("SELECT l AS left_key", 1)[0].strip()
+ORACLE["p1_groups"] = _P1.replace("WITH rec", "WITH RECURSIVE rec", 1) + r""",
+li AS (SELECT p.tbl, l, r FROM p JOIN n x ON x.tbl = p.tbl AND x.key = l JOIN n y ON y.tbl = p.tbl AND y.key = r WHERE c >= 0.5 * (x.n + y.n - c)),
+cl AS (SELECT DISTINCT tbl, key, min(key) OVER (PARTITION BY tbl, array_to_string(ws, ' ')) AS class_key FROM w WHERE len(ws) >= 30),
+ed AS (SELECT DISTINCT li.tbl, a.class_key AS x, b.class_key AS y FROM li JOIN cl a ON a.tbl = li.tbl AND a.key = l JOIN cl b ON b.tbl = li.tbl AND b.key = r WHERE a.class_key <> b.class_key),
+bo AS (SELECT tbl, x, y FROM ed UNION SELECT tbl, y, x FROM ed),
+re AS (SELECT tbl, x AS node, x AS seen FROM bo UNION SELECT re.tbl, node, y FROM re JOIN bo ON bo.tbl = re.tbl AND bo.x = re.seen),
+gr AS (SELECT tbl, node, min(seen) AS least FROM re GROUP BY ALL), de AS (SELECT tbl, x, count(*) AS links FROM bo GROUP BY ALL)
+SELECT CASE cl.tbl WHEN 'c' THEN 'chunks' ELSE 'section_diffs' END AS tbl, key, class_key, coalesce(least, class_key) AS group_key, coalesce(links, 0) AS links
+FROM cl LEFT JOIN gr ON gr.tbl = cl.tbl AND gr.node = class_key LEFT JOIN de ON de.tbl = cl.tbl AND de.x = class_key"""
+# Properties that every result must have, told by chunk, document or mix; the SQL says for which rows they must hold.
+ORACLE["p6_checked"] = "SELECT DISTINCT chunk_id, true AS fits, true AS covers, true AS overlaps FROM chunks WHERE length(text) > 1800"
+ORACLE["p8_checked"] = "SELECT DISTINCT mix_name, source, true AS within_repeats, true AS near_budget FROM mix_targets"
 _LONGEST = "list_max(list_transform({}, lambda x: length(x)))"
 _PARAS = r"string_split(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), chr(1))"
 _SENTS = r"string_split(regexp_replace(regexp_replace(text, '\n[^\S\n]*\n\s*', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
@@ -41,6 +55,8 @@ c AS (SELECT id, regexp_extract_all(lower(p), '[\p{{L}}\p{{N}}]+') AS ws FROM (S
 dg AS (SELECT DISTINCT doc_id, {_GRAMS} FROM d), cg AS (SELECT DISTINCT id, {_GRAMS} FROM c)
 SELECT DISTINCT doc_id, id AS case_id FROM dg JOIN cg USING (g)"""
 
+ORACLE["p7_checked"] = f"""SELECT doc_id, string_agg(case_id, ' ' ORDER BY case_id) AS case_ids, true AS clean FROM ({ORACLE["p7_found"]}) GROUP BY doc_id"""
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -84,6 +100,17 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(placed).join(once.select("chunk_id", "item_number"), "chunk_id")
 
 
+@query
+def p6_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each long chunk fit the limit, stand where they say and cover it, and overlap by 200 characters at most."""
+    once = _chunks(spark, sf_dir).filter(F.length("text") > 1800).select("chunk_id", "text").distinct().withColumn("char_start", F.lit(0))
+    p = splitting.split(once).join(once.select("chunk_id", "text"), "chunk_id")
+    before = F.lag("char_end").over(Window.partitionBy("chunk_id").orderBy("piece"))  # the pieces of one text
+    p = p.withColumns({"gap": F.coalesce(before, F.lit(0)) - F.col("char_start"), "right": F.substring("text", F.col("char_start") + 1, F.length("piece_text")) == F.col("piece_text")})
+    told = p.groupBy("chunk_id").agg(F.max(F.length("piece_text")).alias("most"), F.min("right").alias("right"), F.min("gap").alias("least"), F.max("gap").alias("widest"), F.max("char_end").alias("end"), F.max(F.length("text")).alias("size"))
+    return told.select("chunk_id", (F.col("most") <= 1800).alias("fits"), (F.col("right") & (F.col("least") >= 0) & (F.col("end") == F.col("size"))).alias("covers"), (F.col("widest") <= 200).alias("overlaps"))
+
+
 # ---- 7: leaked evaluation texts --------------------------------------------------------------------------------------
 
 
@@ -102,6 +129,15 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+@query
+def p7_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases that each document gives away, and whether no passage of 50 words is left in its cleaned text."""
+    found = cut_lineage(_leaks(spark, sf_dir))
+    cases = read_table(spark, sf_dir, "eval_cases").select(F.col("id").alias("case_id"), F.explode("relevant_passages").alias("passage"))
+    left = leakage.scan(found.select("doc_id", F.col("cleaned").alias("text")), cases, least=50).select("doc_id", F.lit(False).alias("ok"))
+    return found.join(left, "doc_id", "left").select("doc_id", F.array_join("case_ids", " ").alias("case_ids"), F.coalesce("ok", F.lit(True)).alias("clean"))
+
+
 # ---- 4: look-alike characters ----------------------------------------------------------------------------------------
 
 
@@ -123,6 +159,11 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.forms(_values(spark, sf_dir))
 
 
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.groups(lookalikes.forms(_values(spark, sf_dir)))
+
+
 @query
 def p4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.quotes_in_chunks(read_table(spark, sf_dir, "citations"), _chunks(spark, sf_dir))
@@ -193,3 +234,14 @@ def p8_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
+
+
+@query
+def p8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source of each mix keeps to its repeats, and its tokens to its budget (within 2 percent and one long document a language)."""
+    chosen, report = _mixed(spark, sf_dir)
+    targets = read_table(spark, sf_dir, "mix_targets").groupBy("mix_name", "source").agg(F.max("max_repeats").alias("most"))
+    uses = cut_lineage(chosen).groupBy("mix_name", "source").agg(F.max("uses").alias("uses"), F.max("tokens").alias("longest"))
+    j = targets.join(report, ["mix_name", "source"], "left").join(uses, ["mix_name", "source"], "left")
+    room = 0.02 * F.col("budget") + (len(mixing.LANGUAGES) + 1) * F.coalesce("longest", F.lit(0))
+    return j.select("mix_name", "source", (F.coalesce("uses", F.lit(0)) <= F.col("most")).alias("within_repeats"), F.coalesce(F.abs(F.col("tokens") - F.col("budget")) <= room, F.lit(False)).alias("near_budget"))
