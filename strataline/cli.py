@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
 from pyspark.sql import functions as F
 
 from strataline.config import load
 from strataline.operators import evaluation
-from strataline.plans import render
+from strataline.plans import demo, render
 from strataline.plans.pipeline import COMPARED, Pipeline
 from strataline.session import get_session
 from strataline.sources import filings
 from strataline.sources import index as store
 
+_LOG = logging.getLogger("strataline")
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strataline")
     p.add_argument("--config")
     p.add_argument("--index", required=True, help="folder of the index")
+    p.add_argument("--log-level")
     p.add_argument("--text", action="store_true", help="print text instead of JSON lines")
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("index")
@@ -45,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--retrieval-only", action="store_true")
     a.add_argument("--baseline", help="folder of saved metrics to compare with")
     a.add_argument("--save-baseline", help="folder to save the metrics in")
+    sub.add_parser("demo", help="index the made-up corpus and measure its cases")
     a = sub.add_parser("enforce")
     a.add_argument("cases", help="JSON file")
     a.add_argument("-k", type=int)
@@ -55,6 +60,17 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = get_session()
     pipe = Pipeline(spark, load(args.config))
+    if args.log_level:
+        logging.basicConfig(level=args.log_level.upper(), format="%(asctime)s %(levelname)s %(name)s %(message)s")
+    _LOG.info("%s with index %s", args.command, args.index)
+    if args.command == "demo":
+        pipe.index_filings(demo.filings(spark), args.index)
+        q = demo.cases(spark).select(F.col("id").alias("query_id"), F.col("question").alias("text"), "ticker", "relevant_items", "relevant_passages", "answerable")
+        print("\n\n".join(f"{r.query_id}: {render.answer(r)}" for r in pipe.ask(q, hits=pipe.retrieve(q, own_ticker=True)).orderBy("query_id").collect()))
+        print("\n" + render.metrics(pipe.evaluate(q)[1].first()))
+        print("\n" + render.metrics(pipe.enforcement(demo.enforcement_cases(spark))[1].first()))
+        print("\n" + render.metrics(pipe.monitor("2022", "2023", tickers=["QGL"]).first()))
+        return 0
     if args.command == "index":
         tables = pipe.build_index(args.index, *args.dirs, max_files=args.max_files)
         print(tables["index_meta"].first().chunk_count)

@@ -49,6 +49,13 @@ def term_stats(posts: DataFrame, stats: DataFrame, n: int | None = None) -> Data
     return posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def document_frequencies(docs: DataFrame, stats: DataFrame, text: str = "text") -> DataFrame:
+    """term_stats() straight from the texts: distinct words of each are counted where they are, so only counts by word are shuffled."""
+    n = F.lit(stats.first().n)  # one row
+    words = docs.select(F.explode(T.token_set(F.coalesce(F.col(text), F.lit("")))).alias("term"))
+    return words.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf): repeated words of a query count as often as they stand there."""
     return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -103,8 +110,13 @@ def cosine(a: Column, b: Column) -> Column:
 # ---- feature hashing -------------------------------------------------------------------------------------------------
 
 
-def hash_embedding(docs: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 256) -> DataFrame:
-    """(key, idx, w): sparse vectors of length 1. A token goes to md5 mod dim, its sign is bit 8 of the md5."""
+def hash_embedding(docs: DataFrame, key: str = "chunk_id", text: str = "text", dim: int = 256, mode: str = "document") -> DataFrame:
+    """(key, idx, w): sparse vectors of length 1. A token goes to md5 mod dim, its sign is bit 8 of the md5.
+
+    mode is document or query; hashing treats both alike, other embedders may not.
+    """
+    if mode not in ("document", "query"):
+        raise ValueError(f"unknown mode {mode!r}")
     from strataline.operators.scan import hash_cells
 
     return hash_cells(docs, key, text, dim)

@@ -99,6 +99,25 @@ def parsed_claims(replies: DataFrame, n_evidence: Column) -> DataFrame:
     )
 
 
+def model_judge(replies):
+    """A judge, for Pipeline's JUDGES, of a model that replies with JSON.
+
+    replies maps (answers, evidence), as of judge(), to (answer_id, reply). Claims are read by parsed_claims() and get
+    the text of the evidence that they cite; overlap is null, as the model tells none.
+    """
+
+    def run(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+        size = evidence.groupBy("answer_id").agg(F.max("n").alias("most"))
+        told = replies(answers, evidence).select("answer_id", "reply").join(size, "answer_id", "left")
+        c = parsed_claims(told, F.coalesce("most", F.lit(0)))
+        e = evidence.select("answer_id", F.col("n").cast("int").alias("citation"), "chunk_id", F.col("text").alias("evidence_text"))
+        kept = F.col("verdict") != "UNSUPPORTED"
+        j = c.withColumn("citation", F.when(kept, F.col("citation").cast("int"))).join(e, ["answer_id", "citation"], "left")
+        return j.select("answer_id", "claim_no", "claim", "verdict", "citation", "chunk_id", F.lit(None).cast("double").alias("overlap"), "quote", "evidence_text")
+
+    return run
+
+
 def independent(judge_model: str, generator_model: str) -> None:
     """A judge must be another model than the one that wrote the answer."""
     if judge_model == generator_model:

@@ -115,8 +115,8 @@ def doc_length_stats(spark, d):
 
 @query(f"WITH {INDEX} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def document_frequency_idf(spark, d):
-    c = catalog(spark, d)
-    return retrieval.term_stats(retrieval.postings(c), retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    c = catalog(spark, d, "text")
+    return retrieval.document_frequencies(c, retrieval.corpus_stats(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")

@@ -14,7 +14,7 @@ from strataline.session import cut_lineage
 from strataline.sources import index as store
 from strataline.sources.filings import read_filings
 
-#: Pluggable models by name: an embedder maps (texts, key) to (key, idx, w), an answerer (queries, context) to (query_id, answer), a judge (answers, evidence) to claims.
+#: Pluggable models by name: an embedder maps (texts, key, dim, mode) to (key, idx, w), an answerer (queries, context) to (query_id, answer), a judge (answers, evidence) to claims.
 EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hashing": retrieval.hash_embedding}
 ANSWERERS: dict[str, Callable[..., DataFrame]] = {"extractive": generation.extract}
 JUDGES: dict[str, Callable[..., DataFrame]] = {"lexical": verification.judge}
@@ -69,7 +69,7 @@ class Pipeline:
             return scores
 
         lexical = retrieval.top(keep(retrieval.bm25_scores(t["postings"], t["corpus_stats"], queries)), r.candidate_k, "chunk_id")
-        dense = retrieval.top(keep(retrieval.sparse_scores(t["vectors"], self.embed(queries, key="query_id", dim=self.info.dim))), r.candidate_k, "chunk_id")
+        dense = retrieval.top(keep(retrieval.sparse_scores(t["vectors"], self.embed(queries, key="query_id", dim=self.info.dim, mode="query"))), r.candidate_k, "chunk_id")
         k = top_k or r.top_k
         pool = max(3 * k, r.candidate_k) if r.rerank else k
         hits = retrieval.hybrid(dense, lexical, top_k=pool, method=r.fusion, dense_weight=r.dense_weight, lexical_weight=r.bm25_weight, k=r.rrf_k)

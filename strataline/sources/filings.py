@@ -88,6 +88,19 @@ def write_sidecars(filings: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def metadata_json(rows: DataFrame) -> DataFrame:
+    """rows with `metadata`: the metadata columns that are there, as a JSON object of strings."""
+    known = [F.col(m).cast("string").alias(m) for m in META if m in rows.columns]
+    return rows.withColumn("metadata", F.to_json(F.struct(*known)))
+
+
+def from_metadata_json(rows: DataFrame, column: str = "metadata") -> DataFrame:
+    """rows with the metadata columns read from a JSON object; unknown keys fall away, absent ones read UNKNOWN (url and path are empty)."""
+    m = F.from_json(column, ", ".join(f"{k} string" for k in META))
+    empty = lambda k: F.lit("") if k in ("source_url", "source_path") else F.lit("UNKNOWN")
+    return rows.withColumns({k: F.coalesce(m[k], empty(k)) for k in META})
+
+
 def source_url(url, cik, accession):
     """The url as it is, else the index page of the filing by cik and accession; empty where they aren't known."""
     number = cik.try_cast("long")

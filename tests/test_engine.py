@@ -102,6 +102,33 @@ def test_evaluate_and_command_line(spark, folder, tmp_path, capsys):
     assert "Hull" in capsys.readouterr().out
 
 
+def test_demo_from_the_command_line(tmp_path, capsys, spark):
+    from strataline import cli
+
+    (tmp_path / "c.json").write_text(json.dumps({"chunking": {"min_chars": 20}}))
+    assert cli.main(["--config", str(tmp_path / "c.json"), "--index", str(tmp_path / "i"), "demo"]) == 0
+    out = capsys.readouterr().out
+    assert "d7: No answer" in out and "bottles and jars" in out and "n_cases                  7" in out and "going_concern" in out
+
+
+def test_model_judges_are_reachable(spark, folder, tmp_path, monkeypatch):
+    from strataline.operators import verification as V
+    from strataline.plans import pipeline as P
+
+    reply = json.dumps({"claims": [{"claim": "Quillon makes bottle glass in Hull.", "verdict": "supported", "citation": "1", "quote": "Quillon makes bottle glass in Hull."}, {"claim": "x", "verdict": "maybe", "citation": "99"}]})
+    monkeypatch.setitem(P.JUDGES, "reply", V.model_judge(lambda answers, evidence: answers.select("answer_id", F.lit(f"Here: {reply}").alias("reply"))))
+    p = Pipeline(spark, config.load(env={"STRATALINE_CHUNKING__MIN_CHARS": "20", "STRATALINE_VERIFICATION__REPAIR": "false"}), judge="reply")
+    p.build_index(str(tmp_path / "index"), folder)
+    r = p.ask(spark.createDataFrame([("q1", "Where does Quillon make glass?")], "query_id string, text string")).first()
+    assert r.groundedness == 0.5 and r.abstain_reason == "insufficient grounding"
+
+
+def test_metadata_round_trip(spark):
+    f = spark.createDataFrame([("T", 7)], "ticker string, cik int")
+    back = S.from_metadata_json(S.metadata_json(f).select(F.regexp_replace("metadata", r"\{", '{"extra": "x", ').alias("metadata"))).first()
+    assert back.ticker == "T" and back.cik == "7" and back.company == "UNKNOWN" and back.source_url == ""
+
+
 def test_selected_filings_provenance_sidecars_and_checkpoint(spark, tmp_path):
     cols = "ticker string, company string, cik string, filing_type string, filing_date string, fiscal_year string, accession string, source_url string, source_path string, text string"
     f = spark.createDataFrame([("T", "C", "7", t, d, "2022", a, "", "p", TEXT) for t, d, a in (("10-K", "2022-03-01", "a1"), ("10-K", "2023", "a2"), ("10-Q", "2023-05-01", "a3"), ("10-K", "2021-03-01", "a4"))], cols)
