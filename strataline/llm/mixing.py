@@ -161,7 +161,8 @@ def select(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer:
     of 0.
 
     Returns chosen (mix_name, doc_id, source, lang, tokens, uses) and report (mix_name, source, target_share, budget,
-    tokens, actual_share, documents, shortage).
+    tokens, actual_share, documents, shortage, mix_fill). mix_fill is the size of the whole mix over the size wanted: under
+    1 where the repeats of all its sources don't suffice.
     """
     docs = cut_lineage(sized(documents, tokenizer))
     plan = cut_lineage(_plan(docs, targets))
@@ -182,4 +183,7 @@ def select(documents: DataFrame, targets: DataFrame, seed: int = 17, tokenizer:
     wanted = plan.groupBy("mix_name", "source").agg(F.max("share").alias("target_share"), F.sum("budget").alias("budget"))
     whole = F.nullif(F.sum("tokens").over(Window.partitionBy("mix_name")), F.lit(0))
     report = wanted.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents"]).withColumn("actual_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)))
-    return chosen, report.select("mix_name", "source", "target_share", "budget", "tokens", "actual_share", "documents", F.greatest(F.lit(0.0), F.col("target_share") - F.col("actual_share")).alias("shortage"))
+    size = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("t")).first().t
+    ratios = targets.groupBy("mix_name").agg(F.max("size_ratio").alias("ratio"))
+    report = report.join(ratios, "mix_name", "left").withColumn("mix_fill", F.round(F.coalesce(whole / F.nullif(F.col("ratio") * size, F.lit(0.0)), F.lit(0.0)), 6))
+    return chosen, report.select("mix_name", "source", "target_share", "budget", "tokens", "actual_share", "documents", F.greatest(F.lit(0.0), F.col("target_share") - F.col("actual_share")).alias("shortage"), "mix_fill")
