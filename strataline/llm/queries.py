@@ -39,6 +39,14 @@ re AS (SELECT tbl, x AS node, x AS seen FROM bo UNION SELECT re.tbl, node, y FRO
 gr AS (SELECT tbl, node, min(seen) AS least FROM re GROUP BY ALL), de AS (SELECT tbl, x, count(*) AS links FROM bo GROUP BY ALL)
 SELECT CASE cl.tbl WHEN 'c' THEN 'chunks' ELSE 'section_diffs' END AS tbl, key, class_key, coalesce(least, class_key) AS group_key, coalesce(links, 0) AS links
 FROM cl LEFT JOIN gr ON gr.tbl = cl.tbl AND gr.node = class_key LEFT JOIN de ON de.tbl = cl.tbl AND de.x = class_key"""
+_AWS = r"[\t-\r ]"
+_STOPS = "[" + ", ".join(f"'{w}'" for w in sorted(markup.STOP_WORDS)) + "]"
+ORACLE["p2_statistics"] = rf"""
+WITH t AS (SELECT chunk_id, coalesce(text, '') AS t FROM chunks),
+v AS (SELECT chunk_id, t, list_filter(regexp_split_to_array(regexp_replace(t, '^{_AWS}+|{_AWS}+$', '', 'g'), '{_AWS}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM t)
+SELECT chunk_id, length(t) AS n_chars, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / nullif(len(w), 0) AS mean_word_length,
+  length(regexp_replace(t, '[\p{{L}}\p{{N}}\t-\r ]', '', 'g')) / nullif(length(t), 0) AS symbol_ratio, length(regexp_replace(t, '[^0-9]', '', 'g')) / nullif(length(t), 0) AS digit_ratio,
+  len(list_filter(l, lambda x: regexp_matches(rtrim(x), '[.!?:;"]$'))) / nullif(len(l), 0) AS punctuated_lines, len(list_filter(w, lambda x: list_contains({_STOPS}, lower(x)))) / nullif(len(w), 0) AS common_words FROM v"""
 # Properties that every result must have, told by chunk, document or mix; the SQL says for which rows they must hold.
 ORACLE["p6_checked"] = "SELECT DISTINCT chunk_id, true AS fits, true AS covers, true AS overlaps FROM chunks WHERE length(text) > 1800"
 ORACLE["p8_checked"] = "SELECT DISTINCT mix_name, source, true AS within_repeats, true AS near_budget FROM mix_targets"
