@@ -56,10 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Has the files of shuffles removed that nothing refers to any more, which otherwise waits for the driver's next garbage collection."""
-    for _ in range(2):  # the plan goes at first, then what it held
+    for _ in range(3):  # the plan goes at first, then what it held; the session lets go of objects with some delay
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.4)
 
 
 def partitions(spark: SparkSession) -> int:
