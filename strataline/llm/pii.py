@@ -62,6 +62,8 @@ EMAIL = re.compile(
 #: What a text with a mail address holds.
 _MAIL_MARKS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", " dot ", "dot]", "dot)", "\tdot\t")
 NUMBER = re.compile(r"(?<![\w$€£@/])(?<![\w][.,-])(?P<number>(?:[A-Z]{1,2}(?=\d)|(?!ID|NO|NI|IN|TO|AT|OF|ON|BY|NR)[A-Z]{2} (?=\d\d ))?(?:\+|\()?\d(?:[ ().\-–/]{0,2}[0-9]){5,}(?:[ -]?[A-Z](?!\w))?)(?![\w%])")
+#: Digits enough for a number.
+_DIGITS = re.compile(r"\d(?:[ ().\-–/]{0,2}[0-9]){5}")
 # Kinds of streets in the four languages.
 _US = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Terrace|Ter|Square|Sq|Circle|Cir|Close|Crescent|Parkway|Pkwy|Highway|Hwy|Row|Mews|Gardens|Grove|Walk"
 _CITY = rf"(?:(?:North|South|East|West|Upper|Lower|Fort|Port|New|Saint|St\.)[ \t])?{_N}(?:[ \t](?:Bay|Springs|Valley|County|City|Falls|Hills))?"
@@ -72,6 +74,12 @@ _ENGLISH = re.compile(
     rf"\d{{1,5}}[A-Za-z]?,?[ \t]+(?:{_N}[ \t]+){{1,3}}(?:{_US}|{_US.upper()})(?:\b\.?)(?:,[ \t]*(?:Apt\.?|Apartment|Unit|Flat|Suite|#)[ \t]*\d+[A-Za-z]?)?(?:(?:,[ \t]|,?\n){_CITY}(?=[.,;)\s]|$))?"
 )
 _FLAT = re.compile(r"(?:Flat|Unit|Apt\.?|Apartment|Suite|Floor|No\.)[ \t]*\d+[A-Za-z]?,[ \t]*$")
+# Kinds of German streets, and prepositions that start the names of some.
+_GERMAN_STREETS = tuple("straße strasse gasse weg allee platz ring damm ufer Straße Strasse Gasse Weg Allee Platz Ring Damm Ufer STRASSE GASSE WEG ALLEE PLATZ".split())
+_PREPOSITION = re.compile(rf"(?<!\w)(?:Am|Beim|Im|Zum|Zur|An[ ](?:der|den|dem)|In[ ](?:der|den)|Auf[ ](?:der|dem)|Unter[ ]den|Hinter[ ](?:der|dem))[ \t]+(?=[{_UP}])")
+_DIGIT_RUN = re.compile(r"\d+")
+#: What before a number makes it a part of something else.
+_GLUED = frozenset("_.,$-")
 # What a text with a Spanish address holds.
 _SPANISH_MARKS = "Calle Avenida Avda Plaza Paseo Camino Ronda Travesía C/".split()
 _GERMAN = re.compile(
@@ -96,15 +104,30 @@ def _address_form(language: str, place: str) -> str:
 
 
 def addresses(text: str) -> list[tuple[int, int, str]]:
-    """Places and forms of the street addresses of a text, in order, none within another."""
-    out = []
-    for m in _NUMBERED.finditer(text):
-        if hit := _ENGLISH.match(text, m.start()):
-            lo = max(0, m.start() - 20)
-            flat = _FLAT.search(text[lo : m.start()])
-            out.append((lo + flat.start() if flat else m.start(), hit.end(), "english"))
-    out += [(*m.span(), "german") for m in _GERMAN.finditer(text)]
-    out += [(*m.span(), "french") for m in _FRENCH.finditer(text)]
+    """Places and forms of the street addresses of a text, in order, none within another.
+
+    All forms have a number, so the patterns are tried at the numbers of the text, the German ones where a street or a
+    preposition of one stands.
+    """
+    out, german = [], _PREPOSITION.search(text) is not None
+    for m in _DIGIT_RUN.finditer(text):
+        at = m.start()
+        before = text[at - 1 : at]
+        if before in (" ", "\t"):
+            end = at - 1
+            while end and text[end - 1] in " \t":
+                end -= 1
+            german = german or text.endswith(_GERMAN_STREETS, 0, end)
+        elif before.isalnum() or before in _GLUED:
+            continue
+        if hit := _NUMBERED.match(text, at) and _ENGLISH.match(text, at):
+            lo = max(0, at - 20)
+            flat = _FLAT.search(text[lo:at])
+            out.append((lo + flat.start() if flat else at, hit.end(), "english"))
+        elif hit := _FRENCH.match(text, at):
+            out.append((*hit.span(), "french"))
+    if german:
+        out += [(*m.span(), "german") for m in _GERMAN.finditer(text)]
     if any(k in text for k in _SPANISH_MARKS):
         out += [(*m.span(), "spanish") for m in _SPANISH.finditer(text)]
     kept: list[tuple[int, int, str]] = []
@@ -187,7 +210,7 @@ def spans(text: str) -> list[tuple[str, int, int, str, str, str, bool]]:
         if free(lo, hi):
             out.append(("address", lo, hi, "street " + form, _left(text, lo)[0], "", False))
             taken.append((lo, hi))
-    for m in NUMBER.finditer(text):
+    for m in NUMBER.finditer(text) if _DIGITS.search(text) else ():
         lo, hi = m.span("number")
         if free(lo, hi):
             left, _ = _left(text, lo)
