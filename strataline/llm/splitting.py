@@ -133,7 +133,8 @@ def right_offsets(chunks: DataFrame, filings: DataFrame) -> DataFrame:
     The stored offset is kept if it holds, else the first place of the text is taken. Deliveries of a filing repeat its
     text, so any of them serves. Rows without a filing keep their offset if it isn't 0/0.
     """
-    f = one_per_key(filings, "accession", "loaded_at", ["text"]).select("accession", F.col("text").alias("filing_text"))
+    f = one_per_key(filings, "accession", "loaded_at", ["text"]) if "loaded_at" in filings.columns else filings.groupBy("accession").agg(F.max("text").alias("text"))
+    f = f.select("accession", F.col("text").alias("filing_text"))
     j = chunks.join(f, "accession", "left")
     stored = F.when((F.col("char_end") > F.col("char_start")) & F.col("filing_text").isNull(), F.col("char_start"))
     holds = F.substring("filing_text", F.col("char_start") + 1, F.length("text")) == F.col("text")
