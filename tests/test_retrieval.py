@@ -143,9 +143,11 @@ def test_weight_sweep_and_enforcement(spark):
     mk = lambda rows: spark.createDataFrame(rows, "query_id string, chunk_id string, score double")
     s = E.weight_sweep(mk([("q", "a", 1.0), ("q", "b", 0.0)]), mk([("q", "b", 1.0), ("q", "a", 0.0)]), spark.createDataFrame([("q", "b")], "query_id string, chunk_id string"), 0.25, 1).collect()
     assert [r.lexical_weight for r in s if r.best] == [0.75] and len(s) == 5
-    cases = spark.createDataFrame([("c", ["x", "y"], ["1A"])], "case_id string, expected_signals array<string>, expected_items array<string>")
-    r = E.enforcement(cases, spark.createDataFrame([("c", "x")], "case_id string, signal_type string"), spark.createDataFrame([("z", "1A")], "case_id string, item_number string")).first()
-    assert (r.signal_recall, r.evidence_recall) == (0.5, 0.0)
+    cases = spark.createDataFrame([("c", "t", ["x", "y"], ["1A"]), ("all", None, ["x", "y"], []), ("none", "U", ["x"], ["1A"])], "case_id string, ticker string, expected_signals array<string>, expected_items array<string>")
+    found = spark.createDataFrame([("T", "x"), ("V", "y")], "ticker string, signal_type string")
+    rows = E.enforcement(cases, found, spark.createDataFrame([("z", "1A"), ("none", "1A")], "case_id string, item_number string"))
+    assert {r.case_id: (r.signal_recall, r.evidence_recall) for r in rows.collect()} == {"c": (0.5, 0.0), "all": (1.0, 0.0), "none": (0.0, 1.0)}
+    assert tuple(E.enforcement_means(rows).first()) == (3, 0.5, round(1 / 3, 6)) and tuple(E.enforcement_means(rows.limit(0)).first()) == (0, 0.0, 0.0)
 
 
 def test_scans_agree_with_the_postings(lists):
