@@ -122,6 +122,28 @@ def test_shingle_of_fifty_thousand_records_is_spread(spark):
     assert sum(lists.values()) >= n and max(lists.values()) <= 2.5 * N.CELL
 
 
+def test_common_shingle_through_candidates_in_bounded_memory(spark):
+    """Postings of a shingle of all records, bucket by bucket: no pair comes out, and a bucket takes little memory."""
+    import tracemalloc
+
+    n, words, threshold, buckets = 12_000, 3, 0.04, 6
+    df = spark.range(n, numPartitions=3).select(F.lit("t").alias("tbl"), F.format_string("k%05d", "id").alias("key"), F.concat_ws(" ", F.lit("net sales rose"), F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat_ws("x", "id", i))).alias("text"))
+    p = N.prepare(df)
+    order = N.sketch(p, words, 30)
+    blobs = N.postings(p, words, threshold, 30, order, buckets).collect()
+    assert max(len(r.blob) for r in blobs) < 2_000_000
+    most = 0
+    for b in range(buckets):
+        own = [r.blob for r in blobs if r.bucket == b]
+        tracemalloc.start()
+        cols = [N._unpack(x) for x in own]
+        found = sum(len(a) for a, _, _ in N._pairs(*(np.concatenate(c) for c in zip(*cols)), threshold)) if cols else 0
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 0
+    assert most < 200_000_000
+
+
 def test_hot_class_and_star_of_links(spark, monkeypatch):
     """A class and a node with a large share of all rows, their joins salted."""
     monkeypatch.setattr(N, "hot_keys", lambda df, keys: hot_keys(df, keys, 20))
