@@ -5,6 +5,7 @@ Queries run over whole tables. Questions come from eval_cases, chunks count once
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 from strataline.functions import text as T
 from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, scan, signals, verification
 from strataline.operators.repeats import one_per_key
-from strataline.session import cut_lineage, read_table
+from strataline.session import cut_lineage, read_table, shared_dir
 from strataline.sources import filings as source
 from strataline.sources import index
+from strataline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -816,3 +818,38 @@ def worklist_open(spark, d):
 def audit_windows(spark, d):
     e = read_table(spark, d, "events")
     return e.groupBy(F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+# ---- stored and streamed ---------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder beside the other intermediates, where every executor sees it."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {BM25} SELECT query_id, chunk_id, score, rank FROM ({RANKED.format('bs')}) WHERE rank < 10")
+def stored_index_topk(spark, d):
+    """BM25 from an index that is written, read again and looked up by the words of the questions."""
+    path = _folder(spark, "index")
+    index.write_index(catalog(spark, d), path)
+    t = index.read_index(spark, path, index.VectorSpace())
+    return retrieval.top(retrieval.bm25_scores(t["postings"], t["corpus_stats"], questions(spark, d)), 10, "chunk_id")
+
+
+@query(ORACLE["chunk_filing"].replace("AS chunk_id, accession, item_number, title AS section_title, char_start, char_start + length(text) AS char_end, ord AS section_ordinal, text", "AS chunk_id, accession, item_number, md5(text) AS digest"))
+def streamed_chunks(spark, d):
+    """Filings taken in as a stream, file by file, and the latest row of each chunk read back."""
+    f = read_table(spark, d, "filings")
+    out = _folder(spark, "stream")
+    ingest.ingest(ingest.stream_filings(spark, f"{d}/filings.parque[t]", f.schema, 2), f"{out}/chunks", f"{out}/state").awaitTermination()
+    return ingest.upserted(spark, f"{out}/chunks").select("chunk_id", "accession", "item_number", F.md5("text").alias("digest"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, 'event' AS event FROM events GROUP BY event_type")
+def audit_log(spark, d):
+    """Events appended to the log as JSON lines, and counted from what is read back."""
+    path = _folder(spark, "audit")
+    index.append_audit(spark, path, "event", read_table(spark, d, "events").select("event_id", "event_type", "value"))
+    log = spark.read.schema("event string, payload string").json(path).select("event", F.from_json("payload", "event_id long, event_type string, value double").alias("p"))
+    return log.groupBy("p.event_type", "event").agg(F.count("*").alias("n"), F.round(F.sum("p.value"), 4).alias("total")).select("event_type", "n", "total", "event")
