@@ -462,6 +462,8 @@ def groups(records: DataFrame, words: int = 5, threshold: float = 0.8, min_words
     classes, verified = links(records, words, threshold, min_words)
     members = cut_lineage(membership(classes))
     edges = cut_lineage(verified.select("rep_l.tbl", F.col("rep_l.key").alias("l"), F.col("rep_r.key").alias("r")))
+    del verified, classes
+    release(records.sparkSession)  # the texts of the pairs
     both = edges.select("tbl", F.col("l").alias("node"), F.col("r").alias("near")).unionByName(edges.select("tbl", F.col("r").alias("node"), F.col("l").alias("near")))
     degree = both.groupBy("tbl", "node").agg(F.count("*").alias("links"))
     busy = hot_keys(both, ["tbl", "near"])
