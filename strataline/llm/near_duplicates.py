@@ -35,7 +35,7 @@ MAX_MATCH = 6
 #: Share of accidental partners left by each further shingle required, and cost of verifying one against scanning a posting.
 DECAY, VERIFY = 0.3, 60.0
 #: Postings or pairs that a task holds before it sends them on, and postings meant for one bucket.
-FLUSH, BUCKET = 500_000, 500_000
+FLUSH, BUCKET = 500_000, 1_000_000
 #: Digests of texts that a task remembers to send copies only once, and tasks whose tables are added up at a time.
 SEEN, LANES = 200_000, 64
 
