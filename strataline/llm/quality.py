@@ -1,7 +1,7 @@
 """Statistics that tell natural prose from lists, tables and junk, and boosted trees over them.
 
 A text is cut into segments (lines, long ones every SEGMENT bytes at a space). Statistics of all segments of a batch are
-taken at once from its bytes. Trees trained on weakly labelled segments of a bounded sample, and calibrated on a holdout
+taken at once from its bytes. Trees trained on the weakly labelled segments of all texts, and calibrated on a holdout
 checked by hand, give each segment a class from its own statistics and those around it; the class that holds more than
 half of the characters of a text is its kind.
 """
@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm import markup
-from strataline.llm.boosting import Boosted
+from strataline.llm.boosting import Boosted, fit_all
 from strataline.llm.holdout import HELD_TITLES, SEGMENTS, TITLES
-from strataline.llm.sampling import bounded
+from strataline.session import cut_lineage
 
 SEGMENT = 240
 CLASSES = ("prose", "list", "table", "junk")
-#: Rows taken for weak labels, by least hash of the key.
-SAMPLE = 4000
 #: Expected share of the characters of a text, or probability of a title, from which its kind counts.
 MAJORITY = 0.5
 
@@ -159,13 +157,19 @@ def statistics(s: Segments, bigrams: np.ndarray) -> np.ndarray:
     share = lambda mask: np.bincount(seg, mask.astype(np.float64), n) / some
     number = (digits > 0) & (numeric == wl)
     # hash of each word, in lower case without a sign at its end, for stop words and repeats
-    h = np.zeros(len(ws), np.uint64)
-    low = a + (_UPPER[a] * 32).astype(np.uint8)
+    low = a + ((a >= 65) & (a <= 90)) * np.uint8(32)
     tail = _LETTER[a[np.maximum(we - 1, 0)]] == 0
     core = np.minimum(we - ws - tail, 16)
+    order = np.argsort(-core.astype(np.int8), kind="stable")  # long ones first, so that those with a k-th letter stand together
+    first, longer = ws[order], np.cumsum(np.bincount(core, minlength=17)[::-1])[::-1]
+    sorted_h = np.zeros(len(ws), np.uint64)
     for k in range(int(core.max()) if len(core) else 0):
-        on = core > k
-        h[on] = h[on] * _BASE + low[ws[on] + k].astype(np.uint64) + np.uint64(1)
+        on = sorted_h[: longer[k + 1]]
+        on *= _BASE
+        on += low[first[: len(on)] + k]
+        on += np.uint64(1)
+    h = np.empty_like(sorted_h)
+    h[order] = sorted_h
     stops = _stop_hashes()
     stop = (stops[np.minimum(np.searchsorted(stops, h), len(stops) - 1)] == h) & (letters > 0)
     pair = np.zeros(len(ws), np.uint64)
@@ -176,8 +180,11 @@ def statistics(s: Segments, bigrams: np.ndarray) -> np.ndarray:
     per_doc_pairs = np.bincount((distinct >> np.uint64(44)).astype(np.int64), minlength=len(per_doc_words))
     repeats = np.where(per_doc_words >= 15, 1 - per_doc_pairs / np.maximum(per_doc_words, 1), 0)[s.doc]
     # letters in a row
-    both = (_LETTER[a[:-1]] > 0) & (_LETTER[a[1:]] > 0)
-    logp = np.concatenate((np.where(both, bigrams[_CODE[a[:-1]], _CODE[a[1:]]], 0), [0]))
+    code = _CODE[a]
+    both = (code[:-1] < 26) & (code[1:] < 26)
+    known = np.zeros((27, 27))
+    known[:26, :26] = bigrams[:26, :26]
+    logp = np.concatenate((known.ravel()[27 * code[:-1] + code[1:]], [0]))
     pair_flag = np.concatenate((both, [False]))
     total = np.concatenate(([0.0], np.cumsum(logp, dtype=np.float64)))
     last = hi - 1
@@ -200,7 +207,7 @@ def statistics(s: Segments, bigrams: np.ndarray) -> np.ndarray:
         share((letters >= 3) & (vowels == 0)), s_runs / size, bullet, ends, s_commas / some, s_tabs / some, s_wide / size, repeats, title, fluent,
         s_bars / some, s_money / some, s.whole.astype(np.float64),
     )
-    return np.stack(cols, 1)
+    return np.stack(cols, 1).astype(np.float32).astype(np.float64)  # as they are stored
 
 
 CONTEXT = ("bytes", "words", "stop", "digits", "numbers", "ends", "bullet", "novowel", "fluent")
@@ -258,12 +265,33 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return y
 
 
-def bigram_table(texts: list[str]) -> np.ndarray:
-    """Log probability of a letter after a letter, from prose; the other signs are the 27th letter."""
-    counts = np.full((27, 27), 0.5)
+def bigram_counts(texts: list[str]) -> np.ndarray:
+    """How often a letter follows a letter in those of the texts that are prose; the other signs are the 27th letter."""
+    stops, kept = markup.STOP_WORDS, []
     for t in texts:
-        c = _CODE[np.frombuffer(t.encode("utf-8", "replace"), np.uint8)]
-        np.add.at(counts, (c[:-1], c[1:]), 1)
+        w = t.lower().split()
+        if w and len(t) > 4.6 * len(w) and sum(map(stops.__contains__, w)) > 0.25 * len(w):
+            kept.append(t.encode("utf-8", "replace"))
+    c = _CODE[np.frombuffer(b"\n".join(kept), np.uint8)]
+    pairs = 27 * c[:-1] + c[1:]
+    between = np.cumsum([len(t) + 1 for t in kept[:-1]], dtype=np.int64) - 1
+    return np.bincount(pairs, minlength=27 * 27) - np.bincount(pairs[np.concatenate((between - 1, between))], minlength=27 * 27)
+
+
+def bigram_table(texts: DataFrame, text: str = "text") -> np.ndarray:
+    """Log probability of a letter after a letter, from all texts that are prose."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                total += bigram_counts(batch.column(0).slice(lo, 1000).to_pylist())
+        yield pa.record_batch([pa.array(np.arange(27 * 27)), pa.array(total)], names=["pair", "n"])
+
+    told = texts.filter(F.col(text).isNotNull()).select(text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(27 * 27)
+    counts[[r.pair for r in told]] = [r.n for r in told]
+    counts = (counts if counts.any() else bigram_counts(["the text of a filing of the company"])).reshape(27, 27) + 0.5
     return np.log(counts / counts.sum(1, keepdims=True))
 
 
@@ -272,7 +300,7 @@ _NOUNS = "plant harbour kiln furnace lease pump bond cable tower bridge fleet mi
 
 
 def shapes_of_structure(rng: np.random.Generator) -> list[tuple[str, str]]:
-    """Made-up texts of kinds that a sample may hold too few of, with their class."""
+    """Made-up texts of kinds that a table may hold too few of, with their class."""
     pick = lambda words, n: [str(w) for w in rng.choice(words, n)]
     number = lambda: rng.choice([f"{rng.integers(1, 99)},{rng.integers(100, 999)}", f"({rng.integers(1, 99)},{rng.integers(100, 999)})", str(rng.integers(1000, 99999)), "—"])
     letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
@@ -297,45 +325,36 @@ def shapes_of_structure(rng: np.random.Generator) -> list[tuple[str, str]]:
 class Model:
     """Everything fitted: letter statistics and the trees for texts and titles."""
 
-    def __init__(self, texts: list[str], titles: list[str]):
-        stops = markup.STOP_WORDS
-        prose = [t for t in texts if (w := t.lower().split()) and sum(x in stops for x in w) > 0.25 * len(w) and len(t) > 4.6 * len(w)]
-        self.bigrams = bigram_table(prose or ["the text of a filing of the company"])
-        s = Segments([_unmarked(t) for t in texts])
-        x = in_context(statistics(s, self.bigrams), s.doc)
-        y = weak_labels(x)
-        x, y = x[y >= 0], y[y >= 0]
-        made = shapes_of_structure(np.random.default_rng(5))
-        own = Segments([t for t, _ in made])
-        x = np.concatenate((x, in_context(statistics(own, self.bigrams), own.doc)))
-        y = np.concatenate((y, np.array([CLASSES.index(c) for _, c in made])[own.doc]))
-        sure = Segments(prose or ["The text of a filing of the company is held by the office in the town."])
-        x = np.concatenate((x, in_context(statistics(sure, self.bigrams), sure.doc)[:200]))
-        y = np.concatenate((y, np.zeros(min(200, len(sure.doc)), np.int64)))
-        weight = 1 / np.bincount(y, minlength=len(CLASSES))[y] ** 0.5
-        self.trees = Boosted(len(CLASSES), rounds=15).fit(x, y, weight / weight.mean() if len(y) else weight)
+    def __init__(self, bigrams: np.ndarray):
+        self.bigrams = bigrams
+        self.trees, self.title_trees = Boosted(len(CLASSES), rounds=15, balanced=True), Boosted(3, rounds=20, depth=3)
+
+    def own_rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Statistics and classes of made-up texts and a sentence, which any table is topped up with."""
+        made = [*shapes_of_structure(np.random.default_rng(5)), ("The text of a filing of the company is held by the office in the town.", "prose")]
+        s = Segments([t for t, _ in made])
+        return in_context(statistics(s, self.bigrams), s.doc), np.array([CLASSES.index(c) for _, c in made])[s.doc]
+
+    def own_titles(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.title_statistics([t for t, _ in TITLES]), np.array([c for _, c in TITLES])
+
+    def calibrate(self) -> Model:
         held = Segments([t for t, _ in SEGMENTS])
-        hx = in_context(statistics(held, self.bigrams), held.doc)
-        hy = np.array([CLASSES.index(c) for _, c in SEGMENTS])[held.doc]
-        self.trees.calibrate(hx, hy)
-        # titles
-        tx, ty = self.title_statistics(titles), np.array([_title_label(t) for t in titles], np.int64)
-        hand_x, hand_y = self.title_statistics([t for t, _ in TITLES]), np.array([c for _, c in TITLES])
-        held_x, held_y = self.title_statistics([t for t, _ in HELD_TITLES]), np.array([c for _, c in HELD_TITLES])
-        known = ty >= 0
-        self.title_trees = Boosted(3, rounds=20, depth=3).fit(np.concatenate((tx[known], hand_x)), np.concatenate((ty[known], hand_y)))
-        self.title_trees.calibrate(held_x, held_y)
+        self.trees.calibrate(in_context(statistics(held, self.bigrams), held.doc), np.array([CLASSES.index(c) for _, c in SEGMENTS])[held.doc])
+        self.title_trees.calibrate(self.title_statistics([t for t, _ in HELD_TITLES]), np.array([c for _, c in HELD_TITLES]))
+        return self
 
     def kinds(self, texts: list[str]) -> list[tuple[str, float]]:
         """Kind of each text and the share of its characters that is expected to be of that kind, by the probabilities of its segments."""
         s = Segments([_unmarked(t) for t in texts])
-        if not len(s.starts):
-            return [("", 0.0)] * len(texts)
-        p = self.trees.probabilities(in_context(statistics(s, self.bigrams), s.doc))
-        a = s.a
-        solid = _running((_SPACE[a] == 0).astype(np.int64))
-        size = (solid[s.ends] - solid[s.starts]).astype(np.float64)
-        mass = np.stack([np.bincount(s.doc, size * p[:, c], len(texts)) for c in range(len(CLASSES))], 1)
+        return self.judge(statistics(s, self.bigrams), s.doc, _solid(s), len(texts))
+
+    def judge(self, x: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int) -> list[tuple[str, float]]:
+        """The same from the statistics, texts and sizes of the segments of n texts."""
+        if not len(x):
+            return [("", 0.0)] * n
+        p = self.trees.probabilities(in_context(x, doc))
+        mass = np.stack([np.bincount(doc, size * p[:, c], n) for c in range(len(CLASSES))], 1)
         total = mass.sum(1)
         top = mass.argmax(1)
         share = mass.max(1) / np.maximum(total, 1)
@@ -402,40 +421,105 @@ def _unmarked(t: str) -> str:
 _SUSPECT = re.compile(markup.SUSPECT)
 
 
-def fit(texts: DataFrame, titles: DataFrame, key: str = "chunk_id", text: str = "text", title: str = "section_title", sample: int = SAMPLE) -> Model:
-    """The model from the `sample` rows of least key hash of each input (a bound on what comes to the driver)."""
-    t = bounded(texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("v")), F.col("k"), sample)
-    s = bounded(titles.filter(F.col(title).isNotNull()).select(F.col(title).alias("v")).distinct(), F.col("v"), sample)
-    return Model([r.v for r in t.collect()], [r.v for r in s.collect()])
+def _solid(s: Segments) -> np.ndarray:
+    """Bytes of each segment that aren't space."""
+    solid = _running((_SPACE[s.a] == 0).astype(np.int64))
+    return (solid[s.ends] - solid[s.starts]).astype(np.float64)
+
+
+def measured(df: DataFrame, bigrams: np.ndarray, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """Blocks of up to a thousand texts: their keys and lengths, and the text, size and statistics of each segment, packed."""
+    shared = df.sparkSession.sparkContext.broadcast(bigrams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                keys, texts = batch.column(0).slice(lo, 1000), [t or "" for t in batch.column(1).slice(lo, 1000).to_pylist()]
+                parts = []
+                for at in range(0, len(texts), 250):  # few enough for the caches
+                    s = Segments([_unmarked(t) for t in texts[at : at + 250]])
+                    parts.append(((s.doc + at).astype(np.int32), _solid(s).astype(np.int32), statistics(s, shared.value).T.astype(np.float32)))
+                packed = [np.concatenate(v, axis=-1) for v in zip(*parts)]
+                cols = [[keys.to_pylist()], [[len(t) for t in texts]], [len(packed[0])], *([codec.compress(v.tobytes(), asbytes=True)] for v in packed)]
+                types = (pa.list_(keys.type), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 3)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=["keys", "lengths", "segments", "doc", "size", "x"])
+
+    return df.select(key, text).mapInArrow(run, f"keys array<{markup.df_type(df, key)}>, lengths array<int>, segments int, doc binary, size binary, x binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Statistics, texts and sizes of the segments of each block."""
+    codec = pa.Codec("zstd")
+    for n, *packed in zip(*(batch.column(c).to_pylist() for c in ("segments", "doc", "size", "x"))):
+        doc, size, x = (np.frombuffer(codec.decompress(v, 4 * n * k, asbytes=True), t) for v, k, t in zip(packed, (1, 1, len(FEATURES)), (np.int32, np.int32, np.float32)))
+        yield x.reshape(len(FEATURES), n).T.astype(np.float64), doc.astype(np.int64), size.astype(np.float64)
+
 
+def fit(texts: DataFrame, titles: DataFrame, key: str = "chunk_id", text: str = "text", title: str = "section_title") -> Model:
+    """The model from all texts and all distinct titles."""
+    bigrams = bigram_table(texts, text)
+    return _fit(cut_lineage(measured(texts, bigrams, key, text)), titles.select(F.col(title).alias("v")), bigrams)
 
-def kinds(df: DataFrame, model: Model, key: str = "chunk_id", text: str = "text", title: str = "section_title", least: int = 40) -> DataFrame:
+
+def _fit(store: DataFrame, titles: DataFrame, bigrams: np.ndarray) -> Model:
+    model = Model(bigrams)
+    shared = store.sparkSession.sparkContext.broadcast(Model(bigrams))
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for x, doc, _ in _unpacked(batch):
+                x = in_context(x, doc)
+                y = weak_labels(x)
+                yield x[y >= 0], y[y >= 0]
+
+    def of_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            y = np.array([_title_label(t) for t in batch.column(0).to_pylist()], np.int64)
+            yield shared.value.title_statistics(batch.column(0).to_pylist())[y >= 0], y[y >= 0]
+
+    parts = [(store, of_texts), (titles.filter("v IS NOT NULL").distinct(), of_titles)]
+    fit_all(parts, [model.trees, model.title_trees], [model.own_rows(), model.own_titles()])
+    return model.calibrate()
+
+
+def found(df: DataFrame, key: str = "chunk_id", text: str = "text", title: str = "section_title") -> DataFrame:
+    """The kinds of a table by the model fitted on it; its texts are measured once."""
+    bigrams = bigram_table(df, text)
+    store = cut_lineage(measured(df, bigrams, key, text))
+    return kinds(df, _fit(store, df.select(F.col(title).alias("v")), bigrams), key, text, title, store=store)
+
+
+def kinds(df: DataFrame, model: Model, key: str = "chunk_id", text: str = "text", title: str = "section_title", least: int = 40, store: DataFrame | None = None) -> DataFrame:
     """(key, field_name, kind, share or probability): texts of which more than half is list, table or junk, and titles that are junk or prose.
 
     Nulls, texts under `least` characters and blank titles give no rows; equal rows give one; other columns are ignored;
-    an empty table gives none. Markup left in a text is taken off before it is judged.
+    an empty table gives none. Markup left in a text is taken off before it is judged. `store`: the texts as measured.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
+    kind = markup.df_type(df, key)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def told(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (of, pa.string(), pa.string(), pa.float64()))], names=[key, "field_name", "kind", "share"])
+
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.schema.field("keys").type.value_type
+            for keys, lengths, segments in zip(batch.column("keys").to_pylist(), batch.column("lengths").to_pylist(), _unpacked(batch)):
+                told_of = zip(keys, lengths, shared.value.judge(*segments, len(keys)))
+                yield told([(k, "text", kind, share) for k, n, (kind, share) in told_of if n >= least and share > MAJORITY and kind in ("list", "table", "junk")], of)
+
+    def of_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts, titles = (batch.column(c).to_pylist() for c in range(3))
-            rows = []
-            for lo in range(0, len(keys), 1000):
-                part = [t or "" for t in texts[lo : lo + 1000]]
-                for k, t, (kind, share) in zip(keys[lo : lo + 1000], part, m.kinds(part)):
-                    if len(t) >= least and share > MAJORITY and kind in ("list", "table", "junk"):
-                        rows.append((k, "text", kind, share))
+            keys, titles = (batch.column(c).to_pylist() for c in range(2))
             distinct = sorted({t for t in titles if t and t.strip()})
-            of = {t: (("junk", "prose")[row[1:].argmax()], float(row[1:].max())) for t, row in zip(distinct, m.title_probabilities(distinct)) if row[1:].max() > MAJORITY}
-            rows += [(k, "section_title", *of[t]) for k, t in zip(keys, titles) if t in of]
-            cols = list(zip(*rows)) or [()] * 4
-            types = (batch.schema.types[0], pa.string(), pa.string(), pa.float64())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "field_name", "kind", "share"])
+            of = {t: (("junk", "prose")[row[1:].argmax()], float(row[1:].max())) for t, row in zip(distinct, shared.value.title_probabilities(distinct)) if row[1:].max() > MAJORITY}
+            yield told([(k, "section_title", *of[t]) for k, t in zip(keys, titles) if t in of], batch.schema.types[0])
 
-    kind = markup.df_type(df, key)
-    return df.select(key, text, title).mapInArrow(run, f"`{key}` {kind}, field_name string, kind string, share double").distinct()
+    schema = f"`{key}` {kind}, field_name string, kind string, share double"
+    texts = (measured(df, model.bigrams, key, text) if store is None else store).mapInArrow(of_texts, schema)
+    return texts.unionByName(df.select(key, title).mapInArrow(of_titles, schema)).distinct()
 
 
 def document_statistics(df: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -60,6 +60,26 @@ def test_quality_edge_cases(spark, model):
     assert empty.kinds(["Words of the text."])[0][0] in Q.CLASSES
 
 
+def test_letters_and_trees_come_from_all_rows(spark):
+    words = "plant kiln lease harbour quay jetty vault axle dock pump".split()
+    texts = [f"Considerable improvements of the {words[n % 10]} increased the expenditure for the {words[n // 10 % 10]} of {n} in the north.\n• {words[n % 7]}\n• dock" for n in range(6000)]
+    titles = [f"Sales of the {words[n % 10].title()} {n}" if n % 3 else f"Plant {n} ........ {n}" for n in range(6000)]
+    d = spark.createDataFrame([(f"k{n}", t, title) for n, (t, title) in enumerate(zip(texts, titles))], "chunk_id string, text string, section_title string").repartition(5)
+    m = Q.fit(d, d)
+    counts = np.full((27, 27), 0.5)
+    for t in texts:
+        c = [min(ord(x) - 97, 26) if "a" <= x <= "z" else 26 for x in t.lower().replace("•", "???")]
+        np.add.at(counts, (c[:-1], c[1:]), 1)
+    assert np.allclose(m.bigrams, np.log(counts / counts.sum(1, keepdims=True)))
+    s = Q.Segments(texts)
+    x = Q.in_context(Q.statistics(s, m.bigrams), s.doc)
+    for trees, x, y, own in ((m.trees, x, Q.weak_labels(x), m.own_rows()), (m.title_trees, m.title_statistics(titles), np.array([Q._title_label(t) for t in titles]), m.own_titles())):
+        whole = Boosted(trees.classes, trees.rounds, trees.depth, balanced=trees.balanced).fit(np.concatenate((x[y >= 0], own[0])), np.concatenate((y[y >= 0], own[1])))
+        assert np.allclose(trees.scores(x[::50]), whole.scores(x[::50])) and np.allclose(trees.scores(own[0]), whole.scores(own[0]))
+    few = d.filter("chunk_id < 'k2'")
+    assert sorted(Q.kinds(few, m).collect()) == sorted(Q.kinds(few, m, store=Q.measured(few.repartition(3), m.bigrams)).collect())
+
+
 def test_sample_is_bounded(spark):
     d = spark.range(5000)
     assert bounded(d, F.col("id"), 300).count() == 300 and bounded(d, F.col("id"), 9000).count() == 5000
