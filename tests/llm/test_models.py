@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +139,33 @@ def test_pairs_edge_cases(spark, languages):
     assert P.defects(d.limit(0), languages).count() == 0 and P.defects(d.limit(0)).count() == 0
 
 
+def test_pairs_are_all_counted(spark):
+    letters = "abcdefghij"
+    word = lambda n: "z" + "".join(letters[int(c)] for c in f"{n:05d}")
+    texts = [f"The cost of the {word(n)} was paid by the company in {n % 40 + 1990}." if n % 900 else f"Sorry, I cannot help with that {word(n)}." for n in range(9000)]
+    d = spark.createDataFrame([(str(n), Q_EN if n % 3 else None, t) for n, t in enumerate(texts)], "record_id string, question string, text string")
+    m = P.fit(d.repartition(5))
+    assert {word(n) for n in range(9000)} <= m.endings.whole
+    ends, inner = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+    for t in texts + [Q_EN] * 6000:
+        tokens = t.rstrip(".? ").split()
+        for k in range(1, len(tokens)):
+            for c, x in zip(ends if k == len(tokens) - 1 else inner, P._end_features(tokens[: k + 1])):
+                c[x] += 1
+    assert m.endings.odds == P.Endings(ends, inner, set()).odds
+    pool = [p for t in texts + [Q_EN] * 6000 for p in P._pool(t)]
+    seeded = P.Refusals(Counter(), 0, Counter(x for p in pool for x in p), len(pool))
+    yes, no = [p for p in pool if seeded.resembles(p)], [p for p in pool if not seeded.resembles(p)]
+    assert len(yes) == 10 and m.refusals.odds == P.Refusals(Counter(x for p in yes for x in p), len(yes), Counter(x for p in no for x in p), len(no)).odds
+    counts = np.zeros((4, P.BUCKETS))
+    for t in texts + [Q_EN] * 6000:
+        if not P.Languages.kept(t) and (label := P.Languages.label(t)) is not None:
+            np.add.at(counts[label], P._grams(P.bare(t)), 1)
+    assert np.array_equal(m.languages.logp, P.Languages(counts).logp)
+    again = P.fit(d.repartition(2))
+    assert again.languages.scale == m.languages.scale and again.refusals.odds == m.refusals.odds and again.endings.odds == m.endings.odds
+
+
 # ---- personal information --------------------------------------------------------------------------------------------
 
 
