@@ -15,7 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
@@ -106,10 +106,14 @@ def _id_type(queries: DataFrame) -> tuple[str, pa.DataType]:
     return kind.simpleString(), to_arrow_type(kind)
 
 
+def ranked_parts(parts: list[DataFrame], spark: SparkSession, kind: str, key: str, k: int) -> DataFrame:
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], kind)
+    return top(found, k, key)
+
+
 def _ranked(parts: list[DataFrame], docs: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     kind = f"query_id {_id_type(queries)[0]}, `{key}` {docs.schema[key].dataType.simpleString()}, score double"
-    found = reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], kind)
-    return top(found, k, key)
+    return ranked_parts(parts, docs.sparkSession, kind, key, k)
 
 
 def _columns(group: str | None) -> list:
@@ -180,17 +184,32 @@ def best_by_words(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk
 # ---- feature hashing -------------------------------------------------------------------------------------------------
 
 
-def cells_of(texts: list[str], dim: int, known: dict[str, tuple[int, int]]) -> np.ndarray:
+class Signed(dict):
+    """Twice the cell of a token, and 1 more where its sign is positive; md5 is taken of tokens not met before."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        h = int.from_bytes(hashlib.md5(token.encode()).digest())
+        self[token] = at = 2 * (h % self.dim) + ((h >> 8) & 1)
+        return at
+
+
+def cells_of(texts: list[str], dim: int, known: Signed) -> np.ndarray:
     """Rows of length 1, or 0 without tokens: each token adds its sign (bit 8 of its md5) to the cell md5 mod dim."""
-    out = np.zeros((len(texts), dim))
+    signed: list[int] = []
+    sizes = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        for w, c in Counter(_TOKEN.findall(t.lower())).items():
-            if (at := known.get(w)) is None:
-                h = int.from_bytes(hashlib.md5(w.encode()).digest())
-                if len(known) > 200_000:
-                    known.clear()
-                at = known[w] = (h % dim, 1 if (h >> 8) & 1 else -1)
-            out[i, at[0]] += at[1] * c
+        if len(known) > 200_000:
+            known.clear()
+        tokens = _TOKEN.findall(t.lower())
+        sizes[i] = len(tokens)
+        signed.extend(map(known.__getitem__, tokens))
+    at = np.array(signed, np.int64)
+    place = np.repeat(np.arange(len(texts)) * dim, sizes) + (at >> 1)
+    out = np.bincount(place, 2.0 * (at & 1) - 1, len(texts) * dim).astype(np.float64, copy=False).reshape(len(texts), dim)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -199,10 +218,10 @@ def best_by_hash(docs: DataFrame, queries: DataFrame, k: int, key: str = "chunk_
     """(query_id, key, score, rank): the k best texts of each query by cosine of hashed words, of those with a common cell."""
     parts, (id_kind, id_type) = [], _id_type(queries)
     for rows in blocks_of(queries, F.lit(1), ["query_id", "text"]):
-        wanted = docs.sparkSession.sparkContext.broadcast(cells_of([r.text or "" for r in rows], dim, {}))
+        wanted = docs.sparkSession.sparkContext.broadcast(cells_of([r.text or "" for r in rows], dim, Signed(dim)))
 
         def score(values: pa.Array, wanted=wanted):
-            q, known = wanted.value.T, {}
+            q, known = wanted.value.T, Signed(dim)
             step = max(16, CELLS // dim)
             for lo in range(0, len(values), step):
                 d = cells_of(values[lo : lo + step].to_pylist(), dim, known)
@@ -219,7 +238,7 @@ def hash_cells(docs: DataFrame, key: str = "chunk_id", text: str = "text", dim:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
+        known = Signed(dim)
         step = max(16, CELLS // dim)
         for batch in batches:
             for lo in range(0, len(batch), step):

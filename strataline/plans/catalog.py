@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
-from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, scan, signals, verification
+from strataline.operators import chunking, comparison, evaluation, extraction, generation, packed, retrieval, scan, signals, verification
 from strataline.operators.repeats import one_per_key
 from strataline.session import cut_lineage, read_table, shared_dir
 from strataline.sources import filings as source
@@ -832,9 +832,9 @@ def _folder(spark, name: str) -> str:
 def stored_index_topk(spark, d):
     """BM25 from an index that is written, read again and looked up by the words of the questions."""
     path = _folder(spark, "index")
-    index.write_index(catalog(spark, d), path)
+    index.write_index(read_table(spark, d, "chunks"), path)
     t = index.read_index(spark, path, index.VectorSpace())
-    return retrieval.top(retrieval.bm25_scores(t["postings"], t["corpus_stats"], questions(spark, d)), 10, "chunk_id")
+    return packed.best_by_postings(t["postings"], t["term_stats"], t["corpus_stats"], questions(spark, d), 10)
 
 
 @query(ORACLE["chunk_filing"].replace("AS chunk_id, accession, item_number, title AS section_title, char_start, char_start + length(text) AS char_end, ord AS section_ordinal, text", "AS chunk_id, accession, item_number, md5(text) AS digest"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.config import Config
-from strataline.operators import chunking, comparison, evaluation, extraction, generation, retrieval, signals, verification
+from strataline.operators import chunking, comparison, evaluation, extraction, generation, packed, retrieval, signals, verification
 from strataline.session import cut_lineage
 from strataline.sources import index as store
 from strataline.sources.filings import read_filings
@@ -68,7 +68,7 @@ class Pipeline:
                 scores = scores.filter("_wants IS NULL OR _wants = _has").drop("_has", "_wants")
             return scores
 
-        lexical = retrieval.top(keep(retrieval.bm25_scores(t["postings"], t["corpus_stats"], queries)), r.candidate_k, "chunk_id")
+        lexical = retrieval.top(keep(retrieval.bm25_scores(packed.unpacked(t["postings"], queries), t["corpus_stats"], queries)), r.candidate_k, "chunk_id")
         dense = retrieval.top(keep(retrieval.sparse_scores(t["vectors"], self.embed(queries, key="query_id", dim=self.info.dim, mode="query"))), r.candidate_k, "chunk_id")
         k = top_k or r.top_k
         pool = max(3 * k, r.candidate_k) if r.rerank else k

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.operators import retrieval
+from strataline.operators import packed, retrieval
 
 TABLES = ("chunks", "postings", "term_stats", "corpus_stats", "vectors", "index_meta")
-FORMAT = 2
+FORMAT = 3
 
 
 @dataclass(frozen=True)
@@ -26,14 +26,14 @@ class VectorSpace:
 
 
 def write_index(chunks: DataFrame, path: str, info: VectorSpace = VectorSpace(), vectors: DataFrame | None = None) -> None:
-    """All tables of the index; postings lie ordered by term, so that a query reads few row groups. Overwrites."""
+    """All tables of the index; each file of the postings lies ordered by term, so that a query reads few pages. Overwrites."""
     spark = chunks.sparkSession
     retrieval.catalog(chunks).write.mode("overwrite").parquet(f"{path}/chunks")
     c = spark.read.parquet(f"{path}/chunks")
-    retrieval.postings(c).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    packed.pack(c).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     p = spark.read.parquet(f"{path}/postings")
-    retrieval.corpus_stats(c).write.mode("overwrite").parquet(f"{path}/corpus_stats")
-    retrieval.term_stats(p, spark.read.parquet(f"{path}/corpus_stats")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    packed.corpus_stats(p).write.mode("overwrite").parquet(f"{path}/corpus_stats")
+    packed.term_stats(p, spark.read.parquet(f"{path}/corpus_stats")).write.mode("overwrite").parquet(f"{path}/term_stats")
     v = retrieval.hash_embedding(c, dim=info.dim) if vectors is None else vectors
     v.write.mode("overwrite").parquet(f"{path}/vectors")
     meta = c.agg(F.count("*").alias("chunk_count")).select(F.lit(FORMAT).alias("format"), F.lit(info.label).alias("space"), "chunk_count")

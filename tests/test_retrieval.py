@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataline.operators import evaluation as E
+from strataline.operators import packed as P
 from strataline.operators import repeats
 from strataline.operators import retrieval as R
 from strataline.operators import scan as S
@@ -178,3 +179,48 @@ def test_one_row_per_key(spark, monkeypatch):
     assert {r.k: r.v for r in repeats.one_per_key(ties, "k", "o").collect()} == {"a": "w", "b": "q", None: "v"}
     monkeypatch.setattr(repeats, "FEW", 0)
     assert rows(repeats.one_per_key(d, "k", "o")) == sorted(want, key=str) and repeats.one_per_key(d.limit(0), "k", "o").count() == 0
+
+
+def test_packed_postings_agree_with_rows(spark, lists, monkeypatch):
+    """Several blocks, ties, null keys and texts, keys that aren't strings, repeated words, and queries in more than one scan."""
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    texts = [*DOCS.values(), None, "Risk\u212aapital risk", "supply supply", "the " * 300 + "kiln"] * 4
+    numbered = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "chunk_id long, text string").repartition(3)
+    named = numbered.withColumn("chunk_id", F.when(F.col("chunk_id") != 7, F.concat(F.lit("c"), "chunk_id")))
+    q = spark.createDataFrame([*QUERIES.items(), ("q4", "the kiln of sand"), ("q5", None), (None, "Supply of risk")], "query_id string, text string")
+    monkeypatch.setattr(P, "BLOCK", 5)
+    for docs in (numbered, named, numbered.limit(0)):
+        posts, stats = R.postings(docs), R.corpus_stats(docs)
+        p = P.pack(docs).cache()
+        assert rows(P.corpus_stats(p)) == rows(stats)
+        want = R.term_stats(posts, stats)
+        assert rows(P.term_stats(p, stats)) == rows(want)
+        assert rows(P.unpacked(p, q)) == rows(R.postings(docs, terms=R.query_terms(q)).select("term", "chunk_id", "tf", "dl"))
+        best = R.top(R.bm25_scores(posts, stats, q), 3, "chunk_id").select("query_id", "chunk_id", "score", "rank")
+        assert rows(P.best_by_postings(p, want, stats, q, 3)) == rows(best)
+        with monkeypatch.context() as m:
+            m.setattr(S, "QUERIES", 2)
+            m.setattr(S, "CELLS", 0)
+            assert rows(P.best_by_postings(p, want, stats, q, 3)) == rows(best)
+        assert P.best_by_postings(p, want, stats, q.limit(0), 3).count() == 0
+
+
+def test_stored_index_moves_no_row_per_query_and_text(spark, tmp_path):
+    """A word of all questions in all texts: neither postings nor pairs are shuffled one by one."""
+    from strataline.plans import catalog
+
+    texts, questions = 3000, 60
+    c = spark.range(texts).select(F.col("id").alias("ord"), F.concat(F.lit("c"), "id").alias("chunk_id"), F.concat(F.lit("the kiln of the glass works "), F.col("id") % 50).alias("text"))
+    c.coalesce(1).write.parquet(str(tmp_path / "chunks.parquet"))
+    e = spark.range(questions).select(F.concat(F.lit("q"), "id").alias("id"), F.concat(F.lit("the glass "), "id").alias("question"), F.lit("T").alias("ticker"))
+    e.coalesce(1).write.parquet(str(tmp_path / "eval_cases.parquet"))
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    told = lambda: {(s := x.apply(k)).stageId(): s.shuffleWriteRecords() for x in [stages()] for k in range(x.size())}
+    before = max(told(), default=-1)
+    got = catalog.QUERIES["stored_index_topk"](spark, str(tmp_path)).collect()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert len(got) == questions * 10
+    best = {r.query_id: r.chunk_id for r in got if r["rank"] == 0}
+    assert best["q7"] == "c1007" and best["q59"] == "c0"  # of the texts with 7 the least key; no text has 59
+    assert 0 < max(n for stage, n in told().items() if stage > before) <= 2 * texts
